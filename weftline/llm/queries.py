@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.llm import packing, token_counts, warc
+from weftline.llm import decontamination, packing, quality_rules, token_counts, warc
 
-MODULES = (token_counts, packing, warc)
+MODULES = (token_counts, quality_rules, decontamination, packing, warc)
 
 
 def queries() -> dict:
