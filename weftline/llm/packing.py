@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
@@ -28,6 +29,8 @@ CACHE_WORDS = 600_000
 
 
 SEPARATOR = "\x00"
+#: Words that the tokenizer takes as one run of letters, whatever stands beside them.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 
 
 @lru_cache(1)
@@ -37,7 +40,11 @@ def _tokenizer(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     special = tuple(x.content for x in tokenizer.get_added_tokens_decoder().values())
-    return tokenizer, special
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    last = np.zeros(max(vocabulary.values()) + 1, bool)
+    for token, number in vocabulary.items():
+        last[number] = token.endswith("</w>")
+    return tokenizer, special, last
 
 
 class WordIds:
@@ -49,7 +56,7 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.special = _tokenizer(path)
+        self.tokenizer, self.special, self.last = _tokenizer(path)
         (self.separator,) = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.clear()
 
@@ -59,33 +66,51 @@ class WordIds:
         self.ids = np.zeros(0, np.uint32)
 
     def add(self, words: list[str]) -> None:
-        between = f" {SEPARATOR} "
-        lines = [between.join(words[i : i + 500]) + between for i in range(0, len(words), 500)]
-        joined = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
-        ids = np.concatenate([np.asarray(x.ids, np.uint32) for x in joined])
-        ends = np.flatnonzero(ids == self.separator)
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
-        self.first = np.append(self.first, ends - np.arange(len(ends)) + len(self.ids))
-        self.ids = np.append(self.ids, ids[ids != self.separator])
+        """Encode new words, many at a time: those of plain letters end in one marked token each,
+        others are told apart by a separator word between them."""
+        plain, other = [], []
+        for word in words:
+            (plain if PLAIN(word) else other).append(word)
+        for group, between in ((plain, " "), (other, f" {SEPARATOR} ")):
+            if not group:
+                continue
+            lines = [between.join(group[i : i + 500]) + between for i in range(0, len(group), 500)]
+            ids = np.concatenate([np.asarray(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            if group is plain:
+                ends = np.flatnonzero(self.last[ids]) + 1
+            else:
+                at = np.flatnonzero(ids == self.separator)
+                ends, ids = at - np.arange(len(at)), ids[ids != self.separator]
+            if len(ends) != len(group):
+                raise ValueError("the tokenizer does not keep words apart")
+            self.number.update(zip(group, range(len(self.number), len(self.number) + len(group))))
+            self.first = np.append(self.first, ends + len(self.ids))
+            self.ids = np.append(self.ids, ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > CACHE_WORDS:
             self.clear()
-        split = [None if self.odd(t) else t.split() for t in texts]
-        new = dict.fromkeys(w for ws in split if ws for w in ws if w not in self.number)
-        if new:
-            self.add(list(new))
-        number, out = self.number, []
-        for text, ws in zip(texts, split):
-            if ws is None:
-                out.append(np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+        whole: dict[int, np.ndarray] = {}
+        flat: list[str] = []
+        n_words = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            if self.odd(text):
+                whole[i] = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                 continue
-            at = np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))
-            begin = self.first[at]
-            size = self.first[at + 1] - begin
-            move = np.repeat(begin - (np.cumsum(size) - size), size)
-            out.append(self.ids[move + np.arange(len(move))])
-        return out
+            found = (text.lower() if text.isascii() else text).split()
+            n_words[i] = len(found)
+            flat += found
+        numbers = list(map(self.number.get, flat))
+        if None in numbers:
+            self.add(list(dict.fromkeys(w for w, n in zip(flat, numbers) if n is None)))
+            numbers = list(map(self.number.__getitem__, flat))
+        at = np.array(numbers, np.int64)
+        begin = self.first[at]
+        size = self.first[at + 1] - begin
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(begin - (ends - size), size) + np.arange(int(size.sum()))]
+        cuts = np.append(0, ends)[np.cumsum(n_words)]
+        return [whole.get(i, x) for i, x in enumerate(np.split(ids, cuts[:-1]))]
 
     def odd(self, text: str) -> bool:
         return any(c in text for c in "\x00\x1c\x1d\x1e\x1f") or any(s in text for s in self.special)
@@ -238,7 +263,7 @@ def places(patterns: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     return {length: np.array(x, np.int64) for length, x in rows.items()}
 
 
-def pack(pieces_df: DataFrame, capacity: int = CAPACITY, rows_per_salt: int = 100_000, **solver) -> DataFrame:
+def pack(pieces_df: DataFrame, capacity: int = CAPACITY, rows_per_salt: int = 20_000, **solver) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces (with `length`); the table is read twice.
 
     Offsets are gapless from 0 in every sequence. Which of several pieces of one length gets
