@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontamination, packing, quality_rules, suffix_arrays, suffix_trees, token_counts, warc
+from weftline.llm import decontamination, line_dedup, near_dedup, packing, quality_rules, suffix_arrays, suffix_trees, token_counts, warc
 
-MODULES = (token_counts, quality_rules, suffix_trees, decontamination, suffix_arrays, packing, warc)
+MODULES = (line_dedup, token_counts, near_dedup, quality_rules, suffix_trees, decontamination, suffix_arrays, packing, warc)
 
 
 def queries() -> dict:
