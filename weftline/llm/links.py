@@ -18,8 +18,9 @@ from weftline.session import written
 def leader_links(keys: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(a, b) with a < b for the pairs that `verify` passes, from `keys` (key, id).
 
-    `verify` takes and returns rows (a, b). A pair of which each is unlike every leader that the
-    other meets is still met when one of the two leads the bucket, which each does in its turn.
+    `verify` takes and returns rows (a, b). Two members that are both unlike the leader meet in a
+    later round. Two of which one is like the leader and the other is not do not meet again in this
+    bucket: their link is found only in another bucket, under another leader.
     """
     members, salt = keys, 0
     found: list[DataFrame] = []
