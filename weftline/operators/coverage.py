@@ -27,7 +27,7 @@ def match_scores(pairs: DataFrame, requirements: DataFrame) -> DataFrame:
     weighed = pairs.join(requirements, ["goal", "idx"]).filter("weight > 0")
     total = weighed.groupBy("goal", "person").agg(F.sum((F.col("weight") * F.col("score")).cast(EXACT)).alias("ws"), F.sum(F.col("weight").cast(EXACT)).alias("w"))
     share = F.col("ws").cast("double") / F.col("w").cast("double")
-    return total.select("goal", "person", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)), 6).alias("score"))
+    return total.select("goal", "person", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)).cast("decimal(28,12)"), 6).cast("double").alias("score"))
 
 
 def pool(scores: DataFrame, size: int) -> DataFrame:
