@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from weftline.llm import utf8
 
 #: Bytes of text whose segments are combined and sent together.
-UNIT_BYTES = 24 << 20
+UNIT_BYTES = 8 << 20
 LOW = np.uint64((1 << 48) - 1)
 
 #: Windows of several strings -> class of each: equal exactly where the windows are equal.
@@ -90,7 +90,7 @@ def _scan(docs: DataFrame, unit: str, window: int, gram: int, buckets: int) -> D
     """(bucket, blob) rows; `kind` 0 holds segments, 1 holds ranges settled within the unit of input."""
 
     def flush(held: list[dict[str, np.ndarray]], salt: int) -> pa.RecordBatch:
-        c = {k: np.concatenate([x[k] for x in held]) for k in held[0]}
+        c = {k: np.concatenate([x.pop(k) for x in held]) for k in [*held[0]]}
         # Of equal segments only those of the smallest document go on; the others are repeats.
         key = utf8.mix(c["gram"]) ^ c["content"]
         order = np.lexsort((c["doc"], key))
@@ -106,7 +106,8 @@ def _scan(docs: DataFrame, unit: str, window: int, gram: int, buckets: int) -> D
             zero = np.zeros(len(doc), np.int64)
             out.append((salt % buckets, 1, _pack({"gram": zero.view(np.uint64), "content": zero.view(np.uint64), "doc": doc, "start": first, "size": end - first, "byte": zero, "bytes": zero})))
         c = {k: v[~repeat] for k, v in c.items()}
-        bucket = ((c["gram"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        # Least hashes are small numbers: they are mixed again, so that buckets are even.
+        bucket = ((utf8.mix(c["gram"]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
             if len(rows):

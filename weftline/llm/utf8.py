@@ -1,6 +1,6 @@
 """Vectorised views of Arrow string columns: bytes, words and their hashes.
 
-A column slice of a few megabytes is handled at a time, so that a task's memory does not follow
+A column slice of half a megabyte is handled at a time, so that a task's memory does not follow
 the size of an Arrow batch. Words are maximal runs of bytes other than space and 0x09-0x0D.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 #: Odd multipliers and shifts of a 64-bit finaliser and of a polynomial hash.
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 
 def mix(x: np.ndarray) -> np.ndarray:
