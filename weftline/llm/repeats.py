@@ -307,7 +307,7 @@ def repeated_ranges(docs: DataFrame, unit: str, window: int, gram: int, order: O
     buckets = max(math.ceil(size / (64 << 20)), min(16 * spark.sparkContext.defaultParallelism, math.ceil(size / (2 << 20))), 1)
     settled = _scan(docs, unit, window, gram, buckets).groupBy("bucket").applyInArrow(_settle, SETTLED)
     bytes_of = F.substring(F.col("text").cast("binary"), F.col("byte").cast("int") + 1, F.col("bytes").cast("int"))
-    texts = docs.select("doc_id", "text")
+    texts = _texts(docs)
     mixed = settled.filter("gram IS NOT NULL").join(texts, F.col("doc") == F.col("doc_id")).select(*_NAMES, bytes_of.alias("text"))
     mixed = mixed.withColumn("part", _part(F.col("gram"), buckets)).groupBy("part")
     sorted_out = mixed.applyInArrow(lambda t: _sort_mixed(t, unit, window, order), "doc bigint, start bigint, stop bigint")
@@ -320,10 +320,16 @@ def _part(gram: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(buckets))
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """Both joins take the texts in this one form, so that Spark deals them by doc_id once and reuses the exchange."""
+    return docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
+
+
 def with_ranges(docs: DataFrame, unit: str, window: int, gram: int, order: Order) -> DataFrame:
     """doc_id, text and the ranges (null where there are none)."""
     found = repeated_ranges(docs, unit, window, gram, order)
-    return docs.select("doc_id", "text").join(found, "doc_id", "left")
+    nameless = docs.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast(found.schema["ranges"].dataType).alias("ranges"))
+    return _texts(docs).join(found, "doc_id", "left").unionByName(nameless)
 
 
 def covered(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
