@@ -1,8 +1,9 @@
 """Links between items that share band keys, and the components that the links make.
 
-Nothing is collected and no bucket is expanded into pairs: in each round every member of a bucket
-is held against one leader, and those that differ from it go on to the next round under another
-leader. Members linked to one leader are in one component, so pairs among them add nothing. Hot
+Nothing is collected and a bucket of like members is not expanded into pairs: in the first round
+every member of a bucket is held against one leader, and those that differ from it go on to the
+next round under about GROWTH times as many leaders, so that rounds grow with the logarithm of the
+number of different kinds in a bucket. Members linked to one leader are in one component, so pairs among them add nothing. Hot
 buckets only meet in joins (which adaptive execution splits) and in combining aggregates.
 """
 
@@ -14,27 +15,34 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftline.session import written
 
+GROWTH = 4
+
 
 def leader_links(keys: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(a, b) with a < b for the pairs that `verify` passes, from `keys` (key, id).
 
-    `verify` takes and returns rows (a, b). Two members that are both unlike the leader meet in a
-    later round. Two of which one is like the leader and the other is not do not meet again in this
-    bucket: their link is found only in another bucket, under another leader.
+    `verify` takes and returns rows (a, b). Two members that are both unlike all leaders meet in a
+    later round. Two of which one is like a leader and the other is not do not meet again in this
+    bucket: their link is found only in another bucket, under another leader. Members of a bucket
+    that are all unlike each other are held against each other pair by pair.
     """
-    members, salt = keys, 0
+    members, turn = keys, 0
     found: list[DataFrame] = []
     while True:
-        order = F.struct(F.xxhash64("key", "id", F.lit(salt)).alias("order"), "id")
-        leaders = members.groupBy("key").agg(F.min(order)["id"].alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        place = F.xxhash64("key", "id", F.lit(turn))
+        sizes = members.groupBy("key").agg(F.min(F.struct(place.alias("place"), "id"))["id"].alias("first"), F.count("*").alias("n")).filter("n > 1")
+        share = F.pmod(place, F.lit(1 << 20)) * F.col("n") < F.lit(GROWTH**turn << 20)
+        leaders = members.join(sizes, "key").filter((F.col("id") == F.col("first")) | (F.lit(turn > 0) & share)).select("key", F.col("id").alias("leader"))
+        leaders = written(leaders, "leaders")
+        if leaders.isEmpty():
+            break
         met = members.join(leaders, "key").filter(F.col("id") != F.col("leader"))
         met = written(met.select("key", "id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")), "met")
-        if met.isEmpty():
-            break
         same = written(verify(met.select("a", "b").distinct()), "same")
         found.append(same)
-        members = met.join(same, ["a", "b"], "left_anti").select("key", "id")
-        salt += 1
+        done = met.join(same, ["a", "b"], "left_semi").select("key", "id").unionByName(leaders.select("key", F.col("leader").alias("id")))
+        members = written(members.join(done, ["key", "id"], "left_anti"), "members")
+        turn += 1
     if not found:
         kind = keys.schema["id"].dataType
         return keys.select(F.col("id").cast(kind).alias("a"), F.col("id").cast(kind).alias("b")).filter(F.lit(False))
