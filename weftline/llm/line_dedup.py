@@ -6,8 +6,8 @@ CPU seconds a GB); Spark does the grouping, the joins and the union-find.
 Lines are compared in lower case with runs of white space as one space. Equal lines are collapsed
 first. Of each different line the character shingles are hashed once; the least hash in each of
 BANDS * ROWS residue classes is its signature (an empty class borrows from the next one that is
-not). Lines that agree in a band are held against the band's leader by exact Jaccard similarity
-of their shingle sets, and union-find joins what is linked. The first line of each component, by
+not). Lines that agree in a band are held against each other, by way of leaders, by exact Jaccard
+similarity of their shingle sets, and union-find joins what is linked. The first line of each component, by
 (doc_id, place), stays; the others go. At a similarity of 0.8 a pair shares a band with a
 probability of 0.995, and above that more.
 """
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weftline.llm import utf8
-from weftline.llm.links import components, leader_links
+from weftline.llm.links import SLACK, leader_links
 from weftline.session import table, written
 
 SHINGLE = 8
@@ -86,16 +86,18 @@ def alike(lines: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
 
     def compare(batches):
         for batch in batches:
-            same = np.zeros(batch.num_rows, bool)
+            same, distance = np.zeros(batch.num_rows, bool), np.ones(batch.num_rows)
             sides = ((np.unique(h) for part in utf8.slices(batch.column(c)) for h in shingle_hashes(part, size)) for c in ("x", "y"))
             for i, (s, t) in enumerate(zip(*sides)):
                 shared = len(np.intersect1d(s, t, assume_unique=True))
-                same[i] = shared >= similarity * (len(s) + len(t) - shared)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(same))
+                union = len(s) + len(t) - shared
+                same[i], distance[i] = shared >= similarity * union, 1 - shared / union
+            found = [batch.column("a"), batch.column("b"), pa.array(same), pa.array(distance)]
+            yield pa.RecordBatch.from_arrays(found, names=["a", "b", "linked", "distance"]).filter(pa.array(same | (distance <= 2 * (1 - similarity) + SLACK)))
 
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = (lines.select(F.col("id").alias(one), F.col("line").alias(x)) for one, x in (("a", "x"), ("b", "y")))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary, linked boolean, distance double")
 
     return verify
 
@@ -116,8 +118,7 @@ def removed_lines(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMI
     wanted = members.select("id").distinct().join(distinct.select("id", "first.*"), "id")
     same_place = lines["doc_id"].eqNullSafe(wanted["doc_id"]) & (lines["place"] == wanted["place"])
     candidates = lines.join(wanted, (lines["id"] == wanted["id"]) & same_place, "left_semi").select("id", "line").dropDuplicates(["id"])
-    links = leader_links(members, alike(written(candidates, "candidates"), size, similarity))
-    roots = components(links)
+    _, roots = leader_links(members, alike(written(candidates, "candidates"), size, similarity), 1 - similarity)
     grouped = distinct.join(roots, "id").select("id", "root", "first")
     firsts = grouped.groupBy("root").agg(F.min("first").alias("keep"))
     near = grouped.join(firsts, "root").select("id", "keep")

@@ -3,8 +3,10 @@
 Nothing is collected and a bucket of like members is not expanded into pairs: in the first round
 every member of a bucket is held against one leader, and those that differ from it go on to the
 next round under about GROWTH times as many leaders, so that rounds grow with the logarithm of the
-number of different kinds in a bucket. Members linked to one leader are in one component, so pairs among them add nothing. Hot
-buckets only meet in joins (which adaptive execution splits) and in combining aggregates.
+number of different kinds in a bucket. Members linked to one leader are in one component, so pairs among them add nothing.
+Pairs parted by a leader (one member like it, the other not) that are in different components after
+the rounds are then held against each other, but for those that the leader's distances exclude.
+Hot buckets only meet in joins (which adaptive execution splits) and in combining aggregates.
 """
 
 from __future__ import annotations
@@ -16,18 +18,26 @@ from pyspark.sql import DataFrame, functions as F
 from weftline.session import written
 
 GROWTH = 4
+FIRST = 16
 
 
-def leader_links(keys: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(a, b) with a < b for the pairs that `verify` passes, from `keys` (key, id).
+#: Rounding of a distance that verify gives.
+SLACK = 1e-9
 
-    `verify` takes and returns rows (a, b). Two members that are both unlike all leaders meet in a
-    later round. Two of which one is like a leader and the other is not do not meet again in this
-    bucket: their link is found only in another bucket, under another leader. Members of a bucket
-    that are all unlike each other are held against each other pair by pair.
+
+def leader_links(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], reach: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) with a < b, and the components (id, root) of all pairs of one bucket that are alike, from `keys` (key, id).
+
+    `verify` takes rows (a, b) and returns (a, b, linked, distance) for those of a distance up to
+    2 * reach; the distance is a metric, and linked pairs are at most `reach` apart. The links join
+    what all links of pairs in a bucket would join, but are not all of them. Two members that are
+    both unlike all leaders meet in a later round, in the end pair by pair; those that a leader
+    parts are in `_parted`.
     """
     members, turn = keys, 0
-    found: list[DataFrame] = []
+    kind = keys.schema["id"].dataType
+    links = keys.select(F.col("id").cast(kind).alias("a"), F.col("id").cast(kind).alias("b")).filter(F.lit(False))
+    rounds: list[tuple[DataFrame, DataFrame]] = []
     while True:
         place = F.xxhash64("key", "id", F.lit(turn))
         sizes = members.groupBy("key").agg(F.min(F.struct(place.alias("place"), "id"))["id"].alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -38,18 +48,50 @@ def leader_links(keys: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> D
             break
         met = members.join(leaders, "key").filter(F.col("id") != F.col("leader"))
         met = written(met.select("key", "id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")), "met")
-        same = written(verify(met.select("a", "b").distinct()), "same")
-        found.append(same)
-        done = met.join(same, ["a", "b"], "left_semi").select("key", "id").unionByName(leaders.select("key", F.col("leader").alias("id")))
+        near = written(verify(met.select("a", "b").distinct()), "near")
+        links = links.unionByName(near.filter("linked").select("a", "b"))
+        leader = F.when(F.col("id") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+        close = written(met.join(near, ["a", "b"]).select("key", "id", leader.alias("leader"), "linked", "distance"), "close")
+        rounds.append((leaders, close))
+        done = close.filter("linked").select("key", "id").unionByName(leaders.select("key", F.col("leader").alias("id")))
         members = written(members.join(done, ["key", "id"], "left_anti"), "members")
         turn += 1
-    if not found:
-        kind = keys.schema["id"].dataType
-        return keys.select(F.col("id").cast(kind).alias("a"), F.col("id").cast(kind).alias("b")).filter(F.lit(False))
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
-    return links.distinct()
+    links = written(links.distinct(), "links")
+    roots = components(links)
+    # First about FIRST of those like a leader, which join groups with many links; then all others.
+    for first in (True, False):
+        if not rounds:
+            break
+        parted = [_parted(leaders, close, roots, reach, first) for leaders, close in rounds]
+        pairs = parted[0]
+        for more in parted[1:]:
+            pairs = pairs.unionByName(more)
+        more = written(verify(written(pairs.distinct(), "parted")).filter("linked").select("a", "b"), "more")
+        if not more.isEmpty():
+            links = written(links.unionByName(more).distinct(), "links")
+            roots = components(links)
+    return links, roots
+
+
+def _parted(leaders: DataFrame, close: DataFrame, roots: DataFrame, reach: float, first: bool) -> DataFrame:
+    """Pairs (a, b) that a round parted and that may yet be alike and join two components.
+
+    A member linked to leaders goes by the nearest; whoever else met that leader and is in another
+    component is a pair with it, if by the triangle inequality the two may be within `reach`. Pairs
+    with a leader have been verified. `first` takes the about FIRST members of a leader, else the rest.
+    """
+    others = close.join(leaders.withColumnRenamed("leader", "id"), ["key", "id"], "left_anti")
+    outer = others.filter("not linked").select("key", "leader", F.col("id").alias("outer"), F.col("distance").alias("far"))
+    for one in ("outer", "leader"):
+        outer = outer.join(roots.select(F.col("id").alias(one), F.col("root").alias(f"{one}_root")), one, "left")
+    outer = outer.filter(F.coalesce("outer_root", "outer") != F.coalesce("leader_root", "leader")).select("key", "leader", "outer", "far")
+    inner = others.filter("linked").groupBy("key", "id").agg(F.min(F.struct("distance", "leader")).alias("to"))
+    inner = inner.select("key", F.col("to.leader").alias("leader"), F.col("id").alias("inner"), F.col("to.distance").alias("near"))
+    share = F.pmod(F.xxhash64("key", "inner"), F.lit(1 << 20)) * F.col("n") < F.lit(FIRST << 20)
+    sizes = inner.groupBy("key", "leader").agg(F.count("*").alias("n"))
+    inner = inner.join(sizes, ["key", "leader"]).filter(share if first else ~share).drop("n")
+    pairs = inner.join(outer, ["key", "leader"]).filter(F.col("far") <= F.col("near") + F.lit(reach + SLACK))
+    return pairs.select(F.least("inner", "outer").alias("a"), F.greatest("inner", "outer").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.llm import utf8
-from weftline.llm.links import components, leader_links
+from weftline.llm.links import SLACK, leader_links
 from weftline.session import table, written
 
 WORDS = 5
@@ -137,21 +137,25 @@ def _keys(texts: DataFrame, n_docs: int, bands: int, rows: int) -> DataFrame:
 
 
 def _checked(texts: DataFrame, n_docs: int, similarity: float):
+    """The check for leader_links: exact weighted Jaccard similarity, whose complement is a metric."""
+
     def compare(batches):
         for batch in batches:
-            same = np.zeros(batch.num_rows, bool)
+            same, distance = np.zeros(batch.num_rows, bool), np.ones(batch.num_rows)
             both = zip(_weights(batch.column("x"), batch.column("xdf"), n_docs), _weights(batch.column("y"), batch.column("ydf"), n_docs))
             for (row, s, w), (_, t, v) in both:
                 _, p, q = np.intersect1d(s, t, assume_unique=True, return_indices=True)
                 shared = np.minimum(w[p], v[q]).sum()
-                same[row] = shared >= similarity * (w.sum() + v.sum() - shared)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(same))
+                union = w.sum() + v.sum() - shared
+                same[row], distance[row] = shared >= similarity * union, 1 - shared / union
+            found = [batch.column("a"), batch.column("b"), pa.array(same), pa.array(distance)]
+            yield pa.RecordBatch.from_arrays(found, names=["a", "b", "linked", "distance"]).filter(pa.array(same | (distance <= 2 * (1 - similarity) + SLACK)))
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         held = texts.join(wanted, "id", "left_semi")
         left, right = (held.select(F.col("id").alias(one), F.col("text").alias(x), F.col("df").alias(f"{x}df")) for one, x in (("a", "x"), ("b", "y")))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "xdf", "y", "ydf").mapInArrow(compare, "a bigint, b bigint")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "xdf", "y", "ydf").mapInArrow(compare, "a bigint, b bigint, linked boolean, distance double")
 
     return verify
 
@@ -176,10 +180,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     texts = written(texts, "distinct")
     names = texts.select("class_id", "text_key", "id")
     full = written(_aligned(texts.join(_frequent(texts), "id", "left").select("id", "text", "copies", "shingles", "counts")), "texts")
-    links = leader_links(_keys(full, n_docs, bands, rows), _checked(full, n_docs, similarity))
+    links, roots = leader_links(_keys(full, n_docs, bands, rows), _checked(full, n_docs, similarity), 1 - similarity)
     links = written(links, "links")
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    named = names.join(components(links), "id", "left").join(degree, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = names.join(roots, "id", "left").join(degree, "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = written(named, "named")
     groups = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
     known = named.join(groups, "root").select("text_key", "class_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
