@@ -3,8 +3,8 @@
 The references come from the whole corpus by one grouped aggregation: for every language the
 histogram of character classes and the counts of its most common words. A document is held
 against them by Jensen-Shannon distance (base 2, between 0 and 1) of its own two histograms; the
-nearest language counts. Short documents have too few words for a histogram: guards on length
-leave them to the fixed limits.
+nearest language counts. Short documents have too few words for a histogram, and a language of few
+documents gives no reference: guards leave both to the fixed limits.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ CLASSES[[b for b in range(33, 127) if CLASSES[b] == 255]] = 6
 CLASSES[192:] = 7
 CLASSES[[b for b in range(128) if CLASSES[b] == 255]] = 8
 N_CLASSES = 9
+# Among the counts of a language, keys below N_CLASSES are classes, DOCS its documents and greater ones words.
+DOCS = N_CLASSES
 
 
 @dataclass(frozen=True)
@@ -36,7 +38,7 @@ class Limits:
     """Rejects: under `min_words`, over `max_repeat_percent` of words in repeated 3-word windows, or
     farther than the distances from every reference (for words plus word_slack / n_words, as a
     histogram of few words is noisy). Distances need `class_min_chars` characters or
-    `word_min_words` words."""
+    `word_min_words` words, and a language with `reference_min_docs` documents of `word_min_words`."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -46,7 +48,7 @@ class Limits:
     class_min_chars: int = 200
     word_min_words: int = 50
     common_words: int = 100
-    max_languages: int = 64
+    reference_min_docs: int = 20
 
 
 def _per_text(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -118,8 +120,8 @@ def _class_counts(texts: utf8.Texts) -> np.ndarray:
 def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """language -> (class histogram, common word hashes, their share of all words), over all rows.
 
-    Counts are combined per task and then by key; at most max_languages x (9 + common_words) rows
-    reach the driver, whatever the corpus.
+    Counts are combined per task and then by key. Every language of reference_min_docs documents has
+    a reference, of 9 + common_words rows at the driver; labels of fewer do not reach it.
     """
 
     def run(batches):
@@ -130,7 +132,7 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str, tuple[np
             lang, key, n = _merge(held)
             held.clear()
             names = list(langs)
-            kind = key < np.uint64(N_CLASSES)
+            kind = key <= np.uint64(DOCS)
             return pa.RecordBatch.from_arrays(
                 [pa.DictionaryArray.from_arrays(pa.array(lang, pa.int32()), pa.array(names, pa.string())).cast(pa.string()), pa.array(kind), pa.array(key.view(np.int64)), pa.array(n)],
                 names=["lang", "of_class", "key", "n"],
@@ -141,9 +143,10 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str, tuple[np
             for part in utf8.slices(batch.column("text")):
                 own = np.array([langs.setdefault(x, len(langs)) for x in column.slice(part.first, len(part)).to_pylist()], np.int64)
                 words = utf8.words(part)
-                hashes = np.maximum(_folded_words(part, words), np.uint64(N_CLASSES))
+                hashes = np.maximum(_folded_words(part, words), np.uint64(DOCS + 1))
                 classes = _class_counts(part)
                 held.append(_merge([(own[words.text], hashes, np.ones(len(hashes), np.int64))]))
+                held.append((own, np.full(len(part), DOCS, np.uint64), (np.diff(words.first) >= limits.word_min_words).astype(np.int64)))
                 held.append((np.repeat(own, N_CLASSES), np.tile(np.arange(N_CLASSES, dtype=np.uint64), len(part)), classes.ravel()))
                 if sum(len(x[0]) for x in held) > 2_000_000:
                     held[:] = [_merge(held)]
@@ -154,18 +157,19 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str, tuple[np
 
     counted = docs.select("lang", "text").mapInArrow(run, "lang string, of_class boolean, key bigint, n bigint")
     counted = counted.groupBy("lang", "of_class", "key").agg(F.sum("n").alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "of_class").orderBy(F.desc("n"), "key"))).filter(F.col("rank") <= max(limits.common_words, N_CLASSES))
-    totals = ranked.filter("of_class").groupBy("lang").agg(F.sum("n").alias("size")).orderBy(F.desc("size"), "lang").limit(limits.max_languages)
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "of_class").orderBy(F.desc("n"), "key"))).filter(F.col("of_class") | (F.col("rank") <= limits.common_words))
+    enough = F.max(F.when(F.col("of_class") & (F.col("key") == DOCS), F.col("n"))).over(Window.partitionBy("lang"))
+    ranked = ranked.withColumn("docs", enough).filter(F.col("docs") >= limits.reference_min_docs).filter(~F.col("of_class") | (F.col("key") != DOCS))
     out: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     rows: dict[str, list] = {}
-    for r in ranked.join(F.broadcast(totals.select("lang")), "lang").collect():
+    for r in ranked.collect():
         rows.setdefault(r["lang"], []).append(r)
     for lang, found in rows.items():
         classes = np.zeros(N_CLASSES)
         for r in found:
             if r["of_class"]:
                 classes[r["key"]] = r["n"]
-        common = sorted((r for r in found if not r["of_class"] and r["rank"] <= limits.common_words), key=lambda r: r["key"])
+        common = sorted((r for r in found if not r["of_class"]), key=lambda r: r["key"])
         if not classes.sum() or not common:
             continue
         keys = np.array([r["key"] for r in common], np.int64).view(np.uint64)
@@ -199,19 +203,24 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def judge(docs: DataFrame, refs: dict, limits: Limits = Limits(), id_column: str = "doc_id") -> DataFrame:
     """doc_id, the counts, base_failed, kept, class_distance, word_distance and reason for each row.
 
-    A null text has no words and fails on length. Without references (an empty corpus) or under
-    the length guards a distance is null and rejects nothing. The word histogram is over the
+    A null text has no words and fails on length. Where the document's language (null and '' are one)
+    has no reference, or under the length guards, a distance is null and rejects nothing. The word histogram is over the
     language's common words alone; a document without any of them has distance 1.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(refs)
+
     def run(batches):
+        refs = shared.value
         for batch in batches:
+            langs = batch.column("lang").fill_null("")
             for part in utf8.slices(batch.column("text")):
+                known = np.array([x in refs for x in langs.slice(part.first, len(part)).to_pylist()], bool)
                 counts, words, _ = base_counts(part)
                 n, n_words = len(part), counts["n_words"]
                 classes = _class_counts(part).astype(float)
                 chars = classes.sum(1)
-                hashes = np.maximum(_folded_words(part, words), np.uint64(N_CLASSES))
+                hashes = np.maximum(_folded_words(part, words), np.uint64(DOCS + 1))
                 by_class, by_word = np.full(n, np.inf), np.full(n, np.inf)
                 share = classes / np.maximum(chars, 1)[:, None]
                 for ref_classes, keys, ref_words in refs.values():
@@ -222,8 +231,8 @@ def judge(docs: DataFrame, refs: dict, limits: Limits = Limits(), id_column: str
                     total = own.sum(1)
                     distance = js_distance(own / np.maximum(total, 1)[:, None], ref_words[None])
                     by_word = np.minimum(by_word, np.where(total > 0, distance, 1.0))
-                use_class = np.isfinite(by_class) & (chars >= limits.class_min_chars)
-                use_word = np.isfinite(by_word) & (n_words >= limits.word_min_words)
+                use_class = known & np.isfinite(by_class) & (chars >= limits.class_min_chars)
+                use_word = known & np.isfinite(by_word) & (n_words >= limits.word_min_words)
                 short, repeats = n_words < limits.min_words, 100 * counts["n_repeat_words"] > limits.max_repeat_percent * n_words
                 far_class, far_word = use_class & (by_class > limits.class_distance), use_word & (by_word > limits.word_distance + limits.word_slack / np.maximum(n_words, 1))
                 reason = np.select([short, repeats, far_class, far_word], ["short", "repeats", "characters", "words"], "")
@@ -242,7 +251,7 @@ def judge(docs: DataFrame, refs: dict, limits: Limits = Limits(), id_column: str
 
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"`{id_column}` {kind}, {', '.join(f'{c} bigint' for c in COUNTS)}, base_failed boolean, kept boolean, class_distance double, word_distance double, reason string"
-    return docs.select(F.col(id_column).alias("id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col(id_column).alias("id"), "text", "lang").mapInArrow(run, schema)
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
