@@ -65,14 +65,14 @@ def signature(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def with_keys(lines: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """lines with k0, k1, ... of their bands; null for lines under five shingles, which can only be equal, not alike."""
+    """lines with k0, k1, ... of their bands; null for lines without a shingle, which can only be equal, not alike."""
 
     def run(batches):
         for batch in batches:
             keys, known = np.zeros((batch.num_rows, bands), np.int64), np.zeros(batch.num_rows, bool)
             for part in utf8.slices(batch.column("line")):
                 for i, hashes in enumerate(shingle_hashes(part, size), part.first):
-                    if len(hashes) >= 5:
+                    if len(hashes):
                         keys[i], known[i] = signature(hashes, bands, rows), True
             columns = [pa.array(keys[:, k], mask=~known) for k in range(bands)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *(f"k{k}" for k in range(bands))])
