@@ -15,3 +15,10 @@ def test_short_lines(spark):
     sets = [{x[i : i + size] for i in range(len(x) - size + 1)} for x in RULES]
     alike = {b for b in range(len(RULES)) for a in range(b) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert removed(spark, RULES) == alike and {1, 3, 5} <= alike
+
+
+def test_one_and_two_edits(spark):
+    one = "posted on 12 march 2021 by the editors of the weekly paper"
+    two = "all rights are reserved by the makers of this page and by those who gave their words and pictures to it, 2019 edition"
+    lines = [one, one.replace("12", "17"), two, two.replace("makers", "mokers").replace("pictures", "pixtures"), "nothing like the other lines of this small table"]
+    assert removed(spark, lines) == {1, 3}

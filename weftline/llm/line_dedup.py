@@ -22,7 +22,7 @@ from weftline.llm import utf8
 from weftline.llm.links import SLACK, leader_links
 from weftline.session import table, written
 
-SHINGLE = 8
+SHINGLE = 5
 BANDS, ROWS = 10, 4
 SIMILARITY = 0.8
 
