@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -36,21 +38,55 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests in local mode) a folder of this machine is used.
+    Where that setting is absent a folder of this machine is used, in local mode only: on a
+    cluster it would be another folder for each executor, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="weftline-shared")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/weftline/{uuid.uuid4().hex}"
 
 
+#: Seconds between two releases.
+RELEASE_S = 2.0
+_released = [0.0]
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """Run `df` once into the shared folder and go on from the written table, which cuts the lineage.
 
-    A lost executor costs at most the step in progress. Tables stay until the folder is cleared.
+    A lost executor costs at most the step in progress. Tables stay until `forget` or until the
+    folder is cleared; the shuffle files of the steps before are released.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return back
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps.
+
+    It does so when the driver's JVM has collected their plans, which may otherwise be long after
+    a job of many steps has filled the executors' disks.
+    """
+    if time.monotonic() - _released[0] > RELEASE_S:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _released[0] = time.monotonic()
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that `written` made and that nothing reads any more."""
+    for one in tables:
+        spark = one.sparkSession
+        for folder in {x.rpartition("/")[0] for x in one.inputFiles()}:
+            if "/weftline/" in folder:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
