@@ -65,6 +65,7 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
+    back._weftline_folder = path
     del df
     release(spark)
     return back
@@ -86,7 +87,5 @@ def forget(*tables: DataFrame) -> None:
     """Delete tables that `written` made and that nothing reads any more."""
     for one in tables:
         spark = one.sparkSession
-        for folder in {x.rpartition("/")[0] for x in one.inputFiles()}:
-            if "/weftline/" in folder:
-                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(one._weftline_folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
