@@ -61,7 +61,8 @@ def test_line_dedup(docs):
     first = {}
     for at, (_, _, text) in enumerate(lines):
         first.setdefault(text, at)
-    sets = {t: {t[i : i + 8] for i in range(len(t) - 7)} if len(t) >= 12 else set() for t in first}
+    size = line_dedup.SHINGLE
+    sets = {t: {t[i : i + size] for i in range(len(t) - size + 1)} for t in first}
     links = [(first[a], first[b]) for a, b in itertools.combinations(first, 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     root = groups(first.values(), links)
     lost = Counter(i for at, (i, _, t) in enumerate(lines) if root[first[t]] != at)

@@ -1,148 +1,225 @@
 """Fuzzy line dedup across a corpus.
 
-The shingles are hashed with numpy inside tasks (a form with DataFrame functions alone took 1,387
-CPU seconds a GB); Spark does the grouping, the joins and the union-find.
-
-Lines are compared in lower case with runs of white space as one space. Equal lines are collapsed
-first. Of each different line the character shingles are hashed once; the least hash in each of
-BANDS * ROWS residue classes is its signature (an empty class borrows from the next one that is
-not). Lines that agree in a band are held against each other, by way of leaders, by exact Jaccard
-similarity of their shingle sets, and union-find joins what is linked. The first line of each component, by
-(doc_id, place), stays; the others go. At a similarity of 0.8 a pair shares a band with a
-probability of 0.995, and above that more.
+Lines are read and their shingles hashed with numpy inside tasks (a form with DataFrame functions
+alone took 1,387 CPU seconds a GB); Spark does the grouping, the joins and the union-find.
+
+Lines are compared in lower case with runs of white space as one space. Of each different line the
+character shingles are hashed once; the least hash in each of BANDS * ROWS classes is its signature
+(an empty class borrows from the next one that is not). Lines that agree in a band are held against
+each other, by way of leaders, by exact Jaccard similarity of their shingle sets, and union-find
+joins what is linked. The first line of each component, by (doc_id, text, place), stays; the
+others go. At a similarity of 0.8 a pair shares a band with a probability of 0.995, and above that
+more. A repeated line is sent once for each task's stretch of SEEN lines, however frequent it is.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.llm import utf8
 from weftline.llm.links import SLACK, leader_links
-from weftline.session import table, written
+from weftline.session import forget, table, written
 
 SHINGLE = 5
 BANDS, ROWS = 10, 4
 SIMILARITY = 0.8
+#: Different lines that a task remembers at a time.
+SEEN = 100_000
+
 
+def normal(line: str) -> str:
+    return " ".join(line.lower().split())
 
-def normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
 
+def line_id(line: bytes) -> bytes:
+    return hashlib.md5(line, usedforsecurity=False).digest()
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, place, normal form and its 128-bit id for each line that is not blank."""
-    found = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("place", "line"))
-    found = found.select("doc_id", "place", normal(F.col("line")).alias("line")).filter("line <> ''")
-    return found.withColumn("id", F.unhex(F.md5("line")))
 
+def _texts(lines: list[bytes]) -> utf8.Texts:
+    starts = np.zeros(len(lines) + 1, np.int64)
+    np.cumsum([len(x) for x in lines], out=starts[1:])
+    return utf8.Texts(np.frombuffer(b"".join(lines), np.uint8), starts, 0)
 
-def shingle_hashes(part: utf8.Texts, size: int):
-    """For each line of the slice the hashes of its runs of `size` characters, repeats included."""
+
+def signatures(part: utf8.Texts, size: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each band for each line of the slice, and whether the line has a shingle at all."""
+    n, slots = len(part), bands * rows
     starts = np.append(np.flatnonzero((part.data & 0xC0) != 0x80), len(part.data))
-    first = np.searchsorted(starts, part.starts)
-    sums = utf8.byte_sums(part.data)
-    hashes = utf8.range_hashes(sums, starts[: len(starts) - size], starts[size:]) if len(starts) > size else np.zeros(0, np.uint64)
-    for i in range(len(part)):
-        yield hashes[first[i] : max(first[i], first[i + 1] - size + 1)]
-
-
-def signature(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """The key of each band from the least hash in each of bands * rows residue classes."""
-    n = bands * rows
-    slot = (hashes % np.uint64(n)).astype(np.int64)
-    least = np.full(n, 2**64 - 1, np.uint64)
-    np.minimum.at(least, slot, hashes)
-    full = np.zeros(n, bool)
-    full[slot] = True
-    have = np.flatnonzero(full)
-    least = least[have[np.searchsorted(have, np.arange(n)) % len(have)]].reshape(bands, rows)
-    key = np.arange(bands, dtype=np.uint64)
+    line = np.repeat(np.arange(n), np.diff(np.searchsorted(starts, part.starts)))
+    least = np.full(n * slots, 2**64 - 1, np.uint64)
+    if len(line) >= size:
+        at = np.flatnonzero(line[: len(line) - size + 1] == line[size - 1 :])
+        hashes = utf8.range_hashes(utf8.byte_sums(part.data), starts[at], starts[at + size])
+        slot = (hashes >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)
+        np.minimum.at(least, line[at] * slots + slot.astype(np.int64), hashes)
+    least = least.reshape(n, slots)
+    known = (least != 2**64 - 1).any(1)
+    for _ in range(2):  # an empty class takes from the next, the last from the first
+        for k in range(slots - 1, -1, -1):
+            least[:, k] = np.where(least[:, k] == 2**64 - 1, least[:, (k + 1) % slots], least[:, k])
+    least = least.reshape(n, bands, rows)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (n, bands))
     for j in range(rows):
-        key = utf8.mix(key * np.uint64(utf8.BASE) + least[:, j])
-    return key.view(np.int64)
+        key = utf8.mix(key * np.uint64(utf8.BASE) + least[:, :, j])
+    return key.view(np.int64), known
 
 
-def with_keys(lines: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """lines with k0, k1, ... of their bands; null for lines without a shingle, which can only be equal, not alike."""
+def lines_of(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, row (md5 of the whole text), place, id (md5) and keys for each line that is not blank.
+
+    `keys` has the band keys; it is null for lines without a shingle, which can only be equal, not
+    alike, and where the task has sent the line's keys before.
+    """
 
     def run(batches):
+        seen: set[bytes] = set()
         for batch in batches:
-            keys, known = np.zeros((batch.num_rows, bands), np.int64), np.zeros(batch.num_rows, bool)
-            for part in utf8.slices(batch.column("line")):
-                for i, hashes in enumerate(shingle_hashes(part, size), part.first):
-                    if len(hashes):
-                        keys[i], known[i] = signature(hashes, bands, rows), True
-            columns = [pa.array(keys[:, k], mask=~known) for k in range(bands)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *(f"k{k}" for k in range(bands))])
+            for part in utf8.slices(batch.column("text")):
+                of, places, ids, new, texts = [], [], [], [], []
+                for i in range(len(part)):
+                    for place, line in enumerate(part.raw(i).decode().split("\n")):
+                        data = normal(line).encode()
+                        if not data:
+                            continue
+                        name = line_id(data)
+                        if name not in seen:
+                            seen.add(name)
+                            new.append(len(ids))
+                            texts.append(data)
+                        of.append(part.first + i)
+                        places.append(place)
+                        ids.append(name)
+                    if len(seen) > SEEN:
+                        seen.clear()
+                keys, known = signatures(_texts(texts), size, bands, rows)
+                length = np.zeros(len(ids) + 1, np.int32)
+                length[np.asarray(new, np.int64)[known] + 1] = bands
+                mask = np.ones(len(ids), bool)
+                mask[np.asarray(new, np.int64)[known]] = False
+                found = pa.ListArray.from_arrays(pa.array(np.cumsum(length, dtype=np.int32)), pa.array(keys[known].ravel()), mask=pa.array(mask))
+                own = pa.array(of, pa.int64())
+                columns = [batch.column("doc_id").take(own), batch.column("row").take(own), pa.array(places, pa.int32()), pa.array(ids, pa.binary()), found]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "place", "id", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    named = docs.select("doc_id", _row().alias("row"), "text")
+    return named.mapInArrow(run, f"doc_id {kind}, row binary, place int, id binary, keys array<bigint>")
+
+
+def _row():
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+
+
+def _number(of: str):
+    """A short name of a line for the search: the first 8 bytes of its id (different lines may share it)."""
+    return F.conv(F.hex(F.substring(of, 1, 8)), 16, -10).cast("bigint")
+
+
+def line_texts(docs: DataFrame) -> DataFrame:
+    """number, id and text of each line that is not blank, once for each task's stretch."""
 
-    kinds = ", ".join(f"{c} {kind}" for c, kind in lines.dtypes)
-    return lines.mapInArrow(run, f"{kinds}, " + ", ".join(f"k{k} bigint" for k in range(bands)))
+    def run(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            for part in utf8.slices(batch.column("text")):
+                numbers, ids, texts = [], [], []
+                for i in range(len(part)):
+                    for line in part.raw(i).decode().split("\n"):
+                        data = normal(line).encode()
+                        if data and (name := line_id(data)) not in seen:
+                            seen.add(name)
+                            numbers.append(int.from_bytes(name[:8], "big", signed=True))
+                            ids.append(name)
+                            texts.append(data)
+                    if len(seen) > SEEN:
+                        seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())], names=["number", "id", "line"])
+
+    return docs.select("text").mapInArrow(run, "number bigint, id binary, line string")
 
 
 def alike(lines: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY):
-    """The check for leader_links: exact Jaccard similarity of two lines' shingle sets. `lines` has id and line."""
+    """The check for leader_links: exact Jaccard similarity of two lines' shingle sets. `lines` has node and line."""
 
     def compare(batches):
+        held: tuple[str, set] = ("", set())
         for batch in batches:
             same, distance = np.zeros(batch.num_rows, bool), np.ones(batch.num_rows)
-            sides = ((np.unique(h) for part in utf8.slices(batch.column(c)) for h in shingle_hashes(part, size)) for c in ("x", "y"))
-            for i, (s, t) in enumerate(zip(*sides)):
-                shared = len(np.intersect1d(s, t, assume_unique=True))
-                union = len(s) + len(t) - shared
+            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
+                if held[0] != x:
+                    held = x, {x[k : k + size] for k in range(len(x) - size + 1)}
+                other = {y[k : k + size] for k in range(len(y) - size + 1)}
+                shared = len(held[1] & other)
+                union = len(held[1]) + len(other) - shared
                 same[i], distance[i] = shared >= similarity * union, 1 - shared / union
             found = [batch.column("a"), batch.column("b"), pa.array(same), pa.array(distance)]
             yield pa.RecordBatch.from_arrays(found, names=["a", "b", "linked", "distance"]).filter(pa.array(same | (distance <= 2 * (1 - similarity) + SLACK)))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (lines.select(F.col("id").alias(one), F.col("line").alias(x)) for one, x in (("a", "x"), ("b", "y")))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary, linked boolean, distance double")
+        left, right = (lines.select(F.col("node").alias(one), F.col("line").alias(x)) for one, x in (("a", "x"), ("b", "y")))
+        return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint, linked boolean, distance double")
 
     return verify
 
 
 def removed_lines(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, places) of the lines that go; documents that lose none are absent.
+    """(doc_id, row, places) of the lines that go; documents that lose none are absent.
 
-    Line texts are written once and read again only for candidates; all else moves ids and keys.
+    Ids and keys are written; texts are read again from `docs` for lines that share a band.
     """
-    keys = [f"k{k}" for k in range(BANDS)]
-    lines = written(with_keys(lines_of(docs), size), "lines")
-    place = F.struct("doc_id", "place")
-    distinct = lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"), *(F.min(k).alias(k) for k in keys))
-    distinct = written(distinct, "distinct")
-    banded = distinct.filter("k0 is not null").select("id", F.explode(F.array(*keys)).alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = written(banded.join(shared, "key", "left_semi").select("key", "id"), "members")
-    wanted = members.select("id").distinct().join(distinct.select("id", "first.*"), "id")
-    same_place = lines["doc_id"].eqNullSafe(wanted["doc_id"]) & (lines["place"] == wanted["place"])
-    candidates = lines.join(wanted, (lines["id"] == wanted["id"]) & same_place, "left_semi").select("id", "line").dropDuplicates(["id"])
-    _, roots = leader_links(members, alike(written(candidates, "candidates"), size, similarity), 1 - similarity)
-    grouped = distinct.join(roots, "id").select("id", "root", "first")
-    firsts = grouped.groupBy("root").agg(F.min("first").alias("keep"))
-    near = grouped.join(firsts, "root").select("id", "keep")
-    equal = distinct.filter("n > 1").join(roots, "id", "left_anti").select("id", F.col("first").alias("keep"))
-    keep = near.unionByName(equal)
-    lost = lines.select("doc_id", "place", "id").join(keep, "id").filter(~place.eqNullSafe(F.col("keep")))
-    return lost.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    lines = written(lines_of(docs, size), "lines")
+    banded = lines.filter("keys is not null").select(_number("id").alias("number"), F.explode("keys").alias("key"))
+    shared = banded.groupBy("key").agg(F.min("number").alias("least"), F.max("number").alias("most")).filter("least <> most").select("key")
+    buckets = written(banded.join(shared, "key", "left_semi").distinct(), "buckets")
+    wanted = buckets.select("number").distinct().hint("shuffle_hash")
+    texts = line_texts(docs).join(wanted, "number", "left_semi").dropDuplicates(["number", "id"])
+    # Each line found has a number of its own, also where two share the short one.
+    lines_found = written(texts.withColumn("node", F.monotonically_increasing_id()), "candidates")
+    members = written(buckets.join(lines_found.select("number", "node"), "number").select("key", F.col("node").alias("id")), "members")
+    forget(buckets)
+    _, roots = leader_links(members, alike(lines_found, size, similarity), 1 - similarity)
+    names = lines_found.select("id", "node")
+    joined = names.join(roots.withColumnRenamed("id", "node"), "node").select("id", "root")
+    same = written(joined.join(names.select(F.col("node").alias("root"), F.col("id").alias("kind")), "root").select("id", "kind"), "same")
+    kinds = lines.select("doc_id", "row", "place", "id").join(same, "id", "left").withColumn("kind", F.coalesce("kind", "id"))
+    first = F.struct("doc_id", "row", "place")
+    kept = kinds.groupBy("kind").agg(F.min(first).alias("first"), F.count("*").alias("n")).filter("n > 1").select("kind", "first")
+    lost = kinds.join(kept, "kind").filter(~first.eqNullSafe(F.col("first")))
+    return lost.groupBy("doc_id", "row").agg(F.collect_set("place").alias("places"))
+
+
+def _without(text: pd.Series, places: pd.Series) -> pd.Series:
+    """The text less its lines at `places`."""
+    out = []
+    for whole, at in zip(text, places):
+        if at is not None and whole is not None:
+            gone = set(at.tolist())
+            whole = "\n".join(x for i, x in enumerate(whole.split("\n")) if i not in gone)
+        out.append(whole)
+    return pd.Series(out, dtype=object)
 
 
 def line_dedup(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with `text` less the lines that go, plus n_lines and n_removed (those names are replaced).
+    """docs with `text` less the lines that go, plus n_lines and n_removed (columns of these names are replaced).
 
-    Blank lines stay and match nothing. A null text stays null with no lines; an empty one has one
-    blank line. Rows that repeat a doc_id count as one document, so their lines are kept in each.
-    Rows without a doc_id count as one document too, which comes first. An empty table gives none.
+    Blank lines stay and match nothing; lines of fewer characters than a shingle match only equal
+    ones. A null text stays null with no lines; an empty one has one blank line. Rows that repeat a
+    doc_id and text are one document and lose the same lines; rows of one doc_id and different texts
+    are documents of their own, in the order of md5(text). Rows without a doc_id come first. All
+    lines of a text are compared, however long. Other columns stay. An empty table gives an empty table.
     """
-    lost = removed_lines(docs.select("doc_id", "text"), size, similarity).withColumnsRenamed({"doc_id": "__doc", "places": "__places"})
-    joined = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
-    all_lines = F.split("text", "\n", -1)
-    places = F.coalesce("__places", F.array().cast("array<int>"))
-    left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(places, i)), "\n")
-    changed = F.when(F.col("__places").isNull(), F.col("text")).otherwise(left)
-    counts = {"n_lines": F.coalesce(F.size(all_lines), F.lit(0)).cast("long"), "n_removed": F.size(places).cast("long")}
-    return joined.withColumns({"__text": changed, **counts}).withColumn("text", F.col("__text")).withColumn("n_lines", F.greatest("n_lines", F.lit(0))).drop("__doc", "__places", "__text")
+    lost = removed_lines(docs.select("doc_id", "text"), size, similarity).withColumnsRenamed({"doc_id": "__doc", "row": "__of", "places": "__places"})
+    joined = docs.withColumn("__row", _row()).join(lost, (F.col("__row") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
+    changed = F.when(F.col("__places").isNull(), F.col("text")).otherwise(F.pandas_udf(_without, "string")("text", "__places"))
+    counts = {"n_lines": F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__places"), F.lit(0)).cast("long")}
+    found = joined.withColumns({"__text": changed, **counts}).withColumn("text", F.col("__text"))
+    names = [*docs.columns, *(c for c in ("n_lines", "n_removed") if c not in docs.columns)]
+    return found.withColumns({c: F.greatest(c, F.lit(0).cast("long")) for c in counts}).select(names)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from weftline.session import written
+from weftline.session import forget, written
 
 GROWTH = 4
 FIRST = 16
@@ -39,10 +39,14 @@ def leader_links(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], reac
     links = keys.select(F.col("id").cast(kind).alias("a"), F.col("id").cast(kind).alias("b")).filter(F.lit(False))
     rounds: list[tuple[DataFrame, DataFrame]] = []
     while True:
-        place = F.xxhash64("key", "id", F.lit(turn))
+        # The order of leaders is one for all buckets: like items that share many buckets are held against the same leader.
+        place = F.xxhash64("id", F.lit(turn))
         sizes = members.groupBy("key").agg(F.min(F.struct(place.alias("place"), "id"))["id"].alias("first"), F.count("*").alias("n")).filter("n > 1")
-        share = F.pmod(place, F.lit(1 << 20)) * F.col("n") < F.lit(GROWTH**turn << 20)
-        leaders = members.join(sizes, "key").filter((F.col("id") == F.col("first")) | (F.lit(turn > 0) & share)).select("key", F.col("id").alias("leader"))
+        if turn:
+            share = F.pmod(place, F.lit(1 << 20)) * F.col("n") < F.lit(GROWTH**turn << 20)
+            leaders = members.join(sizes, "key").filter((F.col("id") == F.col("first")) | share).select("key", F.col("id").alias("leader"))
+        else:
+            leaders = sizes.select("key", F.col("first").alias("leader"))
         leaders = written(leaders, "leaders")
         if leaders.isEmpty():
             break
@@ -54,8 +58,11 @@ def leader_links(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], reac
         close = written(met.join(near, ["a", "b"]).select("key", "id", leader.alias("leader"), "linked", "distance"), "close")
         rounds.append((leaders, close))
         done = close.filter("linked").select("key", "id").unionByName(leaders.select("key", F.col("leader").alias("id")))
-        members = written(members.join(done, ["key", "id"], "left_anti"), "members")
-        turn += 1
+        left = written(members.join(done, ["key", "id"], "left_anti"), "members")
+        forget(met)
+        if turn:
+            forget(members)
+        members, turn = left, turn + 1
     links = written(links.distinct(), "links")
     roots = components(links)
     # First about FIRST of those like a leader, which join groups with many links; then all others.
@@ -107,7 +114,10 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(roots.select(F.col("id").alias("other"), F.col("root").alias("near")), "other").groupBy("id").agg(F.min("near").alias("near"))
         lower = written(roots.join(near, "id").select("id", F.least("root", "near").alias("next"), F.col("root").alias("was")), "lower")
         up = lower.select(F.col("id").alias("next"), F.col("next").alias("top"))
-        roots = written(lower.join(up, "next").select("id", F.col("top").alias("root"), "was"), "roots")
-        if roots.filter(F.col("root") != F.col("was")).isEmpty():
-            return roots.select("id", "root")
-        roots = roots.drop("was")
+        after = written(lower.join(up, "next").select("id", F.col("top").alias("root"), "was"), "roots")
+        forget(roots, lower)
+        if after.filter(F.col("root") != F.col("was")).isEmpty():
+            forget(both)
+            return after.select("id", "root")
+        roots = after.select("id", "root")
+        roots._weftline_folder = after._weftline_folder

@@ -1,8 +1,8 @@
 """Near-duplicate documents: consistent weighted sampling over TF-IDF shingles of five words.
 
-Equal texts are collapsed to the one of least doc_id. Document frequencies of shingles count all
-documents; only those of two texts or more are joined back, as a shingle of one text has that
-text's number of copies. Each text then draws BANDS * ROWS samples by improved consistent weighted sampling
+Equal texts are collapsed to the one of least doc_id and packed into units of a few MB. Document
+frequencies of shingles count all documents: each unit sends its different shingles to buckets by
+hash, packed, and gets back how many documents elsewhere hold each. Each text then draws BANDS * ROWS samples by improved consistent weighted sampling
 (two texts draw the same with the probability of their weighted Jaccard similarity); bands of
 equal samples give candidates, each checked by the exact weighted Jaccard similarity, and
 union-find makes groups of the links.
@@ -10,19 +10,24 @@ union-find makes groups of the links.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.llm import utf8
 from weftline.llm.links import SLACK, leader_links
-from weftline.session import table, written
+from weftline.session import forget, table, written
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 4
+#: Text of a unit that sends its shingles together, and text for each bucket of shingles.
+UNIT_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 
 
 def shingle_counts(part: utf8.Texts, size: int = WORDS):
@@ -66,49 +71,107 @@ def samples(shingles: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _frequent(texts: DataFrame) -> DataFrame:
-    """(id, shingles, counts) lists of the shingles that two texts or more hold; `copies` counts each text's documents.
+def _units(texts: DataFrame) -> DataFrame:
+    """Texts packed into rows of about UNIT_BYTES: unit (the first text's id), ids, copies and texts."""
 
-    The rows (shingle, id) are dealt by shingle once, for the sums and for the join back alike. A
-    shingle that many texts share is only summed and streamed there, never gathered.
-    """
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def flush():
+            ids, copies, own = (pa.concat_arrays([x.column(c) for x in held]) for c in ("id", "copies", "text"))
+            ends = pa.array([0, len(ids)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (ids, copies, own)]
+            return pa.RecordBatch.from_arrays([ids.slice(0, 1), *lists], names=["unit", "ids", "copies", "texts"])
 
-    def list_all(batches):
+        size = 0
         for batch in batches:
-            ids, copies = batch.column("id").to_numpy(), batch.column("copies").to_numpy()
             for part in utf8.slices(batch.column("text")):
-                found = [(s, np.full(len(s), part.first + i)) for i, s, _ in shingle_counts(part)]
-                if found:
-                    s, row = (np.concatenate(x) for x in zip(*found))
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(ids[row]), pa.array(copies[row])], names=["shingle", "id", "copies"])
+                held.append(batch.slice(part.first, len(part)))
+                size += len(part.data)
+                if size >= UNIT_BYTES:
+                    yield flush()
+                    held.clear()
+                    size = 0
+        if held:
+            yield flush()
+
+    return texts.select("id", "copies", "text").mapInArrow(run, "unit bigint, ids array<bigint>, copies array<bigint>, texts array<string>")
+
+
+def _unit_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of a unit: distinct hashes of each text, one text after another, and each text's number and times."""
+    found = [(s, np.full(len(s), part.first + i), n) for part in utf8.slices(texts) for i, s, n in shingle_counts(part)]
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+
 
-    listed = texts.select("id", "text", "copies").mapInArrow(list_all, "shingle bigint, id bigint, copies bigint").filter("copies is not null and shingle is not null").repartition("shingle")
-    # Both readers take the same columns and filters under the same ids, so that Spark makes the shuffle once.
-    often = listed.groupBy(F.col("shingle").alias("same")).agg(F.sum("copies").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most").select("same", "n")
-    held = listed.join(often, F.col("shingle") == F.col("same")).filter("n > copies")
-    return held.groupBy("id").agg(F.collect_list(F.struct("shingle", "n")).alias("often")).select("id", F.col("often.shingle").alias("shingles"), F.col("often.n").alias("counts"))
+def _expand(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64)
 
 
-def _aligned(texts: DataFrame) -> DataFrame:
-    """(id, text, df): the document frequency of each distinct shingle, in the order of shingle_counts.
+def _elsewhere(units: DataFrame, buckets: int) -> DataFrame:
+    """unit, bucket and blob: how many documents outside the unit hold each shingle of it, in order of the hash.
 
-    A shingle that is not among the text's `shingles` is in the text's own copies only.
+    A unit sends each of its shingles once, with the number of its documents, to the bucket of its
+    hash; the buckets add up and answer. So a shingle that a third of the corpus holds reaches its
+    bucket once per unit, and a bucket's size follows from the number of buckets.
     """
 
-    def run(batches):
+    def send(batches):
         for batch in batches:
-            often, counts, copies = batch.column("shingles"), batch.column("counts"), batch.column("copies").to_numpy()
-            df = [None] * batch.num_rows
-            for part in utf8.slices(batch.column("text")):
-                for i, s, _ in shingle_counts(part):
-                    row = part.first + i
-                    df[row] = np.full(len(s), copies[row])
-                    if often[row].is_valid:
-                        known = often[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                        df[row][np.searchsorted(s, known)] = counts[row].values.to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(df, pa.list_(pa.int64()))], names=["id", "text", "df"])
+            for unit, copies, texts in zip(batch.column("unit"), batch.column("copies"), batch.column("texts")):
+                shingles, text, _ = _unit_shingles(texts.values)
+                unique, place = np.unique(shingles, return_inverse=True)
+                held = np.bincount(place, copies.values.to_numpy()[text], len(unique)).astype(np.int64)
+                edges = np.searchsorted((unique >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+                rows = np.flatnonzero(np.diff(edges))
+                blobs = [unique[edges[k] : edges[k + 1]].tobytes() for k in rows]
+                counts = [_squeeze(held[edges[k] : edges[k + 1]]) for k in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([unit.as_py()] * len(rows), pa.int64()), pa.array(blobs, pa.binary()), pa.array(counts, pa.binary())], names=["bucket", "unit", "shingles", "held"])
+
+    def add(table: pa.Table) -> pa.Table:
+        shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        held = [_expand(x) for x in table.column("held").to_pylist()]
+        unique, place = np.unique(np.concatenate(shingles), return_inverse=True)
+        others = np.bincount(place, np.concatenate(held), len(unique)).astype(np.int64)[place] - np.concatenate(held)
+        ends = np.cumsum([len(x) for x in shingles])
+        blobs = [_squeeze(x) for x in np.split(others, ends[:-1])]
+        return pa.table([table.column("unit"), table.column("bucket"), pa.array(blobs, pa.binary())], names=["unit", "bucket", "blob"])
+
+    sent = units.mapInArrow(send, "bucket bigint, unit bigint, shingles binary, held binary")
+    return sent.groupBy("bucket").applyInArrow(add, "unit bigint, bucket bigint, blob binary")
+
+
+def _drawn(units: DataFrame, n_docs: int, bands: int, rows: int) -> DataFrame:
+    """(id, text, df, keys): document frequencies in the order of shingle_counts, and the band keys of the samples."""
 
-    return texts.mapInArrow(run, "id bigint, text string, df array<bigint>")
+    def run(batches):
+        for batch in batches:
+            for copies, texts, ids, answers in zip(batch.column("copies"), batch.column("texts"), batch.column("ids"), batch.column("answers")):
+                shingles, text, times = _unit_shingles(texts.values)
+                unique, place = np.unique(shingles, return_inverse=True)
+                copies = copies.values.to_numpy()
+                others = np.concatenate([_expand(x["blob"].as_py()) for x in sorted(answers, key=lambda x: x["bucket"].as_py())]) if answers.is_valid else np.zeros(0, np.int64)
+                df = (others + np.bincount(place, copies[text], len(unique)).astype(np.int64))[place]
+                ends = np.searchsorted(text, np.arange(len(copies) + 1))
+                weights = times * (1 + np.log((1 + n_docs) / (1 + df)))
+                keys = np.zeros((len(copies), bands), np.int64)
+                for i in range(len(copies)):
+                    own = slice(ends[i], ends[i + 1])
+                    drawn = samples(shingles[own], weights[own], bands * rows).reshape(bands, rows)
+                    key = np.arange(bands, dtype=np.uint64)
+                    for j in range(rows):
+                        key = utf8.mix(key * np.uint64(utf8.BASE) + drawn[:, j])
+                    keys[i] = key.view(np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(x, pa.int32()), pa.array(v)) for x, v in ((ends, df), (np.arange(0, keys.size + 1, bands), keys.ravel()))]
+                yield pa.RecordBatch.from_arrays([ids.values, texts.values, *lists], names=["id", "text", "df", "keys"])
+
+    return units.mapInArrow(run, "id bigint, text string, df array<bigint>, keys array<bigint>")
 
 
 def _weights(texts: pa.Array, df: pa.Array, n_docs: int):
@@ -119,23 +182,6 @@ def _weights(texts: pa.Array, df: pa.Array, n_docs: int):
             yield row, s, times * (1 + np.log((1 + n_docs) / (1 + df[row].values.to_numpy(zero_copy_only=False))))
 
 
-def _keys(texts: DataFrame, n_docs: int, bands: int, rows: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            ids, found, keys = batch.column("id").to_numpy(), [], []
-            for row, s, w in _weights(batch.column("text"), batch.column("df"), n_docs):
-                drawn = samples(s, w, bands * rows).reshape(bands, rows)
-                key = np.arange(bands, dtype=np.uint64)
-                for j in range(rows):
-                    key = utf8.mix(key * np.uint64(utf8.BASE) + drawn[:, j])
-                found.append(np.full(bands, ids[row]))
-                keys.append(key.view(np.int64))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(found))], names=["key", "id"])
-
-    return texts.mapInArrow(run, "key bigint, id bigint")
-
-
 def _checked(texts: DataFrame, n_docs: int, similarity: float):
     """The check for leader_links: exact weighted Jaccard similarity, whose complement is a metric."""
 
@@ -161,39 +207,41 @@ def _checked(texts: DataFrame, n_docs: int, similarity: float):
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id, group_id, n_links and kept, one row per row of docs (doc_id long, text).
+    """doc_id, class_id, group_id and kept, one row per row of docs (doc_id long, text; other columns are not used).
 
-    class_id is the least doc_id of the same text; group_id the least of the group of linked
-    classes; n_links the links found of the document's class (members of a class add none); kept
-    is true for the group's least doc_id. Texts without words and null texts are in no group and
-    are kept, as are rows without a doc_id. Rows that repeat a doc_id and text are both kept or not.
+    class_id is the least doc_id of the same text, group_id the least of the classes that links
+    join; kept is true for the group's least doc_id. Texts without words and null texts are in no
+    group and are kept, as are rows without a doc_id. Rows that repeat a doc_id and text are both
+    kept or not; a doc_id with several texts counts once for each, and each row is in the group of
+    its own text. All shingles of a text count, however long it is. An empty table gives an empty table.
     """
-    spark = docs.sparkSession
     all_rows = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"))
     worded = all_rows.filter(F.col("doc_id").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     classes = written(worded.groupBy("text_key").agg(F.min("doc_id").alias("class_id"), F.countDistinct("doc_id").alias("copies")), "classes")
-    n_docs = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     own = classes.select(F.col("class_id").alias("doc_id"), "text_key", "copies")
     texts = worded.join(own, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
     # A doc_id under two texts would stand for two classes: a class then goes by its text too.
-    texts = texts.select(F.col("doc_id").alias("class_id"), "text_key", F.xxhash64("doc_id", "text_key").alias("id"), "text", "copies")
-    texts = written(texts, "distinct")
-    names = texts.select("class_id", "text_key", "id")
-    full = written(_aligned(texts.join(_frequent(texts), "id", "left").select("id", "text", "copies", "shingles", "counts")), "texts")
-    links, roots = leader_links(_keys(full, n_docs, bands, rows), _checked(full, n_docs, similarity), 1 - similarity)
-    links = written(links, "links")
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    named = names.join(roots, "id", "left").join(degree, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    named = written(named, "named")
+    units = written(_units(texts.select(F.xxhash64("doc_id", "text_key").alias("id"), "text", "copies")), "units")
+    size = units.select(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)))).first()[0] or 0
+    answers = _elsewhere(units, max(1, math.ceil(size / BUCKET_BYTES))).groupBy("unit").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
+    answers = written(answers, "answers")
+    full = written(_drawn(units.join(answers, "unit"), total, bands, rows), "texts")
+    forget(units, answers)
+    banded = full.select("id", F.explode("keys").alias("key"))
+    shared = banded.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most").select("key")
+    members = written(banded.join(shared, "key", "left_semi").select("key", "id"), "members")
+    _, roots = leader_links(members, _checked(full, total, similarity), 1 - similarity)
+    named = classes.select("text_key", "class_id", F.xxhash64("class_id", "text_key").alias("id")).join(roots, "id", "left")
+    named = written(named.select("text_key", "class_id", F.coalesce("root", "id").alias("root")), "named")
     groups = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    known = named.join(groups, "root").select("text_key", "class_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = named.join(groups, "root").select("text_key", "class_id", "group_id")
     found = all_rows.drop("text").join(known, "text_key", "left")
     alone = F.col("doc_id").isNull() | F.col("group_id").isNull()
     return found.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"),
-        F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
         (alone | (F.col("doc_id") == F.col("group_id"))).alias("kept"),
     )
 
