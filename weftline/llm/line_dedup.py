@@ -30,6 +30,8 @@ BANDS, ROWS = 10, 4
 SIMILARITY = 0.8
 #: Different lines that a task remembers at a time.
 SEEN = 100_000
+#: Characters of lines that are hashed together.
+STRETCH = 1 << 16
 
 
 def normal(line: str) -> str:
@@ -40,24 +42,26 @@ def line_id(line: bytes) -> bytes:
     return hashlib.md5(line, usedforsecurity=False).digest()
 
 
-def _texts(lines: list[bytes]) -> utf8.Texts:
-    starts = np.zeros(len(lines) + 1, np.int64)
-    np.cumsum([len(x) for x in lines], out=starts[1:])
-    return utf8.Texts(np.frombuffer(b"".join(lines), np.uint8), starts, 0)
-
-
-def signatures(part: utf8.Texts, size: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The key of each band for each line of the slice, and whether the line has a shingle at all."""
-    n, slots = len(part), bands * rows
-    starts = np.append(np.flatnonzero((part.data & 0xC0) != 0x80), len(part.data))
-    line = np.repeat(np.arange(n), np.diff(np.searchsorted(starts, part.starts)))
-    least = np.full(n * slots, 2**64 - 1, np.uint64)
-    if len(line) >= size:
-        at = np.flatnonzero(line[: len(line) - size + 1] == line[size - 1 :])
-        hashes = utf8.range_hashes(utf8.byte_sums(part.data), starts[at], starts[at + size])
-        slot = (hashes >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)
-        np.minimum.at(least, line[at] * slots + slot.astype(np.int64), hashes)
-    least = least.reshape(n, slots)
+def signatures(lines: list[str], size: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each band for each line, and whether the line has a shingle at all."""
+    n, slots = len(lines), bands * rows
+    least = np.full((n, slots), 2**64 - 1, np.uint64)
+    first = 0
+    while first < n:  # some lines at a time, so that arrays stay small
+        last, total = first, 0
+        while last < n and (last == first or total + len(lines[last]) <= STRETCH):
+            total += len(lines[last])
+            last += 1
+        part = lines[first:last]
+        codes = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32)
+        line = np.repeat(np.arange(len(part)), [len(x) for x in part])
+        if len(codes) >= size:
+            hashes = utf8.grams(codes.astype(np.uint64), size)
+            place = (hashes >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)
+            place += line[: len(hashes)].astype(np.uint64) * np.uint64(slots)
+            inside = line[: len(hashes)] == line[size - 1 :]
+            np.minimum.at(least[first:last].reshape(-1), place[inside].astype(np.intp), hashes[inside])
+        first = last
     known = (least != 2**64 - 1).any(1)
     for _ in range(2):  # an empty class takes from the next, the last from the first
         for k in range(slots - 1, -1, -1):
@@ -83,20 +87,20 @@ def lines_of(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int
                 of, places, ids, new, texts = [], [], [], [], []
                 for i in range(len(part)):
                     for place, line in enumerate(part.raw(i).decode().split("\n")):
-                        data = normal(line).encode()
-                        if not data:
+                        line = normal(line)
+                        if not line:
                             continue
-                        name = line_id(data)
+                        name = line_id(line.encode())
                         if name not in seen:
                             seen.add(name)
                             new.append(len(ids))
-                            texts.append(data)
+                            texts.append(line)
                         of.append(part.first + i)
                         places.append(place)
                         ids.append(name)
                     if len(seen) > SEEN:
                         seen.clear()
-                keys, known = signatures(_texts(texts), size, bands, rows)
+                keys, known = signatures(texts, size, bands, rows)
                 length = np.zeros(len(ids) + 1, np.int32)
                 length[np.asarray(new, np.int64)[known] + 1] = bands
                 mask = np.ones(len(ids), bool)
@@ -130,15 +134,15 @@ def line_texts(docs: DataFrame) -> DataFrame:
                 numbers, ids, texts = [], [], []
                 for i in range(len(part)):
                     for line in part.raw(i).decode().split("\n"):
-                        data = normal(line).encode()
-                        if data and (name := line_id(data)) not in seen:
+                        line = normal(line)
+                        if line and (name := line_id(line.encode())) not in seen:
                             seen.add(name)
                             numbers.append(int.from_bytes(name[:8], "big", signed=True))
                             ids.append(name)
-                            texts.append(data)
+                            texts.append(line)
                     if len(seen) > SEEN:
                         seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())], names=["number", "id", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["number", "id", "line"])
 
     return docs.select("text").mapInArrow(run, "number bigint, id binary, line string")
 

@@ -43,31 +43,51 @@ def shingle_counts(part: utf8.Texts, size: int = WORDS):
             yield i, *np.unique(utf8.grams(own, min(size, len(own))), return_counts=True)
 
 
+#: Shingles whose samples are drawn together.
+BLOCK = 8192
+
+
 @lru_cache(1)
-def _quantiles() -> tuple[np.ndarray, np.ndarray]:
-    """Gamma(2, 1) at 65,536 equal steps of its distribution, and its logarithm."""
+def _quantiles() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gamma(2, 1) at 65,536 equal steps of its distribution, its inverse and its logarithm."""
     p = (np.arange(65536) + 0.5) / 65536
     low, high = np.zeros(65536), np.full(65536, 64.0)
     for _ in range(60):
         mid = (low + high) / 2
         below = 1 - np.exp(-mid) * (1 + mid) < p
         low, high = np.where(below, mid, low), np.where(below, high, mid)
-    return high, np.log(high)
+    return high.astype(np.float32), (1 / high).astype(np.float32), np.log(high).astype(np.float32)
 
 
 def samples(shingles: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-    """n consistent weighted samples (shingle and its level, hashed together)."""
-    gamma, log_gamma = _quantiles()
-    out = np.empty(n, np.uint64)
-    logs = np.log(weights)
-    for k in range(n):
-        seed = utf8.mix(shingles + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-        r = gamma[(seed & np.uint64(0xFFFF)).astype(np.int64)]
-        beta = ((seed >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.float64) / 65536
-        level = np.floor(logs / r + beta)
-        a = log_gamma[((seed >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64)] - r * (level - beta) - r
-        at = int(a.argmin())
-        out[k] = utf8.mix(shingles[at : at + 1] ^ utf8.mix(level[at : at + 1].astype(np.int64).view(np.uint64)))[0]
+    """n consistent weighted samples (shingle and its level, hashed together).
+
+    Sample k of a shingle draws r and c from Gamma(2, 1) and beta from 0..1 by its hash, takes the
+    level floor(log(weight) / r + beta), and the least of c / exp(r * (level - beta + 1)) wins.
+    """
+    gamma, inverse, log_gamma = _quantiles()
+    odd = (utf8.mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
+    low, out, rows = np.full(n, np.inf, np.float32), np.zeros(n, np.uint64), np.arange(n)
+    for first in range(0, len(shingles), BLOCK):
+        own = shingles[first : first + BLOCK]
+        x = own * odd
+        x ^= x >> np.uint64(29)
+        x *= utf8.MIX_A
+        draws = x.view(np.uint16).reshape(n, -1, 4)  # the lowest 16 bits are the least mixed and stay unused
+        beta = draws[:, :, 2] * np.float32(1 / 65536)
+        r = draws[:, :, 3].astype(np.intp)
+        level = np.log(weights[first : first + BLOCK]).astype(np.float32) * inverse.take(r, mode="clip")
+        level += beta
+        np.floor(level, out=level)
+        a = level - beta
+        a += 1
+        a *= gamma.take(r, mode="clip")
+        np.subtract(log_gamma.take(draws[:, :, 1], mode="clip"), a, out=a)
+        at = a.argmin(1)
+        least = a[rows, at]
+        better = least < low
+        low[better] = least[better]
+        out[better] = utf8.mix(own[at] ^ utf8.mix(level[rows, at].astype(np.int64).view(np.uint64)))[better]
     return out
 
 

@@ -125,7 +125,8 @@ def grams(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     size = max(0, len(hashes) - n + 1)
     out = np.full(size, np.uint64(seed))
     for i in range(n):
-        out = out * np.uint64(BASE) + hashes[i : i + size]
+        out *= np.uint64(BASE)
+        out += hashes[i : i + size]
     return mix(out)
 
 
