@@ -1,41 +1,58 @@
-"""Team selection on three people, of whom each covers one requirement."""
+"""Team selection against brute force over all combinations, on two sections and fractional coverage."""
+
+from itertools import combinations
 
 import pytest
 
 from weftline.operators.coverage import best_teams
 
-WEIGHTS = {0: 0.1, 1: 0.5, 2: 1.0}
+NEEDS = {"a.0": 0.7, "a.4": 0.25, "b.1": 1.3, "b.2": 0.4}
+# Persons 5 and 6 cover the same, so that teams tie.
+HELD = {
+    5: {"a.0": 0.5, "b.1": 0.35},
+    6: {"a.0": 0.5, "b.1": 0.35},
+    7: {"a.4": 0.9, "b.2": 0.45},
+    8: {"b.1": 0.8},
+    9: {"a.0": 0.15, "a.4": 0.3, "b.2": 1.0},
+    12: {},
+}
+OWN = {5: 0.9, 7: 0.4, 8: 0.2, 12: 1.0}
 
 
 @pytest.fixture(scope="module")
 def covered(spark):
-    rows = [("g", p, i, w, 1.0 if i == p - 1 else 0.0) for p in (1, 2, 3) for i, w in WEIGHTS.items()]
-    return spark.createDataFrame(rows, "goal string, person bigint, idx int, weight double, c double")
-
-
-@pytest.mark.parametrize(
-    "size, required, n, teams",
-    [
-        (2, [], 1, [[2, 3]]),
-        (2, [1], 1, [[1, 3]]),
-        (1, [1], 1, [[1]]),
-        (2, [1, 1], 1, [[1, 3]]),
-        (3, [2, 1], 1, [[2, 1, 3]]),
-        (2, [1, 2], 1, [[1, 2]]),
-        (0, [], 1, [[]]),
-        (2, [], 2, [[2, 3], [1, 3]]),
-        (2, [1], 2, [[1, 3], [1, 2]]),
-    ],
-)
-def test_teams(covered, size, required, n, teams):
-    found = sorted(best_teams(covered, size, n, required).collect(), key=lambda r: r["rank"])
-    assert [r["team"] for r in found] == teams
-
-
-def test_scores(covered):
-    assert [r["score"] for r in best_teams(covered, 2, 2).orderBy("rank").collect()] == [1.5, 1.1]
-
-
-def test_too_small(covered):
+    rows = [("goal", p, i, w, HELD[p].get(i, 0.0)) for p in HELD for i, w in NEEDS.items()]
+    return spark.createDataFrame(rows, "goal string, person bigint, idx string, weight double, c double")
+
+
+def brute(size, required=(), blend=False):
+    first = list(dict.fromkeys(required))
+    size = min(size, len(HELD))
+    found = []
+    for rest in combinations(sorted(set(HELD) - set(first)), size - len(first)):
+        team = first + list(rest)
+        score = sum(w * max([HELD[p].get(i, 0.0) for p in team], default=0.0) for i, w in NEEDS.items())
+        if blend:
+            score = 0.7 * score / sum(NEEDS.values()) + 0.3 * sum(OWN.get(p, 0.0) for p in team) / max(1, len(team))
+        found.append((-round(score, 6), team))
+    return [(team, -score) for score, team in sorted(found)]
+
+
+@pytest.mark.parametrize("size, required", [(1, []), (2, []), (3, [9]), (3, [12, 5]), (2, [7, 7]), (4, [8, 12, 6]), (9, []), (0, [])])
+def test_all_teams(covered, size, required):
+    found = [(r["team"], r["score"]) for r in best_teams(covered, size, 100, required).orderBy("rank").collect()]
+    want = brute(size, required)
+    assert found == [(t, pytest.approx(s, abs=1e-6)) for t, s in want]
+
+
+def test_blend(spark, covered):
+    scores = spark.createDataFrame([("goal", p, s) for p, s in OWN.items()], "goal string, person bigint, score double")
+    found = [(r["team"], r["score"]) for r in best_teams(covered, 2, 100, [9], scores).orderBy("rank").collect()]
+    assert sorted(found) == [(t, pytest.approx(s, abs=1e-6)) for t, s in sorted(brute(2, [9], True))]
+
+
+def test_wishes_that_cannot_be_met(covered):
     with pytest.raises(ValueError):
-        best_teams(covered, 1, 1, [1, 2])
+        best_teams(covered, 1, 1, [5, 7])
+    with pytest.raises(Exception, match="required person is missing"):
+        best_teams(covered, 2, 1, [404]).collect()

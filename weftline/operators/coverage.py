@@ -1,33 +1,93 @@
-"""How far people cover weighted requirements, and teams that cover the most."""
+"""How far people cover weighted requirements, match rows, and teams that cover the most."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 THRESHOLD = 0.30
 #: Sums in this type do not depend on the order of rows.
 EXACT = "decimal(28,9)"
+#: Shares of coverage and of the members' mean score in a blended team score.
+BLEND = (0.7, 0.3)
 
 
-def coverage(pairs: DataFrame, requirements: DataFrame, people: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _unit(x: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+
+
+def pair_scores(requirements: DataFrame, specializations: DataFrame, candidates: DataFrame, score, sections: list[str]) -> DataFrame:
+    """(goal, person, sections, idx, spec_idx, score) for all requirements and specializations of candidate pairs.
+
+    requirements: (goal, sections, idx, text, weight); specializations: (person, sections, spec_idx, spec);
+    candidates: (goal, person). `score` takes different texts (text, spec) and adds `score`: each
+    pair of texts is scored once, however many candidates share it. Blank texts score 0 or drop out.
+    """
+    needs = requirements.filter(F.trim("text") != "").select("goal", *sections, "idx", F.trim("text").alias("text"))
+    specs = specializations.filter(F.trim("spec") != "").select("person", *sections, "spec_idx", F.trim("spec").alias("spec"))
+    uses = candidates.select("goal", "person").join(needs, "goal").join(specs, ["person", *sections])
+    known = score(uses.select("text", "spec").distinct()).select("text", "spec", _unit(F.col("score")).alias("score"))
+    return uses.join(known, ["text", "spec"]).select("goal", "person", *sections, "idx", "spec_idx", "score")
+
+
+def coverage(pairs: DataFrame, requirements: DataFrame, people: DataFrame, threshold: float = THRESHOLD, sections: list[str] | None = None) -> DataFrame:
     """(goal, person, idx, weight, c, covered): mean pair score per requirement, 0 where there is no pair.
 
-    pairs: (goal, person, idx, score); requirements: (goal, idx, weight); people: (goal, person).
+    pairs: (goal, person, idx, score); requirements: (goal, idx, weight); people: (goal, person); all
+    but people with `sections`, if there are any. The threshold holds before the mean is rounded.
     """
-    means = pairs.groupBy("goal", "person", "idx").agg(F.round(F.avg("score"), 6).alias("c"))
-    wanted = people.join(requirements, "goal")
-    full = wanted.join(means, ["goal", "person", "idx"], "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
-    return full.withColumn("covered", F.col("c") >= threshold)
+    parts = sections or []
+    means = pairs.groupBy("goal", "person", *parts, "idx").agg(F.avg("score").alias("c"))
+    full = people.join(requirements, "goal").join(means, ["goal", "person", *parts, "idx"], "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
+    return full.withColumns({"covered": F.round("c", 9) >= max(0.0, min(1.0, threshold)), "c": F.round("c", 6)})
 
 
-def match_scores(pairs: DataFrame, requirements: DataFrame) -> DataFrame:
+def match_scores(pairs: DataFrame, requirements: DataFrame, sections: list[str] | None = None) -> DataFrame:
     """(goal, person, score): sum of weight * score over sum of weight, over pairs of positive weight."""
-    weighed = pairs.join(requirements, ["goal", "idx"]).filter("weight > 0")
+    weighed = pairs.join(requirements, ["goal", *(sections or []), "idx"]).filter("weight > 0")
     total = weighed.groupBy("goal", "person").agg(F.sum((F.col("weight") * F.col("score")).cast(EXACT)).alias("ws"), F.sum(F.col("weight").cast(EXACT)).alias("w"))
     share = F.col("ws").cast("double") / F.col("w").cast("double")
-    return total.select("goal", "person", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)).cast("decimal(28,12)"), 6).cast("double").alias("score"))
+    return total.select("goal", "person", F.round(_unit(share).cast("decimal(28,12)"), 6).cast("double").alias("score"))
+
+
+def match_rows(candidates: DataFrame, pairs: DataFrame, requirements: DataFrame, threshold: float = THRESHOLD, sections: list[str] | None = None) -> DataFrame:
+    """(goal, person, domain_score, llm_score, covered, missing) of candidates (goal, person, domain_score).
+
+    llm_score is the weighted pair mean times the domain score, each within 0 and 1; the domain
+    score is kept as it is. covered maps idx (with its sections before it, by dots) to the mean
+    score, missing lists the others.
+    """
+    parts = sections or []
+    name = F.concat_ws(".", *parts, F.col("idx").cast("string"))
+    held = coverage(pairs, requirements, candidates.select("goal", "person").distinct(), threshold, parts)
+    listed = held.groupBy("goal", "person").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("covered"), F.struct(name.alias("name"), "c"))))).alias("covered"),
+        F.sort_array(F.collect_list(F.when(~F.col("covered"), name))).alias("missing"),
+    )
+    found = candidates.join(match_scores(pairs, requirements, parts), ["goal", "person"], "left").join(listed, ["goal", "person"], "left")
+    final = F.round(_unit(F.coalesce("score", F.lit(0.0))) * _unit(F.col("domain_score")), 6)
+    return found.select("goal", "person", "domain_score", final.alias("llm_score"), "covered", "missing")
+
+
+def evidence(pairs: DataFrame, rows: DataFrame, limit: int = 200) -> DataFrame:
+    """Flat evidence: pairs once for each (person, section, requirement, specialization), best pair first, then best requirement, at most `limit` a goal."""
+    best = pairs.groupBy("goal", "person", "section", "idx", "spec_idx").agg(F.max("score").alias("score"))
+    with_need = best.join(rows.select("goal", "person", "section", "idx", F.col("c").alias("need_score")), ["goal", "person", "section", "idx"])
+    order = Window.partitionBy("goal").orderBy(F.desc("score"), F.desc("need_score"), "person", "section", "idx", "spec_idx")
+    return with_need.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+
+
+def gaps(held: DataFrame, most: float = 0.05, limit: int = 5) -> DataFrame:
+    """(goal, text, weight, rank): the heaviest requirements that a team covers at most by `most`, each text once."""
+    low = held.filter(F.col("c") <= most).groupBy("goal", F.lower(F.trim("text")).alias("key")).agg(F.max(F.struct("weight", F.trim("text").alias("text"))).alias("x"))
+    order = Window.partitionBy("goal").orderBy(F.desc("x.weight"), "key")
+    return low.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("goal", "x.text", "x.weight", "rank")
+
+
+def member_coverage(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The greatest value for each key: what a member covers over all rows of a match."""
+    return rows.groupBy(*keys).agg(F.max(value).alias(value))
 
 
 def pool(scores: DataFrame, size: int) -> DataFrame:
@@ -36,35 +96,57 @@ def pool(scores: DataFrame, size: int) -> DataFrame:
     return scores.withColumn("__rank", rank).filter(F.col("__rank") <= size).drop("__rank")
 
 
-def best_teams(covered: DataFrame, size: int, n: int = 1, required: list[int] | None = None) -> DataFrame:
+def best_teams(covered: DataFrame, size: int, n: int = 1, required: list[int] | None = None, scores: DataFrame | None = None) -> DataFrame:
     """(goal, team, score, rank): the n teams of `size` people whose best coverage per requirement weighs most.
 
-    covered: (goal, person, idx, weight, c). Required people come first, in their given order;
-    ties go by the team's list. Each goal's people should be a bounded pool (see `pool`).
+    covered: (goal, person, idx, weight, c), sections being part of idx. Required people come first,
+    in their given order; ties go by the team's list. A goal without one of them makes the query
+    fail, as a wish that cannot be met. With `scores` (goal, person, score) a team's score is 0.7 of
+    its share of the greatest possible coverage and 0.3 of its members' mean score (0 for unknown
+    ones). A team of more people than there are is one of all. All teams are compared: each goal's
+    people should be a bounded pool (see `pool`).
     """
     first = list(dict.fromkeys(required or []))
     if size < len(first):
         raise ValueError("size must be at least the number of required people")
     vectors = covered.groupBy("goal", "person").agg(F.sort_array(F.collect_list(F.struct("idx", "weight", "c"))).alias("v"))
+    if scores is not None:
+        vectors = vectors.join(scores.select("goal", "person", F.col("score").alias("own")), ["goal", "person"], "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+    else:
+        vectors = vectors.withColumn("own", F.lit(0.0))
     fixed = F.array(*map(F.lit, first)).cast("array<bigint>") if first else F.array().cast("array<bigint>")
-    known = vectors.filter(F.col("person").isin(first)).groupBy("goal").agg(F.count("*").alias("n"), F.collect_list("v").alias("vs")) if first else None
-    zero = vectors.groupBy("goal").agg(F.transform(F.first("v"), lambda x: F.struct(x["idx"], x["weight"], F.lit(0.0).alias("c"))).alias("best"))
-    teams = zero.select("goal", fixed.alias("team"), F.lit(None).cast("bigint").alias("last"), "best")
+    here = F.sort_array(F.collect_list(F.when(F.col("person").isin(first), F.struct("person", "v", "own")))) if first else F.array()
+    groups = vectors.groupBy("goal").agg(F.transform(F.first("v"), lambda x: F.struct(x["idx"], x["weight"], F.lit(0.0).alias("c"))).alias("best"), F.count("*").alias("n_people"), here.alias("fixed"))
+    if first:
+        lacks = F.raise_error(F.concat(F.lit("a required person is missing for "), F.col("goal").cast("string"))).cast("boolean")
+        groups = groups.filter(F.when(F.size("fixed") < len(first), lacks).otherwise(F.lit(True)))
 
     def top(a, b):
         return F.zip_with(a, b, lambda x, y: F.struct(x["idx"].alias("idx"), x["weight"].alias("weight"), F.greatest(x["c"], y["c"]).alias("c")))
 
-    if known is not None:
-        start = teams.join(known.filter(F.col("n") == len(first)), "goal")
-        teams = start.select("goal", "team", "last", F.aggregate("vs", F.col("best"), top).alias("best"))
+    start = F.aggregate("fixed", F.col("best"), lambda best, x: top(best, x["v"])) if first else F.col("best")
+    own = F.aggregate("fixed", F.lit(0.0), lambda s, x: s + x["own"]) if first else F.lit(0.0)
+    teams = groups.select("goal", fixed.alias("team"), F.lit(None).cast("bigint").alias("last"), start.alias("best"), own.alias("own"), "n_people")
     rest = vectors.filter(~F.col("person").isin(first)) if first else vectors
+    rest = rest.withColumnRenamed("own", "more")
 
     def grown(now: DataFrame, _: int) -> DataFrame:
-        met = now.join(rest, "goal").filter(F.col("last").isNull() | (F.col("person") > F.col("last")))
-        return met.select("goal", F.concat("team", F.array("person")).alias("team"), F.col("person").alias("last"), top(F.col("best"), F.col("v")).alias("best"))
+        full = now.filter(F.size("team") >= F.col("n_people"))
+        met = now.filter(F.size("team") < F.col("n_people")).join(rest, "goal").filter(F.col("last").isNull() | (F.col("person") > F.col("last")))
+        longer = met.select("goal", F.concat("team", F.array("person")).alias("team"), F.col("person").alias("last"), top(F.col("best"), F.col("v")).alias("best"), (F.col("own") + F.col("more")).alias("own"), "n_people")
+        return longer.unionByName(full)
 
     teams = reduce(grown, range(size - len(first)), teams)
-    total = F.aggregate("best", F.lit(0).cast(EXACT), lambda s, x: (s + (x["weight"] * x["c"]).cast(EXACT)).cast(EXACT))
-    score = F.round(total.cast("double"), 6)
-    ranked = teams.select("goal", "team", score.alias("score"))
+    total = lambda value: F.aggregate("best", F.lit(0).cast(EXACT), lambda s, x: (s + (x["weight"] * value(x)).cast(EXACT)).cast(EXACT)).cast("double")
+    score = total(lambda x: x["c"])
+    if scores is not None:
+        most = F.coalesce(F.nullif(total(lambda x: F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
+        score = BLEND[0] * score / most + BLEND[1] * F.col("own") / F.greatest(F.size("team"), F.lit(1))
+    ranked = teams.select("goal", "team", F.round(score, 6).alias("score"))
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("goal").orderBy(F.desc("score"), "team"))).filter(F.col("rank") <= n)
+
+
+def zero_filled(held: DataFrame, requirements: DataFrame, people: DataFrame) -> DataFrame:
+    """(goal, person, idx, weight, c) for all people: 0 for whoever has no row for a requirement."""
+    full = people.join(requirements, "goal")
+    return full.join(held.select("goal", "person", "idx", "c"), ["goal", "person", "idx"], "left").withColumn("c", F.coalesce("c", F.lit(0.0)))

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Vectors of the query side that one task holds; more queries are taken in blocks.
+BLOCK = 2048
+#: Bytes up to which the query side is sent to all tasks at once.
+SMALL_BYTES = 8 << 20
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -17,24 +24,71 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector at length 1 (a zero vector stays), so that dot() of two is their cosine."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm <= 1e-12, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / norm))
+    scaled = lambda x: F.transform(x["v"], lambda y: F.when(x["n"] <= 1e-12, y.cast("double")).otherwise(y.cast("double") / x["n"]))
+    return F.get(F.transform(F.array(F.struct(v.alias("v"), F.sqrt(dot(v, v)).alias("n"))), scaled), F.lit(0))
+
+
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a list column as unit vectors (zeros for null), and each row's dimension (-1 for null)."""
+    size = np.array([len(x) if x.is_valid else -1 for x in column], np.int64)
+    out = np.zeros((len(column), max(1, size.max(initial=1))))
+    for i, x in enumerate(column):
+        if size[i] > 0:
+            out[i, : size[i]] = x.values.to_numpy(zero_copy_only=False)
+    norm = np.sqrt((out * out).sum(1))
+    return out / np.where(norm <= 1e-12, 1, norm)[:, None], size
+
+
+def _same(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Cosines of all rows of a with all of b; -inf where a side is missing or the dimensions differ."""
+    width = min(a[0].shape[1], b[0].shape[1])
+    scores = a[0][:, :width] @ b[0][:, :width].T
+    return np.where((a[1][:, None] == b[1]) & (a[1][:, None] >= 0), scores, -np.inf)
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int, floor: float) -> DataFrame:
-    """(query_id, item_id, score, rank): for each query the k best items over the floor.
+def top_k(queries: DataFrame, items: DataFrame, k: int, floor: float, skip_equal_ids: bool = False) -> DataFrame:
+    """(query_id, item_id, score, rank): for each query the k best items over the floor; ties go by item_id.
 
     Both sides are (id, first, second) with two nullable vectors; the score is the greatest of the
-    four cosines, 0 where all are null. Vectors are brought to length 1 before they meet. Queries
-    are a stated set (a person, a list of people); the items are read once for all of them.
+    four cosines, 0 where all are null. Queries are a stated set: they are packed into blocks, the
+    blocks meet every batch of items as a matrix product, and each task passes on its k best for
+    each query, so that the shuffle holds k rows for a query and batch of items. Ids of the two sides
+    are apart, unless `skip_equal_ids` says that both are one table and a row is no match of itself.
     """
-    q = queries.select(F.col("id").alias("query_id"), unit(F.col("first")).alias("qa"), unit(F.col("second")).alias("qb"))
-    t = items.select(F.col("id").alias("item_id"), unit(F.col("first")).alias("ia"), unit(F.col("second")).alias("ib"))
+    found = pa.schema([("query_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64())])
+    packed = queries.select("id", "first", "second").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // BLOCK)))))
+    blocks = packed.groupBy("block").agg(F.collect_list(F.struct("id", "first", "second")).alias("queries"))
+    chunk = items.select("id", "first", "second").groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-items.count() // BLOCK)))).alias("chunk")).agg(F.collect_list(F.struct("id", "first", "second")).alias("items"))
 
-    def same(x: str, y: str) -> Column:
-        return F.when(F.size(x) == F.size(y), dot(F.col(x), F.col(y)))
+    def search(batches):
+        for batch in batches:
+            for asked, given in zip(batch.column("queries"), batch.column("items")):
+                asked, given = asked.values, given.values
+                ids, names = asked.field("id").to_numpy(), given.field("id").to_numpy()
+                left, right = ([_matrix(x.field(c)) for c in ("first", "second")] for x in (asked, given))
+                best = np.full((len(ids), len(names)), -np.inf)
+                for a in left:
+                    for b in right:
+                        np.maximum(best, _same(a, b), out=best)
+                best = np.round(np.where(np.isfinite(best), best, 0.0), 6)
+                if skip_equal_ids:
+                    best[ids[:, None] == names] = -np.inf
+                order = np.lexsort((np.broadcast_to(names, best.shape), -best), axis=1)[:, :k]
+                scores = np.take_along_axis(best, order, 1)
+                row, column = np.nonzero(scores >= floor)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(names[order[row, column]]), pa.array(scores[row, column])], schema=found)
 
-    score = F.round(F.coalesce(F.greatest(same("qa", "ia"), same("qb", "ib"), same("qa", "ib"), same("qb", "ia")), F.lit(0.0)), 6)
-    met = q.crossJoin(t).filter("query_id <> item_id").select("query_id", "item_id", score.alias("score")).filter(F.col("score") >= floor)
+    met = chunk.crossJoin(blocks).select("queries", "items").mapInArrow(search, "query_id bigint, item_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def pairs_over(df: DataFrame, id_column: str, vector: str, threshold: float, group: list[str]) -> DataFrame:
+    """(group, a, b, similarity) with a < b: pairs of one group whose cosine reaches the threshold.
+
+    Groups are bounded lists, such as one owner's phrases; they meet in a self join by group.
+    """
+    sides = df.select(*group, F.col(id_column).alias("a"), unit(F.col(vector)).alias("x"))
+    other = sides.withColumnsRenamed({"a": "b", "x": "y"})
+    met = sides.join(other, group).filter((F.col("a") < F.col("b")) & (F.size("x") == F.size("y")))
+    return met.select(*group, "a", "b", F.round(dot(F.col("x"), F.col("y")), 6).alias("similarity")).filter(F.col("similarity") >= threshold)

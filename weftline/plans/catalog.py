@@ -10,21 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions import text as T
 from weftline.operators import coverage as C, keywords as K, tables as R, vectors as V
+from weftline.plans import changes, files, matching, searches, texts  # noqa: F401  they register their queries
+from weftline.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from weftline.session import table
 from weftline.streaming.drain import drain
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
 
 _HALVES = "SELECT vec_id, embedding[1:len(embedding)//2]::DOUBLE[] AS a, embedding[len(embedding)//2+1:]::DOUBLE[] AS b FROM embeddings"
 
@@ -34,7 +24,7 @@ FROM v q, v t WHERE q.vec_id % 50 = 0 AND q.vec_id <> t.vec_id), r AS (SELECT *,
 def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = (F.size("embedding") / 2).cast("int")
     items = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", F.lit(1), half).alias("first"), F.slice("embedding", half + 1, F.size("embedding")).alias("second"))
-    return V.top_k(items.filter("id % 50 = 0"), items, 5, 0.30)
+    return V.top_k(items.filter("id % 50 = 0"), items, 5, 0.30, skip_equal_ids=True)
 
 
 @query("SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -81,12 +71,7 @@ def best_teams(spark, sf_dir):
 
 @query("SELECT l_suppkey AS person, l_linenumber AS idx, max(l_discount) AS c FROM lineitem GROUP BY ALL")
 def member_coverage(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("person"), F.col("l_linenumber").alias("idx")).agg(F.max("l_discount").alias("c"))
-
-
-@query("SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = (SELECT count(DISTINCT o_orderpriority) FROM orders)")
-def in_all_groups(spark, sf_dir):
-    return R.in_all(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("person"), F.col("l_linenumber").alias("idx"), F.col("l_discount").alias("c")).transform(C.member_coverage, ["person", "idx"], "c")
 
 
 @query("SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id)")
@@ -122,20 +107,6 @@ def first_seen_texts(spark, sf_dir):
     return R.first_seen(talk, F.lower(F.trim("text")), ["conv_id", "turn"]).select("conv_id", "turn")
 
 
-@query("""WITH x AS (SELECT conv_id, turn, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations)
-SELECT conv_id, turn, CAST(greatest(0, least(n, 1000 - before)) AS BIGINT) AS taken FROM x WHERE least(n, 1000 - before) > 0""")
-def capped_context(spark, sf_dir):
-    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").cast("long").alias("n"))
-    return R.running_cap(talk, ["conv_id"], ["turn"], F.col("n"), 1000).select("conv_id", "turn", "taken")
-
-
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'updated' ELSE o_orderpriority END AS mark FROM orders")
-def upsert_orders(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    new = orders.filter("o_orderstatus = 'O'").select("o_orderkey", F.lit("updated").alias("mark"))
-    return R.upsert(orders.select("o_orderkey", F.col("o_orderpriority").alias("mark")), new, ["o_orderkey"])
-
-
 @query("""WITH w AS (SELECT p_type, l_returnflag, count(*) / 1000 AS weight FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
 SELECT coalesce(a.p_type, b.p_type) AS p_type, a.weight AS old_weight, b.weight AS new_weight, CASE WHEN a.weight IS NULL THEN 'added' WHEN b.weight IS NULL THEN 'deleted' ELSE 'weight_changed' END AS change
 FROM (SELECT * FROM w WHERE l_returnflag = 'A') a FULL JOIN (SELECT * FROM w WHERE l_returnflag = 'R') b ON a.p_type = b.p_type WHERE a.weight IS NULL OR b.weight IS NULL OR abs(a.weight - b.weight) > 1e-9""")
@@ -145,16 +116,6 @@ def keyword_diff(spark, sf_dir):
     return K.differences(w.filter("l_returnflag = 'A'").drop("l_returnflag"), w.filter("l_returnflag = 'R'").drop("l_returnflag"), ["p_type"])
 
 
-_CONCEPTS = "c AS (SELECT lower(trim(regexp_replace(p_type, '\\s+', ' ', 'g'))) AS key, count(*) AS n, count(DISTINCT p_brand) AS batches, max(p_size / 50.0) AS max_weight FROM part GROUP BY 1)"
-
-
-@query(f"""WITH {_CONCEPTS} SELECT key, n, batches, CAST(max_weight AS DOUBLE) AS max_weight, round(greatest(0.0, least(1.0, 0.45*CAST(max_weight AS DOUBLE) + 0.35*ln(1+n)/ln(1+(SELECT max(n) FROM c)) + 0.20*batches/(SELECT count(DISTINCT p_brand) FROM part)
-- 0.25*(0.25*greatest(0.0,(len(string_split(key,' '))-12)/18.0) + CASE WHEN regexp_matches(key,'[0-9]') THEN 0.1 ELSE 0 END + CASE WHEN n <= 1 THEN 0.25 ELSE 0 END))),6) AS score FROM c""")
-def concept_scores(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    found = K.concepts(part.select(F.col("p_type").alias("text"), F.col("p_brand").alias("batch"), (F.col("p_size") / 50.0).alias("weight")))
-    batches = part.agg(F.countDistinct("p_brand").alias("all_batches"))
-    return K.concept_scores(found.join(F.broadcast(batches)), F.col("all_batches")).drop("all_batches")
 
 
 @query("SELECT round(avg((quality-toxic)*(quality-toxic)),6) AS mse, round(avg(abs(quality-toxic)),6) AS mae, round(coalesce(corr(quality,toxic),0),6) AS pearson FROM labels")
@@ -175,14 +136,6 @@ def word_chunks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.word_chunks(F.col("text"))).alias("chunk", "text")).select("doc_id", "chunk", F.md5("text").alias("hash"))
 
 
-@query("""WITH p AS (SELECT a.conv_id, a.turn, lower(a.text) AS q, lower(b.text) AS c FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), t AS (SELECT *, regexp_extract_all(q,'[a-z0-9]+') AS qt, regexp_extract_all(c,'[a-z0-9]+') AS ct FROM p)
-SELECT conv_id, turn, CAST(CASE WHEN len(qt) = 0 THEN 0 ELSE round(least(1.0, len(list_filter(qt, lambda x: list_contains(ct, x)))/len(qt) + CASE WHEN contains(c, q) THEN 0.3 ELSE 0 END),6) END AS DOUBLE) AS score FROM t""")
-def lexical_scores(spark, sf_dir):
-    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    answer = talk.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return talk.join(answer, ["conv_id", "turn"]).select("conv_id", "turn", T.lexical_score(F.col("text"), F.col("answer")).alias("score"))
-
-
 @query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 50 OFFSET 100")
 def paged_scan(spark, sf_dir):
     return R.page(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", 50, 100)
@@ -190,9 +143,9 @@ def paged_scan(spark, sf_dir):
 
 @query("SELECT o_orderkey, count(l_orderkey) AS n_lines, coalesce(list_sort(list(l_linenumber) FILTER (l_linenumber IS NOT NULL))[1], 0) AS first_line FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def with_relations(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
-    full = table(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left")
-    return full.select("o_orderkey", F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"), F.coalesce(F.get("lines", F.lit(0))["l_linenumber"], F.lit(0)).alias("first_line"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    full = R.with_related(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", lines=(lines, "l_orderkey", ["l_linenumber", "l_partkey"]))
+    return full.select("o_orderkey", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.get("lines", F.lit(0))["l_linenumber"], F.lit(0)).alias("first_line"))
 
 
 @query("""WITH r AS (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, CAST(count(*) OVER (PARTITION BY conv_id) AS INTEGER) AS n FROM conversations)
@@ -206,12 +159,6 @@ def rank_pairs(spark, sf_dir):
     return ranked.withColumnRenamed("pos", "better").join(worse, "conv_id").filter("better < worse").select("conv_id", "better", "worse", F.round((F.col("worse") - F.col("better")) / (F.col("n") - 1), 6).alias("strength"))
 
 
-@query("SELECT unnest(range(CAST(max(year(o_orderdate)) AS BIGINT), CAST(min(year(o_orderdate)) AS BIGINT) - 1, -1))::INTEGER AS year FROM orders")
-def year_options(spark, sf_dir):
-    years = table(spark, sf_dir, "orders").agg(F.max(F.year("o_orderdate")).alias("high"), F.min(F.year("o_orderdate")).alias("low"))
-    return years.select(F.explode(F.sequence("high", "low", F.lit(-1))).alias("year"))
-
-
 @query("SELECT event_id, user_id, round(value,2) AS value FROM events WHERE event_type IS NOT NULL")
 def drained_events(spark, sf_dir):
     return drain(spark, f"{sf_dir}/events.parque[t]", lambda rows: rows.filter("event_type is not null").select("event_id", "user_id", F.round("value", 2).alias("value")))
