@@ -62,12 +62,11 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     folder is cleared; the shuffle files of the steps before are released.
     """
     spark = df.sparkSession
+    release(spark)  # now that the caller has let go of the last step's plan
     path = f"{shared_dir(spark)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._weftline_folder = path
-    del df
-    release(spark)
     return back
 
 
