@@ -2,16 +2,25 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from test_operators import groups
-from weftline.llm.links import leader_links
+from weftline.llm import utf8
+from weftline.llm.links import SLOTS, agreement, leader_links, sketch, threshold
 
 
 def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
+def sketched(sets):
+    """Sketches of one MinHash sample for each slot."""
+    seeds = utf8.mix(np.arange(1, SLOTS + 1, dtype=np.uint64))
+    rows = np.array([[utf8.mix(np.array(sorted(s), np.uint64) * np.uint64(utf8.BASE) ^ seed).min() for seed in seeds] for s in sets])
+    return sketch(rows)
+
+
 def test_members_linked_to_one_variant_only(spark):
     rng = random.Random(8)
     base = set(range(100))
@@ -22,17 +31,33 @@ def test_members_linked_to_one_variant_only(spark):
         sets[3000 + k] = set(rng.sample(range(100), 40)) | {90_000 + 100 * k + j for j in range(60)}
     links = {(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8}
     assert all(sum(x in link for link in links) == 1 for x in range(2000, 2012))
-    items = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id bigint, items array<int>").cache()
+    halves = sketched(sets.values())
+    items = spark.createDataFrame([(i, sorted(s), int(x), int(y)) for (i, s), (x, y) in zip(sets.items(), halves)], "id bigint, items array<int>, s0 bigint, s1 bigint").cache()
     asked = []
 
     def verify(pairs):
         asked.append(pairs.count())
         left, right = (items.select(F.col("id").alias(one), F.col("items").alias(x)) for one, x in (("a", "x"), ("b", "y")))
         shared, union = F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", (shared >= 0.8 * union).alias("linked"), (1 - shared / union).alias("distance"))
-        return both.filter(F.col("linked") | (F.col("distance") < 0.4 + 1e-9))
+        return pairs.join(left, "a").join(right, "b").filter(shared >= 0.8 * union).select("a", "b")
 
-    found, roots = leader_links(items.select(F.lit(1).cast("bigint").alias("key"), "id"), verify, 0.2)
+    found, roots = leader_links(items.select(F.lit(1).cast("bigint").alias("key"), "id", "s0", "s1"), verify, 0.8)
     assert {i: i for i in sets} | {r["id"]: r["root"] for r in roots.collect()} == groups(sets, sorted(links))
     assert {(r["a"], r["b"]) for r in found.collect()} <= links
     assert sum(asked) < len(sets) ** 2 / 8
+
+
+def test_sketches(spark):
+    rng = random.Random(2)
+    kept = 0
+    pairs = []
+    for _ in range(400):
+        shared, own = [{rng.getrandbits(60) for _ in range(n)} for n in (80, 10)]
+        pairs += [shared | own, shared | {rng.getrandbits(60) for _ in range(10)}]
+    halves = sketched(pairs)
+    rows = [(*map(int, halves[i]), *map(int, halves[i + 1])) for i in range(0, 800, 2)]
+    found = spark.createDataFrame([*rows, (None, None, 1, 1)], "a bigint, b bigint, c bigint, d bigint").select(agreement(("a", "b"), ("c", "d")).alias("n")).collect()
+    for row, (a, b, c, d) in zip(found, rows):
+        assert row["n"] == sum(((x >> s) & 15) == ((y >> s) & 15) for x, y in ((a, c), (b, d)) for s in range(0, 64, 4))
+        kept += row["n"] >= threshold(0.8)
+    assert kept >= 397 and found[-1]["n"] == SLOTS

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.llm import utf8
-from weftline.llm.links import SLACK, leader_links
+from weftline.llm.links import leader_links, sketch
 from weftline.session import forget, table, written
 
 SHINGLE = 5
@@ -32,6 +32,8 @@ SIMILARITY = 0.8
 SEEN = 100_000
 #: Characters of lines that are hashed together.
 STRETCH = 1 << 16
+#: Classes, of BANDS * ROWS, that a line fills if it has a sketch.
+FILLED = 28
 
 
 def normal(line: str) -> str:
@@ -42,8 +44,11 @@ def line_id(line: bytes) -> bytes:
     return hashlib.md5(line, usedforsecurity=False).digest()
 
 
-def signatures(lines: list[str], size: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The key of each band for each line, and whether the line has a shingle at all."""
+def signatures(lines: list[str], size: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each line the key of each band, a sketch, whether it has a shingle at all, and whether it fills FILLED classes.
+
+    Few shingles fill few classes, and their sketches would say little.
+    """
     n, slots = len(lines), bands * rows
     least = np.full((n, slots), 2**64 - 1, np.uint64)
     first = 0
@@ -62,22 +67,23 @@ def signatures(lines: list[str], size: int, bands: int, rows: int) -> tuple[np.n
             inside = line[: len(hashes)] == line[size - 1 :]
             np.minimum.at(least[first:last].reshape(-1), place[inside].astype(np.intp), hashes[inside])
         first = last
-    known = (least != 2**64 - 1).any(1)
+    filled = (least != 2**64 - 1).sum(1)
     for _ in range(2):  # an empty class takes from the next, the last from the first
         for k in range(slots - 1, -1, -1):
             least[:, k] = np.where(least[:, k] == 2**64 - 1, least[:, (k + 1) % slots], least[:, k])
+    own = sketch(least)
     least = least.reshape(n, bands, rows)
     key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (n, bands))
     for j in range(rows):
         key = utf8.mix(key * np.uint64(utf8.BASE) + least[:, :, j])
-    return key.view(np.int64), known
+    return key.view(np.int64), own, filled > 0, filled >= FILLED
 
 
 def lines_of(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, row (md5 of the whole text), place, id (md5) and keys for each line that is not blank.
+    """doc_id, row (md5 of the whole text), place, id (md5), keys, s0 and s1 for each line that is not blank.
 
     `keys` has the band keys; it is null for lines without a shingle, which can only be equal, not
-    alike, and where the task has sent the line's keys before.
+    alike, and where the task has sent the line's keys before. s0 and s1 are its sketch, null for short lines.
     """
 
     def run(batches):
@@ -100,19 +106,25 @@ def lines_of(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int
                         ids.append(name)
                     if len(seen) > SEEN:
                         seen.clear()
-                keys, known = signatures(texts, size, bands, rows)
+                keys, sketches, known, long = signatures(texts, size, bands, rows)
+                new = np.asarray(new, np.int64)
                 length = np.zeros(len(ids) + 1, np.int32)
-                length[np.asarray(new, np.int64)[known] + 1] = bands
-                mask = np.ones(len(ids), bool)
-                mask[np.asarray(new, np.int64)[known]] = False
-                found = pa.ListArray.from_arrays(pa.array(np.cumsum(length, dtype=np.int32)), pa.array(keys[known].ravel()), mask=pa.array(mask))
+                length[new[known] + 1] = bands
+                none = np.ones(len(ids), bool)
+                none[new[known]] = False
+                found = pa.ListArray.from_arrays(pa.array(np.cumsum(length, dtype=np.int32)), pa.array(keys[known].ravel()), mask=pa.array(none))
+                whole = np.zeros((2, len(ids)), np.int64)
+                whole[:, new] = sketches.T
+                without = np.ones(len(ids), bool)
+                without[new[long]] = False
+                halves = [pa.array(x, mask=without) for x in whole]
                 own = pa.array(of, pa.int64())
-                columns = [batch.column("doc_id").take(own), batch.column("row").take(own), pa.array(places, pa.int32()), pa.array(ids, pa.binary()), found]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "place", "id", "keys"])
+                columns = [batch.column("doc_id").take(own), batch.column("row").take(own), pa.array(places, pa.int32()), pa.array(ids, pa.binary()), found, *halves]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "place", "id", "keys", "s0", "s1"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = docs.select("doc_id", _row().alias("row"), "text")
-    return named.mapInArrow(run, f"doc_id {kind}, row binary, place int, id binary, keys array<bigint>")
+    return named.mapInArrow(run, f"doc_id {kind}, row binary, place int, id binary, keys array<bigint>, s0 bigint, s1 bigint")
 
 
 def _row():
@@ -153,20 +165,18 @@ def alike(lines: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
     def compare(batches):
         held: tuple[str, set] = ("", set())
         for batch in batches:
-            same, distance = np.zeros(batch.num_rows, bool), np.ones(batch.num_rows)
+            same = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
                 if held[0] != x:
                     held = x, {x[k : k + size] for k in range(len(x) - size + 1)}
                 other = {y[k : k + size] for k in range(len(y) - size + 1)}
                 shared = len(held[1] & other)
-                union = len(held[1]) + len(other) - shared
-                same[i], distance[i] = shared >= similarity * union, 1 - shared / union
-            found = [batch.column("a"), batch.column("b"), pa.array(same), pa.array(distance)]
-            yield pa.RecordBatch.from_arrays(found, names=["a", "b", "linked", "distance"]).filter(pa.array(same | (distance <= 2 * (1 - similarity) + SLACK)))
+                same[i] = shared >= similarity * (len(held[1]) + len(other) - shared)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(same))
 
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = (lines.select(F.col("node").alias(one), F.col("line").alias(x)) for one, x in (("a", "x"), ("b", "y")))
-        return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint, linked boolean, distance double")
+        return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
     return verify
 
@@ -184,9 +194,11 @@ def removed_lines(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMI
     texts = line_texts(docs).join(wanted, "number", "left_semi").dropDuplicates(["number", "id"])
     # Each line found has a number of its own, also where two share the short one.
     lines_found = written(texts.withColumn("node", F.monotonically_increasing_id()), "candidates")
-    members = written(buckets.join(lines_found.select("number", "node"), "number").select("key", F.col("node").alias("id")), "members")
+    sketches = lines.filter("s0 is not null").select("id", "s0", "s1").dropDuplicates(["id"])
+    nodes = lines_found.select("id", "number", "node").join(sketches, "id", "left").select("number", "node", "s0", "s1")
+    members = written(buckets.join(nodes, "number").select("key", F.col("node").alias("id"), "s0", "s1"), "members")
     forget(buckets)
-    _, roots = leader_links(members, alike(lines_found, size, similarity), 1 - similarity)
+    _, roots = leader_links(members, alike(lines_found, size, similarity), similarity)
     names = lines_found.select("id", "node")
     joined = names.join(roots.withColumnRenamed("id", "node"), "node").select("id", "root")
     same = written(joined.join(names.select(F.col("node").alias("root"), F.col("id").alias("kind")), "root").select("id", "kind"), "same")

@@ -1,67 +1,103 @@
 """Links between items that share band keys, and the components that the links make.
 
 Nothing is collected and a bucket of like members is not expanded into pairs: in the first round
-every member of a bucket is held against one leader, and those that differ from it go on to the
-next round under about GROWTH times as many leaders, so that rounds grow with the logarithm of the
-number of different kinds in a bucket. Members linked to one leader are in one component, so pairs among them add nothing.
-Pairs parted by a leader (one member like it, the other not) that are in different components after
-the rounds are then held against each other, but for those that the leader's distances exclude.
+every member of a bucket is held against one leader, and those that are not linked to it go on to
+the next round under about GROWTH times as many leaders, so that rounds grow with the logarithm of
+the number of different kinds in a bucket. Members linked to one leader are in one component, so
+pairs among them add nothing.
+
+Sharing a bucket is a weak sign: most pairs there are unlike. So each item carries a sketch, 4 bits
+of each of SLOTS samples, and a pair whose sketches agree in too few slots for the wanted
+similarity goes no further; the join that makes the pairs counts this. Only the others are held
+against each other by their whole texts, which alone decides. `threshold` bounds what the sketch
+loses; items without a sketch (null) always pass.
+
+Pairs parted by a leader (one member linked to it, the other not) that are in different components
+after the rounds then meet by their sketches too, and those that pass are checked.
 Hot buckets only meet in joins (which adaptive execution splits) and in combining aggregates.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F
 
+from weftline.llm import utf8
 from weftline.session import forget, written
 
 GROWTH = 4
 FIRST = 16
-
-
-#: Rounding of a distance that verify gives.
-SLACK = 1e-9
-
-
-def leader_links(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], reach: float) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) with a < b, and the components (id, root) of all pairs of one bucket that are alike, from `keys` (key, id).
-
-    `verify` takes rows (a, b) and returns (a, b, linked, distance) for those of a distance up to
-    2 * reach; the distance is a metric, and linked pairs are at most `reach` apart. The links join
-    what all links of pairs in a bucket would join, but are not all of them. Two members that are
-    both unlike all leaders meet in a later round, in the end pair by pair; those that a leader
-    parts are in `_parted`.
+#: Samples of a sketch, 4 bits each, in two integers.
+SLOTS = 32
+#: Probability with which a pair of just the wanted similarity fails by its sketches.
+LOSS = 1e-3
+#: Parted pairs whose leader is farther than this share of the way are not looked for.
+PARTED = 0.6
+
+
+def sketch(samples: np.ndarray) -> np.ndarray:
+    """Two integers for each row of samples (at least SLOTS of them)."""
+    bits = utf8.mix(samples[:, :SLOTS]) & np.uint64(15)
+    shift = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return np.stack([(bits[:, k : k + 16] << shift).sum(1, dtype=np.uint64) for k in (0, 16)], 1).view(np.int64)
+
+
+def threshold(similarity: float, loss: float = LOSS) -> int:
+    """The most slots that two sketches of this similarity agree in but for a probability of `loss`."""
+    p, below = similarity + (1 - similarity) / 16, 0.0
+    for slots in range(SLOTS + 1):
+        below += math.comb(SLOTS, slots) * p**slots * (1 - p) ** (SLOTS - slots)
+        if below > loss:
+            return slots
+    return SLOTS
+
+
+def agreement(a: tuple[str, str], b: tuple[str, str]) -> Column:
+    """Slots in which two sketches agree; all, where one is missing."""
+    differs = F.lit(0)
+    for x, y in zip(a, b):
+        z = F.col(x).bitwiseXOR(F.col(y))
+        for step in (1, 2):
+            z = z.bitwiseOR(F.shiftrightunsigned(z, step))
+        differs = differs + F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+    return F.coalesce(F.lit(SLOTS) - differs, F.lit(SLOTS))
+
+
+def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) with a < b, and the components (id, root), of the pairs of one bucket that are alike.
+
+    members: (key, id, s0, s1). `verify` takes pairs (a, b) and returns those that are alike. The
+    links join what all links of pairs in a bucket would join, but are not all of them.
     """
-    members, turn = keys, 0
-    kind = keys.schema["id"].dataType
-    links = keys.select(F.col("id").cast(kind).alias("a"), F.col("id").cast(kind).alias("b")).filter(F.lit(False))
-    rounds: list[tuple[DataFrame, DataFrame]] = []
+    wanted, near = threshold(similarity), threshold(PARTED)
+    kind = members.schema["id"].dataType
+    links = members.select(F.col("id").cast(kind).alias("a"), F.col("id").cast(kind).alias("b")).filter(F.lit(False))
+    rounds: list[DataFrame] = []
+    turn = 0
+    ends = (F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
     while True:
         # The order of leaders is one for all buckets: like items that share many buckets are held against the same leader.
         place = F.xxhash64("id", F.lit(turn))
         sizes = members.groupBy("key").agg(F.min(F.struct(place.alias("place"), "id"))["id"].alias("first"), F.count("*").alias("n")).filter("n > 1")
-        if turn:
-            share = F.pmod(place, F.lit(1 << 20)) * F.col("n") < F.lit(GROWTH**turn << 20)
-            leaders = members.join(sizes, "key").filter((F.col("id") == F.col("first")) | share).select("key", F.col("id").alias("leader"))
-        else:
-            leaders = sizes.select("key", F.col("first").alias("leader"))
-        leaders = written(leaders, "leaders")
+        share = F.pmod(place, F.lit(1 << 20)) * F.col("n") < F.lit(GROWTH**turn << 20)
+        chosen = F.col("id") == F.col("first")
+        leaders = members.join(sizes, "key").filter(chosen | share if turn else chosen)
+        leaders = written(leaders.select("key", F.col("id").alias("leader"), F.col("s0").alias("t0"), F.col("s1").alias("t1")), "leaders")
         if leaders.isEmpty():
             break
-        met = members.join(leaders, "key").filter(F.col("id") != F.col("leader"))
-        met = written(met.select("key", "id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")), "met")
-        near = written(verify(met.select("a", "b").distinct()), "near")
-        links = links.unionByName(near.filter("linked").select("a", "b"))
-        leader = F.when(F.col("id") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-        close = written(met.join(near, ["a", "b"]).select("key", "id", leader.alias("leader"), "linked", "distance"), "close")
-        rounds.append((leaders, close))
+        met = members.join(leaders, "key").filter(F.col("id") != F.col("leader")).withColumn("agree", agreement(("s0", "s1"), ("t0", "t1")))
+        met = written(met.filter(F.col("agree") >= near).select("key", "id", "s0", "s1", "leader", "agree", *ends), "met")
+        found = written(verify(met.filter(F.col("agree") >= wanted).select("a", "b").distinct()), "found")
+        links = links.unionByName(found)
+        close = met.join(found.withColumn("linked", F.lit(True)), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+        close = written(close.drop("a", "b"), "close")
+        rounds.append(close)
         done = close.filter("linked").select("key", "id").unionByName(leaders.select("key", F.col("leader").alias("id")))
         left = written(members.join(done, ["key", "id"], "left_anti"), "members")
-        forget(met)
-        if turn:
-            forget(members)
+        forget(met, leaders, *([members] if turn else []))
         members, turn = left, turn + 1
     links = written(links.distinct(), "links")
     roots = components(links)
@@ -69,35 +105,36 @@ def leader_links(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], reac
     for first in (True, False):
         if not rounds:
             break
-        parted = [_parted(leaders, close, roots, reach, first) for leaders, close in rounds]
-        pairs = parted[0]
-        for more in parted[1:]:
-            pairs = pairs.unionByName(more)
-        more = written(verify(written(pairs.distinct(), "parted")).filter("linked").select("a", "b"), "more")
+        pairs = None
+        for close in rounds:
+            more = _parted(close, roots, wanted, first)
+            pairs = more if pairs is None else pairs.unionByName(more)
+        more = written(verify(written(pairs.distinct(), "parted")), "more")
         if not more.isEmpty():
             links = written(links.unionByName(more).distinct(), "links")
             roots = components(links)
     return links, roots
 
 
-def _parted(leaders: DataFrame, close: DataFrame, roots: DataFrame, reach: float, first: bool) -> DataFrame:
+def _parted(close: DataFrame, roots: DataFrame, wanted: int, first: bool) -> DataFrame:
     """Pairs (a, b) that a round parted and that may yet be alike and join two components.
 
-    A member linked to leaders goes by the nearest; whoever else met that leader and is in another
-    component is a pair with it, if by the triangle inequality the two may be within `reach`. Pairs
-    with a leader have been verified. `first` takes the about FIRST members of a leader, else the rest.
+    A member linked to leaders goes by the one it agrees with most; whoever else met that leader, was
+    not linked to it and is in another component is a pair with it, if their sketches agree enough.
+    Pairs with a leader have been verified. `first` takes the about FIRST members of a leader, else the rest.
     """
-    others = close.join(leaders.withColumnRenamed("leader", "id"), ["key", "id"], "left_anti")
-    outer = others.filter("not linked").select("key", "leader", F.col("id").alias("outer"), F.col("distance").alias("far"))
+    leading = close.select("key", F.col("leader").alias("id")).distinct()
+    others = close.join(leading, ["key", "id"], "left_anti")
+    outer = others.filter("not linked").select("key", "leader", F.col("id").alias("outer"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
     for one in ("outer", "leader"):
         outer = outer.join(roots.select(F.col("id").alias(one), F.col("root").alias(f"{one}_root")), one, "left")
-    outer = outer.filter(F.coalesce("outer_root", "outer") != F.coalesce("leader_root", "leader")).select("key", "leader", "outer", "far")
-    inner = others.filter("linked").groupBy("key", "id").agg(F.min(F.struct("distance", "leader")).alias("to"))
-    inner = inner.select("key", F.col("to.leader").alias("leader"), F.col("id").alias("inner"), F.col("to.distance").alias("near"))
+    outer = outer.filter(F.coalesce("outer_root", "outer") != F.coalesce("leader_root", "leader")).select("key", "leader", "outer", "t0", "t1")
+    inner = others.filter("linked").groupBy("key", "id").agg(F.max(F.struct("agree", "leader", "s0", "s1")).alias("to"))
+    inner = inner.select("key", F.col("to.leader").alias("leader"), F.col("id").alias("inner"), "to.s0", "to.s1")
     share = F.pmod(F.xxhash64("key", "inner"), F.lit(1 << 20)) * F.col("n") < F.lit(FIRST << 20)
     sizes = inner.groupBy("key", "leader").agg(F.count("*").alias("n"))
     inner = inner.join(sizes, ["key", "leader"]).filter(share if first else ~share).drop("n")
-    pairs = inner.join(outer, ["key", "leader"]).filter(F.col("far") <= F.col("near") + F.lit(reach + SLACK))
+    pairs = inner.join(outer, ["key", "leader"]).filter(agreement(("s0", "s1"), ("t0", "t1")) >= wanted)
     return pairs.select(F.least("inner", "outer").alias("a"), F.greatest("inner", "outer").alias("b")).distinct()
 
 
@@ -109,15 +146,13 @@ def components(links: DataFrame) -> DataFrame:
     round is a written table: a lost executor costs one round at most.
     """
     both = written(links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct(), "edges")
-    roots = written(both.groupBy("id").agg(F.least("id", F.min("other")).alias("root")), "roots")
-    while True:
+    roots = written(both.groupBy("id").agg(F.least("id", F.min("other")).alias("root"), F.lit(True).alias("moved")), "roots")
+    while not roots.filter("moved").isEmpty():
         near = both.join(roots.select(F.col("id").alias("other"), F.col("root").alias("near")), "other").groupBy("id").agg(F.min("near").alias("near"))
         lower = written(roots.join(near, "id").select("id", F.least("root", "near").alias("next"), F.col("root").alias("was")), "lower")
         up = lower.select(F.col("id").alias("next"), F.col("next").alias("top"))
-        after = written(lower.join(up, "next").select("id", F.col("top").alias("root"), "was"), "roots")
+        after = written(lower.join(up, "next").select("id", F.col("top").alias("root"), (F.col("top") != F.col("was")).alias("moved")), "roots")
         forget(roots, lower)
-        if after.filter(F.col("root") != F.col("was")).isEmpty():
-            forget(both)
-            return after.select("id", "root")
-        roots = after.select("id", "root")
-        roots._weftline_folder = after._weftline_folder
+        roots = after
+    forget(both)
+    return roots.select("id", "root")

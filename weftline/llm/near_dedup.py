@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.llm import utf8
-from weftline.llm.links import SLACK, leader_links
+from weftline.llm.links import leader_links, sketch
 from weftline.session import forget, table, written
 
 WORDS = 5
@@ -168,7 +168,7 @@ def _elsewhere(units: DataFrame, buckets: int) -> DataFrame:
 
 
 def _drawn(units: DataFrame, n_docs: int, bands: int, rows: int) -> DataFrame:
-    """(id, text, df, keys): document frequencies in the order of shingle_counts, and the band keys of the samples."""
+    """(id, text, df, keys, s0, s1): document frequencies in the order of shingle_counts, the band keys of the samples and their sketch."""
 
     def run(batches):
         for batch in batches:
@@ -180,18 +180,20 @@ def _drawn(units: DataFrame, n_docs: int, bands: int, rows: int) -> DataFrame:
                 df = (others + np.bincount(place, copies[text], len(unique)).astype(np.int64))[place]
                 ends = np.searchsorted(text, np.arange(len(copies) + 1))
                 weights = times * (1 + np.log((1 + n_docs) / (1 + df)))
-                keys = np.zeros((len(copies), bands), np.int64)
+                keys, halves = np.zeros((len(copies), bands), np.int64), np.zeros((len(copies), 2), np.int64)
                 for i in range(len(copies)):
                     own = slice(ends[i], ends[i + 1])
-                    drawn = samples(shingles[own], weights[own], bands * rows).reshape(bands, rows)
+                    drawn = samples(shingles[own], weights[own], bands * rows)
+                    halves[i] = sketch(drawn[None])[0]
+                    drawn = drawn.reshape(bands, rows)
                     key = np.arange(bands, dtype=np.uint64)
                     for j in range(rows):
                         key = utf8.mix(key * np.uint64(utf8.BASE) + drawn[:, j])
                     keys[i] = key.view(np.int64)
                 lists = [pa.ListArray.from_arrays(pa.array(x, pa.int32()), pa.array(v)) for x, v in ((ends, df), (np.arange(0, keys.size + 1, bands), keys.ravel()))]
-                yield pa.RecordBatch.from_arrays([ids.values, texts.values, *lists], names=["id", "text", "df", "keys"])
+                yield pa.RecordBatch.from_arrays([ids.values, texts.values, *lists, *map(pa.array, np.ascontiguousarray(halves.T))], names=["id", "text", "df", "keys", "s0", "s1"])
 
-    return units.mapInArrow(run, "id bigint, text string, df array<bigint>, keys array<bigint>")
+    return units.mapInArrow(run, "id bigint, text string, df array<bigint>, keys array<bigint>, s0 bigint, s1 bigint")
 
 
 def _weights(texts: pa.Array, df: pa.Array, n_docs: int):
@@ -203,25 +205,23 @@ def _weights(texts: pa.Array, df: pa.Array, n_docs: int):
 
 
 def _checked(texts: DataFrame, n_docs: int, similarity: float):
-    """The check for leader_links: exact weighted Jaccard similarity, whose complement is a metric."""
+    """The check for leader_links: exact weighted Jaccard similarity."""
 
     def compare(batches):
         for batch in batches:
-            same, distance = np.zeros(batch.num_rows, bool), np.ones(batch.num_rows)
+            same = np.zeros(batch.num_rows, bool)
             both = zip(_weights(batch.column("x"), batch.column("xdf"), n_docs), _weights(batch.column("y"), batch.column("ydf"), n_docs))
             for (row, s, w), (_, t, v) in both:
                 _, p, q = np.intersect1d(s, t, assume_unique=True, return_indices=True)
                 shared = np.minimum(w[p], v[q]).sum()
-                union = w.sum() + v.sum() - shared
-                same[row], distance[row] = shared >= similarity * union, 1 - shared / union
-            found = [batch.column("a"), batch.column("b"), pa.array(same), pa.array(distance)]
-            yield pa.RecordBatch.from_arrays(found, names=["a", "b", "linked", "distance"]).filter(pa.array(same | (distance <= 2 * (1 - similarity) + SLACK)))
+                same[row] = shared >= similarity * (w.sum() + v.sum() - shared)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(same))
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         held = texts.join(wanted, "id", "left_semi")
         left, right = (held.select(F.col("id").alias(one), F.col("text").alias(x), F.col("df").alias(f"{x}df")) for one, x in (("a", "x"), ("b", "y")))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "xdf", "y", "ydf").mapInArrow(compare, "a bigint, b bigint, linked boolean, distance double")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "xdf", "y", "ydf").mapInArrow(compare, "a bigint, b bigint")
 
     return verify
 
@@ -248,10 +248,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     answers = written(answers, "answers")
     full = written(_drawn(units.join(answers, "unit"), total, bands, rows), "texts")
     forget(units, answers)
-    banded = full.select("id", F.explode("keys").alias("key"))
+    banded = full.select("id", "s0", "s1", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most").select("key")
-    members = written(banded.join(shared, "key", "left_semi").select("key", "id"), "members")
-    _, roots = leader_links(members, _checked(full, total, similarity), 1 - similarity)
+    members = written(banded.join(shared, "key", "left_semi").select("key", "id", "s0", "s1"), "members")
+    _, roots = leader_links(members, _checked(full, total, similarity), similarity)
     named = classes.select("text_key", "class_id", F.xxhash64("class_id", "text_key").alias("id")).join(roots, "id", "left")
     named = written(named.select("text_key", "class_id", F.coalesce("root", "id").alias("root")), "named")
     groups = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
