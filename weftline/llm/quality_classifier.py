@@ -114,27 +114,43 @@ def _present(part: utf8.Texts, vocabulary: np.ndarray) -> tuple[np.ndarray, np.n
     return key // len(vocabulary), key % len(vocabulary)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> np.ndarray:
-    """Ridge logistic regression by accelerated gradient steps; column 0 is the bias, not penalised."""
-    ridge = np.full(x.shape[1], penalty)
+def _logistic(dense: np.ndarray, row: np.ndarray, word: np.ndarray, n_words: int, y: np.ndarray, penalty: float, steps: int = 400) -> np.ndarray:
+    """Ridge logistic regression by accelerated gradient steps; column 0 is the bias, not penalised.
+
+    Features are the dense columns and then, for each (row, word), a one.
+    """
+    n, k = dense.shape
+    ridge = np.full(k + n_words, penalty)
     ridge[0] = 1e-3
-    probe = np.ones(x.shape[1])
+
+    def times(w: np.ndarray) -> np.ndarray:
+        return dense @ w[:k] + np.bincount(row, w[k:][word], n)
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.concatenate([r @ dense, np.bincount(word, r[row], n_words)])
+
+    probe = np.ones(k + n_words)
     for _ in range(20):  # largest eigenvalue, for the step
-        probe = x.T @ (x @ probe)
+        probe = back(times(probe))
         probe /= np.linalg.norm(probe)
-    step = 1 / (np.linalg.norm(x @ probe) ** 2 / 4 + penalty)
-    w = ahead = np.zeros(x.shape[1])
+    step = 1 / (np.linalg.norm(times(probe)) ** 2 / 4 + penalty)
+    w = ahead = np.zeros(k + n_words)
     for i in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        new = ahead - step * (x.T @ (p - y) + ridge * ahead)
+        p = 1 / (1 + np.exp(-np.clip(times(ahead), -30, 30)))
+        new = ahead - step * (back(p - y) + ridge * ahead)
         ahead, w = new + i / (i + 3) * (new - w), new
     return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model | None:
-    """The two models, or None where no labelled row has a text. Null labels and ids are left out."""
-    marks = labels.select("doc_id", "quality", "toxic").dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limits.max_rows)
-    chosen = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(marks, "doc_id").dropDuplicates(["doc_id"])
+    """The two models, or None where no labelled row has a text. Null labels and ids are left out.
+
+    Of repeated labels of a doc_id the worse counts (low quality, toxic), of its texts the least.
+    """
+    marks = labels.select("doc_id", "quality", "toxic").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limits.max_rows)
+    found = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(marks, "doc_id")
+    chosen = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     sample = written(chosen.select("text", (F.col("quality") == 0).cast("int").alias("low"), (F.col("toxic") == 1).cast("int").alias("toxic")), "sample")
     if sample.isEmpty():
         return None
@@ -148,14 +164,15 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model
                 low, toxic = (batch.column(c).slice(part.first, len(part)) for c in HEADS)
                 yield pa.RecordBatch.from_arrays([low, toxic, pa.array(list(_shape(part)), pa.list_(pa.float64())), pa.array(lists, pa.list_(pa.int32()))], names=["low", "toxic", "shape", "words"])
 
-    found = sample.mapInArrow(rows, "low int, toxic int, shape array<double>, words array<int>").toPandas()
-    shape = np.stack(found["shape"].to_list())
+    # Rows of a few numbers each: at most max_rows of them, with the places of their words.
+    found = sample.mapInArrow(rows, "low int, toxic int, shape array<double>, words array<int>").toArrow().combine_chunks()
+    shape = found.column("shape").combine_chunks().flatten().to_numpy().reshape(-1, SHAPE)
+    words = found.column("words").combine_chunks()
+    row = np.repeat(np.arange(len(found)), np.diff(words.offsets.to_numpy()))
+    word = words.flatten().to_numpy()
     mean, scale = shape.mean(0), np.maximum(shape.std(0), 1e-6)
-    x = np.zeros((len(found), 1 + SHAPE + len(vocabulary)), np.float32)
-    x[:, 0], x[:, 1 : 1 + SHAPE] = 1, (shape - mean) / scale
-    for i, places in enumerate(found["words"]):
-        x[i, 1 + SHAPE + np.asarray(places, np.int64)] = 1
-    return Model(vocabulary, mean, scale, np.stack([_logistic(x, found[head].to_numpy(float), limits.penalty) for head in HEADS]))
+    dense = np.hstack([np.ones((len(found), 1)), (shape - mean) / scale])
+    return Model(vocabulary, mean, scale, np.stack([_logistic(dense, row, word, len(vocabulary), found.column(head).to_numpy().astype(float), limits.penalty) for head in HEADS]))
 
 
 def evidence(docs: DataFrame, model: Model | None, host: Column, path: Column) -> DataFrame:
@@ -229,9 +246,10 @@ def site_of(docs: DataFrame) -> tuple[Column, Column]:
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, limits: Limits = Limits()) -> DataFrame:
-    """doc_id, host, path, p_document, p_site, p_low, p_toxic and kept for each row.
+    """doc_id, host, path, p_document, p_site, p_low, p_toxic and kept for each row; other columns are not used.
 
-    Null and empty texts have no evidence of their own: p_document and p_toxic are null and p_low
+    Repeated rows and ids are judged each by its own text. Texts count whole, however long they are.
+    An empty table gives an empty table. Null and empty texts have no evidence of their own: p_document and p_toxic are null and p_low
     is the site's. Without labels nothing is known and every row is kept. A null host or path is
     the empty one. kept: p_low < 0.5 and not p_toxic >= 0.5.
     """
