@@ -1,10 +1,10 @@
 """Best-fit packing: tokenised documents into the fewest sequences of a fixed length.
 
 Documents are tokenised in tasks; only the histogram of piece lengths (at most `capacity` rows,
-whatever the corpus) reaches the driver. There a configuration linear program is solved: every
-step prices lengths by multiplicative weights, finds the fullest-priced pattern by knapsack
-dynamic programming, and the fractional pattern counts are then rounded down; what is left is
-placed by best fit, grouped by length. Pieces get their place by rank within (length, salt), so
+whatever the corpus) reaches the driver. There the configuration linear program is solved: every
+step prices lengths by multiplicative weights and finds the dearest pattern by knapsack dynamic
+programming; the fractional pattern counts are then rounded down, and what is left fills sequences
+as full as its lengths allow. Pieces get their place by rank within (length, salt), so
 neither a frequent length nor a hot group of copies meets in one task.
 """
 
@@ -14,7 +14,6 @@ import math
 import os
 import re
 import zlib
-from bisect import bisect_left, insort
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +28,8 @@ CACHE_WORDS = 600_000
 
 
 SEPARATOR = "\x00"
+#: A text with what could tell a tokenizer that spans white space or minds case.
+SAMPLE = " The Quick  brown FOX's\n\n  path/to 3.14 (again)\t don't. "
 #: Words that the tokenizer takes as one run of letters, whatever stands beside them.
 PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 
@@ -57,9 +58,16 @@ class WordIds:
 
     def __init__(self, path: str):
         self.tokenizer, self.special, self.last = _tokenizer(path)
-        (self.separator,) = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        found = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        self.separator = found[0] if len(found) == 1 else None
+        self.apart = self.separator is not None and self._keeps_words_apart()
         self.clear()
 
+    def _keeps_words_apart(self) -> bool:
+        """Whether ids of a text are those of its lower-cased words in turn, judged on a sample; if not, texts are encoded whole."""
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        return ids(SAMPLE) == [i for word in SAMPLE.lower().split() for i in ids(word)]
+
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.first = np.zeros(1, np.int64)
@@ -113,7 +121,7 @@ class WordIds:
         return [whole.get(i, x) for i, x in enumerate(np.split(ids, cuts[:-1]))]
 
     def odd(self, text: str) -> bool:
-        return any(c in text for c in "\x00\x1c\x1d\x1e\x1f") or any(s in text for s in self.special)
+        return not self.apart or any(c in text for c in "\x00\x1c\x1d\x1e\x1f") or any(s in text for s in self.special)
 
 
 @lru_cache(1)
@@ -150,101 +158,119 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"`{id_column}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def _best_pattern(value: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts per length of the pattern of most value: unbounded knapsack by dynamic programming.
+def _best_pattern(price: np.ndarray, capacity: int, grid: int) -> dict[int, int]:
+    """The pattern of most value: unbounded knapsack by dynamic programming over multiples of `grid`.
 
-    `value[l]` is the price of length l (0 for lengths that do not occur).
+    `price[l]` is that of length l (0 for lengths that do not occur). A length counts as the next
+    multiple, and of those that count alike the dearest is taken, so the pattern fits the capacity.
     """
-    best = np.zeros(capacity + 1)
-    take = np.zeros(capacity + 1, np.int64)
-    backwards = np.zeros(capacity + 1)  # best[c-1], ..., best[0] kept reversed: no copy per step
-    backwards[capacity] = 0.0
-    for c in range(1, capacity + 1):
-        total = value[1 : c + 1] + backwards[capacity - c + 1 :]
-        k = int(total.argmax())
-        if total[k] > best[c - 1]:
-            best[c], take[c] = total[k], k + 1 if value[k + 1] > 0 else 0
-        else:
-            best[c] = best[c - 1]
-        backwards[capacity - c] = best[c]
-    counts, c = np.zeros(capacity + 1, np.int64), capacity
+    m = capacity // grid
+    by_class = price[1 : m * grid + 1].reshape(m, grid)
+    dearest = by_class.argmax(1)
+    value = by_class[np.arange(m), dearest]
+    take = np.zeros(m + 1, np.int64)
+    backwards = np.zeros(m + 1)  # the best values of m, ..., 0: no copy per step
+    for c in range(1, m + 1):
+        total = value[:c] + backwards[m - c + 1 :]
+        take[c] = total.argmax()
+        backwards[m - c] = total[take[c]]
+    counts: dict[int, int] = {}
+    c = m
     while c > 0:
-        if take[c]:
-            counts[take[c]] += 1
-            c -= int(take[c])
-        else:
-            c -= 1
+        k = int(take[c])
+        if value[k] > 0:
+            length = k * grid + 1 + int(dearest[k])
+            counts[length] = counts.get(length, 0) + 1
+        c -= k + 1
     return counts
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 150, rate: float = 0.5) -> list[tuple[dict[int, int], int]]:
-    """Patterns (length -> items in a sequence) and how many sequences use each; exact cover.
+def fractional(need: np.ndarray, capacity: int, steps: int, grid: int, rate: float = 0.5) -> tuple[dict[tuple, float], float]:
+    """The configuration linear program by multiplicative weights: counts of patterns, and a lower bound on any solution.
 
-    Configuration linear program by multiplicative weights: a length's price starts at its share
-    of the capacity and falls as patterns cover it. The fractional counts are scaled to the
-    demand, rounded down, and the remainder goes by best fit in falling length.
+    The program is: least sum of x over patterns, with each length covered as often as it occurs.
+    Each step prices the lengths, takes the pattern of most value and raises its count until one of
+    its lengths is covered once more; prices fall with the cover of a length. In the end all counts
+    are scaled down by the greatest cover, so that no length is covered more than once over.
+    The bound is the value of all items over that of the best pattern, at its greatest.
+    """
+    cover, counts, bound = np.zeros(capacity + 1), {}, 0.0
+    price = np.where(need > 0, np.arange(capacity + 1) / capacity, 0.0)
+    for _ in range(steps):
+        pattern = _best_pattern(price, capacity, grid)
+        lengths, times = np.array(list(pattern)), np.array(list(pattern.values()))
+        if grid == 1:
+            bound = max(bound, float(price @ need) / float(price[lengths] @ times))
+        step = float((need[lengths] / times).min())
+        key = tuple(sorted(pattern.items()))
+        counts[key] = counts.get(key, 0.0) + step
+        gained = times * step / need[lengths]
+        cover[lengths] += gained
+        price[lengths] *= np.exp(-rate * gained)
+    most = cover.max(initial=1.0)
+    return {key: x / most for key, x in counts.items()}, bound
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 1000, grid: int = 4) -> list[tuple[dict[int, int], int]]:
+    """Patterns (length -> items in a sequence) and how many sequences use each; every item once.
+
+    The fractional counts of the linear program are rounded down, and what is left is filled by
+    `best_fill`. On small histograms, where rounding leaves little, that may do better alone: the
+    solution of fewer sequences counts. Work and memory depend on the capacity, not on the corpus.
     """
     need = np.zeros(capacity + 1, np.int64)
     for length, count in histogram.items():
         need[length] += count
-    left, chosen = need.copy(), {}
-    size = np.arange(capacity + 1) / capacity
-    price = np.where(need > 0, size, 0.0)
-    for _ in range(steps):
-        if not left.any():
-            break
-        counts = _best_pattern(price, capacity)
-        used = np.flatnonzero(counts)
-        # A step covers at most `rate` of what the scarcest length of the pattern still needs.
-        room = int((left[used] // counts[used]).min())
-        times = max(1, math.ceil(room * rate)) if room else 0
+    if not need.any():
+        return []
+    left, rounded = need.copy(), []
+    found, _ = fractional(need, capacity, steps, grid if capacity >= 64 * grid else 1)
+    for key, x in sorted(found.items(), key=lambda item: (-item[1], item[0])):
+        times = min([int(x), *(int(left[length]) // each for length, each in key)])
         if times:
-            key = tuple((int(x), int(counts[x])) for x in used)
-            chosen[key] = chosen.get(key, 0) + times
-            left[used] -= counts[used] * times
-        covered = np.zeros(capacity + 1)
-        covered[used] = counts[used] / np.maximum(need[used], 1)
-        price[used] *= np.exp(-0.05 * covered[used] / covered[used].max())
-        price[left == 0] = 0.0
-        price[left > 0] = np.maximum(price[left > 0], 0.5 * size[left > 0])
-    return [(dict(key), times) for key, times in chosen.items()] + best_fit(left, capacity)
-
-
-def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best fit in falling length over a histogram; sequences with the same content move together."""
-    groups: dict[int, list[list]] = {}  # free space -> [content, number of sequences]
-    free: list[int] = []
-    for length in range(len(left) - 1, 0, -1):
-        count = int(left[length])
-        while count:
-            at = bisect_left(free, length)
-            if at == len(free):
-                per = min(capacity // length, count)
-                full, rest = divmod(count, per)
-                for each, times in ((per, full), (rest, 1)):
-                    if each and times:
-                        _put(groups, free, capacity - each * length, [{length: each}, times])
-                count = 0
-                continue
-            space = free[at]
-            content, times = groups[space].pop()
-            if not groups[space]:
-                del groups[space]
-                free.pop(at)
-            each = min(space // length, count)
-            full = min(times, count // each)
-            if full < times:
-                _put(groups, free, space, [content, times - full])
-            _put(groups, free, space - each * length, [content | {length: each}, full])
-            count -= each * full
-    return [(content, times) for all_of in groups.values() for content, times in all_of]
-
-
-def _put(groups: dict, free: list[int], space: int, group: list) -> None:
-    if space not in groups:
-        groups[space] = []
-        insort(free, space)
-    groups[space].append(group)
+            rounded.append((dict(key), times))
+            for length, each in key:
+                left[length] -= each * times
+    return min(rounded + best_fill(left, capacity), best_fill(need, capacity), key=lambda all_of: sum(times for _, times in all_of))
+
+
+def best_fill(need: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Sequences one kind after another: the longest item left, and the items that fill its rest best.
+
+    Reachable sums are bits of an integer, a layer for each length, longer ones first; a sum that fills
+    the rest ends the search. A kind is used as often as the counts allow, so there are at most about
+    as many kinds as lengths.
+    """
+    left, out, longest = need.copy(), [], capacity
+    while True:
+        while longest and not left[longest]:
+            longest -= 1
+        if not longest:
+            return out
+        left[longest] -= 1
+        pattern, rest = {longest: 1}, capacity - longest
+        reach, layers, mask = 1, [], (1 << (rest + 1)) - 1
+        for length in map(int, np.flatnonzero(left[: rest + 1])[::-1]):
+            before, count, size = reach, min(int(left[length]), rest // length), 1
+            while count > 0:  # 1, 2, 4, ... items at once
+                now = min(size, count)
+                reach |= reach << length * now & mask
+                count, size = count - now, 2 * size
+            layers.append((length, before))
+            if reach >> rest & 1:
+                break
+        total = reach.bit_length() - 1
+        for length, before in reversed(layers):
+            each = 0
+            while not before >> total & 1:
+                total, each = total - length, each + 1
+            if each:
+                pattern[length] = pattern.get(length, 0) + each
+                left[length] -= each
+        more = min(int(left[length]) // each for length, each in pattern.items())
+        for length, each in pattern.items():
+            left[length] -= each * more
+        out.append((pattern, 1 + more))
 
 
 def places(patterns: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
@@ -313,7 +339,12 @@ def default_tokenizer() -> str:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenise and pack a table of documents (doc_id, text, other columns ignored)."""
+    """Tokenise and pack a table of documents (doc_id, text; other columns are not used).
+
+    A null or empty text is one piece of one token. Null ids and rows that repeat an id or a text are
+    packed each on its own. Texts are tokenised whole, however long. An empty table gives an empty
+    table. Pieces of one length are interchangeable; which goes where is fixed by their values.
+    """
     found = pieces(docs.select("doc_id", "text"), tokenizer_path or default_tokenizer(), capacity)
     return pack(written(found, "pieces"), capacity)
 
