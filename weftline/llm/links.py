@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from weftline.llm import utf8
 from weftline.session import forget, written
 
-GROWTH = 4
+GROWTH = 8
 FIRST = 16
 #: Samples of a sketch, 4 bits each, in two integers.
 SLOTS = 32
@@ -75,7 +75,7 @@ def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     wanted, near = threshold(similarity), threshold(PARTED)
     kind = members.schema["id"].dataType
     links = members.select(F.col("id").cast(kind).alias("a"), F.col("id").cast(kind).alias("b")).filter(F.lit(False))
-    rounds: list[DataFrame] = []
+    rounds: DataFrame | None = None
     turn = 0
     ends = (F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
     while True:
@@ -92,24 +92,19 @@ def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
         met = written(met.filter(F.col("agree") >= near).select("key", "id", "s0", "s1", "leader", "agree", *ends), "met")
         found = written(verify(met.filter(F.col("agree") >= wanted).select("a", "b").distinct()), "found")
         links = links.unionByName(found)
-        close = met.join(found.withColumn("linked", F.lit(True)), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-        close = written(close.drop("a", "b"), "close")
-        rounds.append(close)
-        done = close.filter("linked").select("key", "id").unionByName(leaders.select("key", F.col("leader").alias("id")))
+        # Pairs meet in several buckets, but under one order of leaders: they are kept once. Leaders have met all others.
+        pairs = met.drop("key").distinct().join(found.withColumn("linked", F.lit(True)), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+        close = written(pairs.drop("a", "b"), "close")
+        rounds = close if rounds is None else rounds.unionByName(close)
+        done = met.join(found, ["a", "b"], "left_semi").select("key", "id").unionByName(leaders.select("key", F.col("leader").alias("id")))
         left = written(members.join(done, ["key", "id"], "left_anti"), "members")
         forget(met, leaders, *([members] if turn else []))
         members, turn = left, turn + 1
     links = written(links.distinct(), "links")
     roots = components(links)
     # First about FIRST of those like a leader, which join groups with many links; then all others.
-    for first in (True, False):
-        if not rounds:
-            break
-        pairs = None
-        for close in rounds:
-            more = _parted(close, roots, wanted, first)
-            pairs = more if pairs is None else pairs.unionByName(more)
-        more = written(verify(written(pairs.distinct(), "parted")), "more")
+    for first in (True, False) if rounds is not None else ():
+        more = written(verify(written(_parted(rounds, roots, wanted, first), "parted")), "more")
         if not more.isEmpty():
             links = written(links.unionByName(more).distinct(), "links")
             roots = components(links)
@@ -119,22 +114,19 @@ def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
 def _parted(close: DataFrame, roots: DataFrame, wanted: int, first: bool) -> DataFrame:
     """Pairs (a, b) that a round parted and that may yet be alike and join two components.
 
-    A member linked to leaders goes by the one it agrees with most; whoever else met that leader, was
-    not linked to it and is in another component is a pair with it, if their sketches agree enough.
+    Whoever met a leader, was not linked to it and is in another component is a pair with each of the
+    leader's linked members, if their sketches agree enough.
     Pairs with a leader have been verified. `first` takes the about FIRST members of a leader, else the rest.
     """
-    leading = close.select("key", F.col("leader").alias("id")).distinct()
-    others = close.join(leading, ["key", "id"], "left_anti")
-    outer = others.filter("not linked").select("key", "leader", F.col("id").alias("outer"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
+    outer = close.filter("not linked").select("leader", F.col("id").alias("outer"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
     for one in ("outer", "leader"):
         outer = outer.join(roots.select(F.col("id").alias(one), F.col("root").alias(f"{one}_root")), one, "left")
-    outer = outer.filter(F.coalesce("outer_root", "outer") != F.coalesce("leader_root", "leader")).select("key", "leader", "outer", "t0", "t1")
-    inner = others.filter("linked").groupBy("key", "id").agg(F.max(F.struct("agree", "leader", "s0", "s1")).alias("to"))
-    inner = inner.select("key", F.col("to.leader").alias("leader"), F.col("id").alias("inner"), "to.s0", "to.s1")
-    share = F.pmod(F.xxhash64("key", "inner"), F.lit(1 << 20)) * F.col("n") < F.lit(FIRST << 20)
-    sizes = inner.groupBy("key", "leader").agg(F.count("*").alias("n"))
-    inner = inner.join(sizes, ["key", "leader"]).filter(share if first else ~share).drop("n")
-    pairs = inner.join(outer, ["key", "leader"]).filter(agreement(("s0", "s1"), ("t0", "t1")) >= wanted)
+    outer = outer.filter(F.coalesce("outer_root", "outer") != F.coalesce("leader_root", "leader")).select("leader", "outer", "t0", "t1").distinct()
+    inner = close.filter("linked").select("leader", F.col("id").alias("inner"), "s0", "s1").distinct()
+    share = F.pmod(F.xxhash64("leader", "inner"), F.lit(1 << 20)) * F.col("n") < F.lit(FIRST << 20)
+    sizes = inner.groupBy("leader").agg(F.count("*").alias("n"))
+    inner = inner.join(sizes, "leader").filter(share if first else ~share).drop("n")
+    pairs = inner.join(outer, "leader").filter((F.col("inner") != F.col("outer")) & (agreement(("s0", "s1"), ("t0", "t1")) >= wanted))
     return pairs.select(F.least("inner", "outer").alias("a"), F.greatest("inner", "outer").alias("b")).distinct()
 
 
@@ -149,10 +141,10 @@ def components(links: DataFrame) -> DataFrame:
     roots = written(both.groupBy("id").agg(F.least("id", F.min("other")).alias("root"), F.lit(True).alias("moved")), "roots")
     while not roots.filter("moved").isEmpty():
         near = both.join(roots.select(F.col("id").alias("other"), F.col("root").alias("near")), "other").groupBy("id").agg(F.min("near").alias("near"))
-        lower = written(roots.join(near, "id").select("id", F.least("root", "near").alias("next"), F.col("root").alias("was")), "lower")
-        up = lower.select(F.col("id").alias("next"), F.col("next").alias("top"))
+        lower = roots.join(near, "id").select("id", F.least("root", "near").alias("next"), F.col("root").alias("was"))
+        up = roots.select(F.col("id").alias("next"), F.col("root").alias("top"))
         after = written(lower.join(up, "next").select("id", F.col("top").alias("root"), (F.col("top") != F.col("was")).alias("moved")), "roots")
-        forget(roots, lower)
+        forget(roots)
         roots = after
     forget(both)
     return roots.select("id", "root")
