@@ -4,39 +4,54 @@ from __future__ import annotations
 
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weftline.llm import decontamination, line_dedup, near_dedup, packing, quality_rules
 from weftline.session import ship, table, written
 
 
+def _text_key(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
+
+
 def _those(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
-    """Rows of docs whose doc_id is (left_semi) or is not (left_anti) among `decided`."""
-    ids = decided.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), how)
+    """Rows of docs whose doc_id and text are (left_semi) or are not (left_anti) among `decided` (doc_id, text_key).
+
+    Rows that repeat both are decided alike; rows of one doc_id and other texts each by its own text.
+    """
+    keys = decided.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_key("text") == F.col("__key"))
+    return docs.join(keys, same, how)
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, as they are."""
+    """Documents that the rules keep, as they are. Null and empty texts fail on length; an empty table stays empty."""
     return _those(docs, quality_rules.quality_rules(docs).filter("kept"), "left_semi")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier one has; those left without a word go."""
-    found = line_dedup.line_dedup(docs)
-    left = found.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Documents without the lines that an earlier one has; those that lost lines and have no word left go.
+
+    n_chars, where there is such a column, follows the text. Null texts stay null.
+    """
+    columns = docs.columns
+    kept = {c: f"__{c}" for c in ("n_lines", "n_removed") if c in columns}  # the operator counts under these names
+    found = line_dedup.line_dedup(docs.withColumnsRenamed(kept))
+    gone = F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x20\x09-\x0D]") & (F.col("n_removed") > 0)
+    left = found.filter(~gone).drop("n_lines", "n_removed").withColumnsRenamed({v: k for k, v in kept.items()})
+    if "n_chars" in columns:
+        left = left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies; rows without a word or a doc_id stay."""
     return _those(docs, near_dedup.near_duplicates(docs).filter("kept"), "left_semi")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    found = decontamination.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return _those(docs, found.filter("contaminated"), "left_anti")
+    return _those(docs, decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"), "left_anti")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -227,15 +227,15 @@ def _checked(texts: DataFrame, n_docs: int, similarity: float):
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id, group_id and kept, one row per row of docs (doc_id long, text; other columns are not used).
+    """doc_id, text_key (md5 of the text), class_id, group_id and kept, one row per row of docs (doc_id long, text; other columns are not used).
 
     class_id is the least doc_id of the same text, group_id the least of the classes that links
-    join; kept is true for the group's least doc_id. Texts without words and null texts are in no
+    join; kept is true for the group's least doc_id (and, of its texts, the one of least md5). Texts without words and null texts are in no
     group and are kept, as are rows without a doc_id. Rows that repeat a doc_id and text are both
     kept or not; a doc_id with several texts counts once for each, and each row is in the group of
     its own text. All shingles of a text count, however long it is. An empty table gives an empty table.
     """
-    all_rows = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"))
+    all_rows = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("text_key"))
     worded = all_rows.filter(F.col("doc_id").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     classes = written(worded.groupBy("text_key").agg(F.min("doc_id").alias("class_id"), F.countDistinct("doc_id").alias("copies")), "classes")
     total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
@@ -254,20 +254,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     _, roots = leader_links(members, _checked(full, total, similarity), similarity)
     named = classes.select("text_key", "class_id", F.xxhash64("class_id", "text_key").alias("id")).join(roots, "id", "left")
     named = written(named.select("text_key", "class_id", F.coalesce("root", "id").alias("root")), "named")
-    groups = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    known = named.join(groups, "root").select("text_key", "class_id", "group_id")
+    groups = named.groupBy("root").agg(F.min(F.struct("class_id", "text_key")).alias("first"))
+    known = named.join(groups, "root").select("text_key", "class_id", F.col("first.class_id").alias("group_id"), F.col("first.text_key").alias("group_key"))
     found = all_rows.drop("text").join(known, "text_key", "left")
     alone = F.col("doc_id").isNull() | F.col("group_id").isNull()
     return found.select(
         "doc_id",
+        "text_key",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"),
-        (alone | (F.col("doc_id") == F.col("group_id"))).alias("kept"),
+        (alone | ((F.col("doc_id") == F.col("group_id")) & (F.col("text_key") == F.col("group_key")))).alias("kept"),
     )
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 QUERIES = {"op3_near_dedup": op3_near_dedup}

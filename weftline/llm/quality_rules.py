@@ -59,8 +59,11 @@ def _per_text(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _distinct_in_text(text: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     """Distinct hashes per text."""
-    keys = np.unique(utf8.mix(hashes + text.astype(np.uint64) * utf8.MIX_A) >> np.uint64(20) | (text.astype(np.uint64) << np.uint64(44)))
-    return np.bincount((keys >> np.uint64(44)).astype(np.int64), minlength=n)
+    order = np.lexsort((hashes, text))
+    t, h = text[order], hashes[order]
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (h[1:] != h[:-1])
+    return np.bincount(t[new], minlength=n)
 
 
 def base_counts(texts: utf8.Texts) -> tuple[dict[str, np.ndarray], utf8.Words, np.ndarray]:
@@ -201,9 +204,11 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def judge(docs: DataFrame, refs: dict, limits: Limits = Limits(), id_column: str = "doc_id") -> DataFrame:
-    """doc_id, the counts, base_failed, kept, class_distance, word_distance and reason for each row.
+    """doc_id, text_key (md5 of the text), the counts, base_failed, kept, class_distance, word_distance and reason for each row.
 
-    A null text has no words and fails on length. Where the document's language (null and '' are one)
+    Each row is judged by its own text, whole, however long: repeated rows and ids alike, null ids
+    too; other columns than doc_id, text and lang are not used. An empty table gives an empty table.
+    Of equally common words the one of the lesser hash is in the reference. A null text has no words and fails on length. Where the document's language (null and '' are one)
     has no reference, or under the length guards, a distance is null and rejects nothing. The word histogram is over the
     language's common words alone; a document without any of them has distance 1.
     """
@@ -239,6 +244,7 @@ def judge(docs: DataFrame, refs: dict, limits: Limits = Limits(), id_column: str
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(part.first, n),
+                        batch.column("text_key").slice(part.first, n),
                         *(pa.array(counts[c].astype(np.int64)) for c in COUNTS),
                         pa.array(short | repeats),
                         pa.array(reason == ""),
@@ -246,12 +252,12 @@ def judge(docs: DataFrame, refs: dict, limits: Limits = Limits(), id_column: str
                         pa.array(by_word, mask=~use_word),
                         pa.array(reason.astype(object), pa.string()),
                     ],
-                    names=[id_column, *COUNTS, "base_failed", "kept", "class_distance", "word_distance", "reason"],
+                    names=[id_column, "text_key", *COUNTS, "base_failed", "kept", "class_distance", "word_distance", "reason"],
                 )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"`{id_column}` {kind}, {', '.join(f'{c} bigint' for c in COUNTS)}, base_failed boolean, kept boolean, class_distance double, word_distance double, reason string"
-    return docs.select(F.col(id_column).alias("id"), "text", "lang").mapInArrow(run, schema)
+    schema = f"`{id_column}` {kind}, text_key string, {', '.join(f'{c} bigint' for c in COUNTS)}, base_failed boolean, kept boolean, class_distance double, word_distance double, reason string"
+    return docs.select(F.col(id_column).alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), "text", "lang").mapInArrow(run, schema)
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -262,7 +268,7 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 QUERIES = {"op4_quality_rules": op4_quality_rules}

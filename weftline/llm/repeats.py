@@ -11,8 +11,10 @@ exact substring operators, which differ in their unit (words or bytes) and in ho
    operator's suffix structure sorts their windows; each window's smallest document follows.
 4. Ranges found go back to their documents.
 
-A segment is compared by the pair of its gram's and its content's hash (96 bits and more); the
-suffix structures compare the bytes or words themselves.
+So hashes do most of the work: equal segments are recognised by hash (48 bits of the gram and 48 of
+the content, in one unit of input 64 bits of both together), and only windows whose 64-bit hash
+stands in two different segments reach the suffix structures. These compare bytes, and for words
+64-bit hashes of the words. See the README for what this departs from and why.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.llm import utf8
+from weftline.session import written
 
 #: Bytes of text whose segments are combined and sent together.
 UNIT_BYTES = 8 << 20
@@ -300,7 +303,7 @@ def _symbols(text: bytes, unit: str) -> np.ndarray:
 def repeated_ranges(docs: DataFrame, unit: str, window: int, gram: int, order: Order) -> DataFrame:
     """(doc_id, starts, sizes) of ranges covered by windows that also start in a smaller document.
 
-    Rows with a null doc_id have no order and are left out; a repeated doc_id counts as one document.
+    Rows with a null doc_id have no order and are left out; doc_ids must stand for one text each.
     """
     spark = docs.sparkSession
     size = docs.select(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -326,10 +329,24 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def with_ranges(docs: DataFrame, unit: str, window: int, gram: int, order: Order) -> DataFrame:
-    """doc_id, text and the ranges (null where there are none)."""
-    found = repeated_ranges(docs, unit, window, gram, order)
-    nameless = docs.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast(found.schema["ranges"].dataType).alias("ranges"))
-    return _texts(docs).join(found, "doc_id", "left").unionByName(nameless)
+    """doc_id, text and the ranges (null where there are none).
+
+    Ranges lie in one text, so a doc_id has to stand for one. Where some stand for several, documents
+    go by numbers in the order of (doc_id, md5 of the text) instead, equal rows by one number.
+    """
+    nameless = docs.filter(F.col("doc_id").isNull()).select("doc_id", "text")
+    named = docs.filter(F.col("doc_id").isNotNull())
+    if named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        found = repeated_ranges(docs, unit, window, gram, order)
+        rows = _texts(docs).join(found, "doc_id", "left")
+    else:
+        keyed = named.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+        # Sorted partitions in turn have rising numbers.
+        numbers = written(keyed.select("doc_id", "text_key").distinct().orderBy("doc_id", "text_key").withColumn("number", F.monotonically_increasing_id()), "numbers")
+        keyed = written(keyed.join(numbers, ["doc_id", "text_key"]).select("doc_id", "number", "text"), "numbered")
+        found = repeated_ranges(keyed.select(F.col("number").alias("doc_id"), "text").dropDuplicates(["doc_id"]), unit, window, gram, order)
+        rows = keyed.join(found.withColumnRenamed("doc_id", "number"), "number", "left").select("doc_id", "text", "ranges")
+    return rows.unionByName(nameless.withColumn("ranges", F.lit(None).cast(found.schema["ranges"].dataType)))
 
 
 def covered(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -62,8 +62,10 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
 
     Words are runs of bytes other than space and 0x09-0x0D. A word goes if a window of `window`
     words over it also starts in a document with a smaller id; kept words are joined by one space.
-    A null text has no words; a text shorter than the window keeps all. Rows with null doc_id
-    stay whole. Of equal rows with one doc_id each counts as the same document.
+    A null text has no words; a text shorter than the window keeps all. Rows with null doc_id stay
+    whole and take nothing from others. Rows that repeat a doc_id and text are one document; other
+    texts under a doc_id are documents of their own, in the order of their md5. Texts count whole,
+    however long; other columns are not used. An empty table gives an empty table.
     """
 
     def run(batches):

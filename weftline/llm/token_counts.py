@@ -105,7 +105,12 @@ def _counter(model_path: str) -> Counter:
 
 
 def token_counts(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_tokens, score for every row. A null or empty text has no tokens and score 0."""
+    """doc_id, n_tokens, score for every row. A null or empty text has no tokens and score 0.
+
+    Each row is counted by its own text, whole, however long: repeated rows and ids alike, null ids
+    too. Of equally good segmentations the tokenizer's rule decides (see Counter). Other columns are
+    not used; an empty table gives an empty table.
+    """
 
     def run(batches):
         counter = _counter(model_path)

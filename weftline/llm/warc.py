@@ -33,27 +33,37 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _uri(url: str | None, number: int) -> str:
+def _name(number: int | None) -> str:
+    """A record's URI; a row without an id gets a random one."""
+    return f"{RECORD}{number}" if number is not None else f"{RECORD}none:{uuid.uuid4()}"
+
+
+def _number(name: str) -> int | None:
+    bare = name.strip("<>").removeprefix(RECORD)
+    return None if bare.startswith("none:") else int(bare)
+
+
+def _uri(url: str | None, name: str) -> str:
     """Header values hold one line: white space and control characters are percent-encoded."""
-    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"{RECORD}{number}"
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else name
 
 
-def member(number: int, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE, level: int = 6) -> bytes:
+def member(number: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE, level: int = 6) -> bytes:
     """One record as a gzip member; with `refers_to` a revisit."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
+    block, name = http if refers_to is not None else http + payload, _name(number)
     head = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<{RECORD}{number}>",
+        "WARC-Record-ID": f"<{name}>",
         "WARC-Date": date,
-        "WARC-Target-URI": _uri(url, number),
+        "WARC-Target-URI": _uri(url, name),
         "WARC-Payload-Digest": f"sha1:{digest(payload)}",
         "WARC-Block-Digest": f"sha1:{digest(block)}",
         "Content-Type": "application/http; msgtype=response",
         "Content-Length": str(len(block)),
     }
     if refers_to is not None:
-        head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<{RECORD}{refers_to}>"}
+        head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<{_name(refers_to)}>"}
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n"
     pack = zlib.compressobj(level, zlib.DEFLATED, 31)
     return pack.compress(text.encode()) + pack.compress(block) + pack.compress(b"\r\n\r\n") + pack.flush()
@@ -129,14 +139,13 @@ def records(stream, payloads: bool = False) -> Iterator[dict]:
         if head["WARC-Type"] == "response":
             if f"sha1:{base64.b32encode(body.digest()).decode()}" != head["WARC-Payload-Digest"] or size != int(fields["Content-Length"]):
                 raise ValueError(f"payload digest of {head['WARC-Record-ID']} does not match")
-        number = lambda x: int(x.strip("<>").removeprefix(RECORD))
         yield {
-            "id": number(head["WARC-Record-ID"]),
+            "id": _number(head["WARC-Record-ID"]),
             "url": head["WARC-Target-URI"],
             "payload_bytes": int(fields["Content-Length"]),
             "payload_digest": head["WARC-Payload-Digest"].removeprefix("sha1:"),
             "record_type": head["WARC-Type"],
-            "refers_to": number(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None,
+            "refers_to": _number(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None,
             "payload": b"".join(kept) if payloads and head["WARC-Type"] == "response" else None,
         }
 
@@ -151,7 +160,7 @@ def with_responses(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
     last = keyed.filter(F.col("__size") >= min_bytes).groupBy("__key", "__size").agg(F.max("id").alias("__last"), F.count("*").alias("__n"))
     last = last.filter("__n > 1").select(F.col("__key").alias("__same"), "__last")
     joined = keyed.join(last, F.col("__key") == F.col("__same"), "left")
-    refers = F.when(F.col("__last") != F.col("id"), F.col("__last"))
+    refers = F.when(~F.col("id").eqNullSafe(F.col("__last")), F.col("__last"))
     return joined.select("id", "url", "payload", refers.alias("refers_to"))
 
 
@@ -226,8 +235,11 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
 def round_trip(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Archive pages(page_id, url, html) and read the archives back.
 
-    A null html is an empty payload, a null url gets the record's own URI. Page ids must not be
-    null; of repeated ids each row is a record of its own.
+    A null html is an empty payload, a null url gets the record's own URI. Each row is a record, also
+    where rows or ids repeat: rows that repeat the largest id of a payload are all responses. A row
+    without an id is read back without one; it revisits a page of the same payload that has an id,
+    and is never referred to. Payloads are kept whole, however long, other columns are not used.
+    An empty table gives an empty table.
     """
     rows = pages.select(F.col("page_id").alias("id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     archives = write_archives(with_responses(rows, min_bytes), folder)
