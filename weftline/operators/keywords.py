@@ -117,7 +117,7 @@ def cluster_scores(grouped: DataFrame, by: list[str], n_batches: DataFrame) -> D
         penalty(F.col("label"), F.col("support")).alias("penalty"),
     )
     weight = 0.45 * F.col("quality") + 0.35 * F.col("global_support") + 0.20 * F.col("batch_coverage") - 0.25 * F.col("penalty")
-    return scored.withColumn("weight", F.round(unit(weight), 6))
+    return scored.withColumn("weight", F.round(unit(weight).cast("decimal(28,12)"), 6).cast("double"))
 
 
 def section_keywords(scored: DataFrame, by: list[str], limit: int = 15) -> DataFrame:

@@ -31,7 +31,7 @@ g AS (SELECT p_brand, string_split(key, ' ')[-1] AS g, arg_min(text, (-n, -len(b
 t AS (SELECT *, max(support) OVER (PARTITION BY p_brand) AS most FROM g), b AS (SELECT p_brand, count(DISTINCT p_type) AS all_batches FROM part GROUP BY 1),
 w AS (SELECT p_brand, label, support, CAST(ws AS DOUBLE) / support AS quality, ln(1 + support) / ln(1 + most) AS global_support, batches / all_batches AS batch_coverage,
  CASE WHEN support <= 1 THEN 0.25 ELSE 0.0 END + CASE WHEN regexp_matches(label, '[0-9]') THEN 0.1 ELSE 0.0 END AS penalty FROM t JOIN b USING (p_brand)),
-f AS (SELECT *, round(greatest(0.0, least(1.0, 0.45 * quality + 0.35 * global_support + 0.20 * batch_coverage - 0.25 * penalty)), 6) AS weight FROM w)"""
+f AS (SELECT *, CAST(round(CAST(greatest(0.0, least(1.0, 0.45 * quality + 0.35 * global_support + 0.20 * batch_coverage - 0.25 * penalty)) AS DECIMAL(28,12)), 6) AS DOUBLE) AS weight FROM w)"""
 
 
 def _cluster_scores(spark, sf_dir):
@@ -43,9 +43,9 @@ def _cluster_scores(spark, sf_dir):
     return K.cluster_scores(grouped, ["p_brand"], batches)
 
 
-@query(f"WITH {_CLUSTERS} SELECT p_brand, label, CAST(support AS BIGINT) AS support, round(quality, 6) AS quality, round(batch_coverage, 6) AS batch_coverage, CAST(penalty AS DOUBLE) AS penalty, CAST(weight AS DOUBLE) AS weight FROM f")
+@query(f"WITH {_CLUSTERS} SELECT p_brand, label, CAST(support AS BIGINT) AS support, CAST(round(CAST(quality AS DECIMAL(28,12)), 6) AS DOUBLE) AS quality, round(batch_coverage, 6) AS batch_coverage, CAST(penalty AS DOUBLE) AS penalty, CAST(weight AS DOUBLE) AS weight FROM f")
 def cluster_scores(spark, sf_dir):
-    return _cluster_scores(spark, sf_dir).select("p_brand", "label", "support", F.round("quality", 6).alias("quality"), F.round("batch_coverage", 6).alias("batch_coverage"), F.round("penalty", 6).alias("penalty"), "weight")
+    return _cluster_scores(spark, sf_dir).select("p_brand", "label", "support", F.round(F.col("quality").cast("decimal(28,12)"), 6).cast("double").alias("quality"), F.round("batch_coverage", 6).alias("batch_coverage"), F.round("penalty", 6).alias("penalty"), "weight")
 
 
 @query(f"WITH {_CLUSTERS} SELECT p_brand, label, CAST(weight AS DOUBLE) AS weight, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY weight DESC, support DESC, batch_coverage DESC, label) AS INTEGER) AS rank FROM f QUALIFY rank <= 3")

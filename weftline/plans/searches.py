@@ -44,10 +44,10 @@ def of_category(spark, sf_dir):
     return S.of_category(docs, F.col("category"), ["basic_research", "unknown"]).select("doc_id")
 
 
-@query("""WITH s AS (SELECT o_custkey, o_orderkey, round(o_totalprice / 600000, 6) AS score FROM orders), b AS (SELECT o_custkey, max(score) AS best FROM s GROUP BY 1)
+@query("""WITH s AS (SELECT o_custkey, o_orderkey, o_totalprice / 600000 AS score FROM orders), b AS (SELECT o_custkey, max(score) AS best FROM s GROUP BY 1)
 SELECT o_orderkey, score FROM s JOIN b USING (o_custkey) WHERE score >= greatest(0.2, round(best - 0.12, 9))""")
 def near_best(spark, sf_dir):
-    scored = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") / 600000, 6).alias("score"))
+    scored = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_totalprice") / 600000).alias("score"))
     return S.near_best(scored, ["o_custkey"], "score").select("o_orderkey", "score")
 
 
