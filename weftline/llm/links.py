@@ -1,10 +1,11 @@
 """Links between items that share band keys, and the components that the links make.
 
-Nothing is collected and a bucket of like members is not expanded into pairs: in the first round
-every member of a bucket is held against one leader, and those that are not linked to it go on to
-the next round under about GROWTH times as many leaders, so that rounds grow with the logarithm of
-the number of different kinds in a bucket. Members linked to one leader are in one component, so
-pairs among them add nothing.
+Nothing is collected, and a bucket of like members is not expanded into pairs. First every member of
+a bucket is held against one leader, the member that shares the most buckets with others: in a group
+of variants that is mostly the text they stem from. Then about FIRST members of each component of a
+bucket meet the members that are not in it. In the end all pairs of one bucket that are still in
+different components are held against each other, so that no link between components is lost; pairs
+inside a component would add nothing.
 
 Sharing a bucket is a weak sign: most pairs there are unlike. So each item carries a sketch, 4 bits
 of each of SLOTS samples, and a pair whose sketches agree in too few slots for the wanted
@@ -12,9 +13,8 @@ similarity goes no further; the join that makes the pairs counts this. Only the
 against each other by their whole texts, which alone decides. `threshold` bounds what the sketch
 loses; items without a sketch (null) always pass.
 
-Pairs parted by a leader (one member linked to it, the other not) that are in different components
-after the rounds then meet by their sketches too, and those that pass are checked.
-Hot buckets only meet in joins (which adaptive execution splits) and in combining aggregates.
+Hot buckets only meet in joins (which adaptive execution splits) and in combining aggregates. A
+bucket of many members that are alike enough for the sketch, but not linked, costs their pairs.
 """
 
 from __future__ import annotations
@@ -28,14 +28,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from weftline.llm import utf8
 from weftline.session import forget, written
 
-GROWTH = 8
+#: Members of a bucket's component that meet the others of the bucket before all do.
 FIRST = 16
 #: Samples of a sketch, 4 bits each, in two integers.
 SLOTS = 32
 #: Probability with which a pair of just the wanted similarity fails by its sketches.
 LOSS = 1e-3
-#: Parted pairs whose leader is farther than this share of the way are not looked for.
-PARTED = 0.6
 
 
 def sketch(samples: np.ndarray) -> np.ndarray:
@@ -72,62 +70,36 @@ def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     members: (key, id, s0, s1). `verify` takes pairs (a, b) and returns those that are alike. The
     links join what all links of pairs in a bucket would join, but are not all of them.
     """
-    wanted, near = threshold(similarity), threshold(PARTED)
-    kind = members.schema["id"].dataType
-    links = members.select(F.col("id").cast(kind).alias("a"), F.col("id").cast(kind).alias("b")).filter(F.lit(False))
-    rounds: DataFrame | None = None
-    turn = 0
-    ends = (F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-    while True:
-        # The order of leaders is one for all buckets: like items that share many buckets are held against the same leader.
-        place = F.xxhash64("id", F.lit(turn))
-        sizes = members.groupBy("key").agg(F.min(F.struct(place.alias("place"), "id"))["id"].alias("first"), F.count("*").alias("n")).filter("n > 1")
-        share = F.pmod(place, F.lit(1 << 20)) * F.col("n") < F.lit(GROWTH**turn << 20)
-        chosen = F.col("id") == F.col("first")
-        leaders = members.join(sizes, "key").filter(chosen | share if turn else chosen)
-        leaders = written(leaders.select("key", F.col("id").alias("leader"), F.col("s0").alias("t0"), F.col("s1").alias("t1")), "leaders")
-        if leaders.isEmpty():
-            break
-        met = members.join(leaders, "key").filter(F.col("id") != F.col("leader")).withColumn("agree", agreement(("s0", "s1"), ("t0", "t1")))
-        met = written(met.filter(F.col("agree") >= near).select("key", "id", "s0", "s1", "leader", "agree", *ends), "met")
-        found = written(verify(met.filter(F.col("agree") >= wanted).select("a", "b").distinct()), "found")
-        links = links.unionByName(found)
-        # Pairs meet in several buckets, but under one order of leaders: they are kept once. Leaders have met all others.
-        pairs = met.drop("key").distinct().join(found.withColumn("linked", F.lit(True)), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-        close = written(pairs.drop("a", "b"), "close")
-        rounds = close if rounds is None else rounds.unionByName(close)
-        done = met.join(found, ["a", "b"], "left_semi").select("key", "id").unionByName(leaders.select("key", F.col("leader").alias("id")))
-        left = written(members.join(done, ["key", "id"], "left_anti"), "members")
-        forget(met, leaders, *([members] if turn else []))
-        members, turn = left, turn + 1
-    links = written(links.distinct(), "links")
+    wanted = threshold(similarity)
+    alike = agreement(("s0", "s1"), ("t0", "t1")) >= wanted
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    counted = written(members.join(sizes, "key"), "counted")
+    degrees = counted.groupBy("id").agg(F.sum("n").alias("degree"))
+    own = written(counted.drop("n").join(degrees, "id"), "members")
+    forget(counted)
+    leaders = own.groupBy("key").agg(F.min_by(F.struct("id", "s0", "s1"), F.struct(-F.col("degree"), "id")).alias("x"))
+    leaders = leaders.select("key", F.col("x.id").alias("other"), F.col("x.s0").alias("t0"), F.col("x.s1").alias("t1"))
+    met = own.join(leaders, "key").filter((F.col("id") != F.col("other")) & alike)
+    links = written(verify(written(_pairs(met), "pairs")), "links")
     roots = components(links)
-    # First about FIRST of those like a leader, which join groups with many links; then all others.
-    for first in (True, False) if rounds is not None else ():
-        more = written(verify(written(_parted(rounds, roots, wanted, first), "parted")), "more")
+    for all_members in (False, True):
+        full = own.join(roots.withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        full = written(full.select("key", "id", "s0", "s1", "comp"), "members")
+        side = full
+        if not all_members:
+            shares = full.groupBy("key", "comp").agg(F.count("*").alias("n")).filter("n > 1")
+            side = full.join(shares, ["key", "comp"]).filter(F.pmod(F.xxhash64("key", "id"), F.lit(1 << 20)) * F.col("n") < F.lit(FIRST << 20))
+        side = side.select("key", F.col("id").alias("other"), F.col("s0").alias("t0"), F.col("s1").alias("t1"), F.col("comp").alias("other_comp"))
+        apart = (F.col("comp") != F.col("other_comp")) & ((F.col("id") < F.col("other")) | F.lit(not all_members))
+        more = written(verify(written(_pairs(full.join(side, "key").filter(apart & alike)), "pairs")), "more")
         if not more.isEmpty():
             links = written(links.unionByName(more).distinct(), "links")
             roots = components(links)
     return links, roots
 
 
-def _parted(close: DataFrame, roots: DataFrame, wanted: int, first: bool) -> DataFrame:
-    """Pairs (a, b) that a round parted and that may yet be alike and join two components.
-
-    Whoever met a leader, was not linked to it and is in another component is a pair with each of the
-    leader's linked members, if their sketches agree enough.
-    Pairs with a leader have been verified. `first` takes the about FIRST members of a leader, else the rest.
-    """
-    outer = close.filter("not linked").select("leader", F.col("id").alias("outer"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
-    for one in ("outer", "leader"):
-        outer = outer.join(roots.select(F.col("id").alias(one), F.col("root").alias(f"{one}_root")), one, "left")
-    outer = outer.filter(F.coalesce("outer_root", "outer") != F.coalesce("leader_root", "leader")).select("leader", "outer", "t0", "t1").distinct()
-    inner = close.filter("linked").select("leader", F.col("id").alias("inner"), "s0", "s1").distinct()
-    share = F.pmod(F.xxhash64("leader", "inner"), F.lit(1 << 20)) * F.col("n") < F.lit(FIRST << 20)
-    sizes = inner.groupBy("leader").agg(F.count("*").alias("n"))
-    inner = inner.join(sizes, "leader").filter(share if first else ~share).drop("n")
-    pairs = inner.join(outer, "leader").filter((F.col("inner") != F.col("outer")) & (agreement(("s0", "s1"), ("t0", "t1")) >= wanted))
-    return pairs.select(F.least("inner", "outer").alias("a"), F.greatest("inner", "outer").alias("b")).distinct()
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
