@@ -107,7 +107,7 @@ def test_quality_rules_counts(docs):
 def test_decontamination(spark, docs):
     passage = " ".join(documents()[20][1].split()[3:25])
     items = spark.createDataFrame([("a", passage), ("b", None), ("c", ""), ("d", "one"), ("d", "one")], "item_id string, text string")
-    got = {r["doc_id"]: r for r in decontamination.decontaminate(docs.select("doc_id", "text"), items).collect()}
+    got = {r["doc_id"]: r for r in decontamination.decontaminate(docs, items).collect()}
     assert got[20]["items"] == ["a"] and len(got[20]["hits"]) == 22 and got[20]["contaminated"]
     assert got[55]["items"] == ["d"] and not got[52]["contaminated"] and len(got) == len(documents())
 
@@ -155,6 +155,6 @@ def test_empty_tables(none, spark):
     assert line_dedup.line_dedup(none).count() == 0
     assert near_dedup.near_duplicates(none).count() == 0
     assert quality_rules.quality_rules(none).count() == 0
-    assert decontamination.decontaminate(none.select("doc_id", "text"), items).count() == 0
+    assert decontamination.decontaminate(none, items).count() == 0
     assert packing.pack_documents(none).count() == 0
     assert quality_classifier.classify(none, marks).count() == 0
