@@ -10,8 +10,7 @@ from weftline.session import shared_dir, table
 from weftline.sources import files as S
 
 
-@query("""SELECT p_partkey AS opportunity_id, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN 'summary' ELSE 'hit' END AS agency, p_retailprice AS award_ceiling, p_type AS summary, p_brand || ',x' AS categories FROM (SELECT * REPLACE ('id ' || p_partkey AS p_partkey), p_partkey AS k FROM part) t(p_partkey, p_name, p_brand, p_type, p_size, p_retailprice, k) WHERE FALSE
-UNION ALL SELECT 'id ' || p_partkey, p_name, CASE WHEN p_partkey % 2 = 0 THEN 'summary' ELSE 'hit' END, p_retailprice, p_type || ' & more', p_brand || ',x' FROM part WHERE p_partkey % 7 > 0""")
+@query("""SELECT 'id ' || p_partkey AS opportunity_id, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN 'summary' ELSE 'hit' END AS agency, p_retailprice AS award_ceiling, p_type || ' & more' AS summary, p_brand || ',x' AS categories FROM part WHERE p_partkey % 7 > 0""")
 def opportunity_rows(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     hit = F.to_json(F.struct(F.when(F.col("p_partkey") % 7 > 0, F.concat(F.lit("id "), F.col("p_partkey").cast("string"))).alias("opportunity_id"), F.col("p_name").alias("opportunity_title"), F.lit("hit").alias("agency_name"), F.col("p_retailprice").alias("award_ceiling")))
