@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontamination, line_dedup, near_dedup, packing, quality_classifier, quality_rules, suffix_arrays, suffix_trees, token_counts, warc
+from weftline.llm import centroids, decontamination, line_dedup, near_dedup, packing, quality_classifier, quality_rules, sharding, spelling, suffix_arrays, suffix_trees, token_counts, warc
 
-MODULES = (line_dedup, token_counts, near_dedup, quality_rules, suffix_trees, quality_classifier, decontamination, suffix_arrays, packing, warc)
+MODULES = (line_dedup, token_counts, near_dedup, quality_rules, suffix_trees, quality_classifier, decontamination, suffix_arrays, packing, warc, sharding, centroids, spelling)
 
 
 def queries() -> dict:
