@@ -230,21 +230,40 @@ def one_of(text: Column, allowed: dict[str, str], default: str | None = None) ->
 
 
 def json_object(text: Column) -> Column:
-    """The first {...} of a noisy answer without its code fence; the text itself if there is none."""
-    bare = F.regexp_replace(F.trim(text), r"(?s)^```[a-zA-Z]*\s*|\s*```$", "")
-    found = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    return F.when(found != "", found).otherwise(text)
+    """The first JSON object of a noisy answer; the text itself if none begins there or it does not end or parse.
+
+    A fold over brackets, quotes and escapes: brackets within strings do not count, and what follows
+    the object's end is left alone. A code fence before it is skipped like any other text.
+    """
+    body = F.substring(text, F.locate("{", text), F.char_length(text))
+    parts = F.regexp_extract_all(body, F.lit(r'(?s)\\.|"|[{}]|[^\\"{}]+|\\'), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("length"), F.lit(False).alias("over"))
+
+    def step(at: Column, part: Column) -> Column:
+        depth = at["depth"] + F.when(at["quoted"], 0).when(part == "{", 1).when(part == "}", -1).otherwise(0)
+        moved = F.struct(depth.alias("depth"), F.when(part == '"', ~at["quoted"]).otherwise(at["quoted"]).alias("quoted"), (at["length"] + F.char_length(part)).alias("length"), (depth == 0).alias("over"))
+        return F.when(at["over"], at).otherwise(moved)
+
+    def found(end: Column) -> Column:
+        whole = F.substring(body, F.lit(1), end["length"])
+        return F.when(end["over"] & F.try_parse_json(whole).isNotNull(), whole).otherwise(text)
+
+    return F.when(F.locate("{", text) > 0, _let(F.aggregate(parts, start, step), found)).otherwise(text)
 
 
 def joined_once(texts: Column, between: str = "\n\n") -> Column:
-    """Texts joined, each once by its lower-cased, single-spaced form; blanks go."""
+    """Texts joined, each once by its lower-cased, single-spaced form; blanks go.
+
+    Each text is normalised once; sorted by form and place, a form's first text stands after another form's.
+    """
     clean = F.filter(F.transform(texts, lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != "")
+    keyed = F.array_sort(F.transform(clean, lambda x, i: F.struct(F.lower(one_space(x)).alias("key"), i.alias("place"), x.alias("text"))))
 
-    def first(all_of: Column) -> Column:
-        keys = F.transform(all_of, lambda x: F.lower(one_space(x)))
-        return _let(keys, lambda k: F.array_join(F.filter(all_of, lambda x, i: F.array_position(k, F.lower(one_space(x))) == i + 1), between))
+    def firsts(rows: Column) -> Column:
+        first = F.filter(rows, lambda r, i: (i == 0) | (r["key"] != F.get(rows, i - 1)["key"]))
+        return F.array_join(F.transform(F.array_sort(F.transform(first, lambda r: F.struct(r["place"], r["text"]))), lambda r: r["text"]), between)
 
-    return _let(clean, first)
+    return _let(keyed, firsts)
 
 
 def search_text(*parts: Column) -> Column:

@@ -1,9 +1,7 @@
-"""How far people cover weighted requirements, match rows, and teams that cover the most."""
+"""How far people cover weighted requirements, match rows and gaps."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 THRESHOLD = 0.30
@@ -96,56 +94,6 @@ def pool(scores: DataFrame, size: int) -> DataFrame:
     return scores.withColumn("__rank", rank).filter(F.col("__rank") <= size).drop("__rank")
 
 
-def best_teams(covered: DataFrame, size: int, n: int = 1, required: list[int] | None = None, scores: DataFrame | None = None) -> DataFrame:
-    """(goal, team, score, rank): the n teams of `size` people whose best coverage per requirement weighs most.
-
-    covered: (goal, person, idx, weight, c), sections being part of idx. Required people come first,
-    in their given order; ties go by the team's list. A goal without one of them makes the query
-    fail, as a wish that cannot be met. With `scores` (goal, person, score) a team's score is 0.7 of
-    its share of the greatest possible coverage and 0.3 of its members' mean score (0 for unknown
-    ones). A team of more people than there are is one of all. All teams are compared: each goal's
-    people should be a bounded pool (see `pool`).
-    """
-    first = list(dict.fromkeys(required or []))
-    if size < len(first):
-        raise ValueError("size must be at least the number of required people")
-    vectors = covered.groupBy("goal", "person").agg(F.sort_array(F.collect_list(F.struct("idx", "weight", "c"))).alias("v"))
-    if scores is not None:
-        vectors = vectors.join(scores.select("goal", "person", F.col("score").alias("own")), ["goal", "person"], "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
-    else:
-        vectors = vectors.withColumn("own", F.lit(0.0))
-    fixed = F.array(*map(F.lit, first)).cast("array<bigint>") if first else F.array().cast("array<bigint>")
-    here = F.sort_array(F.collect_list(F.when(F.col("person").isin(first), F.struct("person", "v", "own")))) if first else F.array()
-    groups = vectors.groupBy("goal").agg(F.transform(F.first("v"), lambda x: F.struct(x["idx"], x["weight"], F.lit(0.0).alias("c"))).alias("best"), F.count("*").alias("n_people"), here.alias("fixed"))
-    if first:
-        lacks = F.raise_error(F.concat(F.lit("a required person is missing for "), F.col("goal").cast("string"))).cast("boolean")
-        groups = groups.filter(F.when(F.size("fixed") < len(first), lacks).otherwise(F.lit(True)))
-
-    def top(a, b):
-        return F.zip_with(a, b, lambda x, y: F.struct(x["idx"].alias("idx"), x["weight"].alias("weight"), F.greatest(x["c"], y["c"]).alias("c")))
-
-    start = F.aggregate("fixed", F.col("best"), lambda best, x: top(best, x["v"])) if first else F.col("best")
-    own = F.aggregate("fixed", F.lit(0.0), lambda s, x: s + x["own"]) if first else F.lit(0.0)
-    teams = groups.select("goal", fixed.alias("team"), F.lit(None).cast("bigint").alias("last"), start.alias("best"), own.alias("own"), "n_people")
-    rest = vectors.filter(~F.col("person").isin(first)) if first else vectors
-    rest = rest.withColumnRenamed("own", "more")
-
-    def grown(now: DataFrame, _: int) -> DataFrame:
-        full = now.filter(F.size("team") >= F.col("n_people"))
-        met = now.filter(F.size("team") < F.col("n_people")).join(rest, "goal").filter(F.col("last").isNull() | (F.col("person") > F.col("last")))
-        longer = met.select("goal", F.concat("team", F.array("person")).alias("team"), F.col("person").alias("last"), top(F.col("best"), F.col("v")).alias("best"), (F.col("own") + F.col("more")).alias("own"), "n_people")
-        return longer.unionByName(full)
-
-    teams = reduce(grown, range(size - len(first)), teams)
-    total = lambda value: F.aggregate("best", F.lit(0).cast(EXACT), lambda s, x: (s + (x["weight"] * value(x)).cast(EXACT)).cast(EXACT)).cast("double")
-    score = total(lambda x: x["c"])
-    if scores is not None:
-        most = F.coalesce(F.nullif(total(lambda x: F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
-        score = BLEND[0] * score / most + BLEND[1] * F.col("own") / F.greatest(F.size("team"), F.lit(1))
-    ranked = teams.select("goal", "team", F.round(score, 6).alias("score"))
-    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("goal").orderBy(F.desc("score"), "team"))).filter(F.col("rank") <= n)
-
-
 def zero_filled(held: DataFrame, requirements: DataFrame, people: DataFrame) -> DataFrame:
     """(goal, person, idx, weight, c) for all people: 0 for whoever has no row for a requirement."""
     full = people.join(requirements, "goal")

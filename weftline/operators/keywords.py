@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftline.functions import text as T
 from weftline.functions.graph import components
-from weftline.operators.vectors import pairs_over
+from weftline.operators.vectors import links_over
 
 SECTIONS = ("research", "application")
 
@@ -81,8 +81,8 @@ def clusters(found: DataFrame, vectors: DataFrame, by: list[str], threshold: flo
     falling, then by their first mention; the cluster goes by its first member's key.
     """
     numbered = found.select(*by, "key", F.xxhash64(*by, "key").alias("id"))
-    links = pairs_over(numbered.join(vectors, [*by, "key"]), "id", "vector", threshold, by)
-    roots = components(links.select("a", "b"))
+    links = links_over(numbered.join(vectors, [*by, "key"]), "id", "vector", threshold, by)
+    roots = components(links)
     member = F.struct((-F.col("n")).alias("less_n"), (-F.size("batches")).alias("less_batches"), (-F.col("max_weight")).alias("less_weight"), "pos", "key", "text", "n", "batches", "weight_sum", "max_weight")
     grouped = found.join(numbered, [*by, "key"]).join(roots, "id", "left").groupBy(*by, F.coalesce("root", "id").alias("root"))
     listed = grouped.agg(F.array_sort(F.collect_list(member)).alias("members"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 
 # ---- reading
@@ -26,6 +26,35 @@ def page(df: DataFrame, by: str, limit: int, offset: int) -> DataFrame:
     return df.orderBy(by).offset(max(0, offset)).limit(min(200, max(1, limit)))
 
 
+def page_after(df: DataFrame, keys: list[str], after: tuple | None, limit: int) -> DataFrame:
+    """The first `limit` rows whose keys come after those of a page's last row, in order of the keys (null: from the start).
+
+    The keys together are unique and not null. The condition on the first key reaches the
+    scan, so that on sorted files (see `sorted_files`) row groups and files before it are not read;
+    nothing is skipped by counting.
+    """
+    if after is not None:
+        later = F.lit(False)
+        for i in reversed(range(len(keys))):
+            later = (F.col(keys[i]) > F.lit(after[i])) | ((F.col(keys[i]) == F.lit(after[i])) & later)
+        df = df.filter((F.col(keys[0]) >= F.lit(after[0])) & later)
+    return df.orderBy(*keys).limit(limit)
+
+
+def pages(df: DataFrame, keys: list[str], limit: int) -> Iterator[list[Row]]:
+    """A cursor: all rows in pages of at most `limit`, one page at the driver at a time; each seeks after the last key."""
+    after = None
+    while found := page_after(df, keys, after, limit).collect():
+        yield found
+        after = tuple(found[-1][k] for k in keys)
+
+
+def sorted_files(df: DataFrame, keys: list[str], path: str, n_files: int) -> DataFrame:
+    """df written in ranges of its keys, each file sorted, and read back: what `page_after` seeks in."""
+    df.repartitionByRange(n_files, *keys).sortWithinPartitions(*keys).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def lookup(df: DataFrame, **values) -> DataFrame:
     """The row whose columns have these values, at most one: the least of several by all columns."""
     for name, value in values.items():
@@ -118,6 +147,36 @@ def batches(df: DataFrame, group: list[str], order: list[str], size: Column, lim
     return rows.select(*group, *(F.col(f"x.__rows.{c}").alias(c) for c in order), F.col("x.__of").alias("batch"))
 
 
+def by_turns(df: DataFrame, group: list[str], source: str, order: list[str], text: str, limit: int) -> DataFrame:
+    """(group, place, source, turn, text): contents taken from the sources of a group by turns, under one budget.
+
+    Each source has its own cursor. A turn offers the next content of every source; blank ones and
+    those that no longer fit are passed over, and a turn that adds nothing is the last. A content
+    costs its length as a JSON string and one more. Every turn that adds something uses four
+    of the budget at least, so later turns than that allows are left out before the fold: a
+    group's list holds at most limit / 4 contents of a source.
+    """
+    turn = F.row_number().over(Window.partitionBy(*group, source).orderBy(*order)) - 1
+    body = F.trim(F.coalesce(F.col(text), F.lit("")))
+    cost = F.char_length(F.to_json(F.struct(body.alias("t")))) - 5
+    rows = df.withColumn("__turn", turn).filter(F.col("__turn") <= limit // 4)
+    item = F.struct(F.col("__turn").alias("turn"), F.col(source).alias("source"), body.alias("text"), cost.cast("bigint").alias("cost"))
+    lists = rows.groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias("__items"))
+    state = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("turn"), F.lit(False).alias("grew"), F.lit(False).alias("over"), F.array().cast("array<int>").alias("taken"))
+
+    def step(s: Column, x: Column) -> Column:
+        new = x["turn"] != s["turn"]
+        over = s["over"] | (new & ~s["grew"])
+        fits = ~over & (x["text"] != "") & (s["used"] + x["cost"] <= limit)
+        grew = fits | (s["grew"] & ~new)
+        return F.struct((s["used"] + F.when(fits, x["cost"]).otherwise(0)).alias("used"), x["turn"].alias("turn"), grew.alias("grew"), over.alias("over"), F.concat(s["taken"], F.array(fits.cast("int"))).alias("taken"))
+
+    folded = lists.withColumn("__taken", F.aggregate("__items", state, step)["taken"])
+    kept = F.filter(F.arrays_zip("__items", "__taken"), lambda x: x["__taken"] == 1)
+    out = folded.select(*group, F.posexplode(kept).alias("place", "x"))
+    return out.select(*group, "place", F.col("x.__items.source").alias(source), F.col("x.__items.turn").alias("turn"), F.col("x.__items.text").alias(text))
+
+
 def in_all(df: DataFrame, item: str, owner: str, order: str | None = None, first: Column | None = None) -> DataFrame:
     """The items that every owner has; with `order` and `first` (which rows are the first owner's) also that owner's order."""
     owners = df.agg(F.countDistinct(owner).alias("owners"))
@@ -269,22 +328,31 @@ def year_range(df: DataFrame, year: Column, now: Column, back: int = 25) -> Data
     return found.select(first.alias("first"), F.sequence(F.greatest(now, F.coalesce("high", now)), first, F.lit(-1)).alias("options"))
 
 
+#: Ranks are sought between the approximate percentiles this far on either side; those err by a tenth of it at most.
+RANK_MARGIN = 0.001
+
+
 def latency(df: DataFrame, group: str, value: str) -> DataFrame:
-    """mean, median, nearest-rank p95, min, max and population deviation per group.
+    """mean, median, nearest-rank p95, min, max and population deviation per group, null values aside.
 
-    Equal values are counted first, and the ranks come from running counts over (group, value), so
-    that no task holds a group's values.
+    A first pass combines sketches of each group's values, a second counts the values below two
+    narrow ranges that hold the ranks sought, and only what lies in these ranges is sorted: some
+    thousandths of a group's different values, equal ones being counted first.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("__n"))
-    own = Window.partitionBy(group)
-    placed = counted.withColumns({"__upto": F.sum("__n").over(own.orderBy(value)), "__all": F.sum("__n").over(own)})
-    upto, all_of = F.col("__upto"), F.col("__all")
-    at = lambda rank: F.min(F.when(upto >= rank, F.col(value)))
-    ranked = placed.groupBy(group).agg(
-        F.max("__all").alias("n"),
-        at(F.floor((all_of + 1) / 2)).alias("__low"),
-        at(F.floor(all_of / 2) + 1).alias("__high"),
-        at(F.ceil(all_of * F.lit(0.95).cast("decimal(3,2)"))).alias("p95"),
+    rows = df.filter(F.col(value).isNotNull()).select(group, F.col(value).alias("__v"))
+    at = [0.5 - RANK_MARGIN, 0.5 + RANK_MARGIN, 0.95 - RANK_MARGIN, 0.95 + RANK_MARGIN]
+    edges = rows.groupBy(group).agg(F.percentile_approx("__v", at, int(10 / RANK_MARGIN)).alias("__e"), F.count("*").alias("__all"))
+    met = rows.join(edges, group)
+    v, e = F.col("__v"), F.col("__e")
+    below = met.groupBy(group).agg(F.max("__all").alias("n"), F.count_if(v < e[0]).alias("__under0"), F.count_if(v < e[2]).alias("__under1"))
+    inside = F.array_compact(F.array(F.when(v.between(e[0], e[1]), 0), F.when(v.between(e[2], e[3]), 1)))
+    counted = met.select(group, "__v", F.explode(inside).alias("__range")).groupBy(group, "__range", "__v").agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(group, "__range").orderBy("__v"))
+    placed = counted.withColumn("__in", upto).join(below, group).withColumn("__upto", F.col("__in") + F.when(F.col("__range") == 0, F.col("__under0")).otherwise(F.col("__under1")))
+    seek = lambda number, rank: F.min(F.when((F.col("__range") == number) & (F.col("__upto") >= rank), v))
+    n = F.col("n")
+    ranked = placed.groupBy(group, "n").agg(
+        seek(0, F.floor((n + 1) / 2)).alias("__low"), seek(0, F.floor(n / 2) + 1).alias("__high"), seek(1, F.ceil(n * F.lit(0.95).cast("decimal(3,2)"))).alias("p95")
     )
     sums = df.groupBy(group).agg(F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.stddev_pop(value), 6).alias("deviation"))
     together = sums.join(ranked, group, "left")

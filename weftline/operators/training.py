@@ -8,17 +8,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def candidates(scored: DataFrame, by: list[str], item: str, top: int, hard: int, random: int, seed: int) -> DataFrame:
-    """(by, item, score, kind): for each query the `top` best, the `hard` next ones and `random` others.
+def candidates(scored: DataFrame, by: list[str], item: str, top: int, hard: int, random: int, seed: int, most: int = 0) -> DataFrame:
+    """(by, item, score, kind, place): for each query the `top` best, the `hard` next ones and `random` others, in this order.
 
-    Others are drawn by hash of the seed, so that the same rows come again; queries of one item drop out.
+    Others are drawn by hash of the seed, so that the same rows come again. A query with fewer than two
+    is filled up to two by the best of the rest (kind backfill); one that has but one item drops out. `most`
+    keeps that many of each query, two at least; 0 keeps all.
     """
     own = Window.partitionBy(*by)
-    placed = scored.withColumn("__place", F.row_number().over(own.orderBy(F.desc("score"), item))).withColumn("__n", F.count("*").over(own))
-    kind = F.when(F.col("__place") <= top, "top").when(F.col("__place") <= top + hard, "hard").otherwise("random")
-    kinds = placed.filter("__n >= 2").withColumn("kind", kind)
-    drawn = kinds.withColumn("__draw", F.row_number().over(Window.partitionBy(*by, "kind").orderBy(F.xxhash64(F.lit(seed), item), item)))
-    return drawn.filter((F.col("kind") != "random") | (F.col("__draw") <= random)).select(*by, item, "score", "kind")
+    placed = scored.withColumn("__place", F.row_number().over(own.orderBy(F.desc("score"), item))).withColumn("__n", F.count("*").over(own)).filter("__n >= 2")
+    kind = F.when(F.col("__place") <= top, "top").when(F.col("__place") <= top + hard, "hard")
+    kinds = placed.withColumn("kind", kind)
+    draw = F.row_number().over(Window.partitionBy(*by, "kind").orderBy(F.xxhash64(F.lit(seed), item), item))
+    kinds = kinds.withColumn("__draw", F.when(F.col("kind").isNull(), draw))
+    kinds = kinds.withColumn("kind", F.coalesce("kind", F.when(F.col("__draw") <= random, "random")))
+    chosen = F.count("kind").over(own)
+    left = F.row_number().over(Window.partitionBy(*by, F.col("kind").isNull()).orderBy("__place"))
+    kinds = kinds.withColumns({"__chosen": chosen, "__left": left})
+    kinds = kinds.withColumn("kind", F.coalesce("kind", F.when(F.col("__left") <= 2 - F.col("__chosen"), "backfill"))).filter("kind IS NOT NULL")
+    turn = F.when(F.col("kind") == "random", F.col("__draw")).otherwise(F.col("__place"))
+    ordered = kinds.withColumn("place", F.row_number().over(own.orderBy(F.array_position(F.array(*map(F.lit, ("top", "hard", "random", "backfill"))), F.col("kind")), turn)))
+    return (ordered.filter(F.col("place") <= max(2, most)) if most > 0 else ordered).select(*by, item, "score", "kind", "place")
 
 
 def ranks(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
@@ -53,6 +63,13 @@ def common_dimension(df: DataFrame, by: list[str], vector: str) -> DataFrame:
     return counts.groupBy(*by).agg((-F.max(F.struct("n", (-F.col("dim")).alias("less")))["less"]).alias("dim"))
 
 
+def shared_dimension(left: DataFrame, right: DataFrame, vector: str) -> DataFrame:
+    """(dim): the length that vectors of both sides have, by the greatest product of their numbers, then sum, then length; no row if none is shared."""
+    count = lambda df, n: df.filter(F.size(vector) > 0).groupBy(F.size(vector).alias("dim")).agg(F.count("*").alias(n))
+    met = count(left, "a").join(count(right, "b"), "dim")
+    return met.agg(F.max(F.struct((F.col("a") * F.col("b")).alias("product"), (F.col("a") + F.col("b")).alias("sum"), "dim")).alias("x")).filter("x IS NOT NULL").select("x.dim")
+
+
 def fuzzy_matches(rows: DataFrame, by: list[str], title: str, candidate: str, least: float = 0.85, first: int = 3) -> DataFrame:
     """(by, title, candidate, place): the first of the first few candidates (by `place`) whose matching blocks make up `least` of both titles."""
 

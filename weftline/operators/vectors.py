@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from weftline.session import forget, written
+
 #: Vectors of the query side that one task holds; more queries are taken in blocks.
 BLOCK = 2048
-#: Bytes up to which the query side is sent to all tasks at once.
-SMALL_BYTES = 8 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -83,12 +85,140 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, floor: float, skip_equal
     return met.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+#: Rows of a block of vectors, and the bytes it may have at most.
+BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
+#: A tile compares this many blocks with as many others at a time.
+TILE = 8
+#: Added to an angle's bound: far above what rounding can take from it.
+SLACK = 1e-6
+
+
+def _unit_rows(column: pa.Array) -> np.ndarray:
+    """Lists of one length as rows at length 1; zero rows stay."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    norm = np.sqrt((x * x).sum(1))
+    return x / np.where(norm <= 1e-12, 1, norm)[:, None]
+
+
+def _list_rows(rows: np.ndarray) -> pa.Array:
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(rows.reshape(-1), pa.float64()))
+
+
+def _blocked(rows: DataFrame) -> DataFrame:
+    """(key, block, ids, x, centre, radius): the vectors of rows(key, id, x) in blocks of near ones.
+
+    A key with more rows than a block takes as many pivots, one from each class of a hash, and each row
+    goes to the nearest; what comes to one pivot is cut into blocks by hash. x holds the rows one after
+    another at length 1, the radius is the greatest angle between a row and the centre.
+    """
+    spark = rows.sparkSession
+    most = F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("width")))))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.first(F.size("x")).alias("width"))
+    sizes = sizes.withColumn("most", most).withColumn("blocks", F.ceil(F.col("n") / F.col("most"))).select("key", "most", "blocks")
+    sized = written(rows.join(sizes, "key"), "sized")
+    large = sized.filter("blocks > 1")
+    drawn = large.groupBy("key", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("class")).agg(F.min_by("x", F.struct(F.xxhash64("id"), "id")).alias("x"))
+    pivots = drawn.groupBy("key").agg(F.collect_list(F.struct("x")).alias("pivots"))
+    # Rows meet the pivots of their key in chunks: a matrix product each, in place of a copy of all pivots for each row.
+    chunk = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks"))
+    chunks = large.groupBy("key", "most", chunk.alias("chunk")).agg(F.collect_list(F.struct("id", "x")).alias("rows")).join(pivots, "key")
+    key, number = rows.schema["key"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
+
+    def nearest(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                members, tops = batch.column("rows")[i].values, batch.column("pivots")[i].values
+                x = _unit_rows(members.field("x"))
+                to = (x @ _unit_rows(tops.field("x")).T).argmax(1).astype(np.int64)
+                same = lambda c: pa.repeat(batch.column(c)[i], len(x))
+                yield pa.RecordBatch.from_arrays([same("key"), same("most"), members.field("id"), members.field("x"), pa.array(to)], names=["key", "most", "id", "x", "pivot"])
+
+    dealt = chunks.select("key", "most", "rows", "pivots").mapInArrow(nearest, f"key {key}, most bigint, id {number}, x array<double>, pivot bigint")
+    dealt = written(sized.filter("blocks = 1").select("key", "most", "id", "x", F.lit(0).cast("bigint").alias("pivot")).unionByName(dealt), "dealt")
+    parts = dealt.groupBy("key", "pivot").agg(F.ceil(F.count("*") / F.first("most")).alias("parts"))
+    part = F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts"))
+    packed = dealt.join(parts, ["key", "pivot"]).groupBy("key", "pivot", part.alias("part")).agg(F.collect_list(F.struct("id", "x")).alias("rows"))
+
+    def centred(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                members = batch.column("rows")[i].values
+                x = _unit_rows(members.field("x"))
+                centre = x.sum(0)
+                centre /= max(np.sqrt((centre * centre).sum()), 1e-12)
+                radius = float(np.arccos(np.clip((x @ centre).min(), -1, 1)))
+                ids = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), members.field("id"))
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, 1), ids, _list_rows(x.reshape(1, -1)), _list_rows(centre[None]), pa.array([radius])], names=["key", "ids", "x", "centre", "radius"])
+
+    made = packed.select("key", "rows").mapInArrow(centred, f"key {key}, ids array<{number}>, x array<double>, centre array<double>, radius double")
+    numbered = written(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    forget(sized, dealt)
+    return numbered
+
+
+def _tiles(blocks: DataFrame, threshold: float) -> DataFrame:
+    """(key, tile, block, pairs): the blocks that each tile compares, and the pairs of blocks whose bound reaches the threshold.
+
+    Two rows are at least as far apart, as angles, as the centres of their blocks less both radii.
+    """
+    order = Window.partitionBy("key").orderBy("block")
+    heads = blocks.select("key", "block", "centre", "radius").withColumn("place", F.floor((F.row_number().over(order) - 1) / TILE))
+    other = heads.withColumnsRenamed({"block": "block2", "centre": "centre2", "radius": "radius2", "place": "place2"})
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("centre"), F.col("centre2")))))
+    near = angle - F.col("radius") - F.col("radius2") <= math.acos(max(-1.0, min(1.0, threshold))) + SLACK
+    pairs = heads.join(other, "key").filter((F.col("block") <= F.col("block2")) & near)
+    tile = F.struct("place", "place2")
+    listed = pairs.groupBy("key", tile.alias("tile")).agg(F.collect_list(F.struct("block", "block2")).alias("pairs"))
+    ends = F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.array(p["block"], p["block2"]))))
+    needed = listed.select("key", "tile", F.explode(ends).alias("block"))
+    content = needed.join(blocks.select("block", "ids", "x"), "block").groupBy("key", "tile").agg(F.collect_list(F.struct("block", "ids", "x")).alias("blocks"))
+    return content.join(listed, ["key", "tile"]).select("key", "blocks", "pairs")
+
+
 def pairs_over(df: DataFrame, id_column: str, vector: str, threshold: float, group: list[str]) -> DataFrame:
     """(group, a, b, similarity) with a < b: pairs of one group whose cosine reaches the threshold.
 
-    Groups are bounded lists, such as one owner's phrases; they meet in a self join by group.
+    Missing and empty vectors and zero vectors are in no pair (but zero vectors are where the
+    threshold is 0 or less); vectors of different dimensions are never compared. Groups may be of any
+    size: vectors are gathered in blocks round pivots, pairs of blocks that cannot reach the
+    threshold go, and the others are matrix products, TILE by TILE blocks in a task. So a group of n
+    costs n * n / (2 * BLOCK_ROWS ** 2) rows of bounds, products of the blocks left, and each block is
+    sent to n / (TILE * BLOCK_ROWS) tasks at most; only pairs over the threshold become rows.
+    """
+    key = F.struct(*group, F.size(vector).alias("__width"))
+    rows = df.filter(F.size(vector) > 0).select(key.alias("key"), F.col(id_column).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("x"))
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in group)
+    number = df.schema[id_column].dataType.simpleString()
+
+    def compare(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held = batch.column("blocks")[i].values
+                at = {b: j for j, b in enumerate(held.field("block").to_pylist())}
+                ids = [held.field("ids")[j].values for j in range(len(at))]
+                x = [held.field("x")[j].values.to_numpy(zero_copy_only=False).reshape(len(ids[j]), -1) for j in range(len(at))]
+                keys = batch.column("key")[i]
+                for pair in batch.column("pairs")[i].as_py():
+                    one, two = at[pair["block"]], at[pair["block2"]]
+                    scores = np.round(x[one] @ x[two].T, 6)
+                    row, column = np.nonzero(np.triu(scores >= threshold, 1) if one == two else scores >= threshold)
+                    if len(row):
+                        constants = [pa.repeat(keys[c], len(row)) for c in group]
+                        yield pa.RecordBatch.from_arrays([*constants, ids[one].take(pa.array(row)), ids[two].take(pa.array(column)), pa.array(scores[row, column])], names=[*group, "a", "b", "similarity"])
+
+    found = _tiles(_blocked(rows), threshold).mapInArrow(compare, f"{kinds}, a {number}, b {number}, similarity double")
+    return found.filter("a <> b").select(*group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+
+
+def links_over(df: DataFrame, id_column: str, vector: str, threshold: float, group: list[str]) -> DataFrame:
+    """(a, b): links enough to join all rows of a group whose cosine reaches a threshold above 0.
+
+    Equal vectors are linked to the least id among them, so that only different vectors are compared:
+    a vector that many rows have costs a link each, not a pair each.
     """
-    sides = df.select(*group, F.col(id_column).alias("a"), unit(F.col(vector)).alias("x"))
-    other = sides.withColumnsRenamed({"a": "b", "x": "y"})
-    met = sides.join(other, group).filter((F.col("a") < F.col("b")) & (F.size("x") == F.size("y")))
-    return met.select(*group, "a", "b", F.round(dot(F.col("x"), F.col("y")), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
+    usable = df.filter(F.size(vector) > 0).select(*group, F.col(id_column).alias("id"), F.col(vector).alias("x"))
+    own = usable.filter(F.exists("x", lambda x: x != 0))
+    first = written(own.groupBy(*group, "x").agg(F.min("id").alias("first")), "different")
+    same = own.join(first, [*group, "x"]).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return same.unionByName(pairs_over(first, "first", "x", threshold, group).select("a", "b"))

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions import text as T
-from weftline.operators import coverage as C, keywords as K, tables as R, vectors as V
-from weftline.plans import changes, files, matching, searches, texts  # noqa: F401  they register their queries
+from weftline.operators import coverage as C, keywords as K, tables as R, teams, vectors as V
+from weftline.plans import changes, files, matching, searches, stores, texts  # noqa: F401  they register their queries
 from weftline.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from weftline.session import table
 from weftline.streaming.drain import drain
@@ -65,10 +65,34 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY goal ORDER BY score DESC, f
 def best_teams(spark, sf_dir):
     pairs, needs = _matching(spark, sf_dir)
     pool = C.pool(C.match_scores(pairs, needs), 15).select("goal", "person")
-    found = C.best_teams(C.coverage(pairs.join(pool, ["goal", "person"], "left_semi"), needs, pool), 2, 3)
+    found = teams.best_teams(C.coverage(pairs.join(pool, ["goal", "person"], "left_semi"), needs, pool), 2, 3)
     return found.select("goal", F.col("team")[0].alias("first"), F.col("team")[1].alias("second"), "score", "rank")
 
 
+def _pooled(spark, sf_dir, size):
+    """What the best people of each goal cover: four for each seat, 15 at least."""
+    pairs, needs = _matching(spark, sf_dir)
+    pool = C.pool(C.match_scores(pairs, needs), max(4 * size, 15)).select("goal", "person")
+    return C.coverage(pairs.join(pool, ["goal", "person"], "left_semi"), needs, pool)
+
+
+# Every team of five from a pool of 20, grown by one person at a time; sums as decimals, by requirement.
+@query(f"""WITH RECURSIVE {_PAIRS}, pool AS (SELECT goal, person FROM (SELECT *, row_number() OVER (PARTITION BY goal ORDER BY score DESC, person) AS r FROM scores) WHERE r <= 20),
+v AS MATERIALIZED (SELECT goal, person, list(CAST(weight * c AS DECIMAL(28,9)) ORDER BY idx) AS x FROM cov SEMI JOIN pool USING (goal, person) GROUP BY ALL),
+t AS (SELECT goal, [person] AS team, person AS last, x FROM v UNION ALL SELECT t.goal, list_append(team, person), person, list_transform(list_zip(t.x, v.x), lambda p: greatest(p[1], p[2])) FROM t JOIN v ON v.goal = t.goal AND person > last WHERE len(team) < 5),
+r AS (SELECT goal, team, CAST(round(list_sum(x), 6) AS DOUBLE) AS score FROM t WHERE len(team) = 5)
+SELECT goal, array_to_string(team, ',') AS team, score, CAST(row_number() OVER (PARTITION BY goal ORDER BY score DESC, team) AS INTEGER) AS rank FROM r QUALIFY rank <= 5""")
+def teams_of_five(spark, sf_dir):
+    found = teams.best_teams(_pooled(spark, sf_dir, 5), 5, 5)
+    return found.select("goal", F.array_join(F.transform("team", lambda x: x.cast("string")), ",").alias("team"), "score", "rank")
+
+
+@query(None)  # C(40, 10) teams a goal: too many to list in SQL; tests compare smaller pools with all teams
+def teams_of_ten(spark, sf_dir):
+    found = teams.best_teams(_pooled(spark, sf_dir, 10), 10, 5)
+    return found.select("goal", F.array_join(F.transform("team", lambda x: x.cast("string")), ",").alias("team"), "score", "rank")
+
+
 @query("SELECT l_suppkey AS person, l_linenumber AS idx, max(l_discount) AS c FROM lineitem GROUP BY ALL")
 def member_coverage(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("person"), F.col("l_linenumber").alias("idx"), F.col("l_discount").alias("c")).transform(C.member_coverage, ["person", "idx"], "c")

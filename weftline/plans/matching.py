@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.models import scorers
-from weftline.operators import coverage as C, keywords as K, payloads as P
+from weftline.operators import coverage as C, keywords as K, payloads as P, teams
 from weftline.plans.registry import query
 from weftline.session import table
 
@@ -200,7 +200,7 @@ SELECT goal, a || ',' || b AS team, CAST(score AS DOUBLE) AS score, CAST(row_num
 def blended_teams(spark, sf_dir):
     held = _covered(spark, sf_dir)
     scores = held.select("goal", "person").distinct().filter("person < 10").withColumn("score", F.col("person") / 20.0)
-    found = C.best_teams(held, 2, 3, scores=scores)
+    found = teams.best_teams(held, 2, 3, scores=scores)
     return found.select("goal", F.array_join(F.transform("team", lambda x: x.cast("string")), ",").alias("team"), "score", "rank")
 
 
