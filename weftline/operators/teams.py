@@ -1,116 +1,128 @@
-"""Search for the teams that cover most, by branch and bound in rounds of DataFrames.
+"""Search for the teams that cover most, by branch and bound in rounds.
 
-Teams are built in ascending order of their people. What a member adds to a partial team never grows
-as the team grows, so a partial team's score can rise by no more than the greatest additions of as
-many members as are missing, nor above what all people still to come hold together. Partial
-teams whose bound is below a goal's n-th best team known are dropped; where they could but tie
-with it, so are those whose list would come after its list.
+People are taken in the order of what they cover alone, the best first. What a member adds to a partial
+team never grows as the team grows, so a partial team's score can rise by no more than the greatest
+additions of as many members as are missing, nor above what all people still to come hold
+together. Partial teams whose bound is below a goal's n-th best team known are dropped; where they
+could but tie with it, so are those whose first possible list would come after its list.
+
+A round deals the open partial teams of every goal over tasks; each extends a bounded number of
+them, the deepest first, and hands back what is left open. Rounds are written tables: the best teams
+so far tighten the next one's bounds, and a lost executor costs a task of one round.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import heapq
+from decimal import ROUND_HALF_UP, Decimal
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
-from weftline.operators.coverage import BLEND, EXACT
+from weftline.operators.coverage import BLEND
 from weftline.session import forget, written
 
-#: Partial teams of a goal that one round extends: the longest, then those of the highest bound.
-WAVE = 256
-
-
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
-
-
-def _above(held: Column, best: Column) -> Column:
-    """What `held` adds over `best`."""
-    return _sum(F.zip_with(held, best, lambda x, y: F.greatest(x - y, F.lit(0.0))))
-
-
-def _top(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.greatest(x, y))
-
-
-def _goals(covered: DataFrame, size: int, first: list, scores: DataFrame | None) -> DataFrame:
-    """A row for each goal: its people in order, what those from each place on hold at most, and the start of every team."""
-    people = covered.groupBy("goal", "person").agg(F.sort_array(F.collect_list(F.struct("idx", "weight", "c"))).alias("v"))
-    if scores is not None:
-        people = people.join(scores.select("goal", "person", F.col("score").alias("own")), ["goal", "person"], "left")
-    else:
-        people = people.withColumn("own", F.lit(0.0))
-    held = F.transform("v", lambda x: x["weight"] * x["c"])
-    people = people.select("goal", "person", held.alias("x"), F.coalesce("own", F.lit(0.0)).alias("own"), F.transform("v", lambda x: x["weight"].cast("double")).alias("weights"))
-    member = F.struct("person", "x", "own")
-    asked = F.col("person").isin(first) if first else F.lit(False)
-    goals = people.groupBy("goal").agg(
-        F.sort_array(F.collect_list(F.when(~asked, member))).alias("people"),
-        F.collect_list(F.when(asked, member)).alias("fixed"),
-        F.first("weights").alias("weights"),
-        F.count("*").alias("n_people"),
-    )
-    if first:
-        lacks = F.raise_error(F.concat(F.lit("a required person is missing for "), F.col("goal").cast("string"))).cast("boolean")
-        goals = goals.filter(F.when(F.size("fixed") < len(first), lacks).otherwise(F.lit(True)))
-    full = F.least(F.lit(size), F.col("n_people")).cast("int")
-    if scores is not None:
-        most = F.aggregate("weights", F.lit(0).cast(EXACT), lambda s, w: (s + w.cast(EXACT)).cast(EXACT)).cast("double")
-        share, each = BLEND[0] / F.coalesce(F.nullif(most, F.lit(0.0)), F.lit(1.0)), BLEND[1] / F.greatest(full, F.lit(1))
-    else:
-        share, each = F.lit(1.0), F.lit(0.0)
-    nothing = F.transform("weights", lambda _: F.lit(0.0))
-    # From the last person to the first: what all those from there on hold, and the best own score.
-    rest = F.aggregate(F.reverse("people"), F.array(F.struct(nothing.alias("x"), F.lit(0.0).alias("own"))), lambda found, p: F.concat(F.array(F.struct(_top(found[0]["x"], p["x"]).alias("x"), F.greatest(found[0]["own"], p["own"]).alias("own"))), found))
-    return goals.select(
-        "goal",
-        "people",
-        full.alias("full"),
-        share.alias("share"),
-        each.alias("each"),
-        rest.alias("rest"),
-        F.aggregate("fixed", nothing, lambda best, p: _top(best, p["x"])).alias("best"),
-        F.aggregate("fixed", F.lit(0.0), lambda s, p: s + p["own"]).alias("own"),
-    )
-
-
-def _score(blend: bool) -> Column:
-    """Of a complete team, from sums that do not depend on their order."""
-    total = F.aggregate("best", F.lit(0).cast(EXACT), lambda s, x: (s + x.cast(EXACT)).cast(EXACT)).cast("double")
-    return F.round(F.col("share") * total + F.col("each") * F.col("own") if blend else total, 6)
-
-
-def _children(rows: DataFrame, first: int) -> DataFrame:
-    """Partial teams longer by one person, with their bounds; those under the goal's bound are not made."""
-    people, best, at = F.col("people"), F.col("best"), F.col("at")
-    n, share, each = F.size("people"), F.col("share"), F.col("each")
-    missing = F.col("full") - first - F.size("team")
-    now = share * _sum(best) + each * F.col("own")
-    gains = F.transform(F.slice(people, at + 1, n), lambda p: share * _above(p["x"], best) + each * p["own"])
-    rows = rows.withColumns({"gains": gains, "now": now, "missing": missing})
-    gains, now, missing = F.col("gains"), F.col("now"), F.col("missing")
-
-    def child(j: Column) -> Column:
-        p, rest = people[at + j], F.col("rest")[at + j + 1]
-        after = F.slice(F.sort_array(F.slice(gains, j + 2, n), asc=False), F.lit(1), missing - 1)
-        longer = _top(best, p["x"])
-        by_gains = now + gains[j] + _sum(after)
-        by_rest = share * _sum(_top(longer, rest["x"])) + each * (F.col("own") + p["own"] + (missing - 1) * F.greatest(rest["own"], F.lit(0.0)))
-        return F.struct(F.least(by_gains, by_rest).alias("bound"), F.concat("team", F.array(p["person"])).alias("team"), (at + j + 1).alias("at"), longer.alias("best"), (F.col("own") + p["own"]).alias("own"))
-
-    places = F.filter(F.sequence(F.lit(0), F.size("gains") - 1), lambda j: j <= F.size("gains") - missing)
-    made = rows.filter(F.size("gains") >= missing).select("goal", "share", "each", (missing == 1).alias("complete"), "low", "low_team", F.explode(F.transform(places, child)).alias("child"))
-    return made.select("goal", "share", "each", "complete", "child.*", "low", "low_team")
-
-
-def _alive(first: int) -> Column:
-    """Whether a partial team may still be among the best: bounds are sums of doubles, scores of rounded terms."""
-    reach = F.round(F.col("bound") + 1e-9 * (F.size("best") + 2), 6)
-    ahead = F.col("team") <= F.slice("low_team", first + 1, F.size("team"))
-    return F.col("low").isNull() | (reach > F.col("low")) | ((reach == F.col("low")) & ahead)
-
-
-def best_teams(covered: DataFrame, size: int, n: int = 1, required: list[int] | None = None, scores: DataFrame | None = None, wave: int = WAVE, expanded: list[int] | None = None) -> DataFrame:
+#: Partial teams that a task extends in a round, and tasks of a goal.
+BUDGET, PARTS = 20_000, 8
+#: Coverage is counted in whole billionths, so that sums are exact in any order.
+UNIT = 10**9
+OPEN, TEAM, TALLY = 0, 1, 2
+
+
+def _rounded(x: float) -> float:
+    """To six places, halves away from zero, as SQL rounds a double."""
+    return float(Decimal(repr(float(x))).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+
+
+class Goal:
+    """One goal's people as matrices."""
+
+    def __init__(self, row: dict, size: int, n: int, first: list, blend: bool):
+        weights = np.array(row["weights"], float)
+        held = {p["person"]: (np.array(p["c"], float) * weights, p["own"] or 0.0) for p in row["people"]}
+        whole = lambda v: np.array([int((Decimal(repr(float(x))) * UNIT).quantize(Decimal(1), ROUND_HALF_UP)) for x in v], np.int64)
+        self.n, self.fixed, self.full = n, first, min(size, len(held))
+        most = sum(int(x) for x in whole(weights)) / UNIT
+        self.share, self.each = (BLEND[0] / (most or 1.0), BLEND[1] / max(self.full, 1)) if blend else (1.0, 0.0)
+        covers = {p: whole(x) for p, (x, _) in held.items()}
+        zero = np.zeros(len(weights), np.int64)
+        self.best = np.maximum.reduce([zero, *(covers[p] for p in first)])
+        self.own = float(sum(held[p][1] for p in first))
+        alone = lambda p: -self.share * int(covers[p].sum()) / UNIT - self.each * held[p][1]
+        self.ids = sorted((p for p in held if p not in first), key=lambda p: (alone(p), p))
+        self.x = np.array([covers[p] for p in self.ids], np.int64).reshape(len(self.ids), len(weights))
+        self.owns = np.array([held[p][1] for p in self.ids], float)
+        # From each place on: what all people there hold, and the best own score among them.
+        self.rest = np.vstack([np.maximum.accumulate(self.x[::-1], axis=0)[::-1], zero]) if self.ids else zero[None]
+        self.rest_own = np.append(np.maximum.accumulate(self.owns[::-1])[::-1], 0.0) if self.ids else np.zeros(1)
+
+    def value(self, total, own):
+        return self.share * (total / UNIT) + self.each * own
+
+    def listed(self, team: list) -> list:
+        return [*self.fixed, *sorted(team)]
+
+    def first_list(self, team: list, at: int, missing: int) -> list:
+        return self.listed([*team, *sorted(self.ids[at:])[:missing]])
+
+    def explore(self, nodes: list[tuple], low: tuple | None, budget: int) -> tuple[list, list, int]:
+        """(open partial teams left, complete teams found, partial teams extended); nodes: (bound, team, at, best, own)."""
+        stack, found, used = sorted(nodes, key=lambda x: x[0]), [], 0
+        while stack and used < budget:
+            bound, team, at, best, own = stack.pop()
+            missing = self.full - len(self.fixed) - len(team)
+            if not self.alive(bound, team, at, missing, low):
+                continue
+            used += 1
+            if missing == 0:  # only where nobody is left to choose
+                found, low = self.better(found, low, self.value(int(best.sum()), own), team)
+                continue
+            gains = self.value(np.maximum(self.x[at:] - best, 0).sum(1), self.owns[at:])
+            after, top, total = np.zeros(len(gains)), [], 0.0
+            for j in range(len(gains) - 1, -1, -1):  # the sum of the missing - 1 greatest gains behind j
+                after[j] = total
+                if missing > 1:
+                    if len(top) < missing - 1:
+                        heapq.heappush(top, gains[j])
+                        total += gains[j]
+                    elif gains[j] > top[0]:
+                        total += gains[j] - heapq.heapreplace(top, gains[j])
+            longer = np.maximum(self.x[at:], best)
+            owns = own + self.owns[at:]
+            by_rest = self.value(np.maximum(longer, self.rest[at + 1 :]).sum(1), owns + (missing - 1) * np.maximum(self.rest_own[at + 1 :], 0.0))
+            bounds = np.minimum(self.value(int(best.sum()), own) + gains + after, by_rest)
+            places = np.arange(len(gains) - missing + 1)
+            if missing == 1:
+                scores = self.value(longer.sum(1), owns)
+                for j in places[np.argsort(-scores[places], kind="stable")]:
+                    if low is not None and scores[j] < low[0] - 1e-6:
+                        break
+                    found, low = self.better(found, low, scores[j], [*team, self.ids[at + j]])
+                continue
+            if low is not None:
+                places = places[bounds[places] >= low[0] - 1e-6]
+            for j in places[np.argsort(bounds[places], kind="stable")]:
+                stack.append((float(bounds[j]), [*team, self.ids[at + j]], at + int(j) + 1, longer[j], float(owns[j])))
+        return stack, found, used
+
+    def alive(self, bound: float, team: list, at: int, missing: int, low: tuple | None) -> bool:
+        if low is None or bound > low[0] + 1e-6:
+            return True
+        if bound < low[0] - 1e-6:
+            return False
+        reach = _rounded(bound + 1e-9)
+        return reach > low[0] or (reach == low[0] and self.first_list(team, at, missing) <= low[1])
+
+    def better(self, found: list, low: tuple | None, score: float, team: list) -> tuple[list, tuple | None]:
+        """The n best complete teams with this one, and the n-th best known."""
+        found = sorted([*found, (-_rounded(score), self.listed(team))])[: self.n]
+        if len(found) == self.n and (low is None or found[-1] < (-low[0], low[1])):
+            low = (-found[-1][0], found[-1][1])
+        return found, low
+
+
+def best_teams(covered: DataFrame, size: int, n: int = 1, required: list[int] | None = None, scores: DataFrame | None = None, budget: int = BUDGET, expanded: list[int] | None = None) -> DataFrame:
     """(goal, team, score, rank): the n teams of `size` people whose best coverage per requirement weighs most.
 
     covered: (goal, person, idx, weight, c), sections being part of idx, neither weight nor c below
@@ -120,46 +132,60 @@ def best_teams(covered: DataFrame, size: int, n: int = 1, required: list[int] |
     of the greatest possible coverage and 0.3 of its members' mean score (0 for unknown ones). A team
     of more people than there are is one of all.
 
-    The result is exact. Goals are searched side by side; a round extends `wave` partial teams of a
-    goal and keeps the others in a written table, so no round holds more than that for a goal,
-    however many teams there are. A goal's people are one row: a bounded pool (see coverage.pool).
-    `expanded` collects the number of partial teams that each round extended.
+    The result is exact. A goal's people are one row: a bounded pool (see coverage.pool). `expanded`
+    collects the number of partial teams that each round extended.
     """
     first = list(dict.fromkeys(required or []))
     if size < len(first):
         raise ValueError("size must be at least the number of required people")
-    if size < 0 or n < 1:
-        raise ValueError("size must be at least 0 and n at least 1")
-    goals = written(_goals(covered, size, first, scores), "goals")
-    kind = covered.schema["person"].dataType.simpleString()
-    fixed = (F.array(*map(F.lit, first)) if first else F.array()).cast(f"array<{kind}>")
-    start = goals.select("goal", "share", "each", (F.col("full") <= len(first)).alias("complete"), F.lit(float("inf")).alias("bound"), F.array().cast(f"array<{kind}>").alias("team"), F.lit(0).alias("at"), "best", "own")
-
-    def ranked(teams: DataFrame) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("goal").orderBy(F.desc("score"), "team"))
-        return teams.withColumn("rank", rank).filter(F.col("rank") <= n)
-
-    def full_teams(rows: DataFrame) -> DataFrame:
-        return rows.filter("complete").select("goal", F.concat(fixed, F.col("team")).alias("team"), _score(scores is not None).alias("score"))
-
-    def in_turn(rows: DataFrame) -> DataFrame:
-        turn = F.row_number().over(Window.partitionBy("goal").orderBy(F.desc(F.size("team")), F.desc("bound"), "team"))
-        return rows.withColumn("chosen", turn <= wave)
-
-    found = written(ranked(full_teams(start)), "found")
-    waiting = written(in_turn(start.filter(~F.col("complete")).select("goal", "bound", "team", "at", "best", "own")), "waiting")
-    while count := waiting.filter("chosen").count():
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    people = covered.groupBy("goal", "person").agg(F.sort_array(F.collect_list(F.struct("idx", "weight", "c"))).alias("v"))
+    people = people.join(scores.select("goal", "person", F.col("score").alias("own")), ["goal", "person"], "left") if scores is not None else people.withColumn("own", F.lit(0.0))
+    one = F.struct("person", F.transform("v", lambda x: x["c"].cast("double")).alias("c"), F.col("own").cast("double").alias("own"))
+    goals = people.groupBy("goal").agg(F.collect_list(one).alias("people"), F.first(F.transform("v", lambda x: x["weight"].cast("double"))).alias("weights"), F.collect_set("person").alias("ids"))
+    if first:
+        lacks = F.raise_error(F.concat(F.lit("a required person is missing for "), F.col("goal").cast("string"))).cast("boolean")
+        goals = goals.filter(F.when(F.size(F.array_intersect("ids", F.array(*map(F.lit, first)).cast(goals.schema["ids"].dataType))) < len(first), lacks).otherwise(F.lit(True)))
+    goals = written(goals.drop("ids"), "goals")
+    kinds = {c: covered.schema[c].dataType.simpleString() for c in ("goal", "person")}
+    schema = f"goal {kinds['goal']}, kind int, score double, bound double, team array<{kinds['person']}>, at int, best array<bigint>, own double"
+    blend = scores is not None
+
+    def explore(key, nodes: pa.Table, goal: pa.Table) -> pa.Table:
+        rows, found = nodes.to_pylist(), goal.to_pylist()
+        known = Goal(found[0], size, n, first, blend)
+        low = None if rows[0]["low"] is None else (rows[0]["low"], rows[0]["low_team"])
+        # A goal's search begins with nobody but the required people.
+        start = [(r["bound"], r["team"], r["at"], known.best if r["best"] is None else np.array(r["best"], np.int64), known.own if r["own"] is None else r["own"]) for r in rows]
+        left, teams, used = known.explore(start, low, budget)
+        name = found[0]["name"]
+        out = [(name, OPEN, None, bound, team, at, best.tolist(), own) for bound, team, at, best, own in left]
+        out += [(name, TEAM, -score, None, team, None, None, None) for score, team in teams]
+        out.append((name, TALLY, float(used), None, None, None, None, None))
+        types = [goal.schema.field("name").type, pa.int32(), pa.float64(), pa.float64(), nodes.schema.field("team").type, pa.int32(), pa.list_(pa.int64()), pa.float64()]
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["goal", "kind", "score", "bound", "team", "at", "best", "own"])
+
+    state = goals.select(
+        "goal", F.lit(OPEN).alias("kind"), F.lit(None).cast("double").alias("score"), F.lit(float("inf")).alias("bound"), F.array().cast(f"array<{kinds['person']}>").alias("team"), F.lit(0).alias("at"),
+        F.lit(None).cast("array<bigint>").alias("best"), F.lit(None).cast("double").alias("own"), F.lit(None).cast("double").alias("low"), F.lit(None).cast(f"array<{kinds['person']}>").alias("low_team"),
+    )
+    parts = goals.select(F.col("goal").alias("name"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("number"), F.col("people").alias("people"), F.col("weights").alias("weights"))
+    while True:
+        nodes = state.filter(F.col("kind") == OPEN).withColumn("part", F.pmod(F.hash("team"), F.lit(PARTS)))
+        tasks = nodes.select(F.col("goal").alias("name"), F.col("part").alias("number")).distinct()
+        made = nodes.groupBy("goal", "part").cogroup(parts.join(tasks, ["name", "number"], "left_semi").groupBy("name", "number")).applyInArrow(explore, schema)
+        rows = made.unionByName(state.filter(F.col("kind") == TEAM).select(made.columns)).repartition("goal")
+        place = F.row_number().over(Window.partitionBy("goal", "kind").orderBy(F.desc("score"), "team"))
+        last = F.max(F.when((F.col("kind") == TEAM) & (F.col("place") == n), F.struct("score", "team"))).over(Window.partitionBy("goal"))
+        after = rows.withColumn("place", place).withColumn("last", last).filter((F.col("kind") != TEAM) | (F.col("place") <= n))
+        after = written(after.withColumns({"low": F.col("last.score"), "low_team": F.col("last.team")}).drop("last"), "teams", small=True)
+        if hasattr(state, "_weftline_folder"):
+            forget(state)
+        state = after
+        seen = state.agg(F.sum(F.when(F.col("kind") == TALLY, F.col("score"))).alias("used"), F.count_if(F.col("kind") == OPEN).alias("open")).first()
         if expanded is not None:
-            expanded.append(count)
-        low = found.filter(F.col("rank") == n).select("goal", F.col("score").alias("low"), F.col("team").alias("low_team"))
-        chosen = waiting.filter("chosen").drop("chosen").join(goals.drop("best", "own"), "goal").join(low, "goal", "left")
-        made = written(_children(chosen, len(first)).filter(_alive(len(first))).drop("low", "low_team"), "children")
-        better = written(ranked(full_teams(made).unionByName(found.drop("rank"))), "found")
-        low = better.filter(F.col("rank") == n).select("goal", F.col("score").alias("low"), F.col("team").alias("low_team"))
-        columns = ["goal", "bound", "team", "at", "best", "own"]
-        rest = waiting.filter(~F.col("chosen")).select(columns).unionByName(made.filter(~F.col("complete")).select(columns))
-        after = written(in_turn(rest.join(low, "goal", "left").filter(_alive(len(first))).select(columns)), "waiting")
-        forget(found, waiting, made)
-        found, waiting = better, after
-    forget(goals, waiting)
-    return found.select("goal", "team", "score", "rank")
+            expanded.append(int(seen["used"] or 0))
+        if not seen["open"]:
+            forget(goals)
+            return state.filter(F.col("kind") == TEAM).select("goal", "team", "score", F.col("place").alias("rank"))

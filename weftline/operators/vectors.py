@@ -116,7 +116,7 @@ def _blocked(rows: DataFrame) -> DataFrame:
     most = F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("width")))))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.first(F.size("x")).alias("width"))
     sizes = sizes.withColumn("most", most).withColumn("blocks", F.ceil(F.col("n") / F.col("most"))).select("key", "most", "blocks")
-    sized = written(rows.join(sizes, "key"), "sized")
+    sized = written(rows.join(sizes, "key"), "sized", small=True)
     large = sized.filter("blocks > 1")
     drawn = large.groupBy("key", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("class")).agg(F.min_by("x", F.struct(F.xxhash64("id"), "id")).alias("x"))
     pivots = drawn.groupBy("key").agg(F.collect_list(F.struct("x")).alias("pivots"))
@@ -135,7 +135,7 @@ def _blocked(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([same("key"), same("most"), members.field("id"), members.field("x"), pa.array(to)], names=["key", "most", "id", "x", "pivot"])
 
     dealt = chunks.select("key", "most", "rows", "pivots").mapInArrow(nearest, f"key {key}, most bigint, id {number}, x array<double>, pivot bigint")
-    dealt = written(sized.filter("blocks = 1").select("key", "most", "id", "x", F.lit(0).cast("bigint").alias("pivot")).unionByName(dealt), "dealt")
+    dealt = written(sized.filter("blocks = 1").select("key", "most", "id", "x", F.lit(0).cast("bigint").alias("pivot")).unionByName(dealt), "dealt", small=True)
     parts = dealt.groupBy("key", "pivot").agg(F.ceil(F.count("*") / F.first("most")).alias("parts"))
     part = F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts"))
     packed = dealt.join(parts, ["key", "pivot"]).groupBy("key", "pivot", part.alias("part")).agg(F.collect_list(F.struct("id", "x")).alias("rows"))
@@ -218,7 +218,11 @@ def links_over(df: DataFrame, id_column: str, vector: str, threshold: float, gro
     a vector that many rows have costs a link each, not a pair each.
     """
     usable = df.filter(F.size(vector) > 0).select(*group, F.col(id_column).alias("id"), F.col(vector).alias("x"))
-    own = usable.filter(F.exists("x", lambda x: x != 0))
-    first = written(own.groupBy(*group, "x").agg(F.min("id").alias("first")), "different")
-    same = own.join(first, [*group, "x"]).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    return same.unionByName(pairs_over(first, "first", "x", threshold, group).select("a", "b"))
+    own = written(usable.filter(F.exists("x", lambda x: x != 0)).withColumn("hash", F.xxhash64("x")), "hashed")
+    first = own.groupBy(*group, "hash").agg(F.min("id").alias("first"))
+    leaders = written(own.join(first, [*group, "hash"]).filter("id = first").select(*group, "hash", "first", F.col("x").alias("its")), "leaders", small=True)
+    met = own.join(leaders, [*group, "hash"]).filter("id <> first")
+    same = met.filter("x = its").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    # Other vectors of the same hash are compared like any.
+    different = leaders.select(*group, F.col("first").alias("id"), F.col("its").alias("x")).unionByName(met.filter("x <> its").select(*group, "id", "x"))
+    return same.unionByName(pairs_over(different, "id", "x", threshold, group).select("a", "b"))

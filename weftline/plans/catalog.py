@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions import text as T
-from weftline.operators import coverage as C, keywords as K, tables as R, teams, vectors as V
-from weftline.plans import changes, files, matching, searches, stores, texts  # noqa: F401  they register their queries
+from weftline.operators import coverage as C, keywords as K, matching as M, tables as R, teams, vectors as V
+from weftline.plans import changes, files, matching, runs, searches, stores, texts  # noqa: F401  they register their queries
 from weftline.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from weftline.session import table
 from weftline.streaming.drain import drain
@@ -87,9 +87,20 @@ def teams_of_five(spark, sf_dir):
     return found.select("goal", F.array_join(F.transform("team", lambda x: x.cast("string")), ",").alias("team"), "score", "rank")
 
 
-@query(None)  # C(40, 10) teams a goal: too many to list in SQL; tests compare smaller pools with all teams
+# Five people of a team of ten are given, the other five come from the 20 best.
+@query(f"""WITH RECURSIVE {_PAIRS}, asked AS (SELECT DISTINCT goal, person FROM needs, range(1, 6) AS r(person)),
+rest AS (SELECT goal, person FROM (SELECT *, row_number() OVER (PARTITION BY goal ORDER BY score DESC, person) AS r FROM scores WHERE person NOT BETWEEN 1 AND 5) WHERE r <= 20),
+v AS MATERIALIZED (SELECT goal, person, list(CAST(weight * coalesce(c, 0.0) AS DECIMAL(28,9)) ORDER BY idx) AS x FROM (FROM asked UNION ALL FROM rest) JOIN needs USING (goal) LEFT JOIN means USING (goal, person, idx) GROUP BY ALL),
+s AS (SELECT goal, list(p ORDER BY i) AS x FROM (SELECT goal, i, max(x[i]) AS p FROM v, range(1, 100) AS r(i) WHERE person BETWEEN 1 AND 5 AND i <= len(x) GROUP BY ALL) GROUP BY goal),
+t AS (SELECT goal, CAST([] AS BIGINT[]) AS team, CAST(-1 AS BIGINT) AS last, x FROM s UNION ALL SELECT t.goal, list_append(team, person), person, list_transform(list_zip(t.x, v.x), lambda p: greatest(p[1], p[2])) FROM t JOIN v ON v.goal = t.goal AND person NOT BETWEEN 1 AND 5 AND person > last WHERE len(team) < 5),
+r AS (SELECT goal, team, CAST(round(list_sum(x), 6) AS DOUBLE) AS score FROM t WHERE len(team) = 5)
+SELECT goal, '1,2,3,4,5,' || array_to_string(team, ',') AS team, score, CAST(row_number() OVER (PARTITION BY goal ORDER BY score DESC, team) AS INTEGER) AS rank FROM r QUALIFY rank <= 5""")
 def teams_of_ten(spark, sf_dir):
-    found = teams.best_teams(_pooled(spark, sf_dir, 10), 10, 5)
+    pairs, needs = _matching(spark, sf_dir)
+    given = [1, 2, 3, 4, 5]
+    asked = needs.select("goal").distinct().withColumn("person", F.explode(F.array(*map(F.lit, given)).cast("array<bigint>")))
+    pool = M.pool_with(C.match_scores(pairs, needs), asked, 25).select("goal", "person")
+    found = teams.best_teams(C.coverage(pairs.join(pool, ["goal", "person"], "left_semi"), needs, pool), 10, 5, given)
     return found.select("goal", F.array_join(F.transform("team", lambda x: x.cast("string")), ",").alias("team"), "score", "rank")
 
 

@@ -37,7 +37,7 @@ f AS (SELECT *, CAST(round(CAST(greatest(0.0, least(1.0, 0.45 * quality + 0.35 *
 def _cluster_scores(spark, sf_dir):
     found = K.concepts(_mentions(spark, sf_dir), ["p_brand"])
     last = F.element_at(F.split("key", " "), -1)
-    vectors = found.select("p_brand", "key", scorers.hashed_vector(last, 4096).alias("vector"))
+    vectors = found.select("p_brand", "key", scorers.hashed_vector(last, 512).alias("vector"))
     grouped = K.clusters(found, vectors, ["p_brand"])
     batches = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.countDistinct("p_type").alias("all_batches"))
     return K.cluster_scores(grouped, ["p_brand"], batches)

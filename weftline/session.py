@@ -55,14 +55,15 @@ RELEASE_S = 2.0
 _released = [0.0]
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
+def written(df: DataFrame, name: str = "step", small: bool = False) -> DataFrame:
     """Run `df` once into the shared folder and go on from the written table, which cuts the lineage.
 
     A lost executor costs at most the step in progress. Tables stay until `forget` or until the
-    folder is cleared; the shuffle files of the steps before are released.
+    folder is cleared; the shuffle files of the steps before are released, unless they are `small`.
     """
     spark = df.sparkSession
-    release(spark)  # now that the caller has let go of the last step's plan
+    if not small:
+        release(spark)  # now that the caller has let go of the last step's plan
     path = f"{shared_dir(spark)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weftline.session import shared_dir
@@ -47,9 +48,10 @@ def drain_queue(spark: SparkSession, folder: str, key: str, work: Callable[[Data
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     query = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{run}/offsets").trigger(availableNow=True).start()
     query.awaitTermination()
-    for attempt, rows in failed_before or ():
-        # The turn is named by the attempt and its last batch, so that a call repeated after a loss replaces it.
-        attempted(rows.select(schema.fieldNames()), work, attempt).write.mode("overwrite").parquet(f"{run}/results/turn=again-{attempt:03d}-{_mark(rows, key)}")
+    for attempt, keys in failed_before or ():
+        # The turn is named by its rows, so that a call repeated after a loss replaces it. Work gets the rows of the queue.
+        rows = spark.read.schema(schema).parquet(folder).join(keys.select(key), key, "left_semi")
+        attempted(rows, work, attempt).write.mode("overwrite").parquet(f"{run}/results/turn=again-{attempt:03d}-{_mark(keys, key)}")
     return run
 
 
@@ -94,8 +96,6 @@ def tried(f: Callable, into: str, kind: str) -> Callable[[DataFrame, str], DataF
 
     One bad row does not fail the others. f is called in Arrow batches in Python workers.
     """
-    import pandas as pd
-
     def run(column: pd.Series) -> pd.DataFrame:
         values, errors = [], []
         for x in column:
