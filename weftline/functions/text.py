@@ -273,3 +273,61 @@ def search_text(*parts: Column) -> Column:
 
 def two_decimals(value: Column) -> Column:
     return F.format_string("%.2f", F.coalesce(value, F.lit(0.0)))
+
+
+# Patterns of score wording and what stands in for each, in this order; aliases of source types; fit labels; broad categories.
+SCORE_MARKS = (
+    (r"\(\s*score\s*=\s*[-+]?\d*\.?\d+\s*\)", ""),
+    (r",\s*src\s*=\s*[-+]?\d*\.?\d+", ""),
+)
+SCORE_WORDS = (
+    (r"\(\s*score\s*=\s*[-+]?\d*\.?\d+\s*\)", ""),
+    (r"\b(?:score|scored|scoring)\b\s*[:=]?\s*[-+]?\d*\.?\d+%?", ""),
+    (r"\bat\s+[-+]?\d*\.?\d+%?\b", ""),
+    (r"\bhighest[-\s]?scoring\b", "strong"),
+    (r"\brequirements?\b", "priority areas"),
+    (r"\balignment\b", "fit"),
+)
+SOURCE_TYPES = {
+    "additional_info_chunk": "additional_info_chunk",
+    "faculty_additional_info_chunk": "additional_info_chunk",
+    "grant_additional_info_chunk": "additional_info_chunk",
+    "attachment_chunk": "attachment_chunk",
+    "attachments_chunk": "attachment_chunk",
+    "publication": "publication",
+    "faculty_publication": "publication",
+}
+FIT_LABELS = {"greate": "great", "mismatch": "mismatch", "bad": "bad", "good": "good", "great": "great", "fantastic": "fantastic"}
+BROAD_CATEGORIES = {x: x for x in ("basic_research", "applied_research", "educational", "unclear")}
+
+
+def _replaced(text: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, instead in patterns:
+        text = F.regexp_replace(text, "(?i)" + pattern, instead)
+    return text
+
+
+def without_score_marks(text: Column) -> Column:
+    """Without the marks of scores that contexts carry; null is empty."""
+    return _replaced(F.coalesce(text, F.lit("")), SCORE_MARKS)
+
+
+def without_scores(text: Column) -> Column:
+    """Single-spaced, without numbers of scores, and with plain words for requirements and alignment; null is empty."""
+    return one_space(_replaced(one_space(F.coalesce(text, F.lit(""))), SCORE_WORDS))
+
+
+def source_type(text: Column) -> Column:
+    """The canonical type of a source; one that is unknown stays, in lower case with underscores."""
+    token = F.regexp_replace(F.lower(one_space(F.coalesce(text, F.lit("")))), "[- ]", "_")
+    return F.coalesce(one_of(token, SOURCE_TYPES), token)
+
+
+def fit_label(text: Column) -> Column:
+    """One of the fit labels; mismatch for any other."""
+    return one_of(F.coalesce(text, F.lit("")), FIT_LABELS, "mismatch")
+
+
+def broad_category(text: Column) -> Column:
+    """One of the broad categories; unclear for any other."""
+    return one_of(F.coalesce(text, F.lit("")), BROAD_CATEGORIES, "unclear")

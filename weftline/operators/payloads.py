@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftline.functions import text as T
 
@@ -144,3 +144,62 @@ def source_catalog(families: list[tuple[str, DataFrame]], key: str, most: int =
     once = rows.filter("excerpt <> ''").dropDuplicates([key, "type", "id", "excerpt"])
     placed = once.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("turn", "id", "excerpt")))
     return placed.filter(F.col("place") <= most).drop("turn")
+
+
+def details(people: DataFrame, wanted: DataFrame, members: DataFrame, keywords: DataFrame, key: str) -> DataFrame:
+    """People of the wanted ids with their domains and whether they are members already; unknown ids drop out.
+
+    wanted and members: one column of ids each; keywords: (key, section, domains). A person without
+    keywords has empty domains.
+    """
+    asked = wanted.select(F.col(wanted.columns[0]).alias(key)).distinct()
+    mine = members.select(F.col(members.columns[0]).alias(key), F.lit(True).alias("__member")).distinct()
+    none = F.array().cast("array<string>")
+    domains = keywords.groupBy(key).agg(*(F.max(F.when(F.col("section") == s, F.col("domains"))).alias(f"{s}_domains") for s in ("research", "application")))
+    found = people.join(asked, key, "left_semi").join(domains, key, "left").join(mine, key, "left")
+    return found.withColumns({"research_domains": F.coalesce("research_domains", none), "application_domains": F.coalesce("application_domains", none), "is_existing_member": F.coalesce("__member", F.lit(False))}).drop("__member")
+
+
+def evidence_titles(items: DataFrame, references: DataFrame, titles: DataFrame, by: list[str], most: int = 2) -> DataFrame:
+    """(by, t, w, titles): each single-spaced text's greatest weight and the first `most` different titles that its sources name.
+
+    items: (by, pos, t, w); references: (by, pos, rank, id) of an item's publications; titles: (id,
+    title). An earlier item's titles come first, blank and unknown ones drop out.
+    """
+    keyed = items.withColumn("t", T.one_space(F.col("t"))).filter("t <> ''")
+    named = titles.select("id", T.one_space(F.col("title")).alias("title")).filter("title <> ''")
+    cited = keyed.select(*by, "pos", "t").join(references, [*by, "pos"]).join(named, "id")
+    first = cited.groupBy(*by, "t", "title").agg(F.min(F.struct("pos", "rank")).alias("at"))
+    lists = first.groupBy(*by, "t").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("at", "title"))), lambda x: x["title"]), 1, most).alias("titles"))
+    weights = keyed.groupBy(*by, "t").agg(F.round(F.max(F.coalesce("w", F.lit(0.0))), 6).alias("w"))
+    return weights.join(lists, [*by, "t"], "left").withColumn("titles", F.coalesce("titles", F.array().cast("array<string>")))
+
+
+def justification_inputs(teams: DataFrame, goals: DataFrame, needs: DataFrame, people: DataFrame, held: DataFrame, pairs: DataFrame, most: int = 200) -> DataFrame:
+    """(goal, rank, ..., requirements, members, coverage, evidence): what a team's justification is written from.
+
+    teams: (goal, rank, team); goals: (goal, ...); needs: (goal, section, idx, text, weight); people:
+    (person, name); held: (goal, person, section, idx, c); pairs: (goal, person, section, idx, spec, score).
+    requirements maps section.idx to text and weight; members follow the team's order, each with
+    what it covers; coverage is the team's best for each requirement; evidence has a line for each
+    different pair, best first, `most` at the most. Unnamed people are person_<id>.
+    """
+    name = F.concat_ws(".", "section", F.col("idx").cast("string")).alias("name")
+    asked = needs.groupBy("goal").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, F.struct("text", "weight"))))).alias("requirements"))
+    rows = teams.select("goal", "rank", F.posexplode("team").alias("place", "person")).join(people, "person", "left")
+    rows = rows.withColumn("name", F.coalesce(T.blank_to_null(F.col("name")), F.concat(F.lit("person_"), F.col("person").cast("string"))))
+    own = held.filter("c > 0").groupBy("goal", "person").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, "c")))).alias("covered"))
+    member = F.struct("place", "person", "name", F.coalesce("covered", F.create_map().cast("map<string,double>")).alias("covered"))
+    # Maps have no order, so the places are sorted apart.
+    members = rows.join(own, ["goal", "person"], "left").groupBy("goal", "rank").agg(F.collect_list(member).alias("m"))
+    ordered = F.array_sort("m", lambda a, b: a["place"] - b["place"])
+    best = rows.join(held, ["goal", "person"]).groupBy("goal", "rank", "section", "idx").agg(F.max("c").alias("c"))
+    covered = best.groupBy("goal", "rank").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, "c")))).alias("coverage"))
+    scored = pairs.groupBy("goal", "person", "section", "idx", "spec").agg(F.max("score").alias("score"))
+    said = rows.join(scored, ["goal", "person"]).join(held, ["goal", "person", "section", "idx"]).join(needs.select("goal", "section", "idx", "text"), ["goal", "section", "idx"])
+    order = Window.partitionBy("goal", "rank").orderBy(F.desc("score"), F.desc("c"), "person", "section", "idx", "spec")
+    said = said.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= most)
+    line = F.format_string("[%s] %s | requirement: %s | specialization: %s | pair=%.4f | req=%.4f", "section", "name", "text", "spec", F.col("score").cast("double"), F.col("c").cast("double"))
+    texts = said.groupBy("goal", "rank").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("evidence"))
+    found = teams.select("goal", "rank", "team").join(goals, "goal").join(asked, "goal", "left").join(members.select("goal", "rank", ordered.alias("members")), ["goal", "rank"], "left")
+    return found.join(covered, ["goal", "rank"], "left").join(texts, ["goal", "rank"], "left").withColumn("evidence", F.coalesce("evidence", F.lit("")))

@@ -152,10 +152,11 @@ def per_source_in_order(rows: DataFrame, owner: list[str], k: int, order: list[s
     return ranked.withColumn("place", F.row_number().over(Window.partitionBy(*owner).orderBy("source", "rank")))
 
 
-def chunks(ranked: DataFrame, fallback: DataFrame, owner: list[str]) -> DataFrame:
-    """Ranked rows, and the fallback's for owners that have none."""
-    rest = fallback.join(ranked.select(*owner).distinct(), owner, "left_anti")
-    return ranked.unionByName(rest, allowMissingColumns=True)
+def source_fallback(rows: DataFrame, owners: DataFrame, ranked: DataFrame, k: int, order: list[str]) -> DataFrame:
+    """Ranked rows, and for the owners (owner) that have none the first k rows of each source (source, ...), which are chosen once for all."""
+    first = per_source_in_order(rows.withColumn("__all", F.lit(0)), ["__all"], k, order).drop("__all")
+    rest = owners.select("owner").distinct().join(ranked.select("owner").distinct(), "owner", "left_anti")
+    return ranked.unionByName(first.crossJoin(rest), allowMissingColumns=True)
 
 
 def by_requirements(blocks: DataFrame, queries: DataFrame, owner: list[str], k: int, total: int, least: float = 0.10) -> DataFrame:

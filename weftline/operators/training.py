@@ -7,6 +7,8 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from weftline.session import written
+
 
 def candidates(scored: DataFrame, by: list[str], item: str, top: int, hard: int, random: int, seed: int, most: int = 0) -> DataFrame:
     """(by, item, score, kind, place): for each query the `top` best, the `hard` next ones and `random` others, in this order.
@@ -70,6 +72,42 @@ def shared_dimension(left: DataFrame, right: DataFrame, vector: str) -> DataFram
     return met.agg(F.max(F.struct((F.col("a") * F.col("b")).alias("product"), (F.col("a") + F.col("b")).alias("sum"), "dim")).alias("x")).filter("x IS NOT NULL").select("x.dim")
 
 
+def training_set(queries: DataFrame, items: DataFrame, embed=None, score=None, top: int = 8, hard: int = 4, random: int = 4, most: int = 16, least_weight: float = 0.0, max_pairs: int = 0, seed: int = 0) -> DataFrame:
+    """(query, positive, negative, positive_score, negative_score, strength, kinds) from texts with weights, end to end.
+
+    queries and items: (id, text, weight). Texts under `least_weight` go; the others are embedded and
+    those of the dimension that both sides share are compared. A query's candidates are its `top`
+    nearest items, the `hard` next ones and `random` others (see candidates); `score` (a pair scorer, by
+    default the shared tokens) ranks them, and each better one is paired with each worse one.
+    `max_pairs` keeps that many pairs, chosen by hash; 0 keeps all. Others are drawn from one bucket
+    of the items for each query, eight times as many as are asked for, so queries never meet all
+    items outside the block products.
+    """
+    from weftline.models.scorers import embedded, pair_scorer
+    from weftline.operators.vectors import top_k
+
+    sides = [written(embedded(df.filter(F.col("weight") >= least_weight).select("id", "text"), "text", "first", embed).filter("first IS NOT NULL"), "side") for df in (queries, items)]
+    shared = shared_dimension(sides[0], sides[1], "first").first()
+    if shared is None:
+        raise ValueError("queries and items share no dimension")
+    asked, given = (df.filter(F.size("first") == shared["dim"]).withColumn("second", F.lit(None).cast(df.schema["first"].dataType)) for df in sides)
+    near = written(top_k(asked, given, top + hard, -1.0).select(F.col("query_id").alias("query"), F.col("item_id").alias("item"), "score"), "near")
+    if random > 0:
+        buckets = max(1, given.count() // (8 * random))
+        bucket = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(buckets))
+        others = asked.select(F.col("id").alias("query"), bucket.alias("bucket")).join(given.select(F.col("id").alias("item"), bucket.alias("bucket")), "bucket").drop("bucket")
+        # Below all that are near, in an order of their own.
+        near = near.unionByName(others.join(near, ["query", "item"], "left_anti").withColumn("score", F.lit(-2.0)))
+    found = candidates(near, ["query"], "item", top, hard, random, seed, most)
+    texts = found.join(asked.select(F.col("id").alias("query"), F.col("text").alias("__query")), "query").join(given.select(F.col("id").alias("item"), F.col("text").alias("__item")), "item")
+    scored = (score or pair_scorer(left="__query", right="__item"))(texts.withColumnRenamed("score", "cosine")).drop("__query", "__item")
+    ranked = written(ranks(scored, ["query"], [F.desc("score"), F.desc("cosine"), F.asc("item")]), "ranked")
+    made = pairs(ranked, ["query"], "item")
+    kind = lambda side: ranked.select("query", F.col("item").alias(side), F.col("kind").alias(f"{side}_kind"))
+    made = made.join(kind("positive"), ["query", "positive"]).join(kind("negative"), ["query", "negative"])
+    return made.orderBy(F.xxhash64(F.lit(seed), "query", "positive", "negative")).limit(max_pairs) if max_pairs > 0 else made
+
+
 def fuzzy_matches(rows: DataFrame, by: list[str], title: str, candidate: str, least: float = 0.85, first: int = 3) -> DataFrame:
     """(by, title, candidate, place): the first of the first few candidates (by `place`) whose matching blocks make up `least` of both titles."""
 

@@ -85,6 +85,34 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, floor: float, skip_equal
     return met.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def top_k_per_source(queries: DataFrame, items: DataFrame, k: int, floor: float = -1.0) -> DataFrame:
+    """(query_id, source, item_id, score): for each query the k best items of every source over the floor; ties go by item_id.
+
+    queries: (id, vector), a stated set; items: (id, source, vector). Items meet the queries in chunks
+    of one source as matrix products, and a task passes on its k best of each query and chunk, so no
+    pair of a query and an item is a row. Items of another dimension than a query's are none of its.
+    """
+    found = pa.schema([("query_id", pa.int64()), ("source", pa.string()), ("item_id", pa.int64()), ("score", pa.float64())])
+    blocks = queries.select("id", "vector").groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // BLOCK)))).alias("block")).agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
+    counts = items.groupBy("source").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
+    chunks = items.select("id", "source", "vector").join(counts, "source").groupBy("source", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk")).agg(F.collect_list(F.struct("id", "vector")).alias("items"))
+
+    def search(batches):
+        for batch in batches:
+            for source, asked, given in zip(batch.column("source"), batch.column("queries"), batch.column("items")):
+                asked, given = asked.values, given.values
+                ids, names = asked.field("id").to_numpy(), given.field("id").to_numpy()
+                scores = np.round(_same(_matrix(asked.field("vector")), _matrix(given.field("vector"))), 6)
+                order = np.lexsort((np.broadcast_to(names, scores.shape), -scores), axis=1)[:, :k]
+                best = np.take_along_axis(scores, order, 1)
+                row, column = np.nonzero(best >= floor)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.repeat(source, len(row)), pa.array(names[order[row, column]]), pa.array(best[row, column])], schema=found)
+
+    met = chunks.crossJoin(blocks).select("source", "queries", "items").mapInArrow(search, "query_id bigint, source string, item_id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc("score"), "item_id"))
+    return met.withColumn("__rank", rank).filter(F.col("__rank") <= k).drop("__rank")
+
+
 #: Rows of a block of vectors, and the bytes it may have at most.
 BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
 #: A tile compares this many blocks with as many others at a time.

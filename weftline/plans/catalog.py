@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions import text as T
 from weftline.operators import coverage as C, keywords as K, matching as M, tables as R, teams, vectors as V
-from weftline.plans import changes, files, matching, runs, searches, stores, texts  # noqa: F401  they register their queries
+from weftline.plans import changes, files, matching, records, runs, searches, stores, texts  # noqa: F401  they register their queries
 from weftline.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from weftline.session import table
 from weftline.streaming.drain import drain

@@ -136,20 +136,21 @@ def keyword_inventory(spark, sf_dir):
 
 
 # Goals are brands, their requirements part names by type; people are suppliers of the parts.
-_TEXTS = """n AS (SELECT p_brand AS goal, p_type AS section, p_size AS idx, min(p_name) AS text, count(*) / 10.0 AS weight FROM part WHERE p_size <= 10 GROUP BY ALL),
-s AS (SELECT DISTINCT s_suppkey AS person, p_type AS section, p_size AS spec_idx, p_name AS spec FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1 AND s_suppkey < 8 AND p_size <= 10),
-g AS (SELECT DISTINCT goal, person, round(1.5 - person / 8.0, 6) AS domain_score FROM n, s WHERE goal IN ('Brand#1', 'Brand#2', 'Brand#3')),
+_TEXTS = """n AS (SELECT p_brand AS goal, p_type AS section, p_size AS idx, min(p_name) AS text, count(*) / 10.0 AS weight FROM part GROUP BY ALL),
+s AS (SELECT DISTINCT s_suppkey AS person, p_type AS section, p_size AS spec_idx, p_name AS spec FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey),
+g AS (SELECT DISTINCT goal, person, round(1.5 - person % 8 / 8.0, 6) AS domain_score FROM (SELECT DISTINCT goal, CAST(substr(goal, 7) AS INTEGER) % 25 AS k FROM n) b JOIN (SELECT DISTINCT person FROM s) q ON k = person % 25 OR k = (person + 7) % 25),
 p AS (SELECT goal, person, section, idx, spec_idx, CAST(len(list_intersect(string_split(text, ' '), string_split(spec, ' '))) AS DOUBLE) / len(list_distinct(list_concat(string_split(text, ' '), string_split(spec, ' ')))) AS score FROM g JOIN n USING (goal) JOIN s USING (person, section))"""
 
 
 def _pair_tables(spark, sf_dir):
-    part, line = table(spark, sf_dir, "part").filter("p_size <= 10"), table(spark, sf_dir, "lineitem")
+    part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
     needs = part.groupBy(F.col("p_brand").alias("goal"), F.col("p_type").alias("section"), F.col("p_size").alias("idx")).agg(F.min("p_name").alias("text"), (F.count("*") / 10.0).alias("weight"))
-    supplied = line.filter("l_linenumber = 1 and l_suppkey < 8").join(part, line.l_partkey == part.p_partkey)
+    supplied = line.join(part, line.l_partkey == part.p_partkey)
     specs = supplied.select(F.col("l_suppkey").alias("person"), F.col("p_type").alias("section"), F.col("p_size").alias("spec_idx"), F.col("p_name").alias("spec")).distinct()
-    goals = needs.filter(F.col("goal").isin("Brand#1", "Brand#2", "Brand#3")).select("goal").distinct()
-    # A stated list of goals for the people at hand.
-    found = goals.crossJoin(specs.select("person").distinct()).withColumn("domain_score", F.round(1.5 - F.col("person") / 8.0, 6))
+    # Two brands stand for each person's candidates.
+    numbered = needs.select("goal").distinct().withColumn("k", F.substring("goal", 7, 9).cast("int") % 25)
+    people = specs.select("person").distinct().withColumn("k", F.explode(F.array(F.col("person") % 25, (F.col("person") + 7) % 25)))
+    found = people.join(numbered, "k").select("goal", "person").distinct().withColumn("domain_score", F.round(1.5 - F.col("person") % 8 / 8.0, 6))
     return needs, specs, found, C.pair_scores(needs, specs, found, scorers.pair_scorer(), ["section"])
 
 
@@ -183,12 +184,12 @@ def team_gaps(spark, sf_dir):
     return C.gaps(held, 0.4).withColumn("weight", F.col("weight").cast("double"))
 
 
-_COVER = """n AS (SELECT p_brand AS goal, p_size AS idx, count(*) / 10.0 AS weight FROM part WHERE p_size <= 12 GROUP BY ALL), pr AS (SELECT p_brand AS goal, l_suppkey AS person, p_size AS idx, l_discount * 10 AS score FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey < 12 AND p_size <= 12),
+_COVER = """n AS (SELECT p_brand AS goal, p_size AS idx, count(*) / 10.0 AS weight FROM part GROUP BY ALL), pr AS (SELECT p_brand AS goal, l_suppkey AS person, p_size AS idx, l_discount * 10 AS score FROM lineitem JOIN part ON l_partkey = p_partkey),
 pe AS (SELECT DISTINCT goal, person FROM pr), me AS (SELECT goal, person, idx, round(avg(score), 6) AS c FROM pr GROUP BY ALL), cv AS (SELECT goal, person, idx, weight, coalesce(c, 0.0) AS c FROM pe JOIN n USING (goal) LEFT JOIN me USING (goal, person, idx))"""
 
 
 def _covered(spark, sf_dir):
-    part, line = table(spark, sf_dir, "part").filter("p_size <= 12"), table(spark, sf_dir, "lineitem").filter("l_suppkey < 12")
+    part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
     pairs = line.join(part, line.l_partkey == part.p_partkey).select(F.col("p_brand").alias("goal"), F.col("l_suppkey").alias("person"), F.col("p_size").alias("idx"), (F.col("l_discount") * 10).alias("score"))
     needs = part.groupBy(F.col("p_brand").alias("goal"), F.col("p_size").alias("idx")).agg((F.count("*") / 10.0).alias("weight"))
     return C.coverage(pairs, needs, pairs.select("goal", "person").distinct())
@@ -259,11 +260,13 @@ def merged_content(spark, sf_dir):
     return P.merged_content(rows, "p_brand").withColumn("content", F.md5("content"))
 
 
-@query("""WITH l AS (SELECT c_custkey, count(DISTINCT o_orderpriority) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY 1) SELECT c_custkey, CAST(greatest(n, 1) AS INTEGER) AS n FROM l""")
+@query("""WITH o AS (SELECT o_custkey AS c_custkey, o_orderpriority AS text, min((CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 2 END, o_orderkey)) AS turn FROM orders WHERE o_orderkey % 6 > 0 GROUP BY ALL), l AS (SELECT c_custkey, string_agg(text, '|' ORDER BY turn) AS contents FROM o GROUP BY 1)
+SELECT c_custkey, coalesce(contents, c_name) AS contents FROM customer LEFT JOIN l USING (c_custkey)""")
 def keyword_contents(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"), F.lit(1).alias("family"), F.col("o_orderkey").alias("place"), F.col("o_orderpriority").alias("text"))
+    text = F.when(F.col("o_orderkey") % 6 > 0, F.concat("o_orderpriority", F.lit(" "))).otherwise("  ")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderstatus") == "P", 1).otherwise(2).alias("family"), F.col("o_orderkey").alias("place"), text.alias("text"))
     found = P.contents(o, "c_custkey", table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("text")))
-    return found.select("c_custkey", F.size("contents").alias("n"))
+    return found.select("c_custkey", F.array_join("contents", "|").alias("contents"))
 
 
 @query(f"""WITH {_PUBS}, r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY coalesce(year, 0) DESC, id DESC) AS r FROM p), t AS (SELECT c_custkey, string_agg(title, '; ' ORDER BY r) AS titles FROM r WHERE r <= 5 GROUP BY 1)
@@ -279,14 +282,17 @@ def profiles(spark, sf_dir):
     return found.select("c_custkey", "first_year", "latest_year", "fetched_upto", F.size("publications").alias("n"))
 
 
-@query(f"""WITH {_COVER}, s AS (SELECT goal, person, person / 20.0 AS score FROM pe) SELECT goal, CAST((SELECT count(*) FROM n WHERE n.goal = g.goal) AS INTEGER) AS n_needs, (SELECT string_agg(CAST(person AS VARCHAR), ',' ORDER BY person) FROM pe WHERE pe.goal = g.goal) AS people, CAST(round((SELECT max(score) FROM s WHERE s.goal = g.goal), 6) AS DOUBLE) AS best FROM (SELECT DISTINCT goal FROM pe) g""")
+@query(f"""WITH {_COVER}, s AS (SELECT goal, person, person / 20.0 AS score FROM pe) SELECT goal, (SELECT md5(string_agg(idx || '=' || printf('%.2f', weight), ',' ORDER BY CAST(idx AS VARCHAR))) FROM n WHERE n.goal = g.goal) AS needs, (SELECT md5(string_agg(person || ':' || idx || '=' || printf('%.6f', c), ',' ORDER BY person, CAST(idx AS VARCHAR))) FROM cv WHERE cv.goal = g.goal) AS coverage, (SELECT string_agg(CAST(person AS VARCHAR), ',' ORDER BY person) FROM pe WHERE pe.goal = g.goal) AS people, CAST(round((SELECT max(score) FROM s WHERE s.goal = g.goal), 6) AS DOUBLE) AS best FROM (SELECT DISTINCT goal FROM pe) g""")
 def matching_inputs(spark, sf_dir):
     held = _covered(spark, sf_dir)
     name = F.col("idx").cast("string")
     needs = held.select("goal", name.alias("name"), "weight").distinct()
     scores = held.select("goal", "person", (F.col("person") / 20.0).alias("score")).distinct()
     found = P.matching_inputs(needs, held.select("goal", "person", name.alias("name"), "c"), scores)
-    return found.select("goal", F.size("requirements").alias("n_needs"), F.array_join(F.transform("people", lambda x: x.cast("string")), ",").alias("people"), F.round(F.array_max(F.map_values("scores")), 6).alias("best"))
+    shown = lambda m, form: F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), F.format_string(form, e["value"].cast("double"))))
+    covered = F.flatten(F.transform("people", lambda x: F.transform(shown(F.col("coverage")[x], "%.6f"), lambda y: F.concat(x.cast("string"), F.lit(":"), y))))
+    needed = F.md5(F.array_join(shown("requirements", "%.2f"), ","))
+    return found.select("goal", needed.alias("needs"), F.md5(F.array_join(covered, ",")).alias("coverage"), F.array_join(F.transform("people", lambda x: x.cast("string")), ",").alias("people"), F.round(F.array_max(F.map_values("scores")), 6).alias("best"))
 
 
 @query(f"""WITH {_COVER}, m AS (SELECT goal, person, CAST(round(sum(c), 6) AS DOUBLE) AS score FROM cv GROUP BY ALL) SELECT goal, string_agg(CAST(person AS VARCHAR), ',' ORDER BY score DESC, person) AS candidates FROM m GROUP BY 1""")

@@ -97,19 +97,20 @@ _SIMS = """q AS (SELECT vec_id AS owner, embedding::DOUBLE[] AS v FROM embedding
 s AS (SELECT owner, source, vec_id AS id, round(list_cosine_similarity(v, e), 6) AS score FROM q, c WHERE c.label % 4 <> owner // 50 % 5)"""
 
 
-def _scored(spark, sf_dir):
-    """Rows of a stated query set (every 50th vector) against all others, by way of one block of queries."""
+def _scored(spark, sf_dir, queries):
+    """The two best rows of each source for a stated query set; some sources are not an owner's."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("owner"), F.col("embedding").alias("v"))
-    c = e.select(F.col("vec_id").alias("id"), "label", F.concat(F.lit("source "), F.col("label").cast("string")).alias("source"), F.col("embedding").alias("e"))
-    met = c.crossJoin(q).filter((F.col("label") % 4) != (F.floor(F.col("owner") / 50) % 5))
-    return met.select("owner", "source", "id", F.round(V.cosine(F.col("v"), F.col("e")), 6).alias("score"))
+    q = e.filter("vec_id % 50 = 0").filter(queries).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    c = e.select(F.col("vec_id").alias("id"), F.concat(F.lit("source "), F.col("label").cast("string")).alias("source"), F.col("embedding").alias("vector"))
+    found = V.top_k_per_source(q, c, 2).select(F.col("query_id").alias("owner"), "source", F.col("item_id").alias("id"), "score")
+    label = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")
+    return found.filter((label % 4) != (F.floor(F.col("owner") / 50) % 5))
 
 
 @query(f"""WITH {_SIMS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY owner, source ORDER BY score DESC, id) AS INTEGER) AS rank FROM s), k AS (SELECT *, max(score) OVER (PARTITION BY owner, source) AS best FROM r WHERE rank <= 2)
 SELECT owner, source, id, score, rank, CAST(row_number() OVER (PARTITION BY owner ORDER BY best DESC, source, rank) AS INTEGER) AS place FROM k""")
 def per_source_top_k(spark, sf_dir):
-    return S.per_source_by_score(_scored(spark, sf_dir), ["owner"], 2, "id").drop("best")
+    return S.per_source_by_score(_scored(spark, sf_dir, "true"), ["owner"], 2, "id").drop("best")
 
 
 _FALL = "f AS (SELECT source AS owner, lang AS source, doc_id AS id, CAST(row_number() OVER (PARTITION BY source, lang ORDER BY n_chars % 7, doc_id) AS INTEGER) AS rank FROM documents)"
@@ -125,12 +126,11 @@ def per_source_fallback(spark, sf_dir):
 o AS (SELECT vec_id AS owner FROM embeddings WHERE vec_id % 50 = 0), g AS (SELECT owner, id FROM (SELECT owner, c.vec_id AS id, row_number() OVER (PARTITION BY owner, c.source ORDER BY c.vec_id) AS rank FROM o, c WHERE owner % 100 <> 0) WHERE rank <= 2)
 SELECT owner, id, score FROM t UNION ALL SELECT owner, id, NULL FROM g""")
 def chunk_retrieval(spark, sf_dir):
-    ranked = S.per_source_by_score(_scored(spark, sf_dir).filter("owner % 100 = 0"), ["owner"], 2, "id")
+    ranked = S.per_source_by_score(_scored(spark, sf_dir, "vec_id % 100 = 0"), ["owner"], 2, "id")
     e = table(spark, sf_dir, "embeddings")
     rows = e.select(F.col("vec_id").alias("id"), F.concat(F.lit("source "), F.col("label").cast("string")).alias("source"))
     owners = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("owner"))
-    fallback = S.per_source_in_order(rows.crossJoin(owners), ["owner"], 2, ["id"])
-    return S.chunks(ranked, fallback, ["owner"]).select("owner", "id", "score")
+    return S.source_fallback(rows, owners, ranked, 2, ["id"]).select("owner", "id", "score")
 
 
 @query(f"""WITH b AS (SELECT conv_id AS owner, role AS source, turn AS id, turn // 2 AS chunk_index, text AS content FROM conversations), q AS (SELECT conv_id AS owner, turn AS idx, text, (turn % 4) / 3.0 AS coverage FROM conversations WHERE turn < 3),

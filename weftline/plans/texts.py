@@ -143,12 +143,11 @@ def page_labels(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", html.labelled(page, "Name").alias("name"), html.labelled(page, "Kind").alias("kind"))
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(trim(text)), '[a-z0-9]+') AS w FROM conversations), p AS (SELECT conv_id, turn, unnest(w) AS t FROM t), h AS (SELECT conv_id, turn, CAST('0x' || substr(md5(t), 1, 6) AS BIGINT) % 64 AS b FROM p)
-SELECT c.conv_id, c.turn, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(sq, 0) AS DOUBLE) AS squares FROM conversations c LEFT JOIN (SELECT conv_id, turn, sum(k) AS n, sum(k * k) AS sq FROM (SELECT conv_id, turn, b, count(*) AS k FROM h GROUP BY ALL) GROUP BY ALL) USING (conv_id, turn)""")
+@query("""WITH t AS (SELECT conv_id, turn, [CAST('0x' || substr(md5(w), 1, 6) AS BIGINT) % 64 FOR w IN regexp_extract_all(lower(trim(text)), '[a-z0-9]+')] AS b FROM conversations)
+SELECT conv_id, turn, CASE WHEN len(b) > 0 THEN array_to_string([len(list_filter(b, lambda x: x = i)) FOR i IN range(64)], ',') ELSE '' END AS vector FROM t""")
 def hashed_vectors(spark, sf_dir):
     found = scorers.embedded(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", "v")
-    total = lambda f: F.aggregate("v", F.lit(0.0), lambda s, x: s + f(x.cast("double")))
-    return found.select("conv_id", "turn", F.coalesce(total(lambda x: x), F.lit(0.0)).cast("bigint").alias("n"), F.coalesce(total(lambda x: x * x), F.lit(0.0)).alias("squares"))
+    return found.select("conv_id", "turn", F.coalesce(F.array_join(F.transform("v", lambda x: x.cast("int").cast("string")), ","), F.lit("")).alias("vector"))
 
 
 @query(f"""WITH t AS (SELECT a.conv_id, a.turn, list_distinct({_toks('a.text', 1)}) AS x, list_distinct({_toks('b.text', 1)}) AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
