@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from weftline.llm import utf8
-from weftline.session import table
+from weftline.session import forget, table, written
 
 # The symbol characters counted as n_symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -159,14 +159,17 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str, tuple[np
             yield flush()
 
     counted = docs.select("lang", "text").mapInArrow(run, "lang string, of_class boolean, key bigint, n bigint")
-    counted = counted.groupBy("lang", "of_class", "key").agg(F.sum("n").alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "of_class").orderBy(F.desc("n"), "key"))).filter(F.col("of_class") | (F.col("rank") <= limits.common_words))
+    counted = written(counted.groupBy("lang", "of_class", "key").agg(F.sum("n").alias("n")), "counts")
+    # A plain bound on the rank lets each task drop all but a language's commonest words before the shuffle.
+    words = counted.filter(~F.col("of_class")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))).filter(F.col("rank") <= limits.common_words)
+    ranked = words.drop("rank").unionByName(counted.filter("of_class"))
     enough = F.max(F.when(F.col("of_class") & (F.col("key") == DOCS), F.col("n"))).over(Window.partitionBy("lang"))
     ranked = ranked.withColumn("docs", enough).filter(F.col("docs") >= limits.reference_min_docs).filter(~F.col("of_class") | (F.col("key") != DOCS))
     out: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     rows: dict[str, list] = {}
     for r in ranked.collect():
         rows.setdefault(r["lang"], []).append(r)
+    forget(counted)
     for lang, found in rows.items():
         classes = np.zeros(N_CLASSES)
         for r in found:
@@ -264,6 +267,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """judge() against references drawn from docs themselves; see there for nulls, repeats, ties, long texts and empty tables."""
     return judge(docs, references(docs, limits), limits)
 
 
