@@ -45,17 +45,31 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; rows without a word or a doc_id stay."""
+    """One document of each group of near copies: that of the least doc_id, with all rows that repeat it and its text.
+
+    Rows without a word or a doc_id stay. Texts are compared whole; an empty table stays empty and
+    columns of any name are kept.
+    """
     return _those(docs, near_dedup.near_duplicates(docs).filter("kept"), "left_semi")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark.
+
+    Null and empty texts, and all documents where the benchmark is empty, stay. Rows that repeat an id
+    and a text are decided alike, rows of one id and other texts, or without an id, each by its
+    own text, whole. An empty table stays empty; columns of any name are kept.
+    """
     return _those(docs, decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"), "left_anti")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in the sequences."""
+    """The pieces of the documents and their places in the sequences.
+
+    A null or empty text is one piece of one token. Rows that repeat an id or a text are packed each on
+    its own, null ids too; pieces of one length are interchangeable and which goes where is fixed by
+    their values. An empty table gives an empty one.
+    """
     return packing.pack_documents(docs)
 
 

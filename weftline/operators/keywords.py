@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from weftline.functions import text as T
 from weftline.functions.graph import components
 from weftline.operators.vectors import cosine, links_over
+from weftline.session import written
 
 SECTIONS = ("research", "application")
 
@@ -222,3 +223,37 @@ def attached_sources(keywords: DataFrame, catalog: DataFrame, by: list[str], emb
     lists = best.groupBy(*by, "__key").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "type", "id", "score"))), lambda x: F.struct(x["type"].alias("type"), x["id"].alias("id"), x["score"].alias("score"))).alias("sources"))
     found = keyed.join(lists, [*by, "__key"], "left").drop("__key")
     return found.withColumn("sources", F.coalesce("sources", F.array().cast(lists.schema["sources"].dataType)))
+
+
+def mentions_of_words(contents: DataFrame, by: list[str], least: int = 4) -> DataFrame:
+    """(by, text, batch, weight, pos) from contents (by, pos, batch, text): the words of `least` characters that are no stop words.
+
+    A word weighs a tenth for each character, 1 at most: a stand-in for a model that names phrases.
+    """
+    words = contents.select(*by, "batch", F.col("pos").alias("__at"), F.posexplode(T.match_tokens(F.col("text"), least)).alias("__i", "text"))
+    return words.select(*by, "text", "batch", F.least(F.lit(1.0), F.char_length("text") / 10).alias("weight"), (F.col("__at").cast("bigint") * (1 << 24) + F.col("__i")).alias("pos"))
+
+
+def generated(contents: DataFrame, by: list[str], extract=mentions_of_words, embed=None, batch_chars: int = 50_000, most: int = 50, limit: int = 20, sources: int = 4) -> DataFrame:
+    """(by, t, weight, rank, sources): keywords of an owner's contents (by, pos, text), end to end.
+
+    Contents are packed into batches of `batch_chars`; `extract` names phrases in them (by, text, batch,
+    weight, pos), of which the `most` heaviest of a batch stay; phrases become concepts, like concepts
+    one cluster, and the `limit` heaviest clusters keywords, each with the contents most like
+    it. Owners without a phrase have no row.
+    """
+    from weftline.models.scorers import embedded
+    from weftline.operators.tables import batches
+
+    rows = contents.withColumn("text", F.trim("text")).filter("text <> ''")
+    packed = batches(rows, by, ["pos"], F.char_length("text"), batch_chars).join(rows, [*by, "pos"])
+    named = extract(packed, by)
+    turn = F.row_number().over(Window.partitionBy(*by, "batch").orderBy(F.desc("weight"), "pos"))
+    named = written(named.withColumn("__turn", turn).filter(F.col("__turn") <= most).drop("__turn"), "mentions")
+    found = written(concepts(named, by), "concepts")
+    vectors = embedded(found.select(*by, "key"), "key", "vector", embed)
+    all_batches = named.groupBy(*by).agg(F.countDistinct("batch").alias("all_batches"))
+    scored = cluster_scores(clusters(found, vectors.filter("vector IS NOT NULL"), by), by, all_batches)
+    top = section_keywords(scored, by, limit).select(*by, F.col("label").alias("t"), "weight", "rank")
+    catalog = rows.select(*by, F.lit("content").alias("type"), F.col("pos").alias("id"), F.col("text").alias("excerpt"))
+    return attached_sources(top, catalog, by, embed, limit=sources)

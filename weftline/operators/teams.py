@@ -20,7 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from weftline.operators.coverage import BLEND
+from weftline.operators.coverage import BLEND, coverage, match_scores
+from weftline.operators.matching import pool_with
 from weftline.session import forget, written
 
 #: Partial teams that a task extends in a round, and tasks of a goal.
@@ -189,3 +190,23 @@ def best_teams(covered: DataFrame, size: int, n: int = 1, required: list[int] |
         if not seen["open"]:
             forget(goals)
             return state.filter(F.col("kind") == TEAM).select("goal", "team", "score", F.col("place").alias("rank"))
+
+
+def form_teams(pairs: DataFrame, requirements: DataFrame, size: int, required: list[int] | None = None, n: int = 1, per_seat: int = 4, least: int = 15) -> DataFrame:
+    """(goal, team, score, rank): the n best teams of every goal, its required people among them.
+
+    pairs: (goal, person, idx, score); requirements: (goal, idx, weight). The pool of a goal is its
+    required people and, for each seat left, the `per_seat` best others (`least` others at least). To
+    extend a standing team, give its people as required and a size above theirs.
+    """
+    given = list(dict.fromkeys(required or []))
+    scores = match_scores(pairs, requirements)
+    asked = requirements.select("goal").distinct().withColumn("person", F.explode(F.array(*map(F.lit, given)).cast("array<bigint>") if given else F.array().cast("array<bigint>")))
+    pool = pool_with(scores, asked, len(given) + max(per_seat * (size - len(given)), least)).select("goal", "person")
+    return best_teams(coverage(pairs.join(pool, ["goal", "person"], "left_semi"), requirements, pool), size, n, given)
+
+
+def collaborators(pairs: DataFrame, requirements: DataFrame, standing: list[int], more: int, n: int = 1) -> DataFrame:
+    """(goal, people, score, rank): the `more` people who extend a standing team best, for every goal."""
+    found = form_teams(pairs, requirements, len(set(standing)) + more, standing, n)
+    return found.select("goal", F.slice("team", len(set(standing)) + 1, more).alias("people"), "score", "rank")

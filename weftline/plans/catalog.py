@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions import text as T
-from weftline.operators import coverage as C, keywords as K, matching as M, tables as R, teams, vectors as V
+from weftline.operators import coverage as C, keywords as K, tables as R, teams, vectors as V
 from weftline.plans import changes, files, matching, records, runs, searches, stores, texts  # noqa: F401  they register their queries
 from weftline.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from weftline.session import table
@@ -96,14 +96,21 @@ t AS (SELECT goal, CAST([] AS BIGINT[]) AS team, CAST(-1 AS BIGINT) AS last, x F
 r AS (SELECT goal, team, CAST(round(list_sum(x), 6) AS DOUBLE) AS score FROM t WHERE len(team) = 5)
 SELECT goal, '1,2,3,4,5,' || array_to_string(team, ',') AS team, score, CAST(row_number() OVER (PARTITION BY goal ORDER BY score DESC, team) AS INTEGER) AS rank FROM r QUALIFY rank <= 5""")
 def teams_of_ten(spark, sf_dir):
-    pairs, needs = _matching(spark, sf_dir)
-    given = [1, 2, 3, 4, 5]
-    asked = needs.select("goal").distinct().withColumn("person", F.explode(F.array(*map(F.lit, given)).cast("array<bigint>")))
-    pool = M.pool_with(C.match_scores(pairs, needs), asked, 25).select("goal", "person")
-    found = teams.best_teams(C.coverage(pairs.join(pool, ["goal", "person"], "left_semi"), needs, pool), 10, 5, given)
+    found = teams.form_teams(*_matching(spark, sf_dir), 10, [1, 2, 3, 4, 5], 5)
     return found.select("goal", F.array_join(F.transform("team", lambda x: x.cast("string")), ",").alias("team"), "score", "rank")
 
 
+# Whom to add to suppliers 7 and 3: all pairs of the 15 best others.
+@query(f"""WITH {_PAIRS}, rest AS (SELECT goal, person FROM (SELECT *, row_number() OVER (PARTITION BY goal ORDER BY score DESC, person) AS r FROM scores WHERE person NOT IN (3, 7)) WHERE r <= 15),
+asked AS (SELECT DISTINCT goal, person FROM needs, (SELECT unnest([3, 7]) AS person)), v AS (SELECT goal, person, idx, weight, coalesce(c, 0.0) AS c FROM (FROM asked UNION ALL FROM rest) JOIN needs USING (goal) LEFT JOIN means USING (goal, person, idx)),
+s AS (SELECT goal, idx, max(c) AS c FROM v WHERE person IN (3, 7) GROUP BY ALL),
+t AS (SELECT x.goal, x.person AS a, y.person AS b, CAST(round(sum(CAST(x.weight * greatest(x.c, y.c, s.c) AS DECIMAL(28,9))), 6) AS DOUBLE) AS score FROM v x JOIN v y ON x.goal = y.goal AND x.idx = y.idx AND x.person < y.person JOIN s ON s.goal = x.goal AND s.idx = x.idx WHERE x.person NOT IN (3, 7) AND y.person NOT IN (3, 7) GROUP BY ALL)
+SELECT goal, a || ',' || b AS people, score, CAST(row_number() OVER (PARTITION BY goal ORDER BY score DESC, a, b) AS INTEGER) AS rank FROM t QUALIFY rank <= 3""")
+def collaborators(spark, sf_dir):
+    found = teams.collaborators(*_matching(spark, sf_dir), [7, 3], 2, 3)
+    return found.select("goal", F.array_join(F.transform("people", lambda x: x.cast("string")), ",").alias("people"), "score", "rank")
+
+
 @query("SELECT l_suppkey AS person, l_linenumber AS idx, max(l_discount) AS c FROM lineitem GROUP BY ALL")
 def member_coverage(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("person"), F.col("l_linenumber").alias("idx"), F.col("l_discount").alias("c")).transform(C.member_coverage, ["person", "idx"], "c")

@@ -167,3 +167,24 @@ def canonical_names(spark, sf_dir):
     fit = F.get(F.array(*map(F.lit, (" Greate", "FANTASTIC", "bad", "unheard of"))), (k % 5).cast("int"))
     category = F.get(F.array(*map(F.lit, ("Applied_Research ", "educational", "sports"))), (k % 4).cast("int"))
     return e.select("event_id", T.source_type(kind).alias("source_type"), T.fit_label(fit).alias("fit"), T.broad_category(category).alias("category"))
+
+
+# Words of conversations as keywords: words in one of 64 places have equal vectors and are one cluster; every turn is a batch.
+@query(f"""WITH c AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS batch FROM conversations WHERE trim(text) <> ''),
+m AS (SELECT conv_id, turn, batch, unnest({_toks('text', 4)}) AS text, unnest(range(0, len({_toks('text', 4)}))) AS i FROM c),
+k AS (SELECT *, least(1.0, length(text) / 10.0) AS w, turn * 16777216 + i AS pos FROM m QUALIFY row_number() OVER (PARTITION BY conv_id, batch ORDER BY least(1.0, length(text) / 10.0) DESC, turn * 16777216 + i) <= 50),
+b AS (SELECT conv_id, count(DISTINCT batch) AS all_batches FROM k GROUP BY 1),
+n AS (SELECT conv_id, text, count(*) AS n, list(DISTINCT batch) AS batches, sum(CAST(w AS DECIMAL(28,9))) AS ws, max(w) AS mw, min(pos) AS pos, CAST('0x' || substr(md5(text), 1, 6) AS BIGINT) % 64 AS place FROM k GROUP BY ALL),
+g AS (SELECT conv_id, place, arg_min(text, (-n, -len(batches), -mw, pos)) AS label, sum(n) AS support, sum(ws) AS ws, len(list_distinct(flatten(list(batches)))) AS batches FROM n GROUP BY 1, 2),
+t AS (SELECT *, max(support) OVER (PARTITION BY conv_id) AS most FROM g),
+f AS (SELECT conv_id, place, label, support, batches / all_batches AS cover, CAST(round(CAST(greatest(0.0, least(1.0, 0.45 * (CAST(ws AS DOUBLE) / support) + 0.35 * (ln(1 + support) / ln(1 + most)) + 0.20 * (batches / all_batches)
+ - 0.25 * (CASE WHEN support <= 1 THEN 0.25 ELSE 0.0 END + CASE WHEN regexp_matches(label, '[0-9]') THEN 0.1 ELSE 0.0 END))) AS DECIMAL(28,12)), 6) AS DOUBLE) AS weight FROM t JOIN b USING (conv_id)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY weight DESC, support DESC, cover DESC, label) AS INTEGER) AS rank FROM f QUALIFY rank <= 5),
+v AS (SELECT conv_id, turn, p AS place, count(*) AS n FROM (SELECT conv_id, turn, unnest({_PLACES.format('text')}) AS p FROM c) GROUP BY ALL), z AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS z FROM v GROUP BY ALL),
+s AS (SELECT r.conv_id, rank, turn, round(n / z, 6) AS score FROM r JOIN v USING (conv_id, place) JOIN z USING (conv_id, turn) WHERE round(n / z, 6) >= 0.1),
+l AS (SELECT conv_id, rank, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY o) AS sources FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, rank ORDER BY score DESC, turn) AS o FROM s) WHERE o <= 4 GROUP BY ALL)
+SELECT r.conv_id, r.rank, r.label AS keyword, CAST(r.weight AS DOUBLE) AS weight, coalesce(sources, '') AS sources FROM r LEFT JOIN l ON l.conv_id = r.conv_id AND l.rank = r.rank""")
+def generated_keywords(spark, sf_dir):
+    talk = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), "text")
+    found = K.generated(talk, ["conv_id"], batch_chars=1, limit=5)
+    return found.select("conv_id", "rank", F.col("t").alias("keyword"), "weight", F.array_join(F.transform("sources", lambda x: x["id"].cast("string")), ",").alias("sources"))
