@@ -1,8 +1,10 @@
 """Links and components against brute force in a bucket of many variants."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from test_operators import groups
@@ -21,7 +23,8 @@ def sketched(sets):
     return sketch(rows)
 
 
-def test_members_linked_to_one_variant_only(spark):
+@pytest.mark.parametrize("bounded", [False, True])
+def test_members_linked_to_one_variant_only(spark, bounded):
     rng = random.Random(8)
     base = set(range(100))
     sets = {i: base - set(rng.sample(range(100), 10)) | {1000 + i} for i in range(1100)}
@@ -41,7 +44,12 @@ def test_members_linked_to_one_variant_only(spark):
         shared, union = F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))
         return pairs.join(left, "a").join(right, "b").filter(shared >= 0.8 * union).select("a", "b")
 
-    found, roots = leader_links(items.select(F.lit(1).cast("bigint").alias("key"), "id", "s0", "s1"), verify, 0.8)
+    members = items.select(F.lit(1).cast("bigint").alias("key"), "id", "s0", "s1")
+    if bounded:
+        held = Counter(x for s in sets.values() for x in s)
+        weights = [(i, float(len(s)), float(sum(held[x] > 1 for x in s))) for i, s in sets.items()]
+        members = members.join(spark.createDataFrame(weights, "id bigint, whole double, shared double"), "id")
+    found, roots = leader_links(members, verify, 0.8)
     assert {i: i for i in sets} | {r["id"]: r["root"] for r in roots.collect()} == groups(sets, sorted(links))
     assert {(r["a"], r["b"]) for r in found.collect()} <= links
     assert sum(asked) < len(sets) ** 2 / 8
@@ -61,3 +69,23 @@ def test_sketches(spark):
         assert row["n"] == sum(((x >> s) & 15) == ((y >> s) & 15) for x, y in ((a, c), (b, d)) for s in range(0, 64, 4))
         kept += row["n"] >= threshold(0.8)
     assert kept >= 397 and found[-1]["n"] == SLOTS
+
+
+def test_variants_with_much_of_their_own_make_no_pairs(spark):
+    """400 variants alike by 0.73 or so among each other, by shared words in one bucket: none is held against another."""
+    rng = random.Random(5)
+    sets = {i: set(rng.sample(range(100), 97)) | {1000 + 100 * i + j for j in range(14)} for i in range(400)}
+    assert all(0.6 < jaccard(sets[0], sets[i]) < 0.8 for i in range(1, 400))
+    halves = sketched(sets.values())
+    rows = [(1, i, int(x), int(y), float(len(s)), float(len(s & set(range(100))))) for (i, s), (x, y) in zip(sets.items(), halves)]
+    members = spark.createDataFrame(rows, "key bigint, id bigint, s0 bigint, s1 bigint, whole double, shared double")
+    asked = []
+
+    def verify(pairs):
+        asked.append(pairs.count())
+        return pairs.filter("a = b")
+
+    for bounded, few in ((True, True), (False, False)):
+        asked.clear()
+        leader_links(members if bounded else members.drop("whole", "shared"), verify, 0.8)
+        assert (sum(asked) == 0) == few

@@ -13,8 +13,13 @@ similarity goes no further; the join that makes the pairs counts this. Only the
 against each other by their whole texts, which alone decides. `threshold` bounds what the sketch
 loses; items without a sketch (null) always pass.
 
+Members may also carry their weight (`whole`) and the weight of what any other item has too
+(`shared`). Two items overlap in at most the lesser of their shared weights, which bounds their
+weighted Jaccard similarity from above. Nothing is lost by that bound, and it turns away the pairs
+of variants that each have much of their own: those are alike enough for the sketch, but not linked.
+
 Hot buckets only meet in joins (which adaptive execution splits) and in combining aggregates. A
-bucket of many members that are alike enough for the sketch, but not linked, costs their pairs.
+bucket of many members that pass sketch and bound, but are not linked, costs their pairs.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ FIRST = 16
 SLOTS = 32
 #: Probability with which a pair of just the wanted similarity fails by its sketches.
 LOSS = 1e-3
+#: What sums of weights, added up in different orders, may differ by.
+ROUNDING = 1e-9
 
 
 def sketch(samples: np.ndarray) -> np.ndarray:
@@ -64,32 +71,42 @@ def agreement(a: tuple[str, str], b: tuple[str, str]) -> Column:
     return F.coalesce(F.lit(SLOTS) - differs, F.lit(SLOTS))
 
 
+def within_reach(similarity: float) -> Column:
+    """Whether the bound of (whole, shared) and (other_whole, other_shared) admits this similarity; sums may be rounded."""
+    overlap = F.least("shared", "other_shared")
+    return overlap >= (similarity - ROUNDING) * (F.col("whole") + F.col("other_whole") - overlap)
+
+
 def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], similarity: float) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) with a < b, and the components (id, root), of the pairs of one bucket that are alike.
 
-    members: (key, id, s0, s1). `verify` takes pairs (a, b) and returns those that are alike. The
+    members: (key, id, s0, s1), with whole and shared if these are known. `verify` takes pairs (a, b) and returns those that are alike. The
     links join what all links of pairs in a bucket would join, but are not all of them.
     """
     wanted = threshold(similarity)
     alike = agreement(("s0", "s1"), ("t0", "t1")) >= wanted
+    other = {"id": "other", "s0": "t0", "s1": "t1"}
+    if "whole" in members.columns:
+        alike = alike & within_reach(similarity)
+        other |= {"whole": "other_whole", "shared": "other_shared"}
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     counted = written(members.join(sizes, "key"), "counted")
     degrees = counted.groupBy("id").agg(F.sum("n").alias("degree"))
     own = written(counted.drop("n").join(degrees, "id"), "members")
     forget(counted)
-    leaders = own.groupBy("key").agg(F.min_by(F.struct("id", "s0", "s1"), F.struct(-F.col("degree"), "id")).alias("x"))
-    leaders = leaders.select("key", F.col("x.id").alias("other"), F.col("x.s0").alias("t0"), F.col("x.s1").alias("t1"))
+    leaders = own.groupBy("key").agg(F.min_by(F.struct(*other), F.struct(-F.col("degree"), "id")).alias("x"))
+    leaders = leaders.select("key", *(F.col(f"x.{c}").alias(name) for c, name in other.items()))
     met = own.join(leaders, "key").filter((F.col("id") != F.col("other")) & alike)
     links = written(verify(written(_pairs(met), "pairs")), "links")
     roots = components(links)
     for all_members in (False, True):
         full = own.join(roots.withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        full = written(full.select("key", "id", "s0", "s1", "comp"), "members")
+        full = written(full.select("key", *other, "comp"), "members")
         side = full
         if not all_members:
             shares = full.groupBy("key", "comp").agg(F.count("*").alias("n")).filter("n > 1")
             side = full.join(shares, ["key", "comp"]).filter(F.pmod(F.xxhash64("key", "id"), F.lit(1 << 20)) * F.col("n") < F.lit(FIRST << 20))
-        side = side.select("key", F.col("id").alias("other"), F.col("s0").alias("t0"), F.col("s1").alias("t1"), F.col("comp").alias("other_comp"))
+        side = side.select("key", *(F.col(c).alias(name) for c, name in other.items()), F.col("comp").alias("other_comp"))
         apart = (F.col("comp") != F.col("other_comp")) & ((F.col("id") < F.col("other")) | F.lit(not all_members))
         more = written(verify(written(_pairs(full.join(side, "key").filter(apart & alike)), "pairs")), "more")
         if not more.isEmpty():

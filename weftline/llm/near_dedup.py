@@ -6,6 +6,10 @@ hash, packed, and gets back how many documents elsewhere hold each. Each text th
 (two texts draw the same with the probability of their weighted Jaccard similarity); bands of
 equal samples give candidates, each checked by the exact weighted Jaccard similarity, and
 union-find makes groups of the links.
+
+Document frequencies also tell which shingles no other text has. Their weight can't overlap with
+anything, so a text with more than a fifth of its weight in them has no partner, and what is left
+bounds every pair before texts are joined. The bound is exact and turns no partner away.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.llm import utf8
-from weftline.llm.links import leader_links, sketch
+from weftline.llm.links import ROUNDING, leader_links, sketch
 from weftline.session import forget, table, written
 
 WORDS = 5
@@ -28,6 +32,8 @@ BANDS, ROWS = 10, 4
 #: Text of a unit that sends its shingles together, and text for each bucket of shingles.
 UNIT_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
+#: Ids that choose texts are broadcast up to this number (16 MB), else joined by shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def shingle_counts(part: utf8.Texts, size: int = WORDS):
@@ -168,7 +174,11 @@ def _elsewhere(units: DataFrame, buckets: int) -> DataFrame:
 
 
 def _drawn(units: DataFrame, n_docs: int, bands: int, rows: int) -> DataFrame:
-    """(id, text, df, keys, s0, s1): document frequencies in the order of shingle_counts, the band keys of the samples and their sketch."""
+    """(id, text, df, keys, s0, s1, whole, shared).
+
+    df: document frequencies in the order of shingle_counts; keys: the band keys of the samples;
+    s0 and s1: their sketch; whole: the text's weight; shared: that of shingles which other texts have too.
+    """
 
     def run(batches):
         for batch in batches:
@@ -179,6 +189,7 @@ def _drawn(units: DataFrame, n_docs: int, bands: int, rows: int) -> DataFrame:
                 others = np.concatenate([_expand(x["blob"].as_py()) for x in sorted(answers, key=lambda x: x["bucket"].as_py())]) if answers.is_valid else np.zeros(0, np.int64)
                 df = (others + np.bincount(place, copies[text], len(unique)).astype(np.int64))[place]
                 ends = np.searchsorted(text, np.arange(len(copies) + 1))
+                elsewhere = df > copies[text]
                 weights = times * (1 + np.log((1 + n_docs) / (1 + df)))
                 keys, halves = np.zeros((len(copies), bands), np.int64), np.zeros((len(copies), 2), np.int64)
                 for i in range(len(copies)):
@@ -191,9 +202,11 @@ def _drawn(units: DataFrame, n_docs: int, bands: int, rows: int) -> DataFrame:
                         key = utf8.mix(key * np.uint64(utf8.BASE) + drawn[:, j])
                     keys[i] = key.view(np.int64)
                 lists = [pa.ListArray.from_arrays(pa.array(x, pa.int32()), pa.array(v)) for x, v in ((ends, df), (np.arange(0, keys.size + 1, bands), keys.ravel()))]
-                yield pa.RecordBatch.from_arrays([ids.values, texts.values, *lists, *map(pa.array, np.ascontiguousarray(halves.T))], names=["id", "text", "df", "keys", "s0", "s1"])
+                sums = [np.bincount(text, x, len(copies)) for x in (weights, weights * elsewhere)]
+                numbers = map(pa.array, (*np.ascontiguousarray(halves.T), *sums))
+                yield pa.RecordBatch.from_arrays([ids.values, texts.values, *lists, *numbers], names=["id", "text", "df", "keys", "s0", "s1", "whole", "shared"])
 
-    return units.mapInArrow(run, "id bigint, text string, df array<bigint>, keys array<bigint>, s0 bigint, s1 bigint")
+    return units.mapInArrow(run, "id bigint, text string, df array<bigint>, keys array<bigint>, s0 bigint, s1 bigint, whole double, shared double")
 
 
 def _weights(texts: pa.Array, df: pa.Array, n_docs: int):
@@ -204,6 +217,12 @@ def _weights(texts: pa.Array, df: pa.Array, n_docs: int):
             yield row, s, times * (1 + np.log((1 + n_docs) / (1 + df[row].values.to_numpy(zero_copy_only=False))))
 
 
+def _chosen(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts with these ids. Ids are counted first, so that texts are not shuffled to find a few of them."""
+    ids = written(ids.distinct(), "ids", small=True)
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def _checked(texts: DataFrame, n_docs: int, similarity: float):
     """The check for leader_links: exact weighted Jaccard similarity."""
 
@@ -218,8 +237,7 @@ def _checked(texts: DataFrame, n_docs: int, similarity: float):
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(same))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        held = texts.join(wanted, "id", "left_semi")
+        held = _chosen(texts, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
         left, right = (held.select(F.col("id").alias(one), F.col("text").alias(x), F.col("df").alias(f"{x}df")) for one, x in (("a", "x"), ("b", "y")))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "xdf", "y", "ydf").mapInArrow(compare, "a bigint, b bigint")
 
@@ -248,10 +266,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     answers = written(answers, "answers")
     full = written(_drawn(units.join(answers, "unit"), total, bands, rows), "texts")
     forget(units, answers)
-    banded = full.select("id", "s0", "s1", F.explode("keys").alias("key"))
+    possible = full.filter(F.col("shared") >= (similarity - ROUNDING) * F.col("whole"))
+    banded = possible.select("id", "s0", "s1", "whole", "shared", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most").select("key")
-    members = written(banded.join(shared, "key", "left_semi").select("key", "id", "s0", "s1"), "members")
-    _, roots = leader_links(members, _checked(full, total, similarity), similarity)
+    members = written(banded.join(shared, "key", "left_semi").select("key", "id", "s0", "s1", "whole", "shared"), "members")
+    held = written(_chosen(full.select("id", "text", "df"), members.select("id")), "held")
+    forget(full)
+    _, roots = leader_links(members, _checked(held, total, similarity), similarity)
+    forget(members, held)
     named = classes.select("text_key", "class_id", F.xxhash64("class_id", "text_key").alias("id")).join(roots, "id", "left")
     named = written(named.select("text_key", "class_id", F.coalesce("root", "id").alias("root")), "named")
     groups = named.groupBy("root").agg(F.min(F.struct("class_id", "text_key")).alias("first"))
