@@ -145,6 +145,26 @@ def test_pages_with_ties(spark, tmp_path):
     assert list(R.pages(df.limit(0), ["k", "id"], 10)) == []
 
 
+def test_pages_are_numbered_without_a_job_for_each(spark, tmp_path):
+    rows = [(i % 4, i) for i in range(570)]
+    df = R.sorted_files(spark.createDataFrame(rows, "k int, id bigint"), ["k", "id"], f"{tmp_path}/t", 5)
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(name, run):
+        spark.sparkContext.setJobGroup(name, name)
+        got = run()
+        spark.sparkContext._jsc.clearJobGroup()
+        return got, len(tracker.getJobIdsForGroup(name))
+
+    want = {(k, i): at // 10 for at, (k, i) in enumerate(sorted(rows))}
+    got, n_jobs = jobs("numbered", lambda: R.numbered_pages(df, ["k", "id"], 10).collect())
+    assert {(r["k"], r["id"]): r["page"] for r in got} == want and n_jobs < 20
+    got, n_jobs = jobs("cursor", lambda: list(R.pages(df, ["k", "id"], 10)))
+    assert [len(p) for p in got] == [10] * 57 and [tuple(r) for p in got for r in p] == sorted(rows) and n_jobs < 20
+    assert list(map(len, R.pages(df, ["k", "id"], 57, ahead=2))) == [57] * 10
+    assert R.numbered_pages(df.limit(570).filter("k > 9"), ["k", "id"], 10).count() == 0
+
+
 # ---- contents by turns
 
 

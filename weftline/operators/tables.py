@@ -41,14 +41,34 @@ def page_after(df: DataFrame, keys: list[str], after: tuple | None, limit: int)
     return df.orderBy(*keys).limit(limit)
 
 
-def pages(df: DataFrame, keys: list[str], limit: int) -> Iterator[list[Row]]:
-    """A cursor: all rows in pages of at most `limit`, one page at the driver at a time; each seeks after the last key."""
+def pages(df: DataFrame, keys: list[str], limit: int, ahead: int = 32) -> Iterator[list[Row]]:
+    """A cursor: all rows in pages of at most `limit`, `ahead` pages at the driver at a time; each fetch seeks after the last key.
+
+    It is for a reader who may stop; each fetch is a job. For all pages at once see `numbered_pages`.
+    """
     after = None
-    while found := page_after(df, keys, after, limit).collect():
-        yield found
+    while found := page_after(df, keys, after, limit * ahead).collect():
+        yield from (found[i : i + limit] for i in range(0, len(found), limit))
+        if len(found) < limit * ahead:
+            return
         after = tuple(found[-1][k] for k in keys)
 
 
+def numbered_pages(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """df with `page`, from 0: the page of at most `limit` rows, in order of the keys, that `pages` gives each row in.
+
+    df is a table of `sorted_files`, its keys together are unique and not null. Files are ordered by
+    their least keys and counted, and each file's rows are numbered after those before it: no row
+    leaves Spark, and no task orders more than a file.
+    """
+    placed = df.withColumn("__file", F.col("_metadata.file_path"))
+    sizes = placed.groupBy("__file").agg(F.min(F.struct(*keys)).alias("__least"), F.count("*").alias("__n"))
+    earlier = Window.orderBy("__least").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    sizes = sizes.select("__file", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__file").orderBy(*keys)) - 1
+    return placed.join(F.broadcast(sizes), "__file").withColumn("page", F.floor(place / limit)).drop("__file", "__before")
+
+
 def sorted_files(df: DataFrame, keys: list[str], path: str, n_files: int) -> DataFrame:
     """df written in ranges of its keys, each file sorted, and read back: what `page_after` seeks in."""
     df.repartitionByRange(n_files, *keys).sortWithinPartitions(*keys).write.parquet(path)
