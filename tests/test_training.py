@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from weftline.operators import training as L
+from weftline.operators import keywords as K, training as L
 
 
 def kinds(spark, n, **how):
@@ -42,3 +42,10 @@ def test_nothing_is_shared(spark):
     df = spark.createDataFrame([(1, "word", 1.0)], "id bigint, text string, weight double")
     with pytest.raises(ValueError):
         L.training_set(df, df.limit(0))
+
+
+def test_a_source_of_just_the_least_score_stays(spark):
+    known = {"asked": [1.0, 1.0, 0.0], "rare": [1.0, 0.0, 7.0], "rarer": [1.0, 0.0, 8.0]}  # 1 / (sqrt(2) * sqrt(50)) is a hair under 0.1
+    catalog = spark.createDataFrame([(1, "a", 1, "rare"), (1, "a", 2, "rarer")], "o int, type string, id int, excerpt string")
+    found = K.attached_sources(spark.createDataFrame([(1, "Asked")], "o int, t string"), catalog, ["o"], lambda texts: [known[t] for t in texts])
+    assert [tuple(x) for r in found.collect() for x in r["sources"]] == [("a", 1, 0.1)]

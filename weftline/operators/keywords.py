@@ -209,8 +209,8 @@ def quality_bands(scores: DataFrame, by: list[str], edges: tuple[float, ...] = (
 def attached_sources(keywords: DataFrame, catalog: DataFrame, by: list[str], embed=None, least: float = 0.10, limit: int = 4) -> DataFrame:
     """keywords (by, t, ...) with `sources`: the catalog's rows (by, type, id, excerpt) most like each keyword, by the cosine of their vectors.
 
-    A keyword has at most `limit` sources of `least` or more, best first; equal keywords (in any case
-    and spacing) have the same ones, and one without a source has an empty list. An owner's catalog
+    A keyword has at most `limit` sources of `least` or more (as rounded to 6 digits), best first; equal
+    keywords (in any case and spacing) have the same ones, and one without a source has an empty list. An owner's catalog
     is bounded (see payloads.source_catalog), so owners' keywords meet it in a join.
     """
     from weftline.models.scorers import embedded
@@ -218,7 +218,7 @@ def attached_sources(keywords: DataFrame, catalog: DataFrame, by: list[str], emb
     keyed = keywords.withColumn("__key", F.lower(T.one_space(F.col("t"))))
     left = embedded(keyed.select(*by, "__key").filter("__key <> ''").distinct(), "__key", "__x", embed)
     right = embedded(catalog.select(*by, "type", "id", "excerpt"), "excerpt", "__y", embed).drop("excerpt")
-    met = left.join(right, by).withColumn("score", cosine(F.col("__x"), F.col("__y")))
+    met = left.join(right, by).withColumn("score", F.round(cosine(F.col("__x"), F.col("__y")), 6))
     best = best_sources(met.filter("score IS NOT NULL"), [*by, "__key"], least, limit)
     lists = best.groupBy(*by, "__key").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "type", "id", "score"))), lambda x: F.struct(x["type"].alias("type"), x["id"].alias("id"), x["score"].alias("score"))).alias("sources"))
     found = keyed.join(lists, [*by, "__key"], "left").drop("__key")
