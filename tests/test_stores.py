@@ -90,6 +90,18 @@ def test_objects(spark, tmp_path):
     assert {tuple(r) for r in objects.listed(spark, f"{tmp_path}/store", "*.txt").collect()} == {("a/b/one.txt", 9), ("a/bad.txt", 8), ("a/large.txt", 100)}
 
 
+def test_wanted_objects_are_looked_up_not_listed(spark, tmp_path):
+    folder = f"{tmp_path}/store"
+    (tmp_path / "store/a").mkdir(parents=True)
+    for name in ("a/one.txt", "a/two.txt", "a/.hid.txt", "a/_hid.txt", "a/x.html"):
+        (tmp_path / "store" / name).write_text(name)
+    (tmp_path / "out.txt").write_text("outside")
+    wanted = spark.createDataFrame([(x,) for x in ("a/one.txt", "a/one.txt", "a/.hid.txt", "a/_hid.txt", "a/x.html", "a", "", None, "/a/two.txt", "a//two.txt", "../out.txt", "a/gone.txt")], "path string")
+    for found in (objects.get_texts(spark, folder, wanted, "*.txt").withColumnRenamed("text", "x"), objects.listed(spark, folder, "*.t[wx]t", wanted).withColumnRenamed("n_bytes", "x")):
+        assert "binaryFile" not in found._jdf.queryExecution().toString()
+        assert [(r["path"], r["x"]) for r in found.collect()] in ([("a/one.txt", "a/one.txt")], [("a/one.txt", 9)])
+
+
 def test_types(spark):
     rows = [("x/report.PDF", None, None, "pdf"), ("x.y/report", "application/msword", None, "docx"), (".profile", None, b"%PDF-1.7", "pdf"), (None, None, b"<html>", "html"), ("x", "image/png", b"\x89PNG", "unknown"), ("x", None, None, "unknown"), ("a.txt", "application/pdf", b"%PDF", "txt")]
     df = spark.createDataFrame(rows, "path string, mime string, content binary, want string")

@@ -12,6 +12,8 @@ from weftline.functions import text as T
 
 #: Objects above this size are listed, not read.
 MOST_BYTES = 64 << 20
+#: A task passes on its objects whenever they make up this much.
+BATCH_BYTES = 8 << 20
 # Kinds of file by extension, by MIME type (first match), by leading bytes; kinds of element that are text.
 EXTENSIONS = ("pdf", "docx", "html", "htm", "txt")
 MIME = {"pdf": "pdf", "word": "docx", "docx": "docx", "html": "html", "htm": "html", "text/plain": "txt"}
@@ -28,9 +30,7 @@ def put_texts(rows: DataFrame, folder: str, path_column: str = "path", text_colu
     """
 
     def run(batches):
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder.removeprefix('file:'))}")
+        system, root = _store(folder)
         made: set[str] = set()
         for batch in batches:
             sizes, there = [], []
@@ -53,8 +53,56 @@ def put_texts(rows: DataFrame, folder: str, path_column: str = "path", text_colu
     return rows.select(F.col(path_column).alias("path"), F.col(text_column).alias("text")).mapInArrow(run, "path string, n_bytes bigint, stored boolean")
 
 
-def listed(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, n_bytes) of the objects below `folder` whose name matches; no content is read."""
+def _store(folder: str):
+    """Arrow's file system of a folder, and the folder's path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder.removeprefix('file:'))}")
+
+
+def _named(spark: SparkSession, folder: str, wanted: DataFrame, pattern: str, most_bytes: int | None, content: bool) -> DataFrame:
+    """(path, n_bytes, content) of wanted objects, each looked up by its name in a task, so that no one lists the folder."""
+    plain = ~F.col("path").rlike(r"^$|^/|/$|//|(^|/)[._]")  # what a listing gives: no empty, dotted or hidden name
+    name = F.substring_index("path", "/", -1)
+    matches = name.rlike(f"^(?:{spark._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern()})$")
+    paths = wanted.select("path").filter("path IS NOT NULL").filter(plain & matches).distinct()
+
+    def run(batches):
+        system, root = _store(folder)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                held, size = [], 0
+                paths = batch.column("path").slice(at, 512).to_pylist()
+                for path, info in zip(paths, system.get_file_info([f"{root}/{p}" for p in paths])):
+                    if not info.is_file or (most_bytes is not None and info.size > most_bytes):
+                        continue
+                    data = None
+                    if content:
+                        with system.open_input_stream(info.path) as stream:
+                            data = stream.read()
+                    held.append((path, info.size, data))
+                    size += len(data or b"")
+                    if size > BATCH_BYTES:
+                        yield _rows(held)
+                        held, size = [], 0
+                if held:
+                    yield _rows(held)
+
+    return paths.mapInArrow(run, "path string, n_bytes bigint, content binary")
+
+
+def _rows(held: list[tuple]) -> pa.RecordBatch:
+    path, size, data = zip(*held)
+    return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(size, pa.int64()), pa.array(data, pa.binary())], names=["path", "n_bytes", "content"])
+
+
+def listed(spark: SparkSession, folder: str, pattern: str = "*", wanted: DataFrame | None = None) -> DataFrame:
+    """(path, n_bytes) of the objects below `folder` whose name matches, of those in `wanted` (path) alone if given; no content is read.
+
+    Without `wanted` Spark's source lists the folder, whose names are then at the driver.
+    """
+    if wanted is not None:
+        return _named(spark, folder, wanted, pattern, None, False).select("path", "n_bytes")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     return found.select(_below(folder).alias("path"), F.col("length").alias("n_bytes"))
 
@@ -69,11 +117,14 @@ def get_texts(spark: SparkSession, folder: str, wanted: DataFrame | None = None,
     """(path, text) of the objects below `folder`, of those whose path is in `wanted` (path) alone if given.
 
     Missing objects give no row. The pattern on names and the bound on sizes reach the source, so
-    that other objects are not opened; bytes that are no UTF-8 become replacement characters.
+    that other objects are not opened; bytes that are no UTF-8 become replacement characters. Wanted
+    objects are opened by their names in the tasks; without `wanted` the driver lists the folder.
     """
+    text = F.make_valid_utf8(F.col("content").cast("string")).alias("text")
+    if wanted is not None:
+        return _named(spark, folder, wanted, pattern, most_bytes, True).select("path", text)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).filter(F.col("length") <= most_bytes)
-    rows = found.select(_below(folder).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    return rows if wanted is None else rows.join(wanted.select("path").distinct(), "path", "left_semi")
+    return found.select(_below(folder).alias("path"), text)
 
 
 def detected_type(path: Column, mime: Column, content: Column) -> Column:
