@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from weftline.session import written
+
 THRESHOLD = 0.30
 #: Sums in this type do not depend on the order of rows.
 EXACT = "decimal(28,9)"
 #: Shares of coverage and of the members' mean score in a blended team score.
 BLEND = (0.7, 0.3)
+#: Specializations that one task of a comparison has, about.
+TASK_ROWS = 100_000
 
 
 def _unit(x: Column) -> Column:
@@ -21,14 +25,38 @@ def pair_scores(requirements: DataFrame, specializations: DataFrame, candidates:
     requirements: (goal, sections, idx, text, weight); specializations: (person, sections, spec_idx, spec);
     candidates: (goal, person). `score` takes different texts (text, spec) and adds `score`: each
     pair of texts is scored once, however many candidates share it. Blank texts score 0 or drop out.
+    Both sides come to the candidates as lists of a section, dealt by person, and become pairs only
+    there: rows of one person stay in one task, so grouping by person shuffles no pair.
     """
-    needs = requirements.filter(F.trim("text") != "").select("goal", *sections, "idx", F.trim("text").alias("text"))
-    specs = specializations.filter(F.trim("spec") != "").select("person", *sections, "spec_idx", F.trim("spec").alias("spec"))
-    uses = candidates.select("goal", "person").join(needs, "goal").join(specs, ["person", *sections])
-    known = score(uses.select("text", "spec").distinct()).select("text", "spec", _unit(F.col("score")).alias("score"))
+    needs, specs = _sides(requirements, specializations, sections)
+    uses = _met(needs, specs, candidates, sections, ["idx", "text"], ["spec_idx", "spec"])
+    known = _known(needs, specs, candidates, score, sections)
     return uses.join(known, ["text", "spec"]).select("goal", "person", *sections, "idx", "spec_idx", "score")
 
 
+def _sides(requirements: DataFrame, specializations: DataFrame, sections: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Requirements and specializations without blank texts, written so that Spark knows their sizes."""
+    needs = requirements.filter(F.trim("text") != "").withColumn("text", F.trim("text"))
+    specs = specializations.filter(F.trim("spec") != "").select("person", *sections, "spec_idx", F.trim("spec").alias("spec"))
+    return written(needs.select("goal", *sections, *(c for c in ("idx", "text", "weight") if c in needs.columns)), "needs", small=True), written(specs, "specs")
+
+
+def _met(needs: DataFrame, specs: DataFrame, candidates: DataFrame, sections: list[str], asked: list[str], given: list[str]) -> DataFrame:
+    """(goal, person, sections, asked, given): each candidate's requirements with its specializations of the same section."""
+    tasks = max(1, -(-specs.count() // TASK_ROWS))
+    own = specs.repartition(tasks, "person").groupBy("person", *sections).agg(F.collect_list(F.struct(*given)).alias("__given"))
+    lists = needs.groupBy("goal", *sections).agg(F.collect_list(F.struct(*asked)).alias("__asked"))
+    pairs = own.join(candidates.select("goal", "person").repartition(tasks, "person"), "person").join(lists, ["goal", *sections])
+    rows = pairs.select("goal", "person", *sections, "__given", F.explode("__asked").alias("__a")).select("goal", "person", *sections, "__a", F.explode("__given").alias("__g"))
+    return rows.select("goal", "person", *sections, *(F.col(f"__a.{c}").alias(c) for c in asked), *(F.col(f"__g.{c}").alias(c) for c in given))
+
+
+def _known(needs: DataFrame, specs: DataFrame, candidates: DataFrame, score, sections: list[str]) -> DataFrame:
+    """(text, spec, score) of the different texts that meet in a candidate, each pair scored once."""
+    met = _met(needs.select("goal", *sections, "text").distinct(), specs.select("person", *sections, "spec").distinct(), candidates, sections, ["text"], ["spec"])
+    return written(score(met.select("text", "spec").distinct()).select("text", "spec", _unit(F.col("score")).alias("score")), "known")
+
+
 def coverage(pairs: DataFrame, requirements: DataFrame, people: DataFrame, threshold: float = THRESHOLD, sections: list[str] | None = None) -> DataFrame:
     """(goal, person, idx, weight, c, covered): mean pair score per requirement, 0 where there is no pair.
 
@@ -41,6 +69,22 @@ def coverage(pairs: DataFrame, requirements: DataFrame, people: DataFrame, thres
     return full.withColumns({"covered": F.round("c", 9) >= max(0.0, min(1.0, threshold)), "c": F.round("c", 6)})
 
 
+def means(pairs: DataFrame, sections: list[str] | None = None) -> DataFrame:
+    """(goal, person, sections, idx, c): `coverage` of the requirements that a person has pairs for, no others."""
+    return pairs.groupBy("goal", "person", *(sections or []), "idx").agg(F.round(F.avg("score"), 6).alias("c"))
+
+
+def best_coverage(pairs: DataFrame, requirements: DataFrame, people: DataFrame, sections: list[str] | None = None) -> DataFrame:
+    """requirements of the goals that have people, with c, the greatest `coverage` of any of them: 0 where there is no pair.
+
+    Nobody's zeros are rows, so the cost is that of the pairs.
+    """
+    keys = ["goal", *(sections or []), "idx"]
+    top = means(pairs, sections).groupBy(*keys).agg(F.max("c").alias("c"))
+    asked = requirements.join(people.select("goal").distinct(), "goal", "left_semi")
+    return asked.join(top, keys, "left").withColumn("c", F.greatest(F.lit(0.0), F.coalesce("c", F.lit(0.0))))
+
+
 def match_scores(pairs: DataFrame, requirements: DataFrame, sections: list[str] | None = None) -> DataFrame:
     """(goal, person, score): sum of weight * score over sum of weight, over pairs of positive weight."""
     weighed = pairs.join(requirements, ["goal", *(sections or []), "idx"]).filter("weight > 0")
@@ -68,6 +112,45 @@ def match_rows(candidates: DataFrame, pairs: DataFrame, requirements: DataFrame,
     return found.select("goal", "person", "domain_score", final.alias("llm_score"), "covered", "missing")
 
 
+def text_match_rows(candidates: DataFrame, requirements: DataFrame, specializations: DataFrame, score, threshold: float = THRESHOLD, sections: list[str] | None = None) -> DataFrame:
+    """`match_rows` of the pairs that `pair_scores` would give, at the cost of different texts.
+
+    Equal specializations of a person, and requirements of one text and weight, are compared once and
+    counted: a mean is the sum of count times score over the counts, and no pair becomes a row.
+    Requirements without a pair are known by their names alone.
+    """
+    parts = sections or []
+    needs, specs = _sides(requirements, specializations, parts)
+    name = F.concat_ws(".", *parts, F.col("idx").cast("string"))
+    asked = written(needs.groupBy("goal", *parts, "text", "weight").agg(F.count("*").alias("__m"), F.collect_list(name).alias("__names")), "asked", small=True)
+    given = specs.groupBy("person", *parts, "spec").agg(F.count("*").alias("__n"))
+    known = _known(needs, specs, candidates, score, parts)
+    met = _met(asked, given, candidates.select("goal", "person").distinct(), parts, ["text", "weight", "__m"], ["spec", "__n"]).join(known, ["text", "spec"])
+    # In these types a product keeps all 9 digits of EXACT.
+    times, heavy, exact = (F.col("__m") * F.col("__n")).cast("decimal(13,0)"), F.col("weight") > 0, "decimal(24,9)"
+    one = met.groupBy("goal", "person", *parts, "text", "weight").agg(
+        (F.sum(F.col("__n") * F.col("score")) / F.sum("__n")).alias("c"),
+        F.sum(F.when(heavy, (F.col("weight") * F.col("score")).cast(exact) * times)).alias("ws"),
+        F.sum(F.when(heavy, F.col("weight").cast(exact) * times)).alias("w"),
+    )
+    least = max(0.0, min(1.0, threshold))
+    held = one.withColumn("covered", F.round("c", 9) >= least)
+    shown = F.when(F.col("covered"), F.transform("__names", lambda x: F.struct(x.alias("name"), F.round(F.col("c"), 6).alias("c"))))
+    lists = held.join(asked.select("goal", *parts, "text", "weight", "__names"), ["goal", *parts, "text", "weight"]).groupBy("goal", "person").agg(
+        F.sum("ws").alias("ws"), F.sum("w").alias("w"), F.flatten(F.collect_list(shown)).alias("held")
+    )
+    own = requirements.select("goal", name.alias("name")).groupBy("goal").agg(F.sort_array(F.collect_list("name")).alias("__all"))
+    found = candidates.join(lists, ["goal", "person"], "left").join(own, "goal", "left")
+    entries = F.coalesce("held", F.array().cast(lists.schema["held"].dataType))
+    rest = F.array_except("__all", F.transform(entries, lambda x: x["name"]))
+    if least <= 0:  # then those without a pair are covered too, by 0
+        entries, rest = F.concat(entries, F.transform(rest, lambda x: F.struct(x.alias("name"), F.lit(0.0).alias("c")))), F.slice("__all", 1, 0)
+    there = F.col("__all").isNotNull()
+    share = _unit(F.coalesce(F.col("ws").cast("double") / F.col("w").cast("double"), F.lit(0.0)))
+    final = F.round(F.round(share.cast("decimal(28,12)"), 6).cast("double") * _unit(F.col("domain_score")), 6)
+    return found.select("goal", "person", "domain_score", final.alias("llm_score"), F.when(there, F.map_from_entries(F.sort_array(entries))).alias("covered"), F.when(there, rest).alias("missing"))
+
+
 def evidence(pairs: DataFrame, rows: DataFrame, limit: int = 200) -> DataFrame:
     """Flat evidence: pairs once for each (person, section, requirement, specialization), best pair first, then best requirement, at most `limit` a goal."""
     best = pairs.groupBy("goal", "person", "section", "idx", "spec_idx").agg(F.max("score").alias("score"))

@@ -151,36 +151,39 @@ def _pair_tables(spark, sf_dir):
     numbered = needs.select("goal").distinct().withColumn("k", F.substring("goal", 7, 9).cast("int") % 25)
     people = specs.select("person").distinct().withColumn("k", F.explode(F.array(F.col("person") % 25, (F.col("person") + 7) % 25)))
     found = people.join(numbered, "k").select("goal", "person").distinct().withColumn("domain_score", F.round(1.5 - F.col("person") % 8 / 8.0, 6))
-    return needs, specs, found, C.pair_scores(needs, specs, found, scorers.pair_scorer(), ["section"])
+    return needs, specs, found
+
+
+def _pairs(needs, specs, found):
+    return C.pair_scores(needs, specs, found, scorers.pair_scorer(), ["section"])
 
 
 @query(f"WITH {_TEXTS} SELECT goal, person, section, idx, count(*) AS n, round(sum(score), 6) AS total FROM p GROUP BY ALL")
 def requirement_pairs(spark, sf_dir):
-    return _pair_tables(spark, sf_dir)[3].groupBy("goal", "person", "section", "idx").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
+    return _pairs(*_pair_tables(spark, sf_dir)).groupBy("goal", "person", "section", "idx").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
 
 
 @query(f"""WITH {_TEXTS}, m AS (SELECT goal, person, section, idx, avg(score) AS c FROM p GROUP BY ALL), h AS (SELECT goal, person, section, idx, weight, coalesce(c, 0) AS c FROM g JOIN n USING (goal) LEFT JOIN m USING (goal, person, section, idx)),
 x AS (SELECT goal, person, sum(weight * score) / sum(weight) AS x FROM p JOIN n USING (goal, section, idx) GROUP BY ALL)
 SELECT goal, person, domain_score, CAST(round(round(coalesce(x, 0), 6) * least(1.0, domain_score), 6) AS DOUBLE) AS llm_score, n_covered, n_missing FROM g LEFT JOIN x USING (goal, person) JOIN (SELECT goal, person, count(*) FILTER (round(c, 9) >= 0.3) AS n_covered, count(*) FILTER (round(c, 9) < 0.3) AS n_missing FROM h GROUP BY ALL) USING (goal, person)""")
 def match_rows(spark, sf_dir):
-    needs, _, found, pairs = _pair_tables(spark, sf_dir)
-    rows = C.match_rows(found, pairs, needs, sections=["section"])
+    needs, specs, found = _pair_tables(spark, sf_dir)
+    rows = C.text_match_rows(found, needs, specs, scorers.pair_scorer(), sections=["section"])
     return rows.select("goal", "person", "domain_score", "llm_score", F.size("covered").cast("long").alias("n_covered"), F.size("missing").cast("long").alias("n_missing"))
 
 
 @query(f"""WITH {_TEXTS}, m AS (SELECT goal, person, section, idx, round(avg(score), 6) AS c FROM p GROUP BY ALL), e AS (SELECT goal, person, section, idx, spec_idx, max(score) AS score FROM p GROUP BY ALL)
 SELECT goal, person, section, idx, spec_idx, CAST(row_number() OVER (PARTITION BY goal ORDER BY score DESC, c DESC, person, section, idx, spec_idx) AS INTEGER) AS rank FROM e JOIN m USING (goal, person, section, idx) QUALIFY rank <= 20""")
 def flat_evidence(spark, sf_dir):
-    needs, _, found, pairs = _pair_tables(spark, sf_dir)
-    held = C.coverage(pairs, needs, found.select("goal", "person"), sections=["section"])
-    return C.evidence(pairs, held, 20).drop("score", "need_score")
+    pairs = _pairs(*_pair_tables(spark, sf_dir))
+    return C.evidence(pairs, C.means(pairs, ["section"]), 20).drop("score", "need_score")
 
 
 @query(f"""WITH {_TEXTS}, m AS (SELECT goal, person, section, idx, avg(score) AS c FROM p GROUP BY ALL), h AS (SELECT goal, section, idx, text, weight, max(coalesce(c, 0)) AS c FROM g JOIN n USING (goal) LEFT JOIN m USING (goal, person, section, idx) GROUP BY ALL),
 d AS (SELECT goal, lower(text) AS key, max(weight) AS weight, max(text) AS text FROM h WHERE round(c, 6) <= 0.4 GROUP BY ALL) SELECT goal, text, CAST(weight AS DOUBLE) AS weight, CAST(row_number() OVER (PARTITION BY goal ORDER BY weight DESC, key) AS INTEGER) AS rank FROM d QUALIFY rank <= 5""")
 def team_gaps(spark, sf_dir):
-    needs, _, found, pairs = _pair_tables(spark, sf_dir)
-    held = C.coverage(pairs, needs, found.select("goal", "person"), sections=["section"]).groupBy("goal", "section", "idx", "text", "weight").agg(F.max("c").alias("c"))
+    needs, specs, found = _pair_tables(spark, sf_dir)
+    held = C.best_coverage(_pairs(needs, specs, found), needs, found, ["section"])
     return C.gaps(held, 0.4).withColumn("weight", F.col("weight").cast("double"))
 
 
