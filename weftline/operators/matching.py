@@ -44,7 +44,8 @@ def match_run(found: DataFrame, requirements: DataFrame, specializations: DataFr
     """(goal, person, domain_score, llm_score, covered, missing) of candidates (goal, person, domain_score).
 
     requirements: (goal, sections, idx, text, weight); specializations: (person, sections, spec_idx, spec).
-    Each different pair of texts is scored once. A candidate without a requirement or a
+    Each different pair of texts is scored once, and equal texts are compared once (see
+    `coverage.text_match_rows`). A candidate without a requirement or a
     specialization has a row with score 0. See `candidates` for all people or one goal, and
     `named_pairs` for given ones: a run for one person or goal reads only their rows.
     """
@@ -52,8 +53,7 @@ def match_run(found: DataFrame, requirements: DataFrame, specializations: DataFr
     found = written(found, "candidates")
     goals = found.select("goal").distinct()
     needs = requirements.join(goals, "goal", "left_semi")
-    pairs = written(C.pair_scores(needs, specializations, found, score or pair_scorer(), parts), "pairs")
-    return C.match_rows(found, pairs, needs.select("goal", *parts, "idx", "weight"), threshold, parts)
+    return C.text_match_rows(found, needs, specializations, score or pair_scorer(), threshold, parts)
 
 
 def merged(stored: DataFrame, fresh: DataFrame) -> DataFrame:
