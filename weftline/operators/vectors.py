@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,22 @@ def _same(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) ->
     return np.where((a[1][:, None] == b[1]) & (a[1][:, None] >= 0), scores, -np.inf)
 
 
+#: Rows that hold blocks of vectors are given to Python this many at a time: by thousands they fill its memory.
+BLOCKS_A_BATCH = 4
+
+
+@contextmanager
+def _few_a_batch(spark):
+    """Small Arrow batches for the steps written inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BLOCKS_A_BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def top_k(queries: DataFrame, items: DataFrame, k: int, floor: float, skip_equal_ids: bool = False) -> DataFrame:
     """(query_id, item_id, score, rank): for each query the k best items over the floor; ties go by item_id.
 
@@ -82,7 +99,8 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, floor: float, skip_equal
 
     met = chunk.crossJoin(blocks).select("queries", "items").mapInArrow(search, "query_id bigint, item_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
-    return met.withColumn("rank", rank).filter(F.col("rank") <= k)
+    with _few_a_batch(queries.sparkSession):
+        return written(met.withColumn("rank", rank).filter(F.col("rank") <= k), "nearest", small=True)
 
 
 def top_k_per_source(queries: DataFrame, items: DataFrame, k: int, floor: float = -1.0) -> DataFrame:
@@ -110,7 +128,8 @@ def top_k_per_source(queries: DataFrame, items: DataFrame, k: int, floor: float
 
     met = chunks.crossJoin(blocks).select("source", "queries", "items").mapInArrow(search, "query_id bigint, source string, item_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc("score"), "item_id"))
-    return met.withColumn("__rank", rank).filter(F.col("__rank") <= k).drop("__rank")
+    with _few_a_batch(queries.sparkSession):
+        return written(met.withColumn("__rank", rank).filter(F.col("__rank") <= k).drop("__rank"), "nearest", small=True)
 
 
 #: Rows of a block of vectors, and the bytes it may have at most.
