@@ -61,11 +61,13 @@ def person_query(people: DataFrame, publications: DataFrame, key: str, biography
 def matching_inputs(requirements: DataFrame, members: DataFrame, scores: DataFrame) -> DataFrame:
     """(goal, requirements, coverage, scores, people): requirement weights by name, each person's coverage by name, scores by person.
 
+    People are in order, in coverage too, so that its entries go with them and none has to be looked up.
     requirements: (goal, name, weight); members: (goal, person, name, c); scores: (goal, person, score).
     """
     needs = requirements.groupBy("goal").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "weight")))).alias("requirements"))
-    own = members.groupBy("goal", "person", "name").agg(F.max("c").alias("c")).groupBy("goal", "person").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "c")))).alias("own"))
-    covered = own.groupBy("goal").agg(F.map_from_entries(F.collect_list(F.struct("person", "own"))).alias("coverage"), F.sort_array(F.collect_list("person")).alias("people"))
+    own = members.repartition("goal", "person").groupBy("goal", "person", "name").agg(F.max("c").alias("c")).groupBy("goal", "person").agg(F.sort_array(F.collect_list(F.struct("name", "c"))).alias("own"))
+    listed = own.groupBy("goal").agg(F.sort_array(F.collect_list(F.struct("person", "own"))).alias("x"))
+    covered = listed.select("goal", F.map_from_entries(F.transform("x", lambda x: F.struct(x["person"], F.map_from_entries(x["own"])))).alias("coverage"), F.transform("x", lambda x: x["person"]).alias("people"))
     rated = scores.groupBy("goal", "person").agg(F.max("score").alias("score")).groupBy("goal").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("person", "score")))).alias("scores"))
     return needs.join(covered, "goal").join(rated, "goal", "left")
 

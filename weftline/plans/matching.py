@@ -191,10 +191,15 @@ _COVER = """n AS (SELECT p_brand AS goal, p_size AS idx, count(*) / 10.0 AS weig
 pe AS (SELECT DISTINCT goal, person FROM pr), me AS (SELECT goal, person, idx, round(avg(score), 6) AS c FROM pr GROUP BY ALL), cv AS (SELECT goal, person, idx, weight, coalesce(c, 0.0) AS c FROM pe JOIN n USING (goal) LEFT JOIN me USING (goal, person, idx))"""
 
 
-def _covered(spark, sf_dir):
+def _cover_pairs(spark, sf_dir):
     part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
     pairs = line.join(part, line.l_partkey == part.p_partkey).select(F.col("p_brand").alias("goal"), F.col("l_suppkey").alias("person"), F.col("p_size").alias("idx"), (F.col("l_discount") * 10).alias("score"))
     needs = part.groupBy(F.col("p_brand").alias("goal"), F.col("p_size").alias("idx")).agg((F.count("*") / 10.0).alias("weight"))
+    return pairs, needs
+
+
+def _covered(spark, sf_dir):
+    pairs, needs = _cover_pairs(spark, sf_dir)
     return C.coverage(pairs, needs, pairs.select("goal", "person").distinct())
 
 
@@ -287,13 +292,15 @@ def profiles(spark, sf_dir):
 
 @query(f"""WITH {_COVER}, s AS (SELECT goal, person, person / 20.0 AS score FROM pe) SELECT goal, (SELECT md5(string_agg(idx || '=' || printf('%.2f', weight), ',' ORDER BY CAST(idx AS VARCHAR))) FROM n WHERE n.goal = g.goal) AS needs, (SELECT md5(string_agg(person || ':' || idx || '=' || printf('%.6f', c), ',' ORDER BY person, CAST(idx AS VARCHAR))) FROM cv WHERE cv.goal = g.goal) AS coverage, (SELECT string_agg(CAST(person AS VARCHAR), ',' ORDER BY person) FROM pe WHERE pe.goal = g.goal) AS people, CAST(round((SELECT max(score) FROM s WHERE s.goal = g.goal), 6) AS DOUBLE) AS best FROM (SELECT DISTINCT goal FROM pe) g""")
 def matching_inputs(spark, sf_dir):
-    held = _covered(spark, sf_dir)
+    pairs, needs = _cover_pairs(spark, sf_dir)
+    people = pairs.select("goal", "person").distinct()
+    held = C.coverage(pairs, needs, people)
     name = F.col("idx").cast("string")
-    needs = held.select("goal", name.alias("name"), "weight").distinct()
-    scores = held.select("goal", "person", (F.col("person") / 20.0).alias("score")).distinct()
-    found = P.matching_inputs(needs, held.select("goal", "person", name.alias("name"), "c"), scores)
+    scores = people.withColumn("score", F.col("person") / 20.0)
+    found = P.matching_inputs(needs.select("goal", name.alias("name"), "weight"), held.select("goal", "person", name.alias("name"), "c"), scores)
     shown = lambda m, form: F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), F.format_string(form, e["value"].cast("double"))))
-    covered = F.flatten(F.transform("people", lambda x: F.transform(shown(F.col("coverage")[x], "%.6f"), lambda y: F.concat(x.cast("string"), F.lit(":"), y))))
+    # Everybody has a row for each requirement, so no person's text is empty.
+    covered = F.transform(F.map_entries("coverage"), lambda p: F.array_join(F.transform(shown(p["value"], "%.6f"), lambda y: F.concat(p["key"].cast("string"), F.lit(":"), y)), ","))
     needed = F.md5(F.array_join(shown("requirements", "%.2f"), ","))
     return found.select("goal", needed.alias("needs"), F.md5(F.array_join(covered, ",")).alias("coverage"), F.array_join(F.transform("people", lambda x: x.cast("string")), ",").alias("people"), F.round(F.array_max(F.map_values("scores")), 6).alias("best"))
 
