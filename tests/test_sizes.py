@@ -28,3 +28,16 @@ def test_coverage_of_matching_inputs_goes_by_people(spark):
     keys = P.matching_inputs(needs, members, members.select("goal", "person", F.col("c").alias("score"))).select(F.map_keys("coverage")).first()[0]
     assert keys == row["people"] == sorted(people)
     assert row["coverage"] == {p: {"a": p / 1000, "b": p / 1000} for p in people}
+
+
+def test_only_members_of_teams_are_grouped_for_a_justification(spark):
+    teams_ = spark.createDataFrame([("g", 1, [2, 1])], "goal string, rank int, team array<bigint>")
+    needs = spark.createDataFrame([("g", "s", 1, "need", 1.0)], "goal string, section string, idx int, text string, weight double")
+    people = spark.createDataFrame([(1, "One")], "person bigint, name string")
+    held = spark.createDataFrame([("g", p, "s", 1, p / 10) for p in range(1, 6)], "goal string, person bigint, section string, idx int, c double")
+    pairs = held.select("goal", "person", "section", "idx", F.lit("x").alias("spec"), F.col("c").alias("score"))
+    found = P.justification_inputs(teams_, teams_.select("goal"), needs, people, held, pairs)
+    assert _plan(found).count("LeftSemi") >= 2
+    row = found.first()
+    assert [(m["name"], m["covered"]) for m in row["members"]] == [("person_2", {"s.1": 0.2}), ("One", {"s.1": 0.1})]
+    assert row["coverage"] == {"s.1": 0.2} and row["evidence"].count("\n") == 1

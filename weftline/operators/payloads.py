@@ -189,6 +189,9 @@ def justification_inputs(teams: DataFrame, goals: DataFrame, needs: DataFrame, p
     name = F.concat_ws(".", "section", F.col("idx").cast("string")).alias("name")
     asked = needs.groupBy("goal").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, F.struct("text", "weight"))))).alias("requirements"))
     rows = teams.select("goal", "rank", F.posexplode("team").alias("place", "person")).join(people, "person", "left")
+    # Only what concerns a member of a team is grouped and joined.
+    wanted = teams.select("goal", F.explode("team").alias("person")).distinct()
+    held, pairs = (x.join(wanted, ["goal", "person"], "left_semi") for x in (held, pairs))
     rows = rows.withColumn("name", F.coalesce(T.blank_to_null(F.col("name")), F.concat(F.lit("person_"), F.col("person").cast("string"))))
     own = held.filter("c > 0").groupBy("goal", "person").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, "c")))).alias("covered"))
     member = F.struct("place", "person", "name", F.coalesce("covered", F.create_map().cast("map<string,double>")).alias("covered"))

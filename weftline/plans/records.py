@@ -12,7 +12,7 @@ from weftline.operators import coverage as C, keywords as K, payloads as P, publ
 from weftline.plans.registry import query
 from weftline.plans.runs import _lines, _needs
 from weftline.plans.texts import _toks
-from weftline.session import table
+from weftline.session import table, written
 
 
 @query("""WITH o AS (SELECT o_custkey AS person, 'W' || o_orderkey AS work_id, o_orderpriority AS title, o_clerk AS abstract, year(o_orderdate) AS year, CAST(o_orderkey AS DOUBLE) AS v, o_orderkey AS k FROM (SELECT *, 'text ' || o_orderstatus AS o_clerk FROM orders)),
@@ -104,9 +104,9 @@ SELECT goal, rank, (SELECT count(*) FROM needs n WHERE n.goal = tm.goal) AS n_ne
  (SELECT md5(string_agg('[size] ' || name || ' | requirement: need ' || idx || ' | specialization: ' || spec || ' | pair=' || printf('%.4f', score) || ' | req=' || printf('%.4f', c), chr(10) ORDER BY turn)) FROM el WHERE el.goal = tm.goal AND el.rank = tm.rank AND turn <= 200) AS evidence FROM tm""")
 def justification_inputs(spark, sf_dir):
     pairs, needs = _lines(spark, sf_dir), _needs(spark, sf_dir)
-    pool = C.pool(C.match_scores(pairs, needs), 15).select("goal", "person")
-    held = C.coverage(pairs, needs, pairs.select("goal", "person").distinct()).withColumn("section", F.lit("size"))
-    found = teams.best_teams(held.join(pool, ["goal", "person"], "left_semi"), 2, 2)
+    pool = written(C.pool(C.match_scores(pairs, needs), 15).select("goal", "person"), "pool", small=True)
+    held = written(C.coverage(pairs.join(pool, ["goal", "person"], "left_semi"), needs, pool).withColumn("section", F.lit("size")), "held", small=True)
+    found = teams.best_teams(held, 2, 2)
     part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
     said = line.join(part, line.l_partkey == part.p_partkey).select(F.col("p_brand").alias("goal"), F.col("l_suppkey").alias("person"), F.lit("size").alias("section"), F.col("p_size").alias("idx"), F.concat(F.lit("spec "), F.col("l_linenumber").cast("string")).alias("spec"), (F.col("l_discount") * 10).alias("score"))
     asked = needs.withColumns({"section": F.lit("size"), "text": F.concat(F.lit("need "), F.col("idx").cast("string"))})
