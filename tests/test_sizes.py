@@ -41,3 +41,33 @@ def test_only_members_of_teams_are_grouped_for_a_justification(spark):
     row = found.first()
     assert [(m["name"], m["covered"]) for m in row["members"]] == [("person_2", {"s.1": 0.2}), ("One", {"s.1": 0.1})]
     assert row["coverage"] == {"s.1": 0.2} and row["evidence"].count("\n") == 1
+
+
+def test_people_who_hold_the_same_are_not_all_sent_to_the_search(spark, monkeypatch):
+    cover = lambda p: [(p % 5) / 4, (p % 3) / 2, (p % 2) * 1.0]
+    score = lambda p: (p % 4) / 4
+    rows = [("g", p, i, 1.0 + i, c) for p in range(240) for i, c in enumerate(cover(p))]
+    held = spark.createDataFrame(rows, "goal string, person bigint, idx int, weight double, c double")
+    scores = spark.createDataFrame([("g", p, score(p)) for p in range(240)], "goal string, person bigint, score double")
+    sent = []
+
+    def spy(df, name="step", small=False):
+        back = written(df, name, small)
+        if name == "goals":
+            sent.append(back.agg(F.max(F.size("people"))).first()[0])
+        return back
+
+    monkeypatch.setattr(teams, "written", spy)
+    for required in ([], [77]):
+        found = [(r["team"], r["score"]) for r in teams.best_teams(held, 2, 2, required, scores=scores).orderBy("rank").collect()]
+        value = lambda t: 0.7 * sum((1.0 + i) * max(cover(p)[i] for p in t) for i in range(3)) / 6.0 + 0.3 * sum(map(score, t)) / 2
+        every = [list(t) for t in combinations(range(240), 2)] if not required else [[77, p] for p in range(240) if p != 77]
+        best = sorted(every, key=lambda t: (-round(value(t), 6), t))[:2]
+        assert [t for t, _ in found] == best
+    assert max(sent) <= 60 * 3 + 1
+
+
+def test_whole_billionths_are_those_of_decimals():
+    values = np.concatenate([np.random.default_rng(1).random(2000), np.arange(0, 2000) * 5e-10, [0.1234567885, 0.5, 2e7]])
+    want = [int((Decimal(repr(float(v))) * teams.UNIT).quantize(Decimal(1), ROUND_HALF_UP)) for v in values]
+    assert teams._whole(values).tolist() == want

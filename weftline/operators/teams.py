@@ -36,24 +36,39 @@ def _rounded(x: float) -> float:
     return float(Decimal(repr(float(x))).quantize(Decimal("0.000001"), ROUND_HALF_UP))
 
 
+def _whole(x: np.ndarray) -> np.ndarray:
+    """Values in whole billionths, halves away from zero; what lies near a half is decided by its decimal form."""
+    scaled = x * UNIT
+    out = np.floor(scaled + 0.5)
+    with np.errstate(invalid="ignore"):
+        hard = ~((np.abs(scaled - np.floor(scaled) - 0.5) > 1e-3) & (scaled >= 0) & (scaled < 1e12))
+    out[hard] = 0
+    out = out.astype(np.int64)
+    out[hard] = [int((Decimal(repr(float(v))) * UNIT).quantize(Decimal(1), ROUND_HALF_UP)) for v in x[hard]]
+    return out
+
+
 class Goal:
-    """One goal's people as matrices."""
-
-    def __init__(self, row: dict, size: int, n: int, first: list, blend: bool):
-        weights = np.array(row["weights"], float)
-        held = {p["person"]: (np.array(p["c"], float) * weights, p["own"] or 0.0) for p in row["people"]}
-        whole = lambda v: np.array([int((Decimal(repr(float(x))) * UNIT).quantize(Decimal(1), ROUND_HALF_UP)) for x in v], np.int64)
-        self.n, self.fixed, self.full = n, first, min(size, len(held))
-        most = sum(int(x) for x in whole(weights)) / UNIT
+    """One goal's people as matrices, from a row (people, weights) of Arrow; a person is a row of numbers, not of Python objects."""
+
+    def __init__(self, people: pa.Array, weights: pa.Array, size: int, n: int, first: list, blend: bool):
+        weights = weights.to_numpy(zero_copy_only=False).astype(float)
+        ids = people.field("person").to_pylist()
+        owns = people.field("own").fill_null(0.0).to_numpy(zero_copy_only=False)
+        x = people.field("c").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), len(weights))
+        x = np.concatenate([np.zeros((0, len(weights)), np.int64), *(_whole(x[i : i + 4096] * weights) for i in range(0, len(ids), 4096))])
+        self.n, self.fixed, self.full = n, first, min(size, len(ids))
+        most = sum(_whole(weights).tolist()) / UNIT
         self.share, self.each = (BLEND[0] / (most or 1.0), BLEND[1] / max(self.full, 1)) if blend else (1.0, 0.0)
-        covers = {p: whole(x) for p, (x, _) in held.items()}
         zero = np.zeros(len(weights), np.int64)
-        self.best = np.maximum.reduce([zero, *(covers[p] for p in first)])
-        self.own = float(sum(held[p][1] for p in first))
-        alone = lambda p: -self.share * int(covers[p].sum()) / UNIT - self.each * held[p][1]
-        self.ids = sorted((p for p in held if p not in first), key=lambda p: (alone(p), p))
-        self.x = np.array([covers[p] for p in self.ids], np.int64).reshape(len(self.ids), len(weights))
-        self.owns = np.array([held[p][1] for p in self.ids], float)
+        place = {p: i for i, p in enumerate(ids)}
+        asked = [place[p] for p in first]
+        self.best = np.maximum.reduce([zero, *x[asked]])
+        self.own = float(sum(owns[i] for i in asked))
+        alone = (-self.share * x.sum(1) / UNIT - self.each * owns).tolist()
+        others = sorted(place.keys() - set(first), key=lambda p: (alone[place[p]], p))
+        order = [place[p] for p in others]
+        self.ids, self.x, self.owns = others, x[order], owns[order]
         # From each place on: what all people there hold, and the best own score among them.
         self.rest = np.vstack([np.maximum.accumulate(self.x[::-1], axis=0)[::-1], zero]) if self.ids else zero[None]
         self.rest_own = np.append(np.maximum.accumulate(self.owns[::-1])[::-1], 0.0) if self.ids else np.zeros(1)
@@ -133,8 +148,10 @@ def best_teams(covered: DataFrame, size: int, n: int = 1, required: list[int] |
     of the greatest possible coverage and 0.3 of its members' mean score (0 for unknown ones). A team
     of more people than there are is one of all.
 
-    The result is exact. A goal's people are one row: a bounded pool (see coverage.pool). `expanded`
-    collects the number of partial teams that each round extended.
+    The result is exact. A goal's people are one row: a bounded pool (see coverage.pool), or all who
+    differ in what they hold. Of people of the same coverage and score (and not required) the first
+    size + n - 1 stay: a team with a later one has n teams before it, in which one of those takes the place.
+    `expanded` collects the number of partial teams that each round extended.
     """
     first = list(dict.fromkeys(required or []))
     if size < len(first):
@@ -143,8 +160,12 @@ def best_teams(covered: DataFrame, size: int, n: int = 1, required: list[int] |
         raise ValueError("n must be at least 1")
     people = covered.groupBy("goal", "person").agg(F.sort_array(F.collect_list(F.struct("idx", "weight", "c"))).alias("v"))
     people = people.join(scores.select("goal", "person", F.col("score").alias("own")), ["goal", "person"], "left") if scores is not None else people.withColumn("own", F.lit(0.0))
-    one = F.struct("person", F.transform("v", lambda x: x["c"].cast("double")).alias("c"), F.col("own").cast("double").alias("own"))
-    goals = people.groupBy("goal").agg(F.collect_list(one).alias("people"), F.first(F.transform("v", lambda x: x["weight"].cast("double"))).alias("weights"), F.collect_set("person").alias("ids"))
+    people = people.select("goal", "person", F.transform("v", lambda x: x["c"].cast("double")).alias("c"), F.coalesce(F.col("own").cast("double"), F.lit(0.0)).alias("own"), F.transform("v", lambda x: x["weight"].cast("double")).alias("w"))
+    # Of people who hold the same only the first can be in the n best teams.
+    same = Window.partitionBy("goal", "c", "own", F.col("person").isin(first)).orderBy("person")
+    people = people.withColumn("turn", F.row_number().over(same)).filter((F.col("turn") <= max(1, size + n - 1)) | F.col("person").isin(first))
+    one = F.struct("person", "c", "own")
+    goals = people.groupBy("goal").agg(F.collect_list(one).alias("people"), F.first("w").alias("weights"), F.collect_set("person").alias("ids"))
     if first:
         lacks = F.raise_error(F.concat(F.lit("a required person is missing for "), F.col("goal").cast("string"))).cast("boolean")
         goals = goals.filter(F.when(F.size(F.array_intersect("ids", F.array(*map(F.lit, first)).cast(goals.schema["ids"].dataType))) < len(first), lacks).otherwise(F.lit(True)))
@@ -154,13 +175,14 @@ def best_teams(covered: DataFrame, size: int, n: int = 1, required: list[int] |
     blend = scores is not None
 
     def explore(key, nodes: pa.Table, goal: pa.Table) -> pa.Table:
-        rows, found = nodes.to_pylist(), goal.to_pylist()
-        known = Goal(found[0], size, n, first, blend)
+        rows = nodes.to_pylist()
+        people, weights = (goal.column(c).combine_chunks()[:1] for c in ("people", "weights"))
+        known = Goal(people.flatten(), weights.flatten(), size, n, first, blend)
         low = None if rows[0]["low"] is None else (rows[0]["low"], rows[0]["low_team"])
         # A goal's search begins with nobody but the required people.
         start = [(r["bound"], r["team"], r["at"], known.best if r["best"] is None else np.array(r["best"], np.int64), known.own if r["own"] is None else r["own"]) for r in rows]
         left, teams, used = known.explore(start, low, budget)
-        name = found[0]["name"]
+        name = goal.column("name")[0].as_py()
         out = [(name, OPEN, None, bound, team, at, best.tolist(), own) for bound, team, at, best, own in left]
         out += [(name, TEAM, -score, None, team, None, None, None) for score, team in teams]
         out.append((name, TALLY, float(used), None, None, None, None, None))
