@@ -71,3 +71,11 @@ def test_whole_billionths_are_those_of_decimals():
     values = np.concatenate([np.random.default_rng(1).random(2000), np.arange(0, 2000) * 5e-10, [0.1234567885, 0.5, 2e7]])
     want = [int((Decimal(repr(float(v))) * teams.UNIT).quantize(Decimal(1), ROUND_HALF_UP)) for v in values]
     assert teams._whole(values).tolist() == want
+
+
+def test_mentions_of_a_batch_are_added_up_before_texts_are_made_normal(spark):
+    rows = spark.createDataFrame([("b", "Hot-Bolt", "x", 0.5, 3), ("b", "Hot-Bolt", "x", 7.0, 2), ("b", "hot-bolt", "y", None, 1)], "b string, text string, batch string, weight double, pos bigint")
+    found = K.concepts(rows, ["b"])
+    assert _plan(found).count("Aggregate [") == 2
+    row = found.first()
+    assert (row["text"], row["n"], row["batches"], float(row["weight_sum"]), row["max_weight"], row["pos"]) == ("hot-bolt", 3, ["x", "y"], 1.5, 1.0, 1)

@@ -64,12 +64,14 @@ def concepts(mentions: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
     key = T.phrase(F.col("text"))
     weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("weight", F.lit(0.0))))
-    rows = mentions.select(*by, "text", "batch", "pos", weight.alias("weight"), key.alias("key")).filter("key <> ''")
+    # A text's mentions in a batch are added up first, by hash, so that it is made normal once and lists stay short.
+    once = mentions.groupBy(*by, "text", "batch").agg(F.min("pos").alias("pos"), F.count("*").alias("n"), F.sum(weight.cast("decimal(28,9)")).alias("sum"), F.max(weight).alias("weight"))
+    rows = once.withColumn("key", key).filter("key <> ''")
     return rows.groupBy(*by, "key").agg(
         F.min_by("text", "pos").alias("text"),
-        F.count("*").alias("n"),
+        F.sum("n").alias("n"),
         F.sort_array(F.collect_set("batch")).alias("batches"),
-        F.sum(F.col("weight").cast("decimal(28,9)")).alias("weight_sum"),
+        F.sum("sum").alias("weight_sum"),
         F.max("weight").alias("max_weight"),
         F.min("pos").alias("pos"),
     )

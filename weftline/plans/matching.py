@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftline.models import scorers
 from weftline.operators import coverage as C, keywords as K, payloads as P, teams
 from weftline.plans.registry import query
-from weftline.session import table
+from weftline.session import table, written
 
 _PHRASE = r"trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\s\-_/]', ' ', 'g'), '\s+', ' ', 'g'))"
 
@@ -35,7 +35,7 @@ f AS (SELECT *, CAST(round(CAST(greatest(0.0, least(1.0, 0.45 * quality + 0.35 *
 
 
 def _cluster_scores(spark, sf_dir):
-    found = K.concepts(_mentions(spark, sf_dir), ["p_brand"])
+    found = written(K.concepts(_mentions(spark, sf_dir), ["p_brand"]), "concepts", small=True)
     last = F.element_at(F.split("key", " "), -1)
     vectors = found.select("p_brand", "key", scorers.hashed_vector(last, 512).alias("vector"))
     grouped = K.clusters(found, vectors, ["p_brand"])
