@@ -73,6 +73,15 @@ def test_whole_billionths_are_those_of_decimals():
     assert teams._whole(values).tolist() == want
 
 
+def test_places_of_titles_are_added_up_by_hash(spark):
+    items = spark.createDataFrame([("b", 2, "t", 1.0), ("b", 1, "t", 3.0)], "b string, pos bigint, t string, w double")
+    cited = spark.createDataFrame([("b", 2, 0, 1), ("b", 1, 1, 2), ("b", 1, 0, 3), ("b", 2, 1, 3)], "b string, pos bigint, rank int, id bigint")
+    titles = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "id bigint, title string")
+    found = P.evidence_titles(items, cited, titles, ["b"], 3)
+    assert found.first()["titles"] == ["three", "two", "one"]
+    assert "SortAggregate [" not in _plan(found, "executedPlan") and "SortAggregate(key=[b" not in _plan(found, "executedPlan")
+
+
 def test_mentions_of_a_batch_are_added_up_before_texts_are_made_normal(spark):
     rows = spark.createDataFrame([("b", "Hot-Bolt", "x", 0.5, 3), ("b", "Hot-Bolt", "x", 7.0, 2), ("b", "hot-bolt", "y", None, 1)], "b string, text string, batch string, weight double, pos bigint")
     found = K.concepts(rows, ["b"])

@@ -166,12 +166,14 @@ def evidence_titles(items: DataFrame, references: DataFrame, titles: DataFrame,
     """(by, t, w, titles): each single-spaced text's greatest weight and the first `most` different titles that its sources name.
 
     items: (by, pos, t, w); references: (by, pos, rank, id) of an item's publications; titles: (id,
-    title). An earlier item's titles come first, blank and unknown ones drop out.
+    title). An earlier item's titles come first, blank and unknown ones drop out. pos and rank are
+    integers: places are aggregated as one number, by hash, where a least struct would sort all references.
     """
     keyed = items.withColumn("t", T.one_space(F.col("t"))).filter("t <> ''")
     named = titles.select("id", T.one_space(F.col("title")).alias("title")).filter("title <> ''")
     cited = keyed.select(*by, "pos", "t").join(references, [*by, "pos"]).join(named, "id")
-    first = cited.groupBy(*by, "t", "title").agg(F.min(F.struct("pos", "rank")).alias("at"))
+    at = F.col("pos").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.coalesce("rank", F.lit(-1))
+    first = cited.groupBy(*by, "t", "title").agg(F.min(at).alias("at"))
     lists = first.groupBy(*by, "t").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("at", "title"))), lambda x: x["title"]), 1, most).alias("titles"))
     weights = keyed.groupBy(*by, "t").agg(F.round(F.max(F.coalesce("w", F.lit(0.0))), 6).alias("w"))
     return weights.join(lists, [*by, "t"], "left").withColumn("titles", F.coalesce("titles", F.array().cast("array<string>")))
