@@ -20,6 +20,17 @@ def _shuffle_files(spark):
     return {x for i in range(files.size()) if (x := files.apply(i).getName()).startswith("shuffle_") and x.endswith(".data")}
 
 
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    before, setting = _shuffle_files(spark), spark.conf.get(CLEANUP, None)
+    found = written(spark.range(20_000).groupBy(F.col("id") % 5000).count().repartition(3, "count"), small=True)
+    until = time.monotonic() + 5
+    while _shuffle_files(spark) - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not _shuffle_files(spark) - before
+    assert spark.conf.get(CLEANUP, None) == setting
+    assert found.count() == 5000
+
+
 def test_coverage_of_matching_inputs_goes_by_people(spark):
     people = [7, 3, 900, 12, 5, 1, 44]
     members = spark.createDataFrame([("g", p, n, p / 1000) for p in people for n in ("b", "a")], "goal string, person bigint, name string, c double")

@@ -202,11 +202,14 @@ def removed_lines(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMI
     names = lines_found.select("id", "node")
     joined = names.join(roots.withColumnRenamed("id", "node"), "node").select("id", "root")
     same = written(joined.join(names.select(F.col("node").alias("root"), F.col("id").alias("kind")), "root").select("id", "kind"), "same")
+    forget(members, lines_found)
     kinds = lines.select("doc_id", "row", "place", "id").join(same, "id", "left").withColumn("kind", F.coalesce("kind", "id"))
     first = F.struct("doc_id", "row", "place")
     kept = kinds.groupBy("kind").agg(F.min(first).alias("first"), F.count("*").alias("n")).filter("n > 1").select("kind", "first")
     lost = kinds.join(kept, "kind").filter(~first.eqNullSafe(F.col("first")))
-    return lost.groupBy("doc_id", "row").agg(F.collect_set("place").alias("places"))
+    found = written(lost.groupBy("doc_id", "row").agg(F.collect_set("place").alias("places")), "lost")
+    forget(lines, same)
+    return found
 
 
 def _without(text: pd.Series, places: pd.Series) -> pd.Series:

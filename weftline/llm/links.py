@@ -97,7 +97,9 @@ def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     leaders = own.groupBy("key").agg(F.min_by(F.struct(*other), F.struct(-F.col("degree"), "id")).alias("x"))
     leaders = leaders.select("key", *(F.col(f"x.{c}").alias(name) for c, name in other.items()))
     met = own.join(leaders, "key").filter((F.col("id") != F.col("other")) & alike)
-    links = written(verify(written(_pairs(met), "pairs")), "links")
+    near = written(_pairs(met), "pairs")
+    links = written(verify(near), "links")
+    forget(near)
     roots = components(links)
     for all_members in (False, True):
         full = own.join(roots.withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -108,10 +110,15 @@ def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
             side = full.join(shares, ["key", "comp"]).filter(F.pmod(F.xxhash64("key", "id"), F.lit(1 << 20)) * F.col("n") < F.lit(FIRST << 20))
         side = side.select("key", *(F.col(c).alias(name) for c, name in other.items()), F.col("comp").alias("other_comp"))
         apart = (F.col("comp") != F.col("other_comp")) & ((F.col("id") < F.col("other")) | F.lit(not all_members))
-        more = written(verify(written(_pairs(full.join(side, "key").filter(apart & alike)), "pairs")), "more")
+        near = written(_pairs(full.join(side, "key").filter(apart & alike)), "pairs")
+        more = written(verify(near), "more")
+        forget(near, full)
         if not more.isEmpty():
-            links = written(links.unionByName(more).distinct(), "links")
+            before, links = links, written(links.unionByName(more).distinct(), "links")
+            forget(before)
             roots = components(links)
+        forget(more)
+    forget(own)
     return links, roots
 
 
