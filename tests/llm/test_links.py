@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from test_operators import groups
 from weftline.llm import utf8
-from weftline.llm.links import SLOTS, agreement, leader_links, sketch, threshold
+from weftline.llm.links import PARITY, SLOTS, agreement, leader_links, parities, sketch, threshold
 
 
 def jaccard(a, b):
@@ -89,3 +89,41 @@ def test_variants_with_much_of_their_own_make_no_pairs(spark):
         asked.clear()
         leader_links(members if bounded else members.drop("whole", "shared"), verify, 0.8)
         assert (sum(asked) == 0) == few
+
+
+def test_bounds_of_sets_turn_near_misses_away(spark):
+    """300 sets of one bucket alike by 0.7 or so, and 12 copies alike by 0.8 to 0.9: pairs follow the copies, not the square of the bucket."""
+    rng = random.Random(7)
+    sets = {i: set(rng.sample(range(400), 370)) | {1000 + 100 * i + j for j in range(40)} for i in range(300)}
+    for k in range(12):
+        own = sorted(sets[k])
+        sets[500 + k] = set(rng.sample(own, len(own) - 2 - 3 * k)) | {90_000 + 100 * k + j for j in range(3 * k)}
+    links = {(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8}
+    assert len(links) >= 12 and 0.65 < jaccard(sets[100], sets[200]) < 0.8
+    classes = [utf8.mix(np.array(sorted(x), np.uint64) * np.uint64(utf8.BASE)) >> np.uint64(55) for x in sets.values()]
+    odd = parities(np.concatenate(classes).astype(np.int64), np.repeat(np.arange(len(sets)), [len(x) for x in classes]), len(sets))
+    for a, b in ((0, 1), (0, 300), (11, 311), (5, 9)):
+        x, y = (sets[sorted(sets)[i]] for i in (a, b))
+        assert sum(int(v).bit_count() for v in (odd[a] ^ odd[b]).view(np.uint64)) <= len(x ^ y)
+    reach = spark.createDataFrame([(i, len(x), *map(int, p)) for (i, x), p in zip(sets.items(), odd)], "id bigint, whole bigint, " + ", ".join(f"{p} bigint" for p in PARITY))
+    members = spark.createDataFrame([(1, i, int(x), int(y)) for i, (x, y) in zip(sets, sketched(sets.values()))], "key bigint, id bigint, s0 bigint, s1 bigint")
+    asked = []
+
+    def verify(pairs):
+        held = [(r["a"], r["b"]) for r in pairs.collect()]
+        asked.append(len(held))
+        return spark.createDataFrame([x for x in held if jaccard(sets[x[0]], sets[x[1]]) >= 0.8], "a bigint, b bigint")
+
+    _, roots = leader_links(members, verify, 0.8, reach)
+    assert {i: i for i in sets} | {r["id"]: r["root"] for r in roots.collect()} == groups(sets, sorted(links))
+    assert sum(asked) < 4000
+
+
+def test_line_bounds():
+    from weftline.llm.line_dedup import SHINGLE, bounds
+
+    lines = ["abcdefgh", "abc", "------------", "the same words again and the same words again", "\u00e9\U0001f600" * 9]
+    whole, odd = bounds(lines, SHINGLE)
+    sets = [{x[i : i + SHINGLE] for i in range(len(x) - SHINGLE + 1)} for x in lines]
+    assert whole.tolist() == [len(x) for x in sets]
+    assert [sum(int(v).bit_count() for v in row.view(np.uint64)) % 2 for row in odd] == [len(x) % 2 for x in sets]

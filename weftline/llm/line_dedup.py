@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.llm import utf8
-from weftline.llm.links import leader_links, sketch
+from weftline.llm.links import PARITY, leader_links, parities, sketch
 from weftline.session import forget, table, written
 
 SHINGLE = 5
@@ -159,6 +159,45 @@ def line_texts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "number bigint, id binary, line string")
 
 
+def bounds(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many different shingles each line has, and their parities."""
+    whole, odd = np.zeros(len(lines), np.int64), np.zeros((len(lines), len(PARITY)), np.int64)
+    first = 0
+    while first < len(lines):
+        last, total = first, 0
+        while last < len(lines) and (last == first or total + len(lines[last]) <= STRETCH):
+            total += len(lines[last])
+            last += 1
+        part = lines[first:last]
+        codes = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32)
+        if len(codes) >= size:
+            line = np.repeat(np.arange(len(part)), [len(x) for x in part])
+            inside = line[: len(codes) - size + 1] == line[size - 1 :]
+            hashes, line = utf8.grams(codes.astype(np.uint64), size)[inside], line[: len(inside)][inside]
+            order = np.lexsort((hashes, line))
+            hashes, line = hashes[order], line[order]
+            new = np.ones(len(hashes), bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
+            hashes, line = hashes[new], line[new]
+            whole[first:last] = np.bincount(line, minlength=len(part))
+            classes = (hashes >> np.uint64(32)) * np.uint64(64 * len(PARITY)) >> np.uint64(32)
+            odd[first:last] = parities(classes.astype(np.int64), line, len(part))
+        first = last
+    return whole, odd
+
+
+def bounded(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(number, id, line) with the size and the parities of the line's shingle set: whole and PARITY."""
+
+    def run(batches):
+        for batch in batches:
+            whole, odd = bounds(batch.column("line").to_pylist(), size)
+            columns = [*batch.columns, pa.array(whole), *(pa.array(np.ascontiguousarray(x)) for x in odd.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["number", "id", "line", "whole", *PARITY])
+
+    return texts.select("number", "id", "line").mapInArrow(run, f"number bigint, id binary, line string, whole bigint, {', '.join(f'{p} bigint' for p in PARITY)}")
+
+
 def alike(lines: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY):
     """The check for leader_links: exact Jaccard similarity of two lines' shingle sets. `lines` has node and line."""
 
@@ -193,12 +232,13 @@ def removed_lines(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMI
     wanted = buckets.select("number").distinct().hint("shuffle_hash")
     texts = line_texts(docs).join(wanted, "number", "left_semi").dropDuplicates(["number", "id"])
     # Each line found has a number of its own, also where two share the short one.
-    lines_found = written(texts.withColumn("node", F.monotonically_increasing_id()), "candidates")
+    lines_found = written(bounded(texts, size).withColumn("node", F.monotonically_increasing_id()), "candidates")
     sketches = lines.filter("s0 is not null").select("id", "s0", "s1").dropDuplicates(["id"])
     nodes = lines_found.select("id", "number", "node").join(sketches, "id", "left").select("number", "node", "s0", "s1")
     members = written(buckets.join(nodes, "number").select("key", F.col("node").alias("id"), "s0", "s1"), "members")
     forget(buckets)
-    _, roots = leader_links(members, alike(lines_found, size, similarity), similarity)
+    reach = lines_found.select(F.col("node").alias("id"), "whole", *PARITY)
+    _, roots = leader_links(members, alike(lines_found, size, similarity), similarity, reach)
     names = lines_found.select("id", "node")
     joined = names.join(roots.withColumnRenamed("id", "node"), "node").select("id", "root")
     same = written(joined.join(names.select(F.col("node").alias("root"), F.col("id").alias("kind")), "root").select("id", "kind"), "same")

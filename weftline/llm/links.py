@@ -18,6 +18,11 @@ Members may also carry their weight (`whole`) and the weight of what any other i
 weighted Jaccard similarity from above. Nothing is lost by that bound, and it turns away the pairs
 of variants that each have much of their own: those are alike enough for the sketch, but not linked.
 
+Where items are plain sets, `bounds` gives their size and the parities of how many members fall into
+each of 64 * len(PARITY) classes. Every class of unlike parity holds a member that only one of the two
+sets has, so unlike parities bound the overlap, again without loss. They are wide, and so are joined
+only to members of buckets in which components are still to be told apart.
+
 Hot buckets only meet in joins (which adaptive execution splits) and in combining aggregates. A
 bucket of many members that pass sketch and bound, but are not linked, costs their pairs.
 """
@@ -39,6 +44,8 @@ FIRST = 16
 SLOTS = 32
 #: Probability with which a pair of just the wanted similarity fails by its sketches.
 LOSS = 1e-3
+#: Columns of the parities of a set, 64 classes each.
+PARITY = tuple(f"p{k}" for k in range(8))
 #: What sums of weights, added up in different orders, may differ by.
 ROUNDING = 1e-9
 
@@ -77,10 +84,25 @@ def within_reach(similarity: float) -> Column:
     return overlap >= (similarity - ROUNDING) * (F.col("whole") + F.col("other_whole") - overlap)
 
 
-def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], similarity: float) -> tuple[DataFrame, DataFrame]:
+def parities(classes: np.ndarray, item: np.ndarray, n: int) -> np.ndarray:
+    """The PARITY columns of n sets (n rows), from the class of each of their members, each member once."""
+    bits = 64 * len(PARITY)
+    odd = (np.bincount(item * bits + classes, minlength=n * bits) & 1).astype(np.uint64).reshape(n, len(PARITY), 64)
+    return (odd << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def sets_within_reach(similarity: float) -> Column:
+    """Whether sizes and parities of two sets (whole, PARITY and the same with other_) admit this Jaccard similarity."""
+    differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"other_{p}"))) for p in PARITY), F.lit(0))
+    overlap = F.least("whole", "other_whole", (F.col("whole") + F.col("other_whole") - differ) / 2)
+    return overlap >= (similarity - ROUNDING) * (F.col("whole") + F.col("other_whole") - overlap)
+
+
+def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], similarity: float, bounds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) with a < b, and the components (id, root), of the pairs of one bucket that are alike.
 
-    members: (key, id, s0, s1), with whole and shared if these are known. `verify` takes pairs (a, b) and returns those that are alike. The
+    members: (key, id, s0, s1), with whole and shared if these are known. `verify` takes pairs (a, b) and returns those that are alike.
+    bounds: (id, whole, PARITY) of every item, for sets only. The
     links join what all links of pairs in a bucket would join, but are not all of them.
     """
     wanted = threshold(similarity)
@@ -103,14 +125,22 @@ def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     roots = components(links)
     for all_members in (False, True):
         full = own.join(roots.withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        full = written(full.select("key", *other, "comp"), "members")
+        everyone = written(full.select("key", *other, "comp"), "members")
+        mixed = everyone.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
+        full = everyone.join(mixed, "key", "left_semi")
+        if bounds is not None:
+            full = full.join(bounds, "id")
+        full = written(full, "apart")
+        forget(everyone)
         side = full
         if not all_members:
             shares = full.groupBy("key", "comp").agg(F.count("*").alias("n")).filter("n > 1")
             side = full.join(shares, ["key", "comp"]).filter(F.pmod(F.xxhash64("key", "id"), F.lit(1 << 20)) * F.col("n") < F.lit(FIRST << 20))
-        side = side.select("key", *(F.col(c).alias(name) for c, name in other.items()), F.col("comp").alias("other_comp"))
+        names = other if bounds is None else other | {c: f"other_{c}" for c in ("whole", *PARITY)}
+        side = side.select("key", *(F.col(c).alias(name) for c, name in names.items()), F.col("comp").alias("other_comp"))
         apart = (F.col("comp") != F.col("other_comp")) & ((F.col("id") < F.col("other")) | F.lit(not all_members))
-        near = written(_pairs(full.join(side, "key").filter(apart & alike)), "pairs")
+        near = alike if bounds is None else alike & sets_within_reach(similarity)
+        near = written(_pairs(full.join(side, "key").filter(apart & near)), "pairs")
         more = written(verify(near), "more")
         forget(near, full)
         if not more.isEmpty():
