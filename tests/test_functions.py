@@ -11,6 +11,7 @@ from weftline.functions import chunk, html, text as T
 from weftline.functions.graph import components
 from weftline.models import scorers
 from weftline.operators import search as S, tables as R, training, vectors as V
+from weftline.sources import objects
 from weftline.streaming.drain import drain
 
 LONG = "One sentence here. " * 40 + "word " * 300 + "x" * 500 + ". Is it? Yes! " * 30
@@ -108,3 +109,21 @@ def test_stream_goes_on_where_it_ended(spark, tmp_path):
     assert drain(spark, rows, lambda r: r, run, F.col("id") == 1).filter("status = 'failed'").count() == 1
     spark.range(3, 5).write.mode("append").parquet(rows)
     assert sorted(r["id"] for r in drain(spark, rows, lambda r: r, run, F.col("id") == 1).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_noise_is_looked_for_once(spark):
+    """One pattern for all of NOISE says what its parts say; kept elements are known by a short key and cleaned once."""
+    fill = "plain words that stand around it so that the line is long enough to count "
+    hits = ["COOKIES", "cookie", "Privacy Policy", "skip to content", "skip to main content", "log out", "sitemap", "non-discrimination", "back to top"]
+    lines = [fill + x for x in [*hits, "cookiess", "xmenu", "research", "signing in", "menus", "copyrights", "skip to the content", "loginx"]]
+    lines += ["A" * 50, "1234567 " * 9 + "letters here", "ÉTÉ " * 12, "www.example.org/" + "a" * 60 + " five more words stand here", "short", "", None]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, t string")
+    got = {r["i"]: r["n"] for r in docs.select("i", T.noisy(F.col("t")).alias("n")).collect()}
+    old = re.compile("(?i)" + "|".join(T.NOISE))
+    assert {i: got[i] for i, x in enumerate(lines[:17])} == {i: bool(old.search(x)) for i, x in enumerate(lines[:17])}
+    assert all(got[i] for i in range(17, len(lines)))
+    rows = spark.createDataFrame([(1, 3, "Text", fill + "A b"), (1, 2, "Text", fill + " a \n\n B"), (1, 1, "Footer", fill), (2, 1, "Text", fill)], "d int, place int, kind string, text string")
+    kept = objects.kept_elements(rows, ["d"])
+    assert {(r["d"], r["place"], r["text"]) for r in kept.collect()} == {(1, 2, (fill + " a").rstrip() + "\nB"), (2, 1, fill.rstrip())}
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5(" in plan and plan.count("array_join") == 1

@@ -30,6 +30,10 @@ NOISE = (
 )
 
 
+# All of NOISE are whole words: their edge is looked for once, not once for each.
+_NOISY = r"(?i)\b(?:" + "|".join(NOISE).replace(r"\b", "") + r")\b"
+
+
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with `value` computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -50,19 +54,24 @@ def clean_lines(text: Column) -> Column:
 
 
 def _count(text: Column, pattern: str) -> Column:
-    """Characters of the text in the class `pattern`."""
-    return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
+    """Characters of the text in the class `pattern`, taken out by runs: a match costs more than a character."""
+    return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern + "+", ""))
 
 
 def noisy(text: Column, min_chars: int = 40, max_url_share: float = 0.20) -> Column:
     """True for short, numeric, shouted, link-laden or boilerplate text."""
 
     def judge(t: Column) -> Column:
-        size, letters = F.char_length(t), _count(t, r"\p{L}")
+        size = F.char_length(t)
         words = F.when(t == "", 0).otherwise(F.size(F.split(t, r"\s+")))
         links = F.aggregate(F.regexp_extract_all(t, F.lit(r"https?://\S+|www\.\S+"), F.lit(0)), F.lit(0), lambda n, x: n + F.char_length(x))
-        shouted = (_count(t, r"\p{Lu}") > letters * 0.75) & (words <= 20)
-        return (size < min_chars) | (letters < 8) | (_count(t, r"\p{Nd}") > size * 0.35) | (words < 6) | shouted | (links > size * max_url_share) | t.rlike("(?i)" + "|".join(NOISE))
+
+        def counted(x: Column) -> Column:
+            letters, words = x["letters"], x["words"]
+            shouted = (words <= 20) & (_count(t, r"\p{Lu}") > letters * 0.75)
+            return (letters < 8) | (_count(t, r"\p{Nd}") > size * 0.35) | (words < 6) | shouted | (links > size * max_url_share) | t.rlike(_NOISY)
+
+        return (size < min_chars) | _let(F.struct(_count(t, r"\p{L}").alias("letters"), words.alias("words")), counted)
 
     return _let(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""), judge)
 

@@ -140,10 +140,11 @@ def detected_type(path: Column, mime: Column, content: Column) -> Column:
 def kept_elements(elements: DataFrame, owner: list[str]) -> DataFrame:
     """Elements (owner, place, kind, text) that are text and not noise, cleaned, each text of an owner once: its first.
 
-    Texts that differ in case or spacing alone are one.
+    Texts that differ in case or spacing alone are one; they are known by md5, so that they are shuffled and sorted once, not twice.
     """
     good = elements.filter(F.col("kind").isin(*KEPT_KINDS)).withColumn("text", F.trim("text"))
-    good = good.filter(~T.noisy(F.col("text"))).withColumn("text", T.clean_lines(F.col("text"))).filter("text <> ''")
-    key = F.lower(F.regexp_replace("text", r"\s+", " "))
+    # What is not noisy has letters, so no cleaned text is empty.
+    good = good.filter(~T.noisy(F.col("text"))).withColumn("text", T.clean_lines(F.col("text")))
+    key = F.md5(F.lower(F.regexp_replace("text", r"\s+", " ")))
     first = good.groupBy(*owner, key.alias("key")).agg(F.min(F.struct("place", "kind", "text")).alias("x"))
     return first.select(*owner, "x.place", "x.kind", "x.text")
