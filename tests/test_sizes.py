@@ -5,6 +5,7 @@ from decimal import ROUND_HALF_UP, Decimal
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weftline.operators import keywords as K, payloads as P, teams
@@ -99,3 +100,18 @@ def test_mentions_of_a_batch_are_added_up_before_texts_are_made_normal(spark):
     assert _plan(found).count("Aggregate [") == 2
     row = found.first()
     assert (row["text"], row["n"], row["batches"], float(row["weight_sum"]), row["max_weight"], row["pos"]) == ("hot-bolt", 3, ["x", "y"], 1.5, 1.0, 1)
+
+
+def test_a_written_step_gives_python_its_rows_by_bytes(spark):
+    """Before, a batch held 64 MB whatever the step: 24 rows of a megabyte came as one."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    found = written(spark.range(0, 24, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text")).mapInArrow(sizes, "n bigint"), small=True)
+    held = [r["n"] for r in found.collect()]
+    assert sum(held) >= 24 << 20 and max(held) <= 5 << 20
+    assert spark.conf.get(name) == before
