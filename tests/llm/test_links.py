@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from test_operators import groups
 from weftline.llm import utf8
-from weftline.llm.links import PARITY, SLOTS, agreement, leader_links, parities, sketch, threshold
+from weftline.llm.links import PARITY, SLOTS, agreement, bucket_pairs, leader_links, parities, sketch, threshold
 
 
 def jaccard(a, b):
@@ -127,3 +127,32 @@ def test_line_bounds():
     sets = [{x[i : i + SHINGLE] for i in range(len(x) - SHINGLE + 1)} for x in lines]
     assert whole.tolist() == [len(x) for x in sets]
     assert [sum(int(v).bit_count() for v in row.view(np.uint64)) % 2 for row in odd] == [len(x) % 2 for x in sets]
+
+
+def test_small_buckets_meet_directly(spark):
+    """Pairs of small buckets and links of a large one make the components of all links in buckets."""
+    rng = random.Random(11)
+    base = set(range(200))
+    sets = {i: base - set(rng.sample(range(200), 12)) | {1000 + i} for i in range(60)}
+    keys = [(1, i) for i in range(60)]
+    for k in range(90):
+        own = {10_000 + 100 * k + j for j in range(80)}
+        for c in range(3):
+            sets[100 + 3 * k + c] = own - set(rng.sample(sorted(own), 2)) | {90_000 + 3 * k + c} if c < 2 else {200_000 + 100 * k + j for j in range(80)}
+            keys.append((100 + k, 100 + 3 * k + c))
+    keys += [(500, 0), (500, 100)]
+    halves = dict(zip(sets, sketched(sets.values())))
+    members = spark.createDataFrame([(key, i, *map(int, halves[i])) for key, i in keys], "key bigint, id bigint, s0 bigint, s1 bigint")
+    asked = []
+
+    def verify(pairs):
+        held = [(r["a"], r["b"]) for r in pairs.collect()]
+        asked.extend(held)
+        return spark.createDataFrame([x for x in held if jaccard(sets[x[0]], sets[x[1]]) >= 0.8], "a bigint, b bigint")
+
+    pairs, large = bucket_pairs(members, 0.8)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(100 + 3 * k, 101 + 3 * k) for k in range(90)} and large.count() == 60
+    _, roots = leader_links(large, verify, 0.8, pairs=pairs)
+    links = [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8]
+    assert {i: i for i in sets} | {r["id"]: r["root"] for r in roots.collect()} == groups(sets, links)
+    assert len(asked) < 400

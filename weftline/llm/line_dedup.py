@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.llm import utf8
-from weftline.llm.links import PARITY, leader_links, parities, sketch
+from weftline.llm.links import PARITY, bucket_pairs, leader_links, parities, sketch
 from weftline.session import forget, table, written
 
 SHINGLE = 5
@@ -30,6 +30,8 @@ BANDS, ROWS = 10, 4
 SIMILARITY = 0.8
 #: Different lines that a task remembers at a time.
 SEEN = 100_000
+#: Numbers that choose texts are broadcast up to this many (16 MB), else joined by shuffle.
+BROADCAST_IDS = 2_000_000
 #: Characters of lines that are hashed together.
 STRETCH = 1 << 16
 #: Classes, of BANDS * ROWS, that a line fills if it has a sketch.
@@ -187,15 +189,15 @@ def bounds(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bounded(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(number, id, line) with the size and the parities of the line's shingle set: whole and PARITY."""
+    """(node, id, line) with the size and the parities of the line's shingle set: whole and PARITY."""
 
     def run(batches):
         for batch in batches:
             whole, odd = bounds(batch.column("line").to_pylist(), size)
             columns = [*batch.columns, pa.array(whole), *(pa.array(np.ascontiguousarray(x)) for x in odd.T)]
-            yield pa.RecordBatch.from_arrays(columns, names=["number", "id", "line", "whole", *PARITY])
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "id", "line", "whole", *PARITY])
 
-    return texts.select("number", "id", "line").mapInArrow(run, f"number bigint, id binary, line string, whole bigint, {', '.join(f'{p} bigint' for p in PARITY)}")
+    return texts.select("node", "id", "line").mapInArrow(run, f"node bigint, id binary, line string, whole bigint, {', '.join(f'{p} bigint' for p in PARITY)}")
 
 
 def alike(lines: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY):
@@ -226,23 +228,33 @@ def removed_lines(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMI
     Ids and keys are written; texts are read again from `docs` for lines that share a band.
     """
     lines = written(lines_of(docs, size), "lines")
-    banded = lines.filter("keys is not null").select(_number("id").alias("number"), F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("number").alias("least"), F.max("number").alias("most")).filter("least <> most").select("key")
-    buckets = written(banded.join(shared, "key", "left_semi").distinct(), "buckets")
-    wanted = buckets.select("number").distinct().hint("shuffle_hash")
-    texts = line_texts(docs).join(wanted, "number", "left_semi").dropDuplicates(["number", "id"])
-    # Each line found has a number of its own, also where two share the short one.
-    lines_found = written(bounded(texts, size).withColumn("node", F.monotonically_increasing_id()), "candidates")
-    sketches = lines.filter("s0 is not null").select("id", "s0", "s1").dropDuplicates(["id"])
-    nodes = lines_found.select("id", "number", "node").join(sketches, "id", "left").select("number", "node", "s0", "s1")
+    keyed = lines.filter("keys is not null").withColumn("number", _number("id"))
+    # Dealt once for both sides of the join.
+    dealt = keyed.select("number", F.explode("keys").alias("key")).repartition("key")
+    shared = dealt.groupBy("key").agg(F.min("number").alias("least"), F.max("number").alias("most")).filter("least <> most").select("key")
+    buckets = written(dealt.join(shared, "key", "left_semi").distinct(), "buckets")
+    # Each line has a node of its own, also where two share the short number.
+    nodes = keyed.select("id", "number", "s0", "s1").dropDuplicates(["id"])
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     members = written(buckets.join(nodes, "number").select("key", F.col("node").alias("id"), "s0", "s1"), "members")
     forget(buckets)
+    pairs, large = bucket_pairs(members, similarity)
+    forget(members)
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("id")).distinct()
+    named = written(nodes.select("node", "id", "number").join(asked, "node"), "named")
+    forget(nodes)
+    wanted = named.select("number").distinct()
+    wanted = F.broadcast(wanted) if named.count() <= BROADCAST_IDS else wanted.hint("shuffle_hash")
+    texts = line_texts(docs).join(wanted, "number", "left_semi").dropDuplicates(["number", "id"])
+    texts = texts.join(named.select("id", "node"), "id").select("node", "id", "line")
+    lines_found = written(bounded(texts, size), "candidates")
+    forget(named)
     reach = lines_found.select(F.col("node").alias("id"), "whole", *PARITY)
-    _, roots = leader_links(members, alike(lines_found, size, similarity), similarity, reach)
+    _, roots = leader_links(large, alike(lines_found, size, similarity), similarity, reach, pairs)
     names = lines_found.select("id", "node")
     joined = names.join(roots.withColumnRenamed("id", "node"), "node").select("id", "root")
     same = written(joined.join(names.select(F.col("node").alias("root"), F.col("id").alias("kind")), "root").select("id", "kind"), "same")
-    forget(members, lines_found)
+    forget(pairs, large, lines_found)
     kinds = lines.select("doc_id", "row", "place", "id").join(same, "id", "left").withColumn("kind", F.coalesce("kind", "id"))
     first = F.struct("doc_id", "row", "place")
     kept = kinds.groupBy("kind").agg(F.min(first).alias("first"), F.count("*").alias("n")).filter("n > 1").select("kind", "first")

@@ -40,6 +40,8 @@ from weftline.session import forget, written
 
 #: Members of a bucket's component that meet the others of the bucket before all do.
 FIRST = 16
+#: Members of a bucket that all meet each other by their sketches, where bucket_pairs is used.
+SMALL = 32
 #: Samples of a sketch, 4 bits each, in two integers.
 SLOTS = 32
 #: Probability with which a pair of just the wanted similarity fails by its sketches.
@@ -98,11 +100,28 @@ def sets_within_reach(similarity: float) -> Column:
     return overlap >= (similarity - ROUNDING) * (F.col("whole") + F.col("other_whole") - overlap)
 
 
-def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], similarity: float, bounds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def bucket_pairs(members: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) with a < b, the pairs of buckets of up to SMALL members whose sketches agree, and the members of the other buckets.
+
+    By chance most items share a small bucket with some other that is unlike them. Here they meet
+    once, by their sketches alone, and take no part in what follows.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    counted = written(members.join(sizes, "key"), "counted")
+    few = counted.filter(F.col("n") <= SMALL).drop("n")
+    other = few.select("key", F.col("id").alias("other"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
+    met = few.join(other, "key").filter((F.col("id") < F.col("other")) & (agreement(("s0", "s1"), ("t0", "t1")) >= threshold(similarity)))
+    pairs = written(_pairs(met), "pairs")
+    large = written(counted.filter(F.col("n") > SMALL).drop("n"), "large")
+    forget(counted)
+    return pairs, large
+
+
+def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], similarity: float, bounds: DataFrame | None = None, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) with a < b, and the components (id, root), of the pairs of one bucket that are alike.
 
     members: (key, id, s0, s1), with whole and shared if these are known. `verify` takes pairs (a, b) and returns those that are alike.
-    bounds: (id, whole, PARITY) of every item, for sets only. The
+    bounds: (id, whole, PARITY) of every item, for sets only. pairs: more pairs (a, b) that are to be looked at, as from bucket_pairs. The
     links join what all links of pairs in a bucket would join, but are not all of them.
     """
     wanted = threshold(similarity)
@@ -119,7 +138,10 @@ def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     leaders = own.groupBy("key").agg(F.min_by(F.struct(*other), F.struct(-F.col("degree"), "id")).alias("x"))
     leaders = leaders.select("key", *(F.col(f"x.{c}").alias(name) for c, name in other.items()))
     met = own.join(leaders, "key").filter((F.col("id") != F.col("other")) & alike)
-    near = written(_pairs(met), "pairs")
+    near = _pairs(met)
+    if pairs is not None:
+        near = near.unionByName(pairs).distinct()
+    near = written(near if bounds is None else _possible(near, bounds, similarity), "pairs")
     links = written(verify(near), "links")
     forget(near)
     roots = components(links)
@@ -152,6 +174,14 @@ def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     return links, roots
 
 
+def _possible(pairs: DataFrame, bounds: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that the bounds of their two sets admit."""
+    names = ("whole", *PARITY)
+    one = bounds.select(F.col("id").alias("a"), *names)
+    two = bounds.select(F.col("id").alias("b"), *(F.col(c).alias(f"other_{c}") for c in names))
+    return pairs.join(one, "a").join(two, "b").filter(sets_within_reach(similarity)).select("a", "b")
+
+
 def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
