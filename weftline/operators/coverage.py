@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weftline.session import written
+from weftline.session import forget, written
 
 THRESHOLD = 0.30
 #: Sums in this type do not depend on the order of rows.
@@ -13,6 +16,8 @@ EXACT = "decimal(28,9)"
 BLEND = (0.7, 0.3)
 #: Specializations that one task of a comparison has, about.
 TASK_ROWS = 100_000
+#: Scores of pairs that a task holds as a matrix at a time.
+CELLS = 4 << 20
 
 
 def _unit(x: Column) -> Column:
@@ -155,8 +160,104 @@ def evidence(pairs: DataFrame, rows: DataFrame, limit: int = 200) -> DataFrame:
     """Flat evidence: pairs once for each (person, section, requirement, specialization), best pair first, then best requirement, at most `limit` a goal."""
     best = pairs.groupBy("goal", "person", "section", "idx", "spec_idx").agg(F.max("score").alias("score"))
     with_need = best.join(rows.select("goal", "person", "section", "idx", F.col("c").alias("need_score")), ["goal", "person", "section", "idx"])
+    return _first_evidence(with_need, limit)
+
+
+def _first_evidence(rows: DataFrame, limit: int) -> DataFrame:
     order = Window.partitionBy("goal").orderBy(F.desc("score"), F.desc("need_score"), "person", "section", "idx", "spec_idx")
-    return with_need.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+
+
+def text_evidence(candidates: DataFrame, requirements: DataFrame, specializations: DataFrame, score, limit: int = 200) -> DataFrame:
+    """`evidence` of the pairs that `pair_scores` would give and their `means`, without a row for each pair.
+
+    A goal's people are dealt over tasks by hash, section by section, as lists of their specializations.
+    A task has the scores of its different specializations with the goal's requirements as a
+    matrix, sums a person's rows of it to the means, and passes on its `limit` best pairs.
+    """
+    needs = requirements.filter((F.trim("text") != "") & F.col("idx").isNotNull()).select("goal", "section", "idx", F.trim("text").alias("text"))
+    needs = written(needs, "needs", small=True)
+    specs = specializations.filter(F.trim("spec") != "").select("person", "section", "spec_idx", F.trim("spec").alias("spec"))
+    own = written(specs.repartition("person").groupBy("person", "section").agg(F.collect_list(F.struct("spec", "spec_idx")).alias("given")), "own")
+    # Only sections that the goal asks something in.
+    people = candidates.select("goal", "person").distinct().join(needs.select("goal", "section").distinct(), "goal")
+    met = own.join(people, ["person", "section"])
+    most = met.groupBy("goal", "section").agg(F.sum(F.size("given")).alias("n")).agg(F.max("n")).first()[0] or 0
+    met = met.withColumn("part", F.pmod(F.xxhash64("person"), F.lit(-(-most // TASK_ROWS) or 1)))
+    keys = ["goal", "section", "part"]
+    texts = F.array_distinct(F.transform("given", lambda x: x["spec"]))
+    held = written(met.select(*keys, F.explode(texts).alias("spec")).distinct(), "held")
+    pairs = held.select("goal", "section", "spec").distinct().join(needs.select("goal", "section", "text").distinct(), ["goal", "section"])
+    known = written(score(pairs.select("text", "spec").distinct()).select("text", "spec", _unit(F.col("score")).alias("score")), "known")
+    scored = pairs.join(known, ["text", "spec"]).join(needs, ["goal", "section", "text"])
+    lists = scored.groupBy("goal", "section", "spec").agg(F.sort_array(F.collect_list(F.struct("idx", "text", "score"))).alias("asked"))
+    lists = lists.withColumn("asked", F.transform("asked", lambda x: F.struct(x["idx"].alias("idx"), x["score"].alias("score"))))
+    kinds = {c: df.schema[c].dataType.simpleString() for df, names in ((candidates, ["goal", "person"]), (needs, ["section", "idx"]), (specs, ["spec_idx"])) for c in names}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("goal", "person", "section", "idx", "spec_idx")) + ", score double, need_score double"
+
+    def search(key, own: pa.Table, known: pa.Table) -> pa.Table:
+        return _best_pairs(own, known, max(1, limit))
+
+    asked = held.join(lists, ["goal", "section", "spec"]).select(*keys, "spec", "asked").groupBy(*keys)
+    best = met.select(*keys, "person", "given").groupBy(*keys).cogroup(asked).applyInArrow(search, schema)
+    best = written(best, "best", small=True)
+    forget(own, held, known, needs)
+    return _first_evidence(best, limit)
+
+
+def _best_pairs(own: pa.Table, known: pa.Table, limit: int) -> pa.Table:
+    """The `limit` best pairs (goal, person, section, idx, spec_idx, score, need_score) of people (person, given) of one goal and section; known: (spec, asked)."""
+    given, asked = (t.column(c).combine_chunks() for t, c in ((own, "given"), (known, "asked")))
+    sizes, values = pc.list_value_length(given).to_numpy(), given.flatten()
+    spec = pc.index_in(values.field("spec"), value_set=known.column("spec").combine_chunks()).to_numpy()
+    idx = asked[0].values.field("idx")
+    scores = asked.flatten().field("score").to_numpy().reshape(len(asked), -1)
+    # Requirements of one idx stand together: a pair has its best score, a mean counts all.
+    names = pc.rank(idx, "ascending", tiebreaker="dense").to_numpy()
+    at = np.flatnonzero(np.diff(names, prepend=0))
+    best, total, times = np.maximum.reduceat(scores, at, 1), np.add.reduceat(scores, at, 1), np.diff(np.append(at, len(names)))
+    rank = lambda x: pc.rank(x, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+    person, place = rank(own.column("person").combine_chunks()), rank(values.field("spec_idx"))
+    ends = np.cumsum(sizes)
+    levels = np.unique(best)[::-1]
+    found: list[tuple[np.ndarray, ...]] = []
+    low = 0
+    while low < len(sizes):
+        begin = ends[low] - sizes[low]
+        high = max(low + 1, int(np.searchsorted(ends, begin + max(1, CELLS // len(at)), side="right")))
+        its = spec[begin : ends[high - 1]]
+        who = np.repeat(np.arange(low, high), sizes[low:high])
+        mean = np.add.reduceat(total[its], ends[low:high] - sizes[low:high] - begin) / (sizes[low:high, None] * times)
+        mean = np.floor(mean * 1e6 + 0.5).astype(np.int64)
+        kept: set[tuple] = set()
+        for level in levels:
+            row, need = np.nonzero((best == level)[its])
+            keys = (place[begin + row], need, who[row], -mean[who[row] - low, need])
+            take = limit
+            while len(row):
+                some = np.flatnonzero(keys[3] <= np.partition(keys[3], take - 1)[take - 1]) if take < len(row) else np.arange(len(row))
+                some = some[np.lexsort((keys[0][some], keys[1][some], person[keys[2][some]], keys[3][some]))]
+                # The same requirement and spec_idx of a person once, by the best score.
+                name = np.stack([k[some] for k in keys[:3]])
+                once = some[np.append(True, (name[:, 1:] != name[:, :-1]).any(0))][: limit + len(kept)]
+                once = [i for i in once.tolist() if (keys[0][i], keys[1][i], keys[2][i]) not in kept]
+                if len(once) >= limit or take >= len(row):
+                    chosen = np.array(once[:limit], np.int64)
+                    found.append((np.full(len(chosen), level), keys[3][chosen], keys[2][chosen], need[chosen], begin + row[chosen], keys[0][chosen]))
+                    kept.update((keys[0][i], keys[1][i], keys[2][i]) for i in chosen)
+                    break
+                take *= 4
+            if len(kept) >= limit:
+                break
+        low = high
+    score, less, owner, need, row, turn = (np.concatenate(x) for x in zip(*found))
+    first = np.lexsort((turn, need, person[owner], less, -score))[:limit]
+    owner, need, row = owner[first], need[first], row[first]
+    columns = {
+        "goal": own.column("goal").take(pa.array(owner)), "person": own.column("person").take(pa.array(owner)), "section": own.column("section").take(pa.array(owner)),
+        "idx": idx.take(pa.array(at[need])), "spec_idx": values.field("spec_idx").take(pa.array(row)), "score": pa.array(score[first]), "need_score": pa.array(-less[first] / 1e6),
+    }
+    return pa.table(columns)
 
 
 def gaps(held: DataFrame, most: float = 0.05, limit: int = 5) -> DataFrame:

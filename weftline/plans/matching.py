@@ -146,7 +146,7 @@ def _pair_tables(spark, sf_dir):
     part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
     needs = part.groupBy(F.col("p_brand").alias("goal"), F.col("p_type").alias("section"), F.col("p_size").alias("idx")).agg(F.min("p_name").alias("text"), (F.count("*") / 10.0).alias("weight"))
     supplied = line.join(part, line.l_partkey == part.p_partkey)
-    specs = supplied.select(F.col("l_suppkey").alias("person"), F.col("p_type").alias("section"), F.col("p_size").alias("spec_idx"), F.col("p_name").alias("spec")).distinct()
+    specs = supplied.select(F.col("l_suppkey").alias("person"), F.col("p_type").alias("section"), F.col("p_size").alias("spec_idx"), F.col("p_name").alias("spec")).repartition("person").distinct()
     # Two brands stand for each person's candidates.
     numbered = needs.select("goal").distinct().withColumn("k", F.substring("goal", 7, 9).cast("int") % 25)
     people = specs.select("person").distinct().withColumn("k", F.explode(F.array(F.col("person") % 25, (F.col("person") + 7) % 25)))
@@ -175,8 +175,8 @@ def match_rows(spark, sf_dir):
 @query(f"""WITH {_TEXTS}, m AS (SELECT goal, person, section, idx, round(avg(score), 6) AS c FROM p GROUP BY ALL), e AS (SELECT goal, person, section, idx, spec_idx, max(score) AS score FROM p GROUP BY ALL)
 SELECT goal, person, section, idx, spec_idx, CAST(row_number() OVER (PARTITION BY goal ORDER BY score DESC, c DESC, person, section, idx, spec_idx) AS INTEGER) AS rank FROM e JOIN m USING (goal, person, section, idx) QUALIFY rank <= 20""")
 def flat_evidence(spark, sf_dir):
-    pairs = _pairs(*_pair_tables(spark, sf_dir))
-    return C.evidence(pairs, C.means(pairs, ["section"]), 20).drop("score", "need_score")
+    needs, specs, found = _pair_tables(spark, sf_dir)
+    return C.text_evidence(found, needs, specs, scorers.pair_scorer(), 20).drop("score", "need_score")
 
 
 @query(f"""WITH {_TEXTS}, m AS (SELECT goal, person, section, idx, avg(score) AS c FROM p GROUP BY ALL), h AS (SELECT goal, section, idx, text, weight, max(coalesce(c, 0)) AS c FROM g JOIN n USING (goal) LEFT JOIN m USING (goal, person, section, idx) GROUP BY ALL),
