@@ -15,16 +15,18 @@ Embed = Callable[[list[str]], list[list[float]]]
 
 def hashed_vector(text: Column, size: int = 64) -> Column:
     """A vector that counts the text's tokens by hash; null for a text without tokens."""
-    places = F.array_sort(F.transform(T.tokens(F.coalesce(text, F.lit(""))), lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("int") % size))
+    places = F.sort_array(F.transform(T.tokens(F.coalesce(text, F.lit(""))), lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("int") % size))
     zeros = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n)
 
-    def counts(at: Column) -> Column:
+    def counts(x: Column) -> Column:
         """A count for each place that occurs, after zeros for those between it and the one before."""
-        ends = F.array_distinct(at)
-        runs = F.transform(ends, lambda p, i: F.concat(zeros(p - F.when(i == 0, -1).otherwise(F.get(ends, i - 1)) - 1), F.array(F.size(F.filter(at, lambda q: q == p)).cast("float"))))
+        at, ends = x["at"], x["ends"]
+        start = lambda i: F.coalesce(F.array_position(at, F.get(ends, i)), F.size(at) + 1)
+        runs = F.transform(ends, lambda p, i: F.concat(zeros(p - F.when(i == 0, -1).otherwise(F.get(ends, i - 1)) - 1), F.array((start(i + 1) - start(i)).cast("float"))))
         return F.concat(F.flatten(runs), zeros(size - 1 - F.element_at(ends, -1)))
 
-    return F.when(F.size(places) > 0, T._let(places, counts))
+    listed = lambda at: T._let(F.struct(at.alias("at"), F.array_distinct(at).alias("ends")), counts)
+    return T._let(places, lambda at: F.when(F.size(at) > 0, listed(at)))
 
 
 def embedded(df: DataFrame, text: str, into: str, embed: Embed | None = None, key: str | None = None) -> DataFrame:

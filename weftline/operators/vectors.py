@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftline.session import forget, written
@@ -33,15 +34,23 @@ def unit(v: Column) -> Column:
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a list column as unit vectors (zeros for null), and each row's dimension (-1 for null)."""
-    size = np.array([len(x) if x.is_valid else -1 for x in column], np.int64)
+    size = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False).astype(np.int64)
     out = np.zeros((len(column), max(1, size.max(initial=1))))
-    for i, x in enumerate(column):
-        if size[i] > 0:
-            out[i, : size[i]] = x.values.to_numpy(zero_copy_only=False)
+    flat = pc.fill_null(column.flatten(), float("nan")) if column.flatten().null_count else column.flatten()
+    out[np.arange(out.shape[1]) < size[:, None]] = flat.to_numpy(zero_copy_only=False)
     norm = np.sqrt((out * out).sum(1))
     return out / np.where(norm <= 1e-12, 1, norm)[:, None], size
 
 
+def _about(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """`_same` in single precision."""
+    width = min(a[0].shape[1], b[0].shape[1])
+    scores = a[0][:, :width].astype(np.float32) @ b[0][:, :width].astype(np.float32).T
+    if (a[1] != a[1][0]).any() or (b[1] != a[1][0]).any():
+        scores[(a[1][:, None] != b[1]) | (a[1][:, None] < 0)] = -np.inf
+    return scores
+
+
 def _same(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Cosines of all rows of a with all of b; -inf where a side is missing or the dimensions differ."""
     width = min(a[0].shape[1], b[0].shape[1])
@@ -70,8 +79,8 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, floor: float, skip_equal
 
     Both sides are (id, first, second) with two nullable vectors; the score is the greatest of the
     four cosines, 0 where all are null. Queries are a stated set: they are packed into blocks, the
-    blocks meet every batch of items as a matrix product, and each task passes on its k best for
-    each query, so that the shuffle holds k rows for a query and batch of items. Ids of the two sides
+    blocks meet every chunk of items as a matrix product, and each task passes on its k best for
+    each query, so that the shuffle holds k rows for a query and task. Ids of the two sides
     are apart, unless `skip_equal_ids` says that both are one table and a row is no match of itself.
     """
     found = pa.schema([("query_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64())])
@@ -80,29 +89,102 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, floor: float, skip_equal
     chunk = items.select("id", "first", "second").groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-items.count() // BLOCK)))).alias("chunk")).agg(F.collect_list(F.struct("id", "first", "second")).alias("items"))
 
     def search(batches):
+        best: dict[int, Nearest] = {}
+        size, last, names, right = 0, None, None, None
+
+        def done():
+            for one in best.values():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in one.rows()], schema=found)
+
         for batch in batches:
-            for asked, given in zip(batch.column("queries"), batch.column("items")):
+            for block, number, asked, given in zip(*(batch.column(c) for c in ("block", "chunk", "queries", "items"))):
                 asked, given = asked.values, given.values
-                ids, names = asked.field("id").to_numpy(), given.field("id").to_numpy()
-                left, right = ([_matrix(x.field(c)) for c in ("first", "second")] for x in (asked, given))
-                best = np.full((len(ids), len(names)), -np.inf)
-                for a in left:
-                    for b in right:
-                        np.maximum(best, _same(a, b), out=best)
-                best = np.round(np.where(np.isfinite(best), best, 0.0), 6)
-                if skip_equal_ids:
-                    best[ids[:, None] == names] = -np.inf
-                order = np.lexsort((np.broadcast_to(names, best.shape), -best), axis=1)[:, :k]
-                scores = np.take_along_axis(best, order, 1)
-                row, column = np.nonzero(scores >= floor)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(names[order[row, column]]), pa.array(scores[row, column])], schema=found)
-
-    met = chunk.crossJoin(blocks).select("queries", "items").mapInArrow(search, "query_id bigint, item_id bigint, score double")
+                ids = asked.field("id").to_numpy()
+                left = [_matrix(asked.field(c)) for c in ("first", "second")]
+                if last != number.as_py():
+                    last, names, right = number.as_py(), given.field("id").to_numpy(), [_matrix(given.field(c)) for c in ("first", "second")]
+                one = best.get(block.as_py())
+                if one is None:
+                    if size > KEPT_BYTES:
+                        yield from done()
+                        best, size = {}, 0
+                    one = best[block.as_py()] = Nearest(ids, k, floor)
+                    size += 16 * k * len(ids)
+                one.meet(left, names, right, skip_equal_ids)
+        yield from done()
+
+    met = chunk.crossJoin(blocks).select("block", "chunk", "queries", "items").mapInArrow(search, "query_id bigint, item_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
     with _few_a_batch(queries.sparkSession):
         return written(met.withColumn("rank", rank).filter(F.col("rank") <= k), "nearest", small=True)
 
 
+#: Bytes of best items that a task of `top_k` keeps before it passes them on, and numbers of vectors that it compares in double at a time.
+KEPT_BYTES, SOME = 64 << 20, 1 << 20
+
+
+class Nearest:
+    """The k best items so far of each query of a block.
+
+    Products in single precision tell which pairs can be among them; these alone are compared in double.
+    """
+
+    def __init__(self, ids: np.ndarray, k: int, floor: float):
+        self.ids, self.k, self.floor = ids, k, floor
+        self.scores = np.full((len(ids), k), -np.inf)
+        self.items = np.zeros((len(ids), k), np.int64)
+
+    def meet(self, left: list, names: np.ndarray, right: list, skip: bool) -> None:
+        if not len(names) or not self.k:
+            return
+        sides = [(a, b) for a in left for b in right if (a[1] >= 0).any() and (b[1] >= 0).any()]
+        about = None
+        for a, b in sides:
+            its = _about(a, b)
+            about = its if about is None else np.maximum(about, its, out=about)
+        if about is None:
+            about = np.full((len(self.ids), len(names)), -np.inf, np.float32)
+        if len(sides) != 1 or any((x[1] != a[1][0]).any() or not np.isfinite(x[0]).all() for a, b in sides for x in (a, b)):
+            about[~np.isfinite(about)] = 0.0
+        if skip:
+            about[self.ids[:, None] == names] = -np.inf
+        # What single precision can be off by, and half a unit of the sixth place, with something to spare.
+        width = max((min(a[0].shape[1], b[0].shape[1]) for a, b in sides), default=1)
+        off = (width + 16) * 2.0**-22
+        least = np.maximum(self.scores[:, -1], self.floor)
+        new = np.flatnonzero(np.isneginf(self.scores[:, -1]))
+        if len(new) and len(names) > self.k:
+            least[new] = np.maximum(np.partition(about[new], len(names) - self.k, axis=1)[:, len(names) - self.k] - off - 1e-6, self.floor)
+        row, column = np.nonzero(about >= (least - off - 1e-6)[:, None].astype(np.float32))
+        step = max(1, SOME // width)
+        for low in range(0, len(row), step):
+            self.add(row[low : low + step], column[low : low + step], sides, names)
+
+    def add(self, row: np.ndarray, column: np.ndarray, sides: list, names: np.ndarray) -> None:
+        exact = np.full(len(row), -np.inf)
+        for a, b in sides:
+            width = min(a[0].shape[1], b[0].shape[1])
+            its = np.einsum("ij,ij->i", a[0][row, :width], b[0][column, :width])
+            np.maximum(exact, np.where((a[1][row] == b[1][column]) & (a[1][row] >= 0), its, -np.inf), out=exact)
+        exact = np.round(np.where(np.isfinite(exact), exact, 0.0), 6)
+        good = (exact >= self.floor) & (exact >= self.scores[row, -1])
+        row, exact, items = row[good], exact[good], names[column[good]]
+        if not len(row):
+            return
+        rows = np.unique(row)
+        every = np.concatenate([np.repeat(rows, self.k), row])
+        score, item = np.concatenate([self.scores[rows].ravel(), exact]), np.concatenate([self.items[rows].ravel(), items])
+        order = np.lexsort((item, -score, every))
+        every, score, item = every[order], score[order], item[order]
+        place = np.arange(len(every)) - np.searchsorted(every, every)
+        first = place < self.k
+        self.scores[every[first], place[first]], self.items[every[first], place[first]] = score[first], item[first]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, column = np.nonzero(~np.isneginf(self.scores))
+        return self.ids[row], self.items[row, column], self.scores[row, column]
+
+
 def top_k_per_source(queries: DataFrame, items: DataFrame, k: int, floor: float = -1.0) -> DataFrame:
     """(query_id, source, item_id, score): for each query the k best items of every source over the floor; ties go by item_id.
 
