@@ -26,6 +26,8 @@ from weftline.session import forget, written
 
 #: Partial teams that a task extends in a round, and tasks of a goal.
 BUDGET, PARTS = 20_000, 8
+#: People of a goal that are searched first; of the others those follow who could still be in its best teams.
+FIRST = 1000
 #: Coverage is counted in whole billionths, so that sums are exact in any order.
 UNIT = 10**9
 OPEN, TEAM, TALLY = 0, 1, 2
@@ -148,9 +150,10 @@ def best_teams(covered: DataFrame, size: int, n: int = 1, required: list[int] |
     of the greatest possible coverage and 0.3 of its members' mean score (0 for unknown ones). A team
     of more people than there are is one of all.
 
-    The result is exact. A goal's people are one row: a bounded pool (see coverage.pool), or all who
-    differ in what they hold. Of people of the same coverage and score (and not required) the first
+    The result is exact. Of people of the same coverage and score (and not required) the first
     size + n - 1 stay: a team with a later one has n teams before it, in which one of those takes the place.
+    The FIRST who hold most alone are searched, as one row of a goal, and then those who could be in
+    better teams than were found, again as one row.
     `expanded` collects the number of partial teams that each round extended.
     """
     first = list(dict.fromkeys(required or []))
@@ -161,18 +164,58 @@ def best_teams(covered: DataFrame, size: int, n: int = 1, required: list[int] |
     people = covered.groupBy("goal", "person").agg(F.sort_array(F.collect_list(F.struct("idx", "weight", "c"))).alias("v"))
     people = people.join(scores.select("goal", "person", F.col("score").alias("own")), ["goal", "person"], "left") if scores is not None else people.withColumn("own", F.lit(0.0))
     people = people.select("goal", "person", F.transform("v", lambda x: x["c"].cast("double")).alias("c"), F.coalesce(F.col("own").cast("double"), F.lit(0.0)).alias("own"), F.transform("v", lambda x: x["weight"].cast("double")).alias("w"))
+    blend = scores is not None
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda t, y: t + y)
+    most = F.when(total("w") > 0, total("w")).otherwise(1.0)
+    alone = total(F.zip_with("c", "w", lambda x, y: x * y)) * (BLEND[0] / most) + F.col("own") * BLEND[1] if blend else total(F.zip_with("c", "w", lambda x, y: x * y))
+    people = written(people.withColumn("alone", alone), "people")
+    weights = people.groupBy("goal").agg(F.first("w").alias("weights"))
     # Of people who hold the same only the first can be in the n best teams.
     same = Window.partitionBy("goal", "c", "own", F.col("person").isin(first)).orderBy("person")
-    people = people.withColumn("turn", F.row_number().over(same)).filter((F.col("turn") <= max(1, size + n - 1)) | F.col("person").isin(first))
+    turn = F.row_number().over(same)
+    kept = people.drop("w").withColumn("turn", turn).filter((F.col("turn") <= max(1, size + n - 1)) | F.col("person").isin(first)).drop("turn")
+    counts = Window.partitionBy("goal")
+    kept = stored = written(kept.withColumn("n", F.count("*").over(counts)), "kept")
+    # A share of own scores counts by the team's size, which fewer people than that cut down.
+    if blend:
+        full = F.greatest(F.lit(1), F.least(F.lit(size), F.col("n")))
+        kept = kept.withColumn("alone", F.col("alone") - F.col("own") * BLEND[1] * (1 - 1 / full))
+    asked = F.col("person").isin(first)
+    reach = max(FIRST, size + n - 1)
+    by_alone = F.row_number().over(Window.partitionBy("goal", asked).orderBy(F.desc("alone"), "person"))
+    near = kept.withColumn("turn", by_alone).filter((F.col("turn") <= reach) | asked).drop("turn")
+    found = _searched(covered, near, weights, None, size, n, first, blend, budget, expanded)
+    missing = size - len(first)
+    large = kept.filter(F.col("n") > reach + len(first)).select("goal").distinct()
+    if not missing or large.isEmpty():
+        forget(people, stored)
+        return found
+    # A team's score is at most the sum of what its members reach alone: who with the best others does not
+    # come up to the n-th best team of those searched is in no better one.
+    found = written(found, "found", small=True)
+    others = near.filter(~asked).groupBy("goal").agg(total(F.slice(F.sort_array(F.collect_list("alone"), asc=False), 1, missing - 1)).alias("others"))
+    wanted = near.filter(asked).groupBy("goal").agg(F.sum("alone").alias("wanted"))
+    low = found.filter(F.col("rank") == n).select("goal", F.col("score").alias("low"), F.col("team").alias("low_team"))
+    low = written(large.join(others, "goal").join(wanted, "goal", "left").join(low, "goal", "left"), "low", small=True)
+    slack = 1e-5 + 1e-9 * size * F.size("c")
+    can = F.col("alone") + F.col("others") + F.coalesce("wanted", F.lit(0.0)) >= F.col("low") - slack
+    rest = kept.join(low.drop("low_team"), "goal").filter(F.col("low").isNull() | can | asked).select(kept.columns)
+    last = _searched(covered, rest, weights, low.select("goal", "low", "low_team"), size, n, first, blend, budget, expanded)
+    done = written(found.join(large, "goal", "left_anti").unionByName(last), "best", small=True)
+    forget(people, stored, found, low)
+    return done
+
+
+def _searched(covered: DataFrame, people: DataFrame, weights: DataFrame, known: DataFrame | None, size: int, n: int, first: list, blend: bool, budget: int, expanded: list[int] | None) -> DataFrame:
+    """`best_teams` among these people (goal, person, c, own); known: (goal, low, low_team), a goal's n-th best team if one is known."""
     one = F.struct("person", "c", "own")
-    goals = people.groupBy("goal").agg(F.collect_list(one).alias("people"), F.first("w").alias("weights"), F.collect_set("person").alias("ids"))
+    goals = people.groupBy("goal").agg(F.collect_list(one).alias("people"), F.collect_set("person").alias("ids")).join(weights, "goal")
     if first:
         lacks = F.raise_error(F.concat(F.lit("a required person is missing for "), F.col("goal").cast("string"))).cast("boolean")
         goals = goals.filter(F.when(F.size(F.array_intersect("ids", F.array(*map(F.lit, first)).cast(goals.schema["ids"].dataType))) < len(first), lacks).otherwise(F.lit(True)))
     goals = written(goals.drop("ids"), "goals")
     kinds = {c: covered.schema[c].dataType.simpleString() for c in ("goal", "person")}
     schema = f"goal {kinds['goal']}, kind int, score double, bound double, team array<{kinds['person']}>, at int, best array<bigint>, own double"
-    blend = scores is not None
 
     def explore(key, nodes: pa.Table, goal: pa.Table) -> pa.Table:
         rows = nodes.to_pylist()
@@ -191,8 +234,11 @@ def best_teams(covered: DataFrame, size: int, n: int = 1, required: list[int] |
 
     state = goals.select(
         "goal", F.lit(OPEN).alias("kind"), F.lit(None).cast("double").alias("score"), F.lit(float("inf")).alias("bound"), F.array().cast(f"array<{kinds['person']}>").alias("team"), F.lit(0).alias("at"),
-        F.lit(None).cast("array<bigint>").alias("best"), F.lit(None).cast("double").alias("own"), F.lit(None).cast("double").alias("low"), F.lit(None).cast(f"array<{kinds['person']}>").alias("low_team"),
+        F.lit(None).cast("array<bigint>").alias("best"), F.lit(None).cast("double").alias("own"),
     )
+    if known is None:
+        known = goals.select("goal", F.lit(None).cast("double").alias("low"), F.lit(None).cast(f"array<{kinds['person']}>").alias("low_team"))
+    state = state.join(known, "goal")
     parts = goals.select(F.col("goal").alias("name"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("number"), F.col("people").alias("people"), F.col("weights").alias("weights"))
     while True:
         nodes = state.filter(F.col("kind") == OPEN).withColumn("part", F.pmod(F.hash("team"), F.lit(PARTS)))
