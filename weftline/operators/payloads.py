@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftline.functions import text as T
+from weftline.session import written
 
 
 def _listed(rows: DataFrame, key: str, order: list[Column], fields: list[str], name: str) -> DataFrame:
@@ -72,6 +76,55 @@ def matching_inputs(requirements: DataFrame, members: DataFrame, scores: DataFra
     return needs.join(covered, "goal").join(rated, "goal", "left")
 
 
+def matching_parts(requirements: DataFrame, members: DataFrame, scores: DataFrame, most: int = 1000) -> DataFrame:
+    """(goal, part, requirements, coverage, scores, people): `matching_inputs` in parts of at most `most` people, numbered in the order of people.
+
+    No row grows with a goal's people. Requirements stand in each part. Who has a score but no
+    coverage counts as a person of his part, but is not in its people.
+    """
+    needs = requirements.groupBy("goal").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "weight")))).alias("requirements"))
+    own = members.repartition("goal", "person").groupBy("goal", "person", "name").agg(F.max("c").alias("c")).groupBy("goal", "person").agg(F.sort_array(F.collect_list(F.struct("name", "c"))).alias("own"))
+    rated = scores.groupBy("goal", "person").agg(F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("goal").orderBy("person")) - 1
+    # Names wait in the table while people are numbered: only their ids are sorted as a whole.
+    people = written(own.join(rated, ["goal", "person"], "full_outer"), "people")
+    dealt = people.select("goal", "person").withColumn("part", F.floor(place / most))
+    lists = people.join(dealt, ["goal", "person"]).groupBy("goal", "part").agg(F.sort_array(F.collect_list(F.struct("person", "own", "score"))).alias("x"))
+    held = F.filter("x", lambda x: x["own"].isNotNull())
+    known = F.filter("x", lambda x: x["score"].isNotNull())
+    covered = F.map_from_entries(F.transform(held, lambda x: F.struct(x["person"], F.map_from_entries(x["own"]))))
+    parts = lists.select("goal", "part", covered.alias("coverage"), F.map_from_entries(F.transform(known, lambda x: F.struct(x["person"], x["score"]))).alias("scores"), F.transform(held, lambda x: x["person"]).alias("people"))
+    return needs.join(parts, "goal").select("goal", "part", "requirements", "coverage", "scores", "people")
+
+
+def joined_parts(parts: DataFrame, text: str) -> DataFrame:
+    """(goal, needs, hash, people, best) of parts (goal, part, needs, text, people, best): the md5 of a goal's texts in the order of parts, by commas, its people as one text, the best of all.
+
+    A goal's texts go through one task one after another and are never held together.
+    """
+    goal = parts.schema["goal"].dataType.simpleString()
+
+    def run(batches):
+        name, state = None, None
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((name, state[0], state[1].hexdigest(), ",".join(state[2]), state[3]), kinds)], names=["goal", "needs", "hash", "people", "best"])
+        for batch in batches:
+            kinds = [batch.schema.field("goal").type, pa.string(), pa.string(), pa.string(), pa.float64()]
+            for own, needs, said, people, best in zip(*(batch.column(c) for c in ("goal", "needs", text, "people", "best"))):
+                if state is None or own.as_py() != name:
+                    if state is not None:
+                        yield done()
+                    name, state = own.as_py(), [needs.as_py(), hashlib.md5(), [], None]
+                if people.as_py():  # a part of scores alone has no text
+                    state[1].update((("," if state[2] else "") + said.as_py()).encode())
+                    state[2].append(people.as_py())
+                state[3] = max((x for x in (state[3], best.as_py()) if x is not None), default=None)
+        if state is not None:
+            yield done()
+
+    rows = parts.select("goal", "part", "needs", text, "people", "best").repartition("goal").sortWithinPartitions("goal", "part")
+    return rows.mapInArrow(run, f"goal {goal}, needs string, hash string, people string, best double")
+
+
 def rerank_inventory(matches: DataFrame, one: DataFrame, many: DataFrame, one_key: str, many_key: str, score: str) -> DataFrame:
     """(one_key, own, candidates): an inventory (key, domain, specialization) beside those of its matches, best first."""
     fields = ["domain", "specialization"]

@@ -297,12 +297,13 @@ def matching_inputs(spark, sf_dir):
     held = C.coverage(pairs, needs, people)
     name = F.col("idx").cast("string")
     scores = people.withColumn("score", F.col("person") / 20.0)
-    found = P.matching_inputs(needs.select("goal", name.alias("name"), "weight"), held.select("goal", "person", name.alias("name"), "c"), scores)
+    found = P.matching_parts(needs.select("goal", name.alias("name"), "weight"), held.select("goal", "person", name.alias("name"), "c"), scores)
     shown = lambda m, form: F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), F.format_string(form, e["value"].cast("double"))))
     # Everybody has a row for each requirement, so no person's text is empty.
     covered = F.transform(F.map_entries("coverage"), lambda p: F.array_join(F.transform(shown(p["value"], "%.6f"), lambda y: F.concat(p["key"].cast("string"), F.lit(":"), y)), ","))
     needed = F.md5(F.array_join(shown("requirements", "%.2f"), ","))
-    return found.select("goal", needed.alias("needs"), F.md5(F.array_join(covered, ",")).alias("coverage"), F.array_join(F.transform("people", lambda x: x.cast("string")), ",").alias("people"), F.round(F.array_max(F.map_values("scores")), 6).alias("best"))
+    parts = found.select("goal", "part", needed.alias("needs"), F.array_join(covered, ",").alias("text"), F.array_join(F.transform("people", lambda x: x.cast("string")), ",").alias("people"), F.array_max(F.map_values("scores")).alias("best"))
+    return P.joined_parts(parts, "text").select("goal", "needs", F.col("hash").alias("coverage"), "people", F.round("best", 6).alias("best"))
 
 
 @query(f"""WITH {_COVER}, m AS (SELECT goal, person, CAST(round(sum(c), 6) AS DOUBLE) AS score FROM cv GROUP BY ALL) SELECT goal, string_agg(CAST(person AS VARCHAR), ',' ORDER BY score DESC, person) AS candidates FROM m GROUP BY 1""")
