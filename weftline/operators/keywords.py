@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftline.functions import text as T
 from weftline.functions.graph import components
-from weftline.operators.vectors import cosine, links_over
+from weftline.operators.vectors import dot, links_over
 from weftline.session import written
 
 SECTIONS = ("research", "application")
@@ -220,8 +220,12 @@ def attached_sources(keywords: DataFrame, catalog: DataFrame, by: list[str], emb
     keyed = keywords.withColumn("__key", F.lower(T.one_space(F.col("t"))))
     left = embedded(keyed.select(*by, "__key").filter("__key <> ''").distinct(), "__key", "__x", embed)
     right = embedded(catalog.select(*by, "type", "id", "excerpt"), "excerpt", "__y", embed).drop("excerpt")
-    met = left.join(right, by).withColumn("score", F.round(cosine(F.col("__x"), F.col("__y")), 6))
-    best = best_sources(met.filter("score IS NOT NULL"), [*by, "__key"], least, limit)
+    # Lengths are taken once for each text, so that a pair costs one product (see vectors.cosine).
+    left, right = (df.filter(F.col(x).isNotNull()).withColumn(f"{x}n", F.sqrt(dot(F.col(x), F.col(x)))) for df, x in ((left, "__x"), (right, "__y")))
+    norms = F.col("__xn") * F.col("__yn")
+    met = left.join(right, by).filter(F.size("__x") == F.size("__y"))
+    met = met.withColumn("score", F.round(F.when(norms <= 1e-12, 0.0).otherwise(dot(F.col("__x"), F.col("__y")) / norms), 6))
+    best = best_sources(met, [*by, "__key"], least, limit)
     lists = best.groupBy(*by, "__key").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "type", "id", "score"))), lambda x: F.struct(x["type"].alias("type"), x["id"].alias("id"), x["score"].alias("score"))).alias("sources"))
     found = keyed.join(lists, [*by, "__key"], "left").drop("__key")
     return found.withColumn("sources", F.coalesce("sources", F.array().cast(lists.schema["sources"].dataType)))
